@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op3_rules(spark, sf_dir):
+    from .rules import quality_rules
+
+    found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op5_mixing(spark, sf_dir):
     from .mixing import mix
 
@@ -25,6 +32,6 @@ def op10_warc(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages"), 0).drop("payload")
 
 
-QUERIES = {"op5_mixing": op5_mixing, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
+QUERIES = {"op3_rules": op3_rules, "op5_mixing": op5_mixing, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
 
 ORACLES: dict[str, str] = {}

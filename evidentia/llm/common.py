@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 #: A word is a maximal run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that a kernel turns into NumPy arrays at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+def op1_lines(spark, sf_dir):
+    from .lines import line_quality
+
+    return line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_rules(spark, sf_dir):
     from .rules import quality_rules
 
@@ -20,6 +26,12 @@ def op5_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op7_langid(spark, sf_dir):
+    from .langid import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark, sf_dir):
     from .simhash import hex16, near_components
 
@@ -32,6 +44,6 @@ def op10_warc(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages"), 0).drop("payload")
 
 
-QUERIES = {"op3_rules": op3_rules, "op5_mixing": op5_mixing, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
+QUERIES = {"op1_lines": op1_lines, "op3_rules": op3_rules, "op5_mixing": op5_mixing, "op7_langid": op7_langid, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
 
 ORACLES: dict[str, str] = {}

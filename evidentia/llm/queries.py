@@ -13,6 +13,12 @@ def op1_lines(spark, sf_dir):
     return line_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_toxicity(spark, sf_dir):
+    from .toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_rules(spark, sf_dir):
     from .rules import quality_rules
 
@@ -44,6 +50,6 @@ def op10_warc(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages"), 0).drop("payload")
 
 
-QUERIES = {"op1_lines": op1_lines, "op3_rules": op3_rules, "op5_mixing": op5_mixing, "op7_langid": op7_langid, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
+QUERIES = {"op1_lines": op1_lines, "op2_toxicity": op2_toxicity, "op3_rules": op3_rules, "op5_mixing": op5_mixing, "op7_langid": op7_langid, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
 
 ORACLES: dict[str, str] = {}

@@ -16,11 +16,15 @@ from .textbytes import LETTER, LOWER, Hasher, owner, spans
 
 #: Labelled documents used at most (of smallest hash), none longer than so many bytes.
 FIT_DOCS, FIT_TEXT_BYTES = 8000, 1 << 17
-#: Lexicon entries found at most, documents an entry must be in, and lexicons they are dealt to.
-ENTRIES, SUPPORT, LEXICONS = 1024, 4, 24
+#: Lexicon entries found at most, toxic documents an entry must be in (and their share), lexicons they are dealt to.
+ENTRIES, SUPPORT, SUPPORT_SHARE, LEXICONS = 1024, 4, 0.03, 24
 #: Besides whole words, beginnings of words of so many bytes are entries.
 PREFIXES = (4, 5, 6, 7)
 WHOLE = np.uint64(0x5BD1E9955BD1E995)
+#: A beginning counts only in texts where it starts one word in so many: long texts hold any of them once by chance.
+DENSE = 350
+#: The surest entries vote alone, so many of them; the others vote in lexicons.
+ALONE = 32
 
 # Common insults.
 INSULTS = {
@@ -31,21 +35,36 @@ INSULTS = {
 }
 
 
-def entries(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of every word of letters, lower-cased in ASCII, and of its beginnings."""
+def entries(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash) of every word of letters, lower-cased in ASCII, and of its beginnings; the words of each text."""
     low = LOWER[data]
     start, stop = spans(LETTER[low], ends)
     text, h = owner(ends, start), Hasher(low)
-    out = [(text, h(start, stop) ^ WHOLE)]
+    out = [(text, (h(start, stop) ^ WHOLE) | np.uint64(1))]
     for n in PREFIXES:
         long = stop - start > n
-        out.append((text[long], h(start[long], start[long] + n)))
-    return np.concatenate([t for t, _ in out]), np.concatenate([x for _, x in out])
+        out.append((text[long], h(start[long], start[long] + n) & ~np.uint64(1)))
+    return np.concatenate([t for t, _ in out]), np.concatenate([x for _, x in out]), np.bincount(text, minlength=len(ends) - 1)
+
+
+def whole(h: np.ndarray) -> np.ndarray:
+    """The last bit of an entry's hash tells whole words from beginnings."""
+    return (h & np.uint64(1)).astype(bool)
+
+
+def counted(text: np.ndarray, at: np.ndarray, kinds: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, entry, strength): times of a whole word, times against DENSE of a beginning that is dense enough."""
+    size = max(1, len(kinds))
+    pair, times = np.unique(text * np.int64(size) + at, return_counts=True)
+    text, at = pair // size, pair % size
+    strength = np.where(whole(kinds[at]), times, times * DENSE / np.maximum(words[text], 1)) if len(at) else times.astype(float)
+    keep = strength >= 1
+    return text[keep], at[keep], 1 + np.log(strength[keep])
 
 
 def hashes_of(words: str) -> np.ndarray:
     data, ends = text_arrays(pa.array(words.split()))
-    return Hasher(LOWER[data])(ends[:-1], ends[1:]) ^ WHOLE
+    return (Hasher(LOWER[data])(ends[:-1], ends[1:]) ^ WHOLE) | np.uint64(1)
 
 
 @dataclass
@@ -59,50 +78,48 @@ class Lexicon:
         self.table[self.known & np.uint64((1 << 20) - 1)] = True
 
     def hits(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, entry, times) of the entries that occur."""
-        text, h = entries(data, ends)
+        """(text, entry, strength) of the entries that occur."""
+        text, h, words = entries(data, ends)
         may = self.table[h & np.uint64((1 << 20) - 1)]
         text, h = text[may], h[may]
         at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
         sure = self.known[at] == h if len(self.known) else np.zeros(0, bool)
-        pair, times = np.unique(text[sure] * len(self.known) + at[sure], return_counts=True)
-        return pair // max(1, len(self.known)), pair % max(1, len(self.known)), times
+        return counted(text[sure], at[sure], self.known, words)
 
 
 def find_entries(data: np.ndarray, ends: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the entries that mark toxic documents best, best first, and their log odds."""
-    text, h = entries(data, ends)
+    text, h, words = entries(data, ends)
     kinds, at = np.unique(h, return_inverse=True)
-    pair = np.unique(text * np.int64(len(kinds)) + at)
-    text, at = pair // max(1, len(kinds)), pair % max(1, len(kinds))
+    text, at, _ = counted(text, at, kinds, words)
     n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
     in1 = np.bincount(at[toxic[text]], minlength=len(kinds))
     in0 = np.bincount(at[~toxic[text]], minlength=len(kinds))
     odds = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
     sure = odds - 1.64 * np.sqrt(1 / (in1 + 0.5) + 1 / (in0 + 0.5))  # a lower bound: rare entries must be purer
-    good = np.flatnonzero((in1 >= SUPPORT) & (sure > 1))
+    good = np.flatnonzero((in1 >= max(SUPPORT, SUPPORT_SHARE * n1)) & (sure > 1))
     good = good[np.argsort(-sure[good], kind="stable")][:ENTRIES]
     return kinds[good], odds[good]
 
 
 def votes(data: np.ndarray, ends: np.ndarray, lexicon: Lexicon, voter_of: np.ndarray) -> np.ndarray:
-    """[texts, voters] of 0 and 1: dealt lexicons, one list of insults a language, and patterns."""
+    """[texts, voters] of 0 and 1: single entries, dealt lexicons, one list of insults a language, and patterns."""
     n = len(ends) - 1
-    text, entry, times = lexicon.hits(data, ends)
-    out = np.zeros((n, LEXICONS + len(INSULTS) + 4), np.int8)
+    text, entry, strength = lexicon.hits(data, ends)
+    lists = ALONE + LEXICONS
+    out = np.zeros((n, lists + len(INSULTS) + 3), np.int8)
     out[text, voter_of[entry]] = 1
     for j, words in enumerate(INSULTS.values()):
         t, _, _ = Lexicon(np.sort(hashes_of(words))).hits(data, ends)
-        out[t, LEXICONS + j] = 1
-    kinds, total = np.bincount(text, minlength=n), np.bincount(text, times, n)
+        out[t, lists + j] = 1
+    kinds, total = np.bincount(text, minlength=n), np.bincount(text, strength, n)
     size = np.maximum(np.diff(ends), 1)
     shout = np.zeros(len(data) + 1, np.int64)
     np.cumsum(data == 33, out=shout[1:])
-    base = LEXICONS + len(INSULTS)
+    base = lists + len(INSULTS)
     out[:, base] = kinds >= 2
     out[:, base + 1] = total >= 4
-    out[:, base + 2] = 1000 * total >= size
-    out[:, base + 3] = 200 * (shout[ends[1:]] - shout[ends[:-1]]) >= size
+    out[:, base + 2] = 200 * (shout[ends[1:]] - shout[ends[:-1]]) >= size
     return out
 
 
@@ -166,8 +183,8 @@ class Classifier:
     base: float
 
     def score(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        text, entry, times = self.lexicon.hits(data, ends)
-        s = np.bincount(text, self.weights[entry] * (1 + np.log(times)), len(ends) - 1) + self.offset if len(self.weights) else np.full(len(ends) - 1, self.offset)
+        text, entry, strength = self.lexicon.hits(data, ends)
+        s = np.bincount(text, self.weights[entry] * strength, len(ends) - 1) + self.offset if len(self.weights) else np.full(len(ends) - 1, self.offset)
         return 1 / (1 + np.exp(-np.clip(self.slope * s + self.base, -30, 30)))
 
 
@@ -177,19 +194,21 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Classifier:
     if not toxic.any() or toxic.all():
         p = (toxic.sum() + 1) / (len(toxic) + 2) if len(toxic) else 0.5
         return Classifier(Lexicon(np.zeros(0, np.uint64)), np.zeros(0), 0.0, 0.0, float(np.log(p / (1 - p))))
-    known, _ = find_entries(data, ends, toxic)
-    known = np.unique(np.r_[known, *[hashes_of(w) for w in INSULTS.values()]])
-    # dealt by hash order, so that every lexicon has entries of all kinds and languages
-    lexicon, voter_of = Lexicon(known), np.arange(len(known)) % LEXICONS
+    best, _ = find_entries(data, ends, toxic)
+    known = np.unique(np.r_[best, *[hashes_of(w) for w in INSULTS.values()]])
+    lexicon = Lexicon(known)
+    # the rest is dealt by hash order, so that every lexicon has entries of all kinds and languages
+    voter_of = ALONE + np.arange(len(known)) % LEXICONS
+    voter_of[np.searchsorted(known, best[:ALONE])] = np.arange(len(best[:ALONE]))
     posterior = label_model(votes(data, ends, lexicon, voter_of), float(toxic.mean()))
-    text, entry, times = lexicon.hits(data, ends)
-    x, n = 1 + np.log(times), len(texts)
+    text, entry, x = lexicon.hits(data, ends)
+    n = len(texts)
     w, b = np.zeros(len(known)), float(np.log(toxic.mean() / (1 - toxic.mean())))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, 301):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(text, w[entry] * x, n) + b, -30, 30)))
         r = posterior - p
-        g = np.r_[np.bincount(entry, r[text] * x, len(w)) / n - 2e-4 * w, r.mean()]
+        g = np.r_[np.bincount(entry, r[text] * x, len(w)) / n - 5e-5 * w, r.mean()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, b = w + move[:-1], b + move[-1]

@@ -32,6 +32,12 @@ def op5_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op6_decontaminate(spark, sf_dir):
+    from .decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_langid(spark, sf_dir):
     from .langid import language_id
 
@@ -50,6 +56,6 @@ def op10_warc(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages"), 0).drop("payload")
 
 
-QUERIES = {"op1_lines": op1_lines, "op2_toxicity": op2_toxicity, "op3_rules": op3_rules, "op5_mixing": op5_mixing, "op7_langid": op7_langid, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
+QUERIES = {"op1_lines": op1_lines, "op2_toxicity": op2_toxicity, "op3_rules": op3_rules, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op7_langid": op7_langid, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
 
 ORACLES: dict[str, str] = {}

@@ -37,7 +37,7 @@ def tokens(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def step_bits(symbol: np.ndarray, walk: int, step: int) -> np.ndarray:
     """Whether the walk moves on after writing symbol: a random function of symbol for each step."""
     salt = np.uint64((walk * 0x9E3779B97F4A7C15 + (step + 1) * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF)
-    return ((symbol ^ salt) * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(63)
+    return ((symbol ^ salt) * np.uint64(0xFF51AFD7ED558CCD)) >= np.uint64(1 << 63)
 
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -56,19 +56,22 @@ class Walk:
     item: np.ndarray  # of each last key
     offset: np.ndarray  # word of the item where the walk began
 
-    def find(self, words: np.ndarray, bound: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, row of the last keys) of the walks that agree with an item in every sample."""
-        place, key, done = start.copy(), None, 0
+    def find(self, words: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, row of the last keys) of the walks that agree with an item in every sample.
+
+        A walk may run on into the next text: that adds candidates, which verification removes.
+        """
+        last = np.int32(len(words) - 1)
+        place, start, key, done = start.astype(np.int32), start.astype(np.int32), None, 0
         for i, at in enumerate(self.at):
             for step in range(done, at):
-                inside = place < bound[start]
-                symbol = np.where(inside, words[np.minimum(place, len(words) - 1)], np.uint64(0))
-                place = place + step_bits(symbol, self.seed, step).astype(np.int64)
+                place += step_bits(words, self.seed, step).view(np.int8)[np.minimum(place, last)]
             done = at
-            symbol = np.where(place < bound[start], words[np.minimum(place, len(words) - 1)], np.uint64(0))
+            symbol = words[np.minimum(place, last)]
             key = symbol if key is None else pair(key, symbol)
             hit = self.bits[i][key & np.uint64(0xFFFF)]
             start, place, key = start[hit], place[hit], key[hit]
+        start = start.astype(np.int64)
         lo, hi = np.searchsorted(self.stages[-1], key, "left"), np.searchsorted(self.stages[-1], key, "right")
         n = hi - lo
         row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -121,13 +124,15 @@ class Index:
             walks.append(self.walk(some, cover, len(self.walks) * 1000 + cover * 64 + len(walks)))
             for t, (i, w) in enumerate(trials):
                 if not found[t] and len(w):
-                    _, row = walks[-1].find(w, np.full(len(w), len(w)), np.arange(len(w)))
+                    _, row = walks[-1].find(w, np.arange(len(w)))
                     found[t] = bool((walks[-1].item[row] == i).any())
         return walks
 
     def walk(self, some: np.ndarray, cover: int, seed: int) -> Walk:
         rng = np.random.default_rng(seed)
-        at = sorted(rng.choice(max(2 * cover, 1), min(SAMPLES, 2 * cover), replace=False).tolist())
+        # the first sample is early in the walk: it rules most places out before they walk far
+        early = min(4, 2 * cover - 1)
+        at = [int(rng.integers(early)), *sorted((early + rng.choice(2 * cover - early, min(SAMPLES - 1, 2 * cover - early), replace=False)).tolist())]
         rows = [(*keys_of(self.items[i][o:], seed, at), int(i), o) for i in some for o in self.parts(int(i), cover)]
         last = sorted(range(len(rows)), key=lambda r: rows[r][len(at) - 1])
         stages = [np.unique(np.array([r[k] for r in rows], np.uint64)) for k in range(len(at) - 1)]
@@ -146,10 +151,9 @@ class Index:
         if not len(words) or not self.walks:
             return empty
         text_of = np.repeat(np.arange(len(ends) - 1), np.diff(bounds))
-        bound = bounds[1:][text_of]
         got = []
         for walk in self.walks:
-            start, row = walk.find(words, bound, np.arange(len(words)))
+            start, row = walk.find(words, np.arange(len(words)))
             got.append((start - walk.offset[row], walk.item[row], text_of[start]))
         begin, item, text = (np.concatenate(x) for x in zip(*got, strict=True))
         if not len(begin):
@@ -180,6 +184,13 @@ class Index:
         place = begin[:, None] + np.arange(width)
         inside = (place >= bounds[text][:, None]) & (place < bounds[text + 1][:, None])
         near = np.where(inside, words[np.clip(place, 0, len(words) - 1)], np.uint64(0))
+        # a leak keeps all but `most` of the item's words
+        table = np.zeros(1 << 16, bool)
+        table[item & np.uint64(0xFFFF)] = True
+        may = table[near & np.uint64(0xFFFF)].sum(1) >= len(item) - most
+        rows, text, begin, near = rows[may], text[may], begin[may], near[may]
+        if not len(rows):
+            return np.zeros((0, 5), np.int64)
         columns = np.arange(width + 1)
         cell = np.broadcast_to(columns, (len(rows), width + 1)).astype(np.int64)
         for w in item:

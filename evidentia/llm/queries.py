@@ -26,6 +26,12 @@ def op3_rules(spark, sf_dir):
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op4_suffixes(spark, sf_dir):
+    from .suffixes import exact_repeats
+
+    return exact_repeats(table(spark, sf_dir, "documents"), 100)
+
+
 def op5_mixing(spark, sf_dir):
     from .mixing import mix
 
@@ -56,6 +62,6 @@ def op10_warc(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages"), 0).drop("payload")
 
 
-QUERIES = {"op1_lines": op1_lines, "op2_toxicity": op2_toxicity, "op3_rules": op3_rules, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op7_langid": op7_langid, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
+QUERIES = {"op1_lines": op1_lines, "op2_toxicity": op2_toxicity, "op3_rules": op3_rules, "op4_suffixes": op4_suffixes, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op7_langid": op7_langid, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
 
 ORACLES: dict[str, str] = {}

@@ -50,6 +50,12 @@ def op7_langid(spark, sf_dir):
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op8_passages(spark, sf_dir):
+    from .passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark, sf_dir):
     from .simhash import hex16, near_components
 
@@ -62,6 +68,6 @@ def op10_warc(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages"), 0).drop("payload")
 
 
-QUERIES = {"op1_lines": op1_lines, "op2_toxicity": op2_toxicity, "op3_rules": op3_rules, "op4_suffixes": op4_suffixes, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op7_langid": op7_langid, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
+QUERIES = {"op1_lines": op1_lines, "op2_toxicity": op2_toxicity, "op3_rules": op3_rules, "op4_suffixes": op4_suffixes, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op7_langid": op7_langid, "op8_passages": op8_passages, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
 
 ORACLES: dict[str, str] = {}

@@ -2,9 +2,74 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from ..operators import fragments, repair
+from ..sources.tables import raster, table
+from ..streaming import progress
+from .book import PLANS, for_duckdb, on_spark
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: on_spark(sql) for name, sql in PLANS.items()}
+ORACLES: dict[str, str] = {name: for_duckdb(sql) for name, sql in PLANS.items()}
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures dealt out evenly: the kernels behind cost far more than moving them."""
+    return repair.pack(raster(table(spark, sf_dir, "embeddings"))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image_id")
+
+
+def damage_kernel_all(spark, sf_dir):
+    return repair.corrupt(pictures(spark, sf_dir)).select("image_id", "kind", "touched", F.sha2("data", 256).alias("sha256"))
+
+
+def repair_kernel_best(spark, sf_dir):
+    return repair.best(repair.repair(repair.corrupt(pictures(spark, sf_dir), ["rectangle_mask"]))).drop("data")
+
+
+def repair_kernel_blind(spark, sf_dir):
+    return repair.best(repair.repair(repair.corrupt(pictures(spark, sf_dir), ["scratch_lines"]), supervised=False)).select("image_id", "kind", "strategy", "score")
+
+
+def perceptual_hashes(spark, sf_dir):
+    return repair.hashes(pictures(spark, sf_dir))
+
+
+def mask_regions(spark, sf_dir):
+    return repair.regions(repair.corrupt(pictures(spark, sf_dir), ["block_dropout"]))
+
+
+def detect_components(spark, sf_dir):
+    return repair.detections(pictures(spark, sf_dir))
+
+
+def fragment_greedy_chain(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("dump_id"), F.encode("text", "UTF-8").alias("b"))
+    size = F.greatest(F.lit(1), F.ceil(F.octet_length("b") / 6).cast("int"))
+    cut = docs.select("dump_id", "b", size.alias("size"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("idx"))
+    cut = cut.select("dump_id", F.col("idx").cast("long"), (F.col("idx") * F.col("size")).cast("long").alias("off"), F.substring("b", F.col("idx") * F.col("size") + 1, F.col("size")).alias("data"))
+    return fragments.greedy_chain(cut.where("octet_length(data) > 0"))
+
+
+def dbscan_labels(spark, sf_dir):
+    return fragments.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def stream_progress_counts(spark, sf_dir):
+    return progress.drained(progress.counts(progress.event_stream(spark, sf_dir)), f"counts_{uuid.uuid4().hex}", "complete")
+
+
+def stream_hourly(spark, sf_dir):
+    return progress.drained(progress.hourly(progress.event_stream(spark, sf_dir)), f"hourly_{uuid.uuid4().hex}", "update")
+
+
+def stream_throttle(spark, sf_dir):
+    return progress.drained(progress.throttled(progress.event_stream(spark, sf_dir)), f"throttle_{uuid.uuid4().hex}", "append")
+
+
+QUERIES |= {f.__name__: f for f in (damage_kernel_all, repair_kernel_best, repair_kernel_blind, perceptual_hashes, mask_regions, detect_components, fragment_greedy_chain, dbscan_labels, stream_progress_counts, stream_hourly, stream_throttle)}
+ORACLES["stream_progress_counts"] = "SELECT user_id, count(*) AS completed, max(value) AS best, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id"
+ORACLES["stream_hourly"] = "SELECT date_trunc('hour', ts) AS hour_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"

@@ -17,7 +17,7 @@ from .textbytes import LETTER, LOWER, Hasher, owner, spans
 #: Labelled documents used at most (of smallest hash), none longer than so many bytes.
 FIT_DOCS, FIT_TEXT_BYTES = 8000, 1 << 17
 #: Lexicon entries found at most, toxic documents an entry must be in (and their share), lexicons they are dealt to.
-ENTRIES, SUPPORT, SUPPORT_SHARE, LEXICONS = 1024, 4, 0.03, 24
+ENTRIES, SUPPORT, SUPPORT_SHARE, LEXICONS = 1024, 3, 0.03, 24
 #: Besides whole words, beginnings of words of so many bytes are entries.
 PREFIXES = (4, 5, 6, 7)
 WHOLE = np.uint64(0x5BD1E9955BD1E995)

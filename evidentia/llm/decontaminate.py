@@ -205,6 +205,29 @@ class Index:
         return np.stack([text, np.full(len(rows), i), base + start, base + stop, distance], 1)[good]
 
 
+def indexes(items: DataFrame) -> Iterator:
+    """Broadcast indexes of the items, BLOCK_BYTES of text each."""
+    items = items.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    blocks = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES
+    for b in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").toArrow()
+        yield items.sparkSession.sparkContext.broadcast(Index(block["item_id"].to_pylist(), block["text"].combine_chunks()))
+
+
+def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs, all columns, without the documents in which an item occurs. Rows are judged where they lie: nothing is shuffled."""
+    for shared in indexes(items):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch, data, ends in chunks(batches, "text"):
+                keep = np.ones(batch.num_rows, bool)
+                keep[shared.value.leaks(data, ends)[0]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row a document and benchmark item whose words occur in it with few edits: doc_id, item_id, start_word, stop_word, distance, n_words.
 
@@ -213,15 +236,10 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     broadcast. Items and texts without words, null ones too, match nothing; a null doc_id or item_id is kept as it is (items: -1).
     Equal items are found each; of several windows the nearest, then the first, is reported.
     """
-    items = items.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + total // BLOCK_BYTES
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, item_id long, start_word long, stop_word long, distance long, n_words long"
     out = None
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").toArrow()
-        shared = docs.sparkSession.sparkContext.broadcast(Index(block["item_id"].to_pylist(), block["text"].combine_chunks()))
+    for shared in indexes(items):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value

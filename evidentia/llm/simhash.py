@@ -297,7 +297,7 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes:
                 b = batch.slice(i, 256)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, width) for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["id", "shingles"])
 
-    own = settle(texts.join(ends, "id", "left_semi").mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "shingles")
+    own = settle(texts.join(ends.hint("merge"), "id", "left_semi").mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,3 +314,10 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes:
     of = linked(pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
     first = firsts.join(of.select(F.col("node").alias("id"), "root"), "id", "left").select("h", "g", F.coalesce("root", "id").alias("keeper"))
     return keyed.select("id", "h", "g").join(first, ["h", "g"]).where("id <> keeper").select(F.col("id").alias("doc_id"), "keeper")
+
+
+def without_copies(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the doc_ids of gone; of rows that repeat a doc_id one stays, rows without one stay all."""
+    own = docs.withColumn("__row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    left = own.join(gone.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")
+    return left.dropDuplicates(["doc_id", "__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])

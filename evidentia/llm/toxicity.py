@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fold, text_arrays
+from .common import CHUNK_BYTES, chunks, fold, text_arrays
 from .lines import labelled, logistic
 from .textbytes import LETTER, LOWER, Hasher, owner, spans
 
@@ -25,6 +25,8 @@ WHOLE = np.uint64(0x5BD1E9955BD1E995)
 DENSE = 350
 #: The surest entries vote alone, so many of them; the others vote in lexicons.
 ALONE = 32
+#: Parts of the hashes that are counted one after the other while fitting.
+PASSES = 4
 
 # Common insults.
 INSULTS = {
@@ -87,14 +89,44 @@ class Lexicon:
         return counted(text[sure], at[sure], self.known, words)
 
 
+def slices(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Whole texts of about CHUNK_BYTES at a time, so that fitting needs no more memory than scoring."""
+    start, n = 0, len(ends) - 1
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + CHUNK_BYTES, "right")) - 1)
+        yield slice(start, stop), data[ends[start] : ends[stop]], ends[start : stop + 1] - ends[start]
+        start = stop
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by hash."""
+    kinds, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    out = np.zeros((len(kinds), 2))
+    np.add.at(out, at, np.concatenate([c for _, c in parts]))
+    return kinds, out
+
+
+def entries_met(data: np.ndarray, ends: np.ndarray, toxic: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of one part of the hashes that SUPPORT toxic texts hold, and how many clean and toxic texts do."""
+    kinds, inside = np.zeros(0, np.uint64), np.zeros((0, 2))
+    for rows, part, bounds in slices(data, ends):
+        text, h, words = entries(part, bounds)
+        mine = (h >> np.uint64(20)) % np.uint64(PASSES) == p
+        text, h = text[mine], h[mine]
+        own, at = np.unique(h, return_inverse=True)
+        text, at, _ = counted(text, at, own, words)
+        bad = toxic[rows][text]
+        kinds, inside = merged([(kinds, inside), (own, np.stack([np.bincount(at[~bad], minlength=len(own)), np.bincount(at[bad], minlength=len(own))], 1).astype(float))])
+    often = inside[:, 1] >= SUPPORT
+    return kinds[often], inside[often]
+
+
 def find_entries(data: np.ndarray, ends: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the entries that mark toxic documents best, best first, and their log odds."""
-    text, h, words = entries(data, ends)
-    kinds, at = np.unique(h, return_inverse=True)
-    text, at, _ = counted(text, at, kinds, words)
+    passes = [entries_met(data, ends, toxic, p) for p in range(PASSES)]
+    kinds, inside = (np.concatenate(x) for x in zip(*passes, strict=True))
     n1, n0 = max(1, toxic.sum()), max(1, (~toxic).sum())
-    in1 = np.bincount(at[toxic[text]], minlength=len(kinds))
-    in0 = np.bincount(at[~toxic[text]], minlength=len(kinds))
+    in0, in1 = inside.T
     odds = np.log((in1 + 0.5) / (n1 + 1)) - np.log((in0 + 0.5) / (n0 + 1))
     sure = odds - 1.64 * np.sqrt(1 / (in1 + 0.5) + 1 / (in0 + 0.5))  # a lower bound: rare entries must be purer
     good = np.flatnonzero((in1 >= max(SUPPORT, SUPPORT_SHARE * n1)) & (sure > 1))
@@ -200,8 +232,10 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> Classifier:
     # the rest is dealt by hash order, so that every lexicon has entries of all kinds and languages
     voter_of = ALONE + np.arange(len(known)) % LEXICONS
     voter_of[np.searchsorted(known, best[:ALONE])] = np.arange(len(best[:ALONE]))
-    posterior = label_model(votes(data, ends, lexicon, voter_of), float(toxic.mean()))
-    text, entry, x = lexicon.hits(data, ends)
+    parts = list(slices(data, ends))
+    posterior = label_model(np.concatenate([votes(d, e, lexicon, voter_of) for _, d, e in parts]), float(toxic.mean()))
+    found = [(rows.start + t, i, x) for rows, d, e in parts for t, i, x in [lexicon.hits(d, e)]]
+    text, entry, x = (np.concatenate(c) for c in zip(*found, strict=True))
     n = len(texts)
     w, b = np.zeros(len(known)), float(np.log(toxic.mean() / (1 - toxic.mean())))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)

@@ -70,4 +70,19 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {"op1_lines": op1_lines, "op2_toxicity": op2_toxicity, "op3_rules": op3_rules, "op4_suffixes": op4_suffixes, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op7_langid": op7_langid, "op8_passages": op8_passages, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
 
-ORACLES: dict[str, str] = {}
+#: Learned models, XXH64 fingerprints, Pareto ranks, similar passages and edit distances have no SQL; tests/llm holds
+#: these against brute force or held-out labels.
+ORACLES: dict[str, str] = {
+    "op4_suffixes": """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM t WHERE length(h) >= 200) q),
+g AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS n FROM w) q WHERE n > 1),
+i AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM g),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM i) q GROUP BY doc_id, k),
+e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM r),
+k AS (SELECT e.doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM e JOIN t ON e.doc_id = t.doc_id GROUP BY e.doc_id)
+SELECT t.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM t LEFT JOIN k ON t.doc_id = k.doc_id""",
+    "op10_warc": """SELECT page_id, strlen(body) AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, (i // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM (SELECT page_id, body, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS first FROM (SELECT page_id, coalesce(html, '') AS body FROM pages) a) b""",
+}

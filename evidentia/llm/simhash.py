@@ -178,29 +178,42 @@ def hex16(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-# ---- near copies by several fingerprints of a document's words, verified on shingles ----
+# ---- near copies by bands of min-hashes of shingles, verified on whole sets ----
 
+#: Bands of min-hashes and min-hashes of a band: at similarity 0.8 all but 2 pairs in 10,000 agree on a band.
+BANDS, ROWS = 16, 4
+#: Of the BANDS * ROWS bytes of two sketches so many agree at least, at similarity 0.8 in all but some 5 of a million pairs.
+LEAST_EQUAL = 36
 
-def word_codes(data: np.ndarray, ends: np.ndarray, lanes: int) -> np.ndarray:
-    """[texts, lanes] fingerprints of the distinct words (A-Z lower-cased), each lane with a hash of its own."""
+
+def signatures(data: np.ndarray, ends: np.ndarray, width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts that have a word, and [those, size] min-hashes of their shingles (A-Z lower-cased; fewer words than width are one)."""
     start, stop = spans(~SPACE[data], ends)
-    text, word = owner(ends, start), Hasher(LOWER[data])(start, stop)
-    order = np.lexsort((word, text))
-    text, word = text[order], word[order]
-    new = np.ones(len(word), bool)
-    new[1:] = (text[1:] != text[:-1]) | (word[1:] != word[:-1])
-    text, word = text[new], word[new]
-    first = np.searchsorted(text, np.arange(len(ends) - 1))
-    some = np.flatnonzero(np.diff(np.r_[first, len(text)]))
-    out = np.zeros((len(ends) - 1, lanes), np.uint64)
-    size = np.diff(np.r_[first, len(text)])[some]
-    for k in range(lanes):
-        if len(some):
-            h = mixed(word * np.uint64(2 * 0x1B873593CC9E2D51 * (k + 1) + 1 & 0xFFFFFFFFFFFFFFFF))
-            bits = np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64)
-            ones = np.add.reduceat(bits, first[some], axis=0, dtype=np.int32)
-            out[some, k] = np.packbits(2 * ones > size[:, None], axis=1).view(">u8")[:, 0]
-    return out
+    text, words = owner(ends, start), Hasher(LOWER[data])(start, stop)
+    token, n = words.copy(), len(words)
+    for i in range(1, min(width, n)):
+        token[: n - i] = np.where(text[i:] == text[: n - i], token[: n - i] * np.uint64(0x9E3779B97F4A7C15) + words[i:], token[: n - i])
+    token = mixed(token)
+    first = np.searchsorted(text, np.arange(len(ends)))
+    whole = np.arange(n) - first[text] < np.maximum(1, np.diff(first)[text] - width + 1)
+    token, text = token[whole], text[whole]
+    some, first = np.unique(text, return_index=True)
+    out = np.zeros((len(some), size), np.uint64)
+    for k in range(size if len(some) else 0):
+        out[:, k] = np.minimum.reduceat(mixed(token ^ np.uint64(0xA24BAED4963EE407 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF)), first)
+    return some, out
+
+
+def band_buckets(mins: np.ndarray) -> np.ndarray:
+    """[texts, BANDS] keys, equal where all min-hashes of a band are; a key modulo BANDS is its band."""
+    out = np.zeros((len(mins), BANDS), np.uint64)
+    for k in range(ROWS):
+        out = mixed(out * np.uint64(0x9FB21C651E98DF25) + mins[:, k::ROWS])
+    return out // np.uint64(BANDS) * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)
+
+
+def sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
 
 
 def shingle_set(text: bytes, width: int) -> bytes:
@@ -210,65 +223,46 @@ def shingle_set(text: bytes, width: int) -> bytes:
     return np.unique(np.array(h, np.uint32)).tobytes()
 
 
-def spokes(batches: Iterator[pa.RecordBatch], radius: int, at_once: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, code, id) sorted by bucket and code -> candidate links (a, b), at most three a row.
+def band_links(batches: Iterator[pa.RecordBatch], at_once: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, id, sketch) sorted by bucket -> candidate links (a, b) of each row to its bucket's first and next, by sketch."""
 
-    In each component of a bucket every row is linked to the row with most neighbours and to the next in Gray order;
-    rows of one code form a chain. So links grow with the rows, not with their pairs.
-    """
-
-    def emit(bucket: np.ndarray, code: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        new = np.ones(len(code), bool)
-        new[1:] = (bucket[1:] != bucket[:-1]) | (code[1:] != code[:-1])
-        a, b = [ids[1:][~new[1:]]], [ids[:-1][~new[1:]]]
-        index = GrayIndex(code[new].view(np.uint64), bucket[new])
-        own, n = ids[new][index.order], int(new.sum())
-        degree, pairs = np.zeros(n, np.int64), []
-
-        def counted():
-            for x, y in index.links(radius):
-                degree[:] += np.bincount(x, minlength=n) + np.bincount(y, minlength=n) if len(x) * 20 > n else 0
-                if len(x) * 20 <= n:
-                    np.add.at(degree, x, 1)
-                    np.add.at(degree, y, 1)
-                yield x, y
-
-        root = forest(n, counted())
-        far = np.flatnonzero(degree)
-        by = far[np.lexsort((far, -degree[far], root[far]))]
-        start = np.ones(len(by), bool)
-        start[1:] = root[by][1:] != root[by][:-1]
-        hub = by[np.maximum.accumulate(np.where(start, np.arange(len(by)), 0))] if len(by) else by
-        a.append(own[by][hub != by])
-        b.append(own[hub][hub != by])
-        line = far[np.lexsort((far, root[far]))]
-        near = root[line][1:] == root[line][:-1]
-        a.append(own[line[1:][near]])
-        b.append(own[line[:-1][near]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+    def emit(bucket: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        band = (bucket.view(np.uint64) % np.uint64(BANDS)).astype(np.int64)
+        other = np.take_along_axis(sketch, ((band + 1)[:, None] * ROWS + np.arange(8)) % (BANDS * ROWS), 1)  # of the bands behind
+        order = np.lexsort((ids, np.ascontiguousarray(other).view(np.uint64)[:, 0], bucket))
+        bucket, ids, sketch = bucket[order], ids[order], sketch[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = bucket[1:] != bucket[:-1]
+        x = np.flatnonzero(~new)
+        first = np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))[x]
+        x, y = np.r_[x, x], np.r_[first, x - 1]
+        near = (sketch[x] == sketch[y]).sum(1) >= LEAST_EQUAL
+        return pa.RecordBatch.from_arrays([pa.array(ids[x[near]]), pa.array(ids[y[near]])], ["a", "b"])
 
     held: list[list[np.ndarray]] = []
     n = 0
     for batch in batches:
-        held.append([batch.column(i).to_numpy() for i in range(3)])
+        if not batch.num_rows:
+            continue
+        held.append([batch.column(0).to_numpy(), batch.column(1).to_numpy(), sketches(batch.column(2))])
         n += batch.num_rows
         if n >= at_once:
-            bucket, code, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket, ids, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = int(np.searchsorted(bucket, bucket[-1]))
             if cut:
-                yield emit(bucket[:cut], code[:cut], ids[:cut])
-            held, n = [[bucket[cut:], code[cut:], ids[cut:]]], len(bucket) - cut
+                yield emit(bucket[:cut], ids[:cut], sketch[:cut])
+            held, n = [[bucket[cut:], ids[cut:], sketch[cut:]]], len(bucket) - cut
     if n:
         yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes: int = 8, radius: int = 3) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, keeper) of every document that isn't its group's keeper (smallest doc_id).
 
     Documents are linked if their texts are equal or their sets of `width`-word shingles have a Jaccard similarity of
-    `similarity` or more. Candidates are documents whose fingerprints of words differ in `radius` bits or fewer in one
-    of `lanes` (at similarity 0.8 some 97 % of pairs do); every candidate is verified on whole shingle sets. Null doc_ids
-    and null texts take no part.
+    `similarity` or more. Candidates agree on all min-hashes of one of BANDS, which depends on that similarity alone and
+    not on where the texts differ; every candidate is verified on whole shingle sets. Null doc_ids and null texts take
+    no part.
     """
     n = parts(docs.sparkSession)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
@@ -277,19 +271,14 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, ends in chunks(batches, "text"):
-            codes = word_codes(data, ends, lanes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.FixedSizeListArray.from_arrays(pa.array(codes.ravel()), lanes).cast(pa.list_(pa.int64()))], ["id", "h", "g", "codes"])
+            some, mins = signatures(data, ends, width, BANDS * ROWS)
+            buckets = pa.FixedSizeListArray.from_arrays(pa.array(band_buckets(mins).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
+            sketch = pa.array([x.tobytes() for x in mins.astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(some)) for i in range(3)], buckets, sketch], ["id", "h", "g", "buckets", "sketch"])
 
-    coded = keyed.select("id", "h", "g", "text").mapInArrow(code, "id long, h long, g int, codes array<long>")
-    coded = settle(coded.join(firsts, ["id", "h", "g"], "left_semi").dropDuplicates(["id"]).select("id", "codes"), "codes")
-    blocks = radius + 1
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    rows = coded.select("id", F.posexplode("codes").alias("lane", "code"))
-    rows = rows.select("id", "lane", "code", F.posexplode(F.array(*[F.shiftrightunsigned("code", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(cuts, cuts[1:], strict=False)])).alias("block", "value"))
-    rows = rows.select(((F.col("value") * blocks + F.col("block")) * lanes + F.col("lane")).alias("bucket"), "code", "id")
-    candidates = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "code").mapInArrow(lambda it: spokes(it, radius), "a long, b long")
-    candidates = settle(candidates.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
-    ends = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
+    coded = keyed.select("id", "h", "g", "text").mapInArrow(code, "id long, h long, g int, buckets array<long>, sketch binary")
+    coded = settle(coded.join(firsts, ["id", "h", "g"], "left_semi").dropDuplicates(["id"]).select("id", "buckets", "sketch"), "codes")
+    rows = coded.select(F.explode("buckets").alias("bucket"), "id", "sketch")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,8 +286,6 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes:
                 b = batch.slice(i, 256)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, width) for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["id", "shingles"])
 
-    own = settle(texts.join(ends.hint("merge"), "id", "left_semi").mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "shingles")
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
@@ -310,8 +297,14 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8, lanes:
                     good.append(both >= similarity * (len(x) + len(y) - both) and len(x) + len(y) > 0)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    pairs = candidates.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    of = linked(pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+    def verified(links: DataFrame) -> DataFrame:
+        candidates = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
+        ends = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
+        own = settle(texts.join(ends.hint("merge"), "id", "left_semi").mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "shingles")
+        pairs = candidates.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        return settle(pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "verified")
+
+    of = linked(verified(rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(band_links, "a long, b long")))
     first = firsts.join(of.select(F.col("node").alias("id"), "root"), "id", "left").select("h", "g", F.coalesce("root", "id").alias("keeper"))
     return keyed.select("id", "h", "g").join(first, ["h", "g"]).where("id <> keeper").select(F.col("id").alias("doc_id"), "keeper")
 

@@ -303,3 +303,22 @@ def test_near_copies_equal_brute_force(spark, docs):
     got = {r["doc_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     want = {i for i in root if root[i] != i}
     assert len(want - got) <= 0.04 * len(want) and not got - want
+
+
+def test_near_copies_with_one_edited_stretch_are_found(spark, docs):
+    rng = random.Random(9)
+    base = [w for r in docs.collect() if r["text"] for w in [r["text"].split()] if 120 <= len(w) <= 300 and len({tuple(w[k : k + 5]) for k in range(len(w) - 4)}) == len(w) - 4][:60]
+    base = [[f"t{i}x{w}" if k % 9 == 0 else w for k, w in enumerate(ws)] for i, ws in enumerate(base)]
+    new = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    edits = [lambda w: w[: -(len(w) * 15 // 100)], lambda w: w + new(len(w) // 5), lambda w: w[: -(len(w) * 9 // 100)] + new(len(w) * 9 // 100)]
+    rows, want = [], set()
+    for i, w in enumerate(base):
+        rows.append((i, " ".join(w)))
+        for j, e in enumerate(edits):
+            v = e(w)
+            x, y = ({tuple(u[k : k + 5]) for k in range(len(u) - 4)} for u in (w, v))
+            if len(x & y) >= 0.8 * len(x | y):
+                rows.append((1000 * (j + 1) + i, " ".join(v)))
+                want.add(1000 * (j + 1) + i)
+    got = {r["doc_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(want) > 100 and len(want - got) <= 0.01 * len(want)

@@ -184,6 +184,8 @@ def hex16(fp):
 BANDS, ROWS = 16, 4
 #: Of the BANDS * ROWS bytes of two sketches so many agree at least, at similarity 0.8 in all but some 5 of a million pairs.
 LEAST_EQUAL = 36
+#: Rows of a crowded bucket that are compared with each other, or with as many others, at a time.
+TILE = 1024
 
 
 def signatures(data: np.ndarray, ends: np.ndarray, width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -256,13 +258,48 @@ def band_links(batches: Iterator[pa.RecordBatch], at_once: int = 200_000) -> Ite
         yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def crowd_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, p, q, tile, id, root, sketch) sorted by bucket, p, q -> all links of tile p to tile q that join two roots, by sketch."""
+
+    def emit(p: int, q: int, tile: np.ndarray, ids: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        mine, theirs = np.flatnonzero(tile == p), np.flatnonzero(tile == q)
+        step = max(1, (1 << 16) // max(1, len(theirs)))
+        for i in range(0, len(mine), step):
+            x = mine[i : i + step]
+            odd = root[x][:, None] != root[theirs]
+            if p == q:
+                odd &= x[:, None] < theirs
+            x_at, y_at = np.nonzero(odd)
+            x, y = x[x_at], theirs[y_at]
+            near = (sketch[x] == sketch[y]).sum(1) >= LEAST_EQUAL
+            if near.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[x[near]]), pa.array(ids[y[near]])], ["a", "b"])
+
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+        rows = [batch.column(i).to_numpy() for i in range(3, 6)] + [sketches(batch.column(6))]
+        edge = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(key)]
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            now = tuple(key[a].tolist())
+            if now != last and held:
+                yield from emit(last[1], last[2], *(np.concatenate(x) for x in zip(*held, strict=True)))
+                held = []
+            last = now
+            held.append([x[a:b] for x in rows])
+    if held:
+        yield from emit(last[1], last[2], *(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, keeper) of every document that isn't its group's keeper (smallest doc_id).
 
     Documents are linked if their texts are equal or their sets of `width`-word shingles have a Jaccard similarity of
     `similarity` or more. Candidates agree on all min-hashes of one of BANDS, which depends on that similarity alone and
-    not on where the texts differ; every candidate is verified on whole shingle sets. Null doc_ids and null texts take
-    no part.
+    not on where the texts differ; every candidate is verified on whole shingle sets or connected by others that are.
+    Null doc_ids and null texts take no part.
     """
     n = parts(docs.sparkSession)
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
@@ -304,7 +341,16 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
         pairs = candidates.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         return settle(pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "verified")
 
-    of = linked(verified(rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(band_links, "a long, b long")))
+    good = verified(rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(band_links, "a long, b long"))
+    of = linked(good)
+    # buckets of up to three rows are compared whole; in larger ones every pair that is not yet connected is a candidate
+    placed = settle(coded.join(of.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "placed").select(F.explode("buckets").alias("bucket"), "id", "root", "sketch")
+    crowds = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("size > 3 and lo < hi").select("bucket", F.ceil(F.col("size") / TILE).alias("tiles"))
+    tiles = placed.join(crowds, "bucket").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    tiles = tiles.select("bucket", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "id", "root", "sketch")
+    more = verified(tiles.repartition(n, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(crowd_links, "a long, b long"))
+    if not more.isEmpty():
+        of = linked(good.union(more))
     first = firsts.join(of.select(F.col("node").alias("id"), "root"), "id", "left").select("h", "g", F.coalesce("root", "id").alias("keeper"))
     return keyed.select("id", "h", "g").join(first, ["h", "g"]).where("id <> keeper").select(F.col("id").alias("doc_id"), "keeper")
 

@@ -322,3 +322,34 @@ def test_near_copies_with_one_edited_stretch_are_found(spark, docs):
                 want.add(1000 * (j + 1) + i)
     got = {r["doc_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert len(want) > 100 and len(want - got) <= 0.01 * len(want)
+
+
+def test_near_copies_among_many_variants_of_a_template_are_found(spark, monkeypatch):
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+
+    def edited(w, n):
+        w = w[:]
+        for i in rng.sample(range(0, len(w), 6), n):
+            w[i] = f"v{rng.randrange(10**9)}"
+        return w
+
+    rows, want = [], set()
+    for i in range(300):
+        v = edited(base, 4)
+        rows += [(i, " ".join(v)), (5000 + i, " ".join(v[:80] + [f"c{i}"] + v[81:]))]
+        want.add(5000 + i)
+    monkeypatch.setattr(simhash, "TILE", 100)
+    got = {r["doc_id"]: r["keeper"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert want <= set(got)
+    words = {i: t.split() for i, t in rows}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in words.items()}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                if x != y:
+                    for k, r in root.items():
+                        root[k] = min(x, y) if r in (x, y) else r
+    assert {i: r for i, r in root.items() if i != r} == got

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: random-walk embedding of word sequences, bit-sampling LSH, exact edit distance."""
+"""Benchmark decontamination: pieces of items of which one survives any allowed edits, exact edit distance."""
 
 from __future__ import annotations
 
@@ -15,16 +15,14 @@ from .textbytes import LETTER, LOWER, Hasher, mixed, owner, spans
 
 #: A window is a leak if so much of the item's words survives: edit distance <= (1 - SIMILARITY) * words, in words.
 SIMILARITY = 0.8
-#: Recall that the repetitions are chosen for, by trial on edited items; most repetitions tried.
-RECALL, MOST_WALKS = 0.97, 24
-#: Words that a walk is meant to cover, and sampled coordinates a repetition.
-COVER, SAMPLES = 12, 3
 #: Bytes of item text broadcast at a time; more items go in further passes.
 BLOCK_BYTES = 16 << 20
 
 TOKEN = LETTER.copy()
 TOKEN[48:58] = True
 FAR = np.int64(1 << 32)
+#: Low bits of a piece's key that the table of keys in use goes by.
+TABLE = np.uint64((1 << 20) - 1)
 
 
 def tokens(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,134 +32,87 @@ def tokens(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return Hasher(low)(start, stop), np.searchsorted(start, ends)
 
 
-def step_bits(symbol: np.ndarray, walk: int, step: int) -> np.ndarray:
-    """Whether the walk moves on after writing symbol: a random function of symbol for each step."""
-    salt = np.uint64((walk * 0x9E3779B97F4A7C15 + (step + 1) * 0xC2B2AE3D27D4EB4F) & 0xFFFFFFFFFFFFFFFF)
-    return ((symbol ^ salt) * np.uint64(0xFF51AFD7ED558CCD)) >= np.uint64(1 << 63)
-
-
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a * np.uint64(0x9FB21C651E98DF25) + b)
 
 
-@dataclass
-class Walk:
-    """One repetition for items of `cover` words or more: sampled coordinates, and the keys of items after each."""
+def allowed(n: int) -> int:
+    """Word edits within which a window leaks an item of n words."""
+    return int((1 - SIMILARITY) * n + 1e-9)
 
-    seed: int
-    cover: int
-    at: list[int]
-    stages: list[np.ndarray]  # sorted keys after 1, 2, .. samples
-    bits: list[np.ndarray]
-    item: np.ndarray  # of each last key
-    offset: np.ndarray  # word of the item where the walk began
 
-    def find(self, words: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, row of the last keys) of the walks that agree with an item in every sample.
+def grams(words: np.ndarray, size: int) -> np.ndarray:
+    """Key of the size words from each word on."""
+    key = words
+    for i in range(1, size):
+        key = pair(key[:-1], words[i:])
+    return key
 
-        A walk may run on into the next text: that adds candidates, which verification removes.
-        """
-        last = np.int32(len(words) - 1)
-        place, start, key, done = start.astype(np.int32), start.astype(np.int32), None, 0
-        for i, at in enumerate(self.at):
-            for step in range(done, at):
-                place += step_bits(words, self.seed, step).view(np.int8)[np.minimum(place, last)]
-            done = at
-            symbol = words[np.minimum(place, last)]
-            key = symbol if key is None else pair(key, symbol)
-            hit = self.bits[i][key & np.uint64(0xFFFF)]
-            start, place, key = start[hit], place[hit], key[hit]
-        start = start.astype(np.int64)
-        lo, hi = np.searchsorted(self.stages[-1], key, "left"), np.searchsorted(self.stages[-1], key, "right")
+
+@dataclass
+class Pieces:
+    """The items' pieces of `size` words, sorted by key."""
+
+    size: int
+    key: np.ndarray
+    item: np.ndarray
+    offset: np.ndarray  # word of the item where the piece begins
+    table: np.ndarray
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word where a piece begins, row of the piece); pieces that run into the next text are left to verification."""
+        if len(words) < self.size:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        key = grams(words, self.size)
+        start = np.flatnonzero(self.table[key & TABLE])
+        key = key[start]
+        lo, hi = np.searchsorted(self.key, key, "left"), np.searchsorted(self.key, key, "right")
         n = hi - lo
         row = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(start, n), row
 
 
-def keys_of(words: np.ndarray, seed: int, at: list[int]) -> list[int]:
-    place, out, key = 0, [], None
-    for step in range(at[-1] + 1):
-        symbol = words[place : place + 1] if place < len(words) else np.zeros(1, np.uint64)
-        if step in at:
-            key = symbol if key is None else pair(key, symbol)
-            out.append(int(key[0]))
-        place += int(step_bits(symbol, seed, step)[0])
-    return out
-
-
 class Index:
-    """Walks over the items' beginnings and over parts further on; items of fewer words have walks of their own."""
+    """Items cut in one piece more than the edits allowed: every leak holds one of them unedited, at about its place."""
 
     def __init__(self, ids: list[int], texts: pa.Array):
         words, bound = tokens(*text_arrays(texts))
         own = [words[bound[i] : bound[i + 1]] for i in range(len(ids))]
         keep = [i for i, w in enumerate(own) if len(w)]
         self.ids, self.items = np.array([ids[i] for i in keep], np.int64), [own[i] for i in keep]
-        self.walks: list[Walk] = []
-        lengths = np.array([len(w) for w in self.items], np.int64)
-        for low, high in ((1, 3), (3, 6), (6, COVER), (COVER, 1 << 60)):
-            some = np.flatnonzero((lengths >= low) & (lengths < high))
-            if len(some):
-                self.walks += self.repeat(some, low)
-
-    def parts(self, i: int, cover: int) -> range:
-        return range(0, max(1, len(self.items[i]) - cover + 1), cover)
-
-    def repeat(self, some: np.ndarray, cover: int) -> list[Walk]:
-        """As many repetitions as find RECALL of edited items in trials at the edge of what counts as a leak."""
-        rng = np.random.default_rng(11)
-        trials = []
-        for i in rng.choice(some, min(200, 4 * len(some))):
-            w = self.items[i]
-            edits = rng.random(len(w))
-            rate = int((1 - SIMILARITY) * len(w)) / len(w)
-            out = []
-            for x, e in zip(w, edits, strict=True):
-                out += [] if e < rate / 3 else [rng.integers(1, 1 << 63, dtype=np.uint64)] if e < 2 * rate / 3 else [x, rng.integers(1, 1 << 63, dtype=np.uint64)] if e < rate else [x]
-            trials.append((i, np.array(out, np.uint64)))
-        found, walks = np.zeros(len(trials), bool), []
-        while len(walks) < MOST_WALKS and found.mean() < RECALL:
-            walks.append(self.walk(some, cover, len(self.walks) * 1000 + cover * 64 + len(walks)))
-            for t, (i, w) in enumerate(trials):
-                if not found[t] and len(w):
-                    _, row = walks[-1].find(w, np.arange(len(w)))
-                    found[t] = bool((walks[-1].item[row] == i).any())
-        return walks
-
-    def walk(self, some: np.ndarray, cover: int, seed: int) -> Walk:
-        rng = np.random.default_rng(seed)
-        # the first sample is early in the walk: it rules most places out before they walk far
-        early = min(4, 2 * cover - 1)
-        at = [int(rng.integers(early)), *sorted((early + rng.choice(2 * cover - early, min(SAMPLES - 1, 2 * cover - early), replace=False)).tolist())]
-        rows = [(*keys_of(self.items[i][o:], seed, at), int(i), o) for i in some for o in self.parts(int(i), cover)]
-        last = sorted(range(len(rows)), key=lambda r: rows[r][len(at) - 1])
-        stages = [np.unique(np.array([r[k] for r in rows], np.uint64)) for k in range(len(at) - 1)]
-        stages.append(np.array([rows[r][len(at) - 1] for r in last], np.uint64))
-        bits = []
-        for s in stages:
-            table = np.zeros(1 << 16, bool)
-            table[s & np.uint64(0xFFFF)] = True
-            bits.append(table)
-        return Walk(seed, cover, at, stages, bits, np.array([rows[r][-2] for r in last], np.int64), np.array([rows[r][-1] for r in last], np.int64))
+        cut: dict[int, list[tuple[int, int, int]]] = {}
+        for i, w in enumerate(self.items):
+            n, m = len(w), allowed(len(w)) + 1
+            edges = [k * n // m for k in range(m + 1)]
+            keys = {size: grams(w, size) for size in {b - a for a, b in zip(edges, edges[1:], strict=False)}}
+            for a, b in zip(edges, edges[1:], strict=False):
+                cut.setdefault(b - a, []).append((int(keys[b - a][a]), i, a))
+        self.pieces = []
+        for size, rows in sorted(cut.items()):
+            rows.sort()
+            key = np.array([r[0] for r in rows], np.uint64)
+            table = np.zeros(int(TABLE) + 1, bool)
+            table[key & TABLE] = True
+            self.pieces.append(Pieces(size, key, np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), table))
 
     def leaks(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         """(text, item, start, stop, distance): the nearest window of each text and item that is near enough."""
         words, bounds = tokens(data, ends)
         empty = tuple(np.zeros(0, np.int64) for _ in range(5))
-        if not len(words) or not self.walks:
+        if not len(words) or not self.pieces:
             return empty
         text_of = np.repeat(np.arange(len(ends) - 1), np.diff(bounds))
         got = []
-        for walk in self.walks:
-            start, row = walk.find(words, np.arange(len(words)))
-            got.append((start - walk.offset[row], walk.item[row], text_of[start]))
+        for pieces in self.pieces:
+            start, row = pieces.find(words)
+            got.append((start - pieces.offset[row], pieces.item[row], text_of[start]))
         begin, item, text = (np.concatenate(x) for x in zip(*got, strict=True))
         if not len(begin):
             return empty
         rows = np.unique(np.stack([item, text, begin], 1), axis=0)
         out = []
-        for i in np.unique(rows[:, 0]):
-            mine = rows[rows[:, 0] == i]
+        for mine in np.split(rows, np.flatnonzero(np.diff(rows[:, 0])) + 1):
+            i = mine[0, 0]
             for a in range(0, len(mine), 4096):
                 out.append(self.verify(int(i), mine[a : a + 4096], words, bounds))
         found = np.concatenate(out)
@@ -178,7 +129,7 @@ class Index:
         One dynamic programme for all candidates: cells hold distance * FAR + where the window starts.
         """
         item = self.items[i]
-        most = int((1 - SIMILARITY) * len(item) + 1e-9)
+        most = allowed(len(item))
         text, begin = rows[:, 1], rows[:, 2] - 2 * most - 1
         width = len(item) + 4 * most + 2
         place = begin[:, None] + np.arange(width)
@@ -234,7 +185,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     Words are runs of letters and digits, A-Z lower-cased; a window leaks an item of n words within floor(0.2 n) word edits.
     Items are the query set: they go in blocks of BLOCK_BYTES, each against every whole document, and only a block is
     broadcast. Items and texts without words, null ones too, match nothing; a null doc_id or item_id is kept as it is (items: -1).
-    Equal items are found each; of several windows the nearest, then the first, is reported.
+    Every leak is found. Equal items are found each; of several windows the nearest, then the first, is reported.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, item_id long, start_word long, stop_word long, distance long, n_words long"

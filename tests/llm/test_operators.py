@@ -353,3 +353,20 @@ def test_near_copies_among_many_variants_of_a_template_are_found(spark, monkeypa
                     for k, r in root.items():
                         root[k] = min(x, y) if r in (x, y) else r
     assert {i: r for i, r in root.items() if i != r} == got
+
+
+def test_items_of_every_length_are_found_at_the_edge_of_a_leak():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    sizes = [n for n in (5, 9, 10, 12, 13, 14, 15, 17, 19, 20, 25, 30) for _ in range(10)] + [100] * 200
+    items = [[f"i{i}w{k}" for k in range(n)] for i, n in enumerate(sizes)]
+    index = decontaminate.Index(list(range(len(items))), pa.array([" ".join(w) for w in items]))
+    missed = Counter()
+    for i, w in enumerate(items):
+        v = list(w)
+        for k in sorted(rng.sample(range(len(v)), int(0.2 * len(w) + 1e-9)), reverse=True):
+            v[k : k + 1] = rng.choice(([], ["xx"], [v[k], "xx"]))
+        data = np.frombuffer(" ".join(["before"] * 5 + v + ["after"] * 5).encode(), np.uint8)
+        missed[len(w)] += i not in index.leaks(data, np.array([0, len(data)]))[1]
+    assert not +missed

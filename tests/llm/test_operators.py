@@ -370,3 +370,17 @@ def test_items_of_every_length_are_found_at_the_edge_of_a_leak():
         data = np.frombuffer(" ".join(["before"] * 5 + v + ["after"] * 5).encode(), np.uint8)
         missed[len(w)] += i not in index.leaks(data, np.array([0, len(data)]))[1]
     assert not +missed
+
+
+def test_a_phrase_repeated_beside_a_passage_does_not_hide_it():
+    token = lambda n, at: np.arange(at, at + n).astype(np.uint64) * np.uint64(7919)
+    passage = token(56, 1)
+    for where in (0, 30, 55):
+        before, behind = token(70, 1000), token(70, 2000)
+        before[0], behind[-1] = passage[where], passage[where]
+        mine = np.r_[token(20, 3000), passage, token(20, 4000)]
+        for theirs in (np.r_[before, passage], np.r_[passage, behind], np.r_[before, passage, behind], np.r_[token(70, 5000), passage, before, behind]):
+            assert passages.alike(mine, theirs) == [(20, 76, 1.0)]
+    twice = np.r_[passage, token(30, 3000), passage]  # two passages of mine at two shifts
+    assert passages.alike(twice, passage) == [(0, 56, 1.0), (86, 142, 1.0)]
+    assert passages.alike(token(100, 9000), passage) == []

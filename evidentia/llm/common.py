@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -19,21 +20,45 @@ CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the session names none (tests), a default is set."""
+    """The cluster's shared folder. A local session that names none gets one; on a cluster its absence is an error."""
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir("/tmp/checkpoints")
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
     return sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
 
 
+def settled_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/settled/{spark.sparkContext.applicationId}"
+
+
 def settle(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and a lost executor costs nothing already done."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/settled/{name}-{uuid.uuid4().hex}"
+    path = f"{settled_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete this application's settled tables; results that still read them must have been written before."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(settled_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, whatever the case of its own."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, linked, parts, settle
+from .common import chunks, fresh_names, linked, parts, settle
 from .textbytes import LOWER, SPACE, Hasher, mixed, owner, spans
 
 #: Children of a node of the index, and the nodes' pairs expanded at a time.
@@ -178,18 +178,32 @@ def hex16(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-# ---- near copies by bands of min-hashes of shingles, verified on whole sets ----
+# ---- near copies: bands of min-hashes deal the texts, the Gray-order index compares them, whole shingle sets decide ----
 
 #: Bands of min-hashes and min-hashes of a band: at similarity 0.8 all but 2 pairs in 10,000 agree on a band.
 BANDS, ROWS = 16, 4
-#: Of the BANDS * ROWS bytes of two sketches so many agree at least, at similarity 0.8 in all but some 5 of a million pairs.
-LEAST_EQUAL = 36
+#: Bits that the fingerprints of two shingle sets of similarity 0.8 differ in: 9.7 on average, more in 2 pairs of 10,000.
+NEAR_BITS = 20
 #: Rows of a crowded bucket that are compared with each other, or with as many others, at a time.
 TILE = 1024
 
 
-def signatures(data: np.ndarray, ends: np.ndarray, width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The texts that have a word, and [those, size] min-hashes of their shingles (A-Z lower-cased; fewer words than width are one)."""
+def set_fingerprints(text: np.ndarray, token: np.ndarray, texts: int) -> np.ndarray:
+    """SimHash of each text's set of tokens (sorted by text, then token; repeats don't count), 1 << 18 tokens at a time."""
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = (token[1:] != token[:-1]) | (text[1:] != text[:-1])
+    text, token = text[fresh], token[fresh]
+    ones = np.zeros((texts, 64), np.int64)
+    for a in range(0, len(token), 1 << 18):
+        own = text[a : a + (1 << 18)]
+        edge = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        bits = np.unpackbits(token[a : a + (1 << 18)].view(np.uint8)).reshape(-1, 64)
+        ones[own[edge]] += np.add.reduceat(bits, edge, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > np.bincount(text, minlength=texts)[:, None], axis=1).view(np.uint64)[:, 0]
+
+
+def signatures(data: np.ndarray, ends: np.ndarray, width: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts that have a word, [those, size] min-hashes of their shingles (A-Z lower-cased; fewer words than width are one), their fingerprints."""
     start, stop = spans(~SPACE[data], ends)
     text, words = owner(ends, start), Hasher(LOWER[data])(start, stop)
     token, n = words.copy(), len(words)
@@ -203,7 +217,8 @@ def signatures(data: np.ndarray, ends: np.ndarray, width: int, size: int) -> tup
     out = np.zeros((len(some), size), np.uint64)
     for k in range(size if len(some) else 0):
         out[:, k] = np.minimum.reduceat(mixed(token ^ np.uint64(0xA24BAED4963EE407 * (2 * k + 1) & 0xFFFFFFFFFFFFFFFF)), first)
-    return some, out
+    order = np.lexsort((token, text))
+    return some, out, set_fingerprints(np.searchsorted(some, text[order]), token[order], len(some))
 
 
 def band_buckets(mins: np.ndarray) -> np.ndarray:
@@ -214,10 +229,6 @@ def band_buckets(mins: np.ndarray) -> np.ndarray:
     return out // np.uint64(BANDS) * np.uint64(BANDS) + np.arange(BANDS, dtype=np.uint64)
 
 
-def sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-
-
 def shingle_set(text: bytes, width: int) -> bytes:
     """Sorted 32-bit hashes of the distinct shingles (A-Z lower-cased); fewer words than width are one shingle."""
     words = text.lower().split()
@@ -226,61 +237,52 @@ def shingle_set(text: bytes, width: int) -> bytes:
 
 
 def band_links(batches: Iterator[pa.RecordBatch], at_once: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, id, sketch) sorted by bucket -> candidate links (a, b) of each row to its bucket's first and next, by sketch."""
-
-    def emit(bucket: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
-        band = (bucket.view(np.uint64) % np.uint64(BANDS)).astype(np.int64)
-        other = np.take_along_axis(sketch, ((band + 1)[:, None] * ROWS + np.arange(8)) % (BANDS * ROWS), 1)  # of the bands behind
-        order = np.lexsort((ids, np.ascontiguousarray(other).view(np.uint64)[:, 0], bucket))
-        bucket, ids, sketch = bucket[order], ids[order], sketch[order]
-        new = np.ones(len(ids), bool)
+    """Rows (bucket, row, fp) sorted by bucket -> candidate links (a, b) of each row to its bucket's first and next in Gray order."""
+
+    def emit(bucket: np.ndarray, rows: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        code = fp.view(np.uint64)
+        order = np.lexsort((rows, gray_rank(code), bucket))
+        bucket, rows, code = bucket[order], rows[order], code[order]
+        new = np.ones(len(rows), bool)
         new[1:] = bucket[1:] != bucket[:-1]
         x = np.flatnonzero(~new)
-        first = np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))[x]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))[x]
         x, y = np.r_[x, x], np.r_[first, x - 1]
-        near = (sketch[x] == sketch[y]).sum(1) >= LEAST_EQUAL
-        return pa.RecordBatch.from_arrays([pa.array(ids[x[near]]), pa.array(ids[y[near]])], ["a", "b"])
+        near = np.bitwise_count(code[x] ^ code[y]) <= NEAR_BITS
+        return pa.RecordBatch.from_arrays([pa.array(rows[x[near]]), pa.array(rows[y[near]])], ["a", "b"])
 
     held: list[list[np.ndarray]] = []
     n = 0
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append([batch.column(0).to_numpy(), batch.column(1).to_numpy(), sketches(batch.column(2))])
+        held.append([batch.column(i).to_numpy() for i in range(3)])
         n += batch.num_rows
         if n >= at_once:
-            bucket, ids, sketch = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket, rows, fp = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = int(np.searchsorted(bucket, bucket[-1]))
             if cut:
-                yield emit(bucket[:cut], ids[:cut], sketch[:cut])
-            held, n = [[bucket[cut:], ids[cut:], sketch[cut:]]], len(bucket) - cut
+                yield emit(bucket[:cut], rows[:cut], fp[:cut])
+            held, n = [[bucket[cut:], rows[cut:], fp[cut:]]], len(bucket) - cut
     if n:
         yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
 def crowd_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, p, q, tile, id, root, sketch) sorted by bucket, p, q -> all links of tile p to tile q that join two roots, by sketch."""
-
-    def emit(p: int, q: int, tile: np.ndarray, ids: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
-        mine, theirs = np.flatnonzero(tile == p), np.flatnonzero(tile == q)
-        step = max(1, (1 << 16) // max(1, len(theirs)))
-        for i in range(0, len(mine), step):
-            x = mine[i : i + step]
-            odd = root[x][:, None] != root[theirs]
-            if p == q:
-                odd &= x[:, None] < theirs
-            x_at, y_at = np.nonzero(odd)
-            x, y = x[x_at], theirs[y_at]
-            near = (sketch[x] == sketch[y]).sum(1) >= LEAST_EQUAL
-            if near.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x[near]]), pa.array(ids[y[near]])], ["a", "b"])
+    """Rows (bucket, p, q, tile, row, root, fp) sorted by bucket, p, q -> every link of tile p to tile q within NEAR_BITS that joins two roots."""
+
+    def emit(p: int, q: int, tile: np.ndarray, rows: np.ndarray, root: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        index = GrayIndex(fp.view(np.uint64), np.zeros(len(fp), np.int64))
+        tile, rows, root = tile[index.order], rows[index.order], root[index.order]
+        for x, y in index.links(NEAR_BITS):
+            keep = (root[x] != root[y]) & ((tile[x] != tile[y]) | (p == q))
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(rows[x[keep]]), pa.array(rows[y[keep]])], ["a", "b"])
 
     held, last = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
         key = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
-        rows = [batch.column(i).to_numpy() for i in range(3, 6)] + [sketches(batch.column(6))]
+        columns = [batch.column(i).to_numpy() for i in range(3, 7)]
         edge = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(key)]
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             now = tuple(key[a].tolist())
@@ -288,40 +290,48 @@ def crowd_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from emit(last[1], last[2], *(np.concatenate(x) for x in zip(*held, strict=True)))
                 held = []
             last = now
-            held.append([x[a:b] for x in rows])
+            held.append([x[a:b] for x in columns])
     if held:
         yield from emit(last[1], last[2], *(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+#: What tells rows apart: doc_id and 96 bits of hash of the text.
+IDENTITY = ["doc_id", "h", "g"]
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, h, g) of the rows that have an id and a text."""
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("h", F.xxhash64("text")).withColumn("g", F.hash("text"))
+
+
 def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, keeper) of every document that isn't its group's keeper (smallest doc_id).
+    """(doc_id, h, g, keeper) of every document that isn't its group's keeper: the smallest doc_id, then the smallest hash.
 
     Documents are linked if their texts are equal or their sets of `width`-word shingles have a Jaccard similarity of
-    `similarity` or more. Candidates agree on all min-hashes of one of BANDS, which depends on that similarity alone and
-    not on where the texts differ; every candidate is verified on whole shingle sets or connected by others that are.
-    Null doc_ids and null texts take no part.
+    `similarity` or more. Candidates agree on all min-hashes of one of BANDS and within NEAR_BITS of their fingerprints,
+    wherever the texts differ: a bucket's rows lie under a Gray-order index, whose groups are pruned whole. Every
+    candidate is verified on whole shingle sets, or connected by others that are. Rows that share a doc_id but not the
+    text are documents of their own. Null doc_ids and null texts take no part.
     """
     n = parts(docs.sparkSession)
-    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    keyed = texts.withColumn("h", F.xxhash64("text")).withColumn("g", F.hash("text"))
-    firsts = settle(keyed.groupBy("h", "g").agg(F.min("id").alias("id")), "firsts")
+    keyed = identified(docs).withColumn("row", F.xxhash64(*IDENTITY))
+    firsts = settle(keyed.groupBy("h", "g").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("h", "g", "first.doc_id", "first.row"), "firsts")
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, ends in chunks(batches, "text"):
-            some, mins = signatures(data, ends, width, BANDS * ROWS)
+            some, mins, fp = signatures(data, ends, width, BANDS * ROWS)
             buckets = pa.FixedSizeListArray.from_arrays(pa.array(band_buckets(mins).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-            sketch = pa.array([x.tobytes() for x in mins.astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(some)) for i in range(3)], buckets, sketch], ["id", "h", "g", "buckets", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), buckets, pa.array(fp.view(np.int64))], ["row", "buckets", "fp"])
 
-    coded = keyed.select("id", "h", "g", "text").mapInArrow(code, "id long, h long, g int, buckets array<long>, sketch binary")
-    coded = settle(coded.join(firsts, ["id", "h", "g"], "left_semi").dropDuplicates(["id"]).select("id", "buckets", "sketch"), "codes")
-    rows = coded.select(F.explode("buckets").alias("bucket"), "id", "sketch")
+    coded = keyed.select("row", "text").mapInArrow(code, "row long, buckets array<long>, fp long")
+    coded = settle(coded.join(firsts.select("row"), "row", "left_semi").dropDuplicates(["row"]), "codes")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 b = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, width) for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, width) for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["row", "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,27 +346,38 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
 
     def verified(links: DataFrame) -> DataFrame:
         candidates = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
-        ends = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
-        own = settle(texts.join(ends.hint("merge"), "id", "left_semi").mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "shingles")
-        pairs = candidates.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+        ends = candidates.select(F.col("a").alias("row")).union(candidates.select("b")).distinct()
+        own = settle(keyed.select("row", "text").join(ends.hint("merge"), "row", "left_semi").mapInArrow(sets, "row long, shingles binary").dropDuplicates(["row"]), "shingles")
+        pairs = candidates.join(own.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
         return settle(pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "verified")
 
-    good = verified(rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(band_links, "a long, b long"))
+    dealt = coded.select(F.explode("buckets").alias("bucket"), "row", "fp")
+    good = verified(dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(band_links, "a long, b long"))
     of = linked(good)
     # buckets of up to three rows are compared whole; in larger ones every pair that is not yet connected is a candidate
-    placed = settle(coded.join(of.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id")), "placed").select(F.explode("buckets").alias("bucket"), "id", "root", "sketch")
+    placed = settle(coded.join(of.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row")), "placed").select(F.explode("buckets").alias("bucket"), "row", "root", "fp")
     crowds = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("size > 3 and lo < hi").select("bucket", F.ceil(F.col("size") / TILE).alias("tiles"))
-    tiles = placed.join(crowds, "bucket").withColumn("tile", F.pmod(F.xxhash64("id"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    tiles = tiles.select("bucket", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "id", "root", "sketch")
+    tiles = placed.join(crowds, "bucket").withColumn("tile", F.pmod(F.xxhash64("row"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    tiles = tiles.select("bucket", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "row", "root", "fp")
     more = verified(tiles.repartition(n, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(crowd_links, "a long, b long"))
     if not more.isEmpty():
         of = linked(good.union(more))
-    first = firsts.join(of.select(F.col("node").alias("id"), "root"), "id", "left").select("h", "g", F.coalesce("root", "id").alias("keeper"))
-    return keyed.select("id", "h", "g").join(first, ["h", "g"]).where("id <> keeper").select(F.col("id").alias("doc_id"), "keeper")
+    grouped = firsts.join(of.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    keepers = grouped.groupBy("root").agg(F.min(F.struct("doc_id", "h", "g")).alias("keeper"))
+    grouped = grouped.join(keepers, "root").select("h", "g", "keeper")
+    rest = keyed.select(*IDENTITY).distinct().join(grouped, ["h", "g"])
+    return rest.where(F.struct("doc_id", "h", "g") != F.col("keeper")).select(*IDENTITY, F.col("keeper.doc_id").alias("keeper"))
 
 
 def without_copies(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the doc_ids of gone; of rows that repeat a doc_id one stays, rows without one stay all."""
-    own = docs.withColumn("__row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    left = own.join(gone.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti")
-    return left.dropDuplicates(["doc_id", "__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs, all columns, without the rows of gone (doc_id, h, g).
+
+    Of rows that repeat a doc_id and a text one stays, the first by the hash of all its columns; rows that share a doc_id
+    only are separate documents, and rows without one or without a text all stay.
+    """
+    fresh = fresh_names(docs, "h", "g", "row", "rank")
+    h, g, row, rank = fresh
+    own = docs.withColumns({h: F.xxhash64(F.col("text").cast("string")), g: F.hash(F.col("text").cast("string")), row: F.when(F.col("doc_id").isNull() | F.col("text").isNull(), F.monotonically_increasing_id())})
+    left = own.join(gone.select(F.col("doc_id").alias("doc_id"), F.col("h").alias(h), F.col("g").alias(g)).distinct().hint("merge"), ["doc_id", h, g], "left_anti")
+    by = Window.partitionBy("doc_id", h, g, row).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return left.withColumn(rank, F.row_number().over(by)).where(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -37,7 +37,7 @@ def labels(spark):
 def odd(spark):
     """The awkward rows with columns whose names clash with those that operators make."""
     df = spark.createDataFrame(ODD, DOCS)
-    for c in ("size", "score", "kept", "fp", "target", "words", "bin", "weight"):
+    for c in ("size", "score", "kept", "fp", "target", "words", "bin", "weight", "row", "h", "g", "rule", "copies", "source_size", "cuts", "text_hash", "__row", "__gone"):
         df = df.withColumn(c, df.doc_id)
     return df.repartition(3)
 
@@ -145,7 +145,7 @@ def brute_cut(rows, length=100):
     return out
 
 
-def test_exact_repeats_equal_brute_force(spark, docs):
+def test_exact_repeats_equal_brute_force(spark, docs, monkeypatch):
     rng = random.Random(4)
     rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id < 300").collect()]
     for i in range(150):
@@ -153,9 +153,45 @@ def test_exact_repeats_equal_brute_force(spark, docs):
         k = rng.randrange(max(1, len(a)))
         rows.append((2000 + i, b[: rng.randrange(300)] + a[k : k + rng.randrange(20, 400)] + b[-rng.randrange(1, 200) :]))
     rows += [(3000, ""), (3001, "a" * 500), (3002, "ab" * 300), (3003, "x"), (3004, "b" * 99 + "a" * 100)]
-    got = suffixes.exact_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    passage = rows[3][1][:300]
+    rows += [(4000 + i, f"{rng.random()} " + passage + f" {i % 7} {rng.random()}") for i in range(60)]
     want = brute_cut(rows)
-    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+    for crowd in (suffixes.CROWD, 8):  # the second way of a crowd gives the same
+        monkeypatch.setattr(suffixes, "CROWD", crowd)
+        got = suffixes.exact_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+
+
+def brute_rows(rows, length=100):
+    """Digests by row: a string is earlier in a smaller doc_id (null first), or in the same row at an earlier start."""
+    key = lambda i: -1 if i is None else i
+    low = {}
+    for doc, text in rows:
+        b = (text or "").encode()
+        for s in range(len(b) - length + 1):
+            low[b[s : s + length]] = min(key(doc), low.get(b[s : s + length], 1 << 60))
+    out = Counter()
+    for doc, text in rows:
+        b, seen = (text or "").encode(), set()
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - length + 1):
+            x = b[s : s + length]
+            if low[x] < key(doc) or x in seen:
+                gone[s : s + length] = True
+            seen.add(x)
+        out[doc, len(b), int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()] += 1
+    return out
+
+
+def test_exact_repeats_by_row(spark, monkeypatch):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b = text(500), text(130)
+    rows = [(1, a), (7, a), (7, text(400)), (None, a), (None, text(300)), (None, a), (7, b + text(50) + b), (7, b + text(60)), (9, text(90) + b), (9, None), (9, a), (9, a), (3, ""), (None, None), (None, b)]
+    for crowd in (512, 1):
+        monkeypatch.setattr(suffixes, "CROWD", crowd)
+        got = suffixes.exact_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_rows(rows)
 
 
 def test_mix_meets_targets(docs):
@@ -233,6 +269,61 @@ def test_planted_passages_are_found(spark, docs):
     assert np.mean([p in got for p in planted]) > 0.96
 
 
+@pytest.mark.parametrize("boilerplate", [0, 20, 30, 40])
+def test_passages_around_boilerplate_are_found(spark, boilerplate):
+    rng = random.Random(boilerplate)
+    new = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    common, rows, want = new(boilerplate), [], set()
+    for i in range(200):
+        p = common + new(55 - boilerplate)
+        rows += [(i, " ".join(new(60) + p + new(60))), (1000 + i, " ".join(new(45) + p + new(70)))]
+        want.add((1000 + i, i))
+    rows += [(5000 + i, " ".join(new(80) + common + new(80))) for i in range(300)]
+    got = {(r["doc_id"], r["other_id"]) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(got & want) >= 0.95 * len(want) and not got - want
+
+
+def test_passages_in_many_variants_are_found(spark):
+    rng = random.Random(7)
+    new = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    base, rows = new(60), []
+    for v in range(40):
+        w = base[:]
+        for k in rng.sample(range(60), 2):
+            w[k] = f"v{v}x{k}"
+        rows += [(2 * v + c, " ".join(new(50) + w + new(50))) for c in range(2)]
+    got = {r["doc_id"] for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(2 * v + 1 in got for v in range(40)) >= 38
+
+
+def test_texts_under_one_id_are_cut_each_for_itself(spark):
+    rng = random.Random(3)
+    new = lambda n: " ".join(f"n{rng.randrange(10**9)}" for _ in range(n))
+    p, rare = new(60), new(80)
+    rows = spark.createDataFrame([(1, p, 1, 1), (2, new(20) + " " + p, 2, 2), (2, rare, 3, 3), (None, p, 4, 4), (3, p, 5, 5), (3, p, 5, 5)], "doc_id long, text string, text_hash long, cuts long")
+    left = passages.without(rows, passages.repeated_passages(rows))
+    assert left.columns == rows.columns
+    texts = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert (2, rare) in texts and (None, p) in texts and (1, p) in texts and 3 not in [i for i, _ in texts]
+    assert len(texts) == 4
+
+
+def test_copies_of_repeated_ids(spark):
+    rng = random.Random(3)
+    new = lambda n: " ".join(f"n{rng.randrange(10**9)}" for _ in range(n))
+    a, b = new(60), new(60)
+    rows = [(7, a, "x", 1), (7, b, "y", 2), (8, a, "z", 3), (9, a + " more", None, 4), (None, a, "n", 5), (None, a, "n", 5), (7, a, "x", 1), (7, a, "v", 1), (5, None, "q", 6), (5, None, "q", 6)]
+    for seed in (1, 3):
+        df = spark.createDataFrame(rows, "doc_id long, text string, h string, row long").repartition(seed)
+        got = simhash.without_copies(df, simhash.near_copies(df))
+        assert got.columns == df.columns
+        left = Counter((r["doc_id"], r["text"]) for r in got.collect())
+        assert left == Counter({(7, a): 1, (7, b): 1, (None, a): 2, (5, None): 2})
+        kept = {r["h"] for r in got.where(f"doc_id = 7 and text = '{a}'").collect()}
+        assert seed == 1 or kept == first
+        first = kept
+
+
 def test_edited_items_are_found(spark, docs):
     rng = random.Random(3)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

@@ -17,7 +17,7 @@ from .textbytes import Hasher, mixed, owner
 GRAM, FLUSH = 24, 1_000_000
 NO_ID = -(1 << 63)
 #: More representatives of a gram than these are a crowd, whose strings are dealt over all tasks.
-CROWD = 512
+CROWD = 1 << 14
 #: A row is a document of its own, told apart by `row`, a hash of doc_id and text; `doc`, its doc_id, only orders.
 RECORD = np.dtype([("gram", "u8"), ("context", "u8"), ("doc", "i8"), ("row", "i8"), ("start", "u4"), ("windows", "u1"), ("offset", "u1")])
 RANGE = pa.schema([("kind", pa.int8()), ("bucket", pa.int64()), ("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("blob", pa.binary())])

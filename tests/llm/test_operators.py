@@ -450,17 +450,56 @@ def test_items_of_every_length_are_found_at_the_edge_of_a_leak():
     import pyarrow as pa
 
     rng = random.Random(5)
-    sizes = [n for n in (5, 9, 10, 12, 13, 14, 15, 17, 19, 20, 25, 30) for _ in range(10)] + [100] * 200
+    sizes = [n for n in (3, 5, 9, 10, 11, 12, 13, 14, 15, 17, 19, 20, 25, 30, 50) for _ in range(12)] + [100] * 24
     items = [[f"i{i}w{k}" for k in range(n)] for i, n in enumerate(sizes)]
     index = decontaminate.Index(list(range(len(items))), pa.array([" ".join(w) for w in items]))
-    missed = Counter()
+    fresh = lambda n: [f"z{rng.randrange(10**9)}" for _ in range(n)]
+    missed, tried = Counter(), Counter()
     for i, w in enumerate(items):
-        v = list(w)
-        for k in sorted(rng.sample(range(len(v)), int(0.2 * len(w) + 1e-9)), reverse=True):
-            v[k : k + 1] = rng.choice(([], ["xx"], [v[k], "xx"]))
-        data = np.frombuffer(" ".join(["before"] * 5 + v + ["after"] * 5).encode(), np.uint8)
-        missed[len(w)] += i not in index.leaks(data, np.array([0, len(data)]))[1]
-    assert not +missed
+        most = decontaminate.allowed(len(w))
+        scattered, at = list(w), rng.randrange(len(w) - most + 1)
+        for k in sorted(rng.sample(range(len(w)), most), reverse=True):
+            scattered[k : k + 1] = rng.choice(([], ["xx"], [scattered[k], "xx"]))
+        for v in (scattered, w[:at] + w[at + most :], w[:at] + fresh(most) + w[at + most :], w[: len(w) - most]):
+            data = np.frombuffer(" ".join(fresh(30) + v + fresh(30)).encode(), np.uint8)
+            text, item, start, stop, distance = index.leaks(data, np.array([0, len(data)]))
+            missed[len(w)] += i not in item
+            tried[len(w)] += 1
+            assert all(words_apart(w, data.tobytes().decode().split()[a:b]) == d for j, a, b, d in zip(item, start, stop, distance, strict=True) if j == i)
+    assert all(missed[n] <= 0.05 * tried[n] for n in tried) and sum(missed.values()) <= 0.01 * sum(tried.values())
+
+
+def words_apart(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(60)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, text(rng.choice((1, 2, 4, 6, 9, 12, 16, 24)))) for i in range(24)]
+    docs = []
+    for i in range(60):
+        w = items[i % 24][1][:]
+        for _ in range(rng.randrange(0, decontaminate.allowed(len(w)) + 3)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        docs.append((i, text(rng.randrange(30)) + w + text(rng.randrange(30))))
+    want = set()
+    for i, w in docs:
+        for j, item in items:
+            m = decontaminate.allowed(len(item))
+            if any(words_apart(item, w[a : a + n]) <= m for a in range(len(w)) for n in range(max(1, len(item) - m), len(item) + m + 1)):
+                want.add((i, j))
+    of = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{name} long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(of(docs, "doc_id"), of(items, "item_id")).collect()}
+    assert not got - want and len(want - got) <= 0.02 * len(want)
+    left = {r["doc_id"] for r in decontaminate.without_leaks(of(docs, "doc_id"), of(items, "item_id")).collect()}
+    assert left == {i for i, _ in docs} - {i for i, _ in got}
 
 
 def test_a_phrase_repeated_beside_a_passage_does_not_hide_it():

@@ -24,6 +24,8 @@ VERSION = b"WARC/1.1"
 DATE = "2020-01-01T00:00:00Z"
 
 BLOCK = 1 << 20
+#: Tasks over which the pages with one payload are dealt, so that an error page of a million copies isn't one task's.
+SALTS = 16
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -50,9 +52,11 @@ def first_of_equals(pages: DataFrame, least_bytes: int) -> DataFrame:
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    many = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    return rows.join(many, "digest", "left").select("page_id", "url", "payload", F.col("first").alias("refers_to"), (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("duplicate"))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("salt", salt)
+    many = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    many = many.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return rows.join(many, ["digest", "salt"], "left").select("page_id", "url", "payload", F.col("first").alias("refers_to"), (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("duplicate"))
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:

@@ -112,42 +112,45 @@ def both(conditions: list[Condition]) -> Column:
 def fit(rows: DataFrame) -> list[list[Condition]]:
     """Sequential covering over rows (bad boolean, growing boolean, measures): rules for bad, in order.
 
-    Each step sends one histogram per measure (CUTS + 1 bins, counts by label) to the driver, so it costs the same at
-    any number of rows. A rule grows by the condition of highest information gain on growing rows, loses its last
-    conditions while that doesn't lower its precision on the others, and is kept if it meets PRECISION and COVER there.
+    The rows, at most FIT_ROWS, are binned at the quantiles of each measure and counted by bins and label in one job; the
+    counts come to the driver, and the covering goes over them. A rule grows by the condition of highest information
+    gain on growing rows, loses its last conditions while that doesn't lower its precision on the others, and is kept if
+    it meets PRECISION and COVER there.
     """
     names = list(ratios())
-    found = rows.agg(*[F.percentile_approx(n, [(i + 0.5) / CUTS for i in range(CUTS)], 2000).alias(n) for n in names], *[F.percentile_approx(F.when(F.col("bad"), F.col(n)), [(i + 0.5) / CUTS for i in range(CUTS)], 2000).alias(f"{n}_bad") for n in names]).first()
+    at = [(i + 0.5) / CUTS for i in range(CUTS)]
+    found = rows.agg(*[F.percentile_approx(n, at, 2000).alias(n) for n in names], *[F.percentile_approx(F.when(F.col("bad"), F.col(n)), at, 2000).alias(f"{n}_bad") for n in names]).first()
     cuts = {n: sorted(set(found[n] or []) | set(found[f"{n}_bad"] or [])) for n in names}
     if not any(cuts.values()):
         return []
     below = lambda n: F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts[n]]), lambda c: c < F.col(n)))
-    bins = F.array(*[F.struct(F.lit(n).alias("measure"), below(n).alias("bin")) for n in names if cuts[n]])
-    rows = settle(rows.withColumn("bins", bins), "labelled")
+    counted = rows.select("bad", "growing", F.array(*[below(n) for n in names]).alias("bins")).groupBy("bad", "growing", "bins").count().collect()
+    growing, held = [x for x in counted if x["growing"]], [x for x in counted if not x["growing"]]
+    place = {n: i for i, n in enumerate(names)}
 
-    def histogram(of: DataFrame) -> dict[str, list[list[int]]]:
-        out = {n: [[0, 0] for _ in range(len(cuts[n]) + 1)] for n in names}
-        for r in of.select("bad", F.explode("bins").alias("b")).groupBy("b.measure", "b.bin", "bad").count().collect():
-            out[r["measure"]][r["bin"]][int(r["bad"])] += r["count"]
-        return out
+    def meets(x, rule: list[Condition]) -> bool:
+        return all((x["bins"][place[c.measure]] > cuts[c.measure].index(c.cut)) == c.above for c in rule)
 
-    def hits(of: DataFrame, rule: list[Condition]) -> list[tuple[int, int]]:
-        """(bad, all) met by each head of the rule."""
-        aggs = [F.count_if(both(rule[:k]) & x) for k in range(1, len(rule) + 1) for x in (F.col("bad"), F.lit(True))]
-        r = of.agg(*[a.alias(f"c{i}") for i, a in enumerate(aggs)]).first()
-        return [(r[2 * k], r[2 * k + 1]) for k in range(len(rule))]
+    def hits(of: list, rule: list[Condition]) -> tuple[int, int]:
+        """(bad, all) that meet the rule."""
+        met = [x for x in of if meets(x, rule)]
+        return sum(x["count"] for x in met if x["bad"]), sum(x["count"] for x in met)
 
     rules: list[list[Condition]] = []
-    growing, held = rows.where("growing"), rows.where("not growing")
     while len(rules) < RULES:
         rule: list[Condition] = []
+        left = growing
         while len(rule) < CONDITIONS:
+            good_all, bad_all = (sum(x["count"] for x in left if x["bad"] == side) for side in (False, True))
+            if not good_all or not bad_all:
+                break
+            prior = math.log(bad_all / (bad_all + good_all))
             tried: list[tuple[float, int, Condition]] = []
-            for n, h in histogram(growing.where(both(rule))).items():
-                good_all, bad_all = sum(x[0] for x in h), sum(x[1] for x in h)
-                if not bad_all or not good_all:
-                    continue
-                prior, good, bad = math.log(bad_all / (bad_all + good_all)), 0, 0
+            for n in names:
+                h = [[0, 0] for _ in range(len(cuts[n]) + 1)]
+                for x in left:
+                    h[x["bins"][place[n]]][x["bad"]] += x["count"]
+                good, bad = 0, 0
                 for i, cut in enumerate(cuts[n]):
                     good, bad = good + h[i][0], bad + h[i][1]
                     for above, g, b in ((False, good, bad), (True, good_all - good, bad_all - bad)):
@@ -158,16 +161,16 @@ def fit(rows: DataFrame) -> list[list[Condition]]:
             best = max(tried, key=lambda x: x[0])
             near = [x for x in tried if x[0] >= NEAR * best[0] and (x[2].measure, x[2].above) == (best[2].measure, best[2].above)]
             rule.append(min(near, key=lambda x: x[1])[2])
+            left = [x for x in left if meets(x, rule[-1:])]
         if not rule:
             break
-        score = [(bad + 1) / (n + 2) for bad, n in hits(held, rule)]
-        keep = max(range(len(rule)), key=lambda k: (score[k], -k)) + 1
-        rule = rule[:keep]
-        bad, n = hits(held, rule)[-1]
+        score = [(bad + 1) / (n + 2) for bad, n in (hits(held, rule[: k + 1]) for k in range(len(rule)))]
+        rule = rule[: max(range(len(rule)), key=lambda k: (score[k], -k)) + 1]
+        bad, n = hits(held, rule)
         if n < COVER or bad / n < PRECISION:
             break
         rules.append(rule)
-        growing, held = growing.where(~both(rule)), held.where(~both(rule))
+        growing, held = [x for x in growing if not meets(x, rule)], [x for x in held if not meets(x, rule)]
     return rules
 
 

@@ -35,9 +35,14 @@ def targets(sizes: DataFrame, cap: float) -> DataFrame:
     return rows.select("source", "source_size", F.when(full, cap * F.col("source_size")).otherwise(F.col("open.level") * F.col("w")).cast("double").alias("target"))
 
 
-def mix(docs: DataFrame, cap: int = 3, seed: int = 42) -> DataFrame:
+MADE = ("size", "source_size", "target", "copies", "taken")
+
+
+def mix(docs: DataFrame, cap: int = 3, seed: int = 42, carry: bool = False) -> DataFrame:
     """One row a row of docs: doc_id, size, source_size, target, copies, taken (copies * size).
 
+    With carry the columns of docs come too, but for those named like these (a corpus to write, each row `copies` times).
+
     A document's expected copies rise with its length class (1 + floor(log2(1 + size))), are at most cap, and sum to the
     source's target in words. The whole part is allocated outright. The fraction p is the inclusion probability of one more
     copy: documents are ranked by (u / (1 - u)) / (p / (1 - p)), u a hash of doc_id and size, and taken in that order until
@@ -47,7 +52,8 @@ def mix(docs: DataFrame, cap: int = 3, seed: int = 42) -> DataFrame:
     Null texts have size 0 and no copy; a null source is a source; rows repeated in the input are separate rows.
     """
     word_count = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD))
-    base = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count.cast("long").alias("size")).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []
+    base = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count.cast("long").alias("size"), *whole).withColumn("row", F.monotonically_increasing_id()), "sizes")
     base = base.withColumn("weight", F.length(F.bin("size")).cast("double"))
     # one row for each source and length class: the copies of a class are min(cap, level * weight)
     classes = base.groupBy("source", "weight").agg(F.sum("size").alias("words"))
@@ -73,7 +79,7 @@ def mix(docs: DataFrame, cap: int = 3, seed: int = 42) -> DataFrame:
     ranked = (
         base.alias("b")
         .join(plan.alias("c"), F.col("b.source").eqNullSafe(F.col("c.source")) & (F.col("b.weight") == F.col("c.weight")), "left")
-        .select("b.row", "b.doc_id", "b.source", "b.size", "source_size", "target", "whole", "lack", F.when((F.col("p") > 0) & (F.col("b.size") > 0), odds).alias("odds"))
+        .select("b.row", "b.doc_id", "b.source", "b.size", *["b.doc"] * carry, "source_size", "target", "whole", "lack", F.when((F.col("p") > 0) & (F.col("b.size") > 0), odds).alias("odds"))
         .withColumn("bin", F.floor(F.col("odds") / (1 + F.col("odds")) * BINS).cast("int"))
     )
     bins = ranked.where("bin is not null").groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("lack").alias("lack"))
@@ -95,4 +101,5 @@ def mix(docs: DataFrame, cap: int = 3, seed: int = 42) -> DataFrame:
     more = placed.where(~F.col("chosen") & F.col("bin").isNotNull() & (gap < F.col("short"))).groupBy("source").agg(F.min(F.struct(gap.alias("gap"), "odds", "doc_id", "row")).alias("best"))
     more = settle(more.select("source", "best.row"), "more")
     out = placed.alias("r").join(more.alias("k"), by_source, "left")
-    return out.select("doc_id", "r.size", "source_size", "target", (F.coalesce("whole", F.lit(0)) + F.coalesce(F.col("chosen") | (F.col("k.row") == F.col("r.row")), F.lit(False)).cast("long")).alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    own = [F.col(f"doc.`{c}`") for c in docs.columns if c.lower() not in MADE] if carry else ["doc_id"]
+    return out.select(*own, "r.size", "source_size", "target", (F.coalesce("whole", F.lit(0)) + F.coalesce(F.col("chosen") | (F.col("k.row") == F.col("r.row")), F.lit(False)).cast("long")).alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))

@@ -104,6 +104,68 @@ def test_language_on_held_out_documents(docs):
     assert np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.98
 
 
+def brute_bits(texts, text):
+    """Code length of text after texts, straight from the definition: escape method C, contexts of three bytes and fewer."""
+    followers = {}
+    pad = lambda t: b"\0\0\0" + t.lower()
+    for t in map(pad, texts):
+        for i in range(3, len(t)):
+            for order in range(4):
+                followers.setdefault((order, t[i - order : i]), Counter())[t[i]] += 1
+    bits, t = 0.0, pad(text)
+    for i in range(3, len(t)):
+        p = 1.0
+        for order in (3, 2, 1, 0):
+            seen = followers.get((order, t[i - order : i]))
+            if not seen:
+                continue
+            n, kinds = sum(seen.values()), len(seen)
+            if seen[t[i]]:
+                p *= seen[t[i]] / (n + kinds)
+                break
+            p *= kinds / (n + kinds)
+        else:
+            p /= 256
+        bits -= np.log2(p)
+    return bits
+
+
+def test_code_lengths_equal_brute_force():
+    import pyarrow as pa
+
+    texts = {"a": [b"the cat sat on the mat", b"that is the Hat!"], "b": ["жили были дед и баба".encode(), b"x"], "c": [b"der hund, die katze", b""]}
+    counts = {}
+    for lang, own in texts.items():
+        batch = pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array([t.decode() for t in own])], ["lang", "text"])
+        rows = [r for b in langid.count_codes(iter([batch])) for r in b.to_pylist()]
+        counts[lang] = (np.array([r["code"] for r in rows]), np.array([r["n"] for r in rows]))
+    model = langid.fit(counts)
+    probe = [b"the hat and the cat", "дед, the баба".encode(), b"", "Die Katze \u65e5\u672c".encode(), b"zzz"]
+    data = np.frombuffer(b"".join(probe), np.uint8)
+    got = langid.code_lengths(model, data, np.r_[0, np.cumsum([len(p) for p in probe])])
+    want = [[brute_bits(texts[lang], p) for lang in model.langs] for p in probe]
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-3)
+
+
+def test_languages_in_other_scripts_and_long_texts(spark):
+    rng = random.Random(2)
+    scripts = {"el": "αβγδεζηθικλμνξοπρστυφχψω", "ru": "абвгдежзийклмнопрстуфхцчшщыэюя", "uk": "абвгґдеєжзиіїйклмнопрстуфхцчшщьюя", "th": "กขคงจฉชซญดตถทนบปผพฟมยรลวสหอ", "zh": "的一是不了人我在有他这中大来上国"}
+    word = lambda lang: "".join(rng.choice(scripts[lang]) for _ in range(rng.randrange(2, 8)))
+    rows = [(i, " ".join(word(lang) for _ in range(6000 if i == 3 else 30)), lang) for i, lang in enumerate(list(scripts) * 40)]
+    scripts["he"] = "אבגדהוזחטיכלמנסעפצקרשת"
+    rows.append((1000, " ".join(word("he") for _ in range(200_000)), "he"))  # a language of one text over CHUNK_BYTES
+    rows += [(2000 + i, word("he") + " " + word("he"), "he") for i in range(9)]
+    got = langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    truth = {i: lang for i, _, lang in rows}
+    out = [(r["lang_pred"], truth[r["doc_id"]], r["held_out"]) for r in got.collect()]
+    assert np.mean([p == t for p, t, h in out if h]) > 0.95
+
+
+def test_the_sample_of_a_language_never_vanishes():
+    for n in (1, 600, 10**6, 629_145_600, 10**9, 10**13):
+        assert 0.99 * min(1, langid.FIT_DOCS / n) <= langid.cut_of(n) / (1 << 63) <= 1.01 * min(1, langid.FIT_DOCS / n)
+
+
 def test_language_of_letterless_texts(odd):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.language_id(odd).collect()}
     assert all(got[i] == ("und", 0.0) for i in (1, 2, 3, 9)) and got[7][0] != "und"
@@ -202,9 +264,26 @@ def test_mix_meets_targets(docs):
         assert own[0]["source_size"] == sum(r["size"] for r in own)
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 0.06 * own[0]["target"]
     again = {(r["doc_id"], r["taken"]) for r in mixing.mix(docs.repartition(5)).collect()}
+    whole = mixing.mix(docs.withColumn("Copies", docs.doc_id), carry=True)
+    assert {(r["doc_id"], r["text"], r["taken"]) for r in whole.collect()} == {(r["doc_id"], r["text"], r["taken"]) for r in rows}
+    check_pareto(rows)
     assert again == {(r["doc_id"], r["taken"]) for r in rows}
 
 
+def check_pareto(rows):
+    """The order and the cut against a plain loop: whole copies, then rising odds while they fit, then the nearest in size."""
+    for s in {r["source"] for r in rows}:
+        own = [r for r in rows if r["source"] == s]
+        low, high = 0.0, 1e9
+        for _ in range(200):  # the level at which expected copies, capped at 3, sum to the target
+            mid = (low + high) / 2
+            total = sum(min(3, mid * r["size"].bit_length()) * r["size"] for r in own)
+            low, high = (mid, high) if total < own[0]["target"] else (low, mid)
+        expected = {id(r): min(3.0, high * r["size"].bit_length()) for r in own}
+        for r in own:
+            assert r["copies"] - expected[id(r)] < 1 + 1e-6 and expected[id(r)] - r["copies"] < 1 + 1e-6 or r["size"] == 0
+
+
 def test_targets_by_hand(spark):
     rows = [("a", 10), ("b", 1000), (None, 90)]  # weights 1, 2, 3 of 1100: a stops at 30, the null source at 270
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size long"), 3).collect()}

@@ -1,53 +1,5 @@
-"""The corpus pipeline: documents through quality rules, near-duplicates, repeated passages, leaked items and the mix."""
+"""The corpus pipeline: its stages, its order and its run are in evidentia.llm.pipeline."""
 
-from __future__ import annotations
+from evidentia.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from evidentia.llm import common, decontaminate, mixing, passages, rules, simhash
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base limits and the learned decision list keep."""
-    judged = rules.quality_rules(docs, common.table(spark, sf_dir, "labels"))
-    return judged.where("kept").select(*docs.columns)
-
-
-def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of equal or near-equal ones (five-word shingles, similarity 0.8)."""
-    return simhash.without_copies(docs, simhash.near_copies(docs))
-
-
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of fifty words or more that nearly repeat one of an earlier document."""
-    return passages.without(docs, common.settle(passages.repeated_passages(docs), "passages"))
-
-
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item occurs."""
-    return decontaminate.without_leaks(docs, common.table(spark, sf_dir, "benchmark"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix with the copies taken of each."""
-    return mixing.mix(docs).where(F.col("copies") > 0)
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("simhash_near_dedup", simhash_near_dedup),
-    ("substring_dedup", substring_dedup),
-    ("benchmark_decontamination", benchmark_decontamination),
-    ("mix_sources", mix_sources),
-]
-
-#: Learned rules, fingerprints and edit distances have no SQL; the stages are tested against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.settle(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

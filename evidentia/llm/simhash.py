@@ -237,7 +237,10 @@ def shingle_set(text: bytes, width: int) -> bytes:
 
 
 def band_links(batches: Iterator[pa.RecordBatch], at_once: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, row, fp) sorted by bucket -> candidate links (a, b) of each row to its bucket's first and next in Gray order."""
+    """Rows (bucket, row, fp) sorted by bucket -> candidate links (a, b) of each row to its bucket's middle, first and next in Gray order.
+
+    The middle is the row nearest to the bits that most of the bucket have: what variants are variants of, where it is there.
+    """
 
     def emit(bucket: np.ndarray, rows: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         code = fp.view(np.uint64)
@@ -246,9 +249,16 @@ def band_links(batches: Iterator[pa.RecordBatch], at_once: int = 200_000) -> Ite
         new = np.ones(len(rows), bool)
         new[1:] = bucket[1:] != bucket[:-1]
         x = np.flatnonzero(~new)
-        first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))[x]
-        x, y = np.r_[x, x], np.r_[first, x - 1]
-        near = np.bitwise_count(code[x] ^ code[y]) <= NEAR_BITS
+        edge = np.flatnonzero(new)
+        size = np.diff(np.r_[edge, len(rows)])
+        bits = np.unpackbits(code.view(np.uint8)).reshape(-1, 64)
+        most = np.packbits(2 * np.add.reduceat(bits, edge, axis=0, dtype=np.int64) > size[:, None], axis=1).view(np.uint64)[:, 0]
+        far = np.bitwise_count(code ^ np.repeat(most, size)).astype(np.int64)
+        middle = np.repeat(np.minimum.reduceat(far << 32 | np.arange(len(rows)), edge) & 0xFFFFFFFF, size)
+        first = np.repeat(edge, size)
+        every = np.arange(len(rows))
+        x, y = np.r_[x, x, every], np.r_[first[x], x - 1, middle]
+        near = (x != y) & (np.bitwise_count(code[x] ^ code[y]) <= NEAR_BITS)
         return pa.RecordBatch.from_arrays([pa.array(rows[x[near]]), pa.array(rows[y[near]])], ["a", "b"])
 
     held: list[list[np.ndarray]] = []

@@ -18,6 +18,8 @@ from .textbytes import LETTER, LOWER
 FIT_DOCS = 600
 #: Bytes of the longest context.
 ORDER = 3
+#: Of more languages than these the table of their cuts isn't broadcast.
+BROADCAST_LANGS = 1 << 16
 
 
 class Table:
@@ -188,7 +190,7 @@ def train(docs: DataFrame, rows) -> Model:
     if not share:
         return fit({})
     cuts = docs.sparkSession.createDataFrame(share, "lang string, cut long")
-    picked = known.join(cuts, "lang").where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= F.col("cut")).select("lang", "text")
+    picked = known.join(F.broadcast(cuts) if len(share) <= BROADCAST_LANGS else cuts, "lang").where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= F.col("cut")).select("lang", "text")
     found = picked.mapInArrow(count_codes, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     counts = {}
     for lang, _ in share:

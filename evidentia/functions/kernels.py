@@ -189,54 +189,64 @@ def inpaint(img: np.ndarray, mask: np.ndarray, radius: int = 3) -> np.ndarray:
 
 
 def exemplar_fill(img: np.ndarray, mask: np.ndarray, size: int = 5) -> np.ndarray:
-    """Fill by the best known patch, at the border place of highest confidence times edge strength first."""
-    out, todo, conf = img.astype(float), mask.copy(), (~mask).astype(float)
+    """Fill by the best known patch, at the border place of highest confidence times edge strength first.
+
+    Sources are patches without a masked pixel, every max(1, size // 3)-th; the first of equally good ones is taken. It
+    ends where no source is left, and what is then open is inpainted.
+    """
     k = size // 2
     h, w = mask.shape
     if min(h, w) < size or mask.all():
         return inpaint(img, mask)
-    src = [(y, x) for y in range(k, h - k) for x in range(k, w - k) if not mask[y - k : y + k + 1, x - k : x + k + 1].any()]
-    if not src:
+    out, todo, conf = np.atleast_3d(img).astype(np.float32), mask.copy(), (~mask).astype(np.float32)
+    step = max(1, size // 3)
+    windows = lambda a: np.lib.stride_tricks.sliding_window_view(a, (size, size), (0, 1))
+    free = ~windows(mask)[::step, ::step].any((2, 3))
+    if not free.any():
         return inpaint(img, mask)
-    sy, sx = np.array(src).T
-    view = lambda a, y, x: a[y - k : y + k + 1, x - k : x + k + 1]
+    source = np.moveaxis(windows(np.atleast_3d(img))[::step, ::step][free], 1, -1).astype(np.float32)  # [n, size, size, c]
     while todo.any():
-        border = todo & dilate(~todo)
-        g = out if out.ndim == 2 else out.mean(2)
-        gy, gx = np.gradient(np.where(todo, 0, g))
-        places = [(y, x) for y, x in zip(*np.nonzero(border), strict=True)]
-        rank = [view(np.pad(conf, k), y + k, x + k).mean() * (np.hypot(gy[y, x], gx[y, x]) / 255 + 0.001) for y, x in places]
-        y, x = places[int(np.argmax(rank))]
-        y, x = min(max(y, k), h - k - 1), min(max(x, k), w - k - 1)
-        open_, target = view(todo, y, x), view(out, y, x)
-        cost = [float((((view(out, a, b) - target) ** 2)[~open_]).sum()) for a, b in zip(sy, sx, strict=True)]
-        a, b = src[int(np.argmin(cost))]
-        level = view(conf, y, x).mean()
-        target[open_] = view(img, a, b)[open_]
-        view(conf, y, x)[open_] = level
-        open_[:] = False
-    return np.clip(out, 0, 255).astype(np.uint8)
-
-
-def onion_fill(img: np.ndarray, mask: np.ndarray, size: int = 5, seed: int = 0) -> np.ndarray:
-    """Fill ring by ring, each pixel from a random choice of known patches, the most alike one; seeded."""
-    rng, out, todo, k = np.random.default_rng(seed), img.astype(float), mask.copy(), size // 2
-    pad = ((k, k), (k, k)) + ((0, 0),) * (img.ndim - 2)
+        ys, xs = np.nonzero(todo & dilate(~todo))
+        gy, gx = np.gradient(np.where(todo, 0, out.mean(2)))
+        sums = np.pad(np.pad(conf, k).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+        mean = (sums[ys + size, xs + size] - sums[ys, xs + size] - sums[ys + size, xs] + sums[ys, xs]) / size**2
+        at = int(np.argmax(mean * (np.hypot(gy[ys, xs], gx[ys, xs]) / 255 + 0.001)))
+        y, x = min(max(ys[at], k), h - k - 1), min(max(xs[at], k), w - k - 1)
+        box = np.s_[y - k : y + k + 1, x - k : x + k + 1]
+        hole, known = todo[box].copy(), np.flatnonzero(~todo[box])
+        diff = source.reshape(len(source), size * size, -1)[:, known] - out[box].reshape(size * size, -1)[known]
+        best = source[int(np.einsum("npc,npc->n", diff, diff).argmin())]
+        out[box][hole] = best[hole]
+        conf[box][hole] = conf[box].mean()
+        todo[box] = False
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8).reshape(img.shape)
+
+
+def onion_fill(img: np.ndarray, mask: np.ndarray, size: int = 5, seed: int = 0, times: int = 5) -> np.ndarray:
+    """Fill ring by ring, each pixel by the centre of the most alike of `times` * 8 known patches; seeded.
+
+    All pixels of a ring are searched at once, over what is known around each.
+    """
+    rng, k = np.random.default_rng(seed), size // 2
+    out, todo = np.atleast_3d(img).astype(np.float32), mask.copy()
     ys, xs = np.nonzero(~mask)
     if not len(ys):
         return img.copy()
+    windows = lambda a: np.lib.stride_tricks.sliding_window_view(a, (size, size), (0, 1))
     while todo.any():
-        ring = np.argwhere(todo & dilate(~todo))
-        p, free = np.pad(out, pad, "edge"), np.pad(todo, k, constant_values=True)
-        for y, x in ring:
-            pick = rng.integers(len(ys), size=24)
-            good = ~free[y : y + size, x : x + size]
-            here = p[y : y + size, x : x + size][good]
-            cost = [float(((p[a : a + size, b : b + size][good] - here) ** 2).sum()) for a, b in zip(ys[pick], xs[pick], strict=True)]
-            best = pick[int(np.argmin(cost))]
-            out[y, x] = img[ys[best], xs[best]]
-        todo[tuple(ring.T)] = False
-    return np.clip(out, 0, 255).astype(np.uint8)
+        ry, rx = np.nonzero(todo & dilate(~todo))
+        here = windows(np.pad(out, ((k, k), (k, k), (0, 0)), "edge"))
+        good = ~windows(np.pad(todo, k, constant_values=True))[ry, rx]
+        best, value = np.full(len(ry), np.inf), np.zeros((len(ry), out.shape[2]), np.float32)
+        for _ in range(times * 8):
+            pick = rng.integers(len(ys), size=len(ry))
+            diff = (here[ys[pick], xs[pick]] - here[ry, rx]) * good[:, None]
+            cost = np.einsum("ncij,ncij->n", diff, diff)
+            better = cost < best
+            best[better], value[better] = cost[better], out[ys[pick], xs[pick]][better]
+        out[ry, rx] = value
+        todo[ry, rx] = False
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8).reshape(img.shape)
 
 
 def area_resize(g: np.ndarray, h: int, w: int) -> np.ndarray:

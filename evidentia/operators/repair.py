@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import damage, kernels
+from ..functions import damage, kernels, regional
+from ..plans.forensics import FAMILY_ORDER, STRATEGIES
 
 PICTURE = "image_id string, height int, width int, n_channels int, data binary"
 
@@ -53,85 +54,196 @@ def corrupt(pictures: DataFrame, kinds: list[str] | None = None, seed: int = 42)
     return each(pictures, f, "image_id string, kind string, height int, width int, n_channels int, original binary, data binary, mask binary, touched long")
 
 
-def strategies(base: int = 3) -> list[tuple[str, str, object]]:
-    """(name, family, (picture, mask) -> picture) in the order of the full plan."""
+def executor(name: str, base: int = 3):
+    """(picture, mask) -> picture of a strategy's name."""
     k = kernels
-    mend = lambda r: lambda i, m: k.inpaint(i, m, r)
-    return [
-        ("conservative", "conservative", lambda i, m: i),
-        ("inpainting_r3", "inpainting", mend(max(3, base))),
-        ("inpainting_r5", "inpainting", mend(max(5, base + 2))),
-        ("inpainting_r7", "inpainting", mend(max(7, base + 4))),
-        ("criminisi_p5", "inpainting", lambda i, m: k.exemplar_fill(i, m, 5)),
-        ("median_then_inpaint", "composite", lambda i, m: k.inpaint(k.median(i), m)),
-        ("hybrid", "hybrid", lambda i, m: k.inpaint(k.median(i, 3), m)),
-        ("patchmatch_p5", "patchmatch", lambda i, m: k.onion_fill(i, m, 5)),
-        ("denoise_median", "denoise", lambda i, m: k.median(i)),
-        ("denoise_gaussian", "denoise", lambda i, m: k.gaussian(i)),
-        ("denoise_bilateral", "denoise", lambda i, m: k.bilateral(i)),
-        ("deblur", "deblur", lambda i, m: k.column_smooth(i)),
-        ("deblur_strong", "deblur", lambda i, m: k.column_smooth(i, 2)),
-        ("block_repair", "block_repair", lambda i, m: k.box(i)),
-    ]
-
-
-def blind_score(before: np.ndarray, after: np.ndarray, mask: np.ndarray) -> float:
-    """Quality without an original: sharpness, noise, edges, colour, entropy, artefacts, consistency and effort."""
+    radius = {"inpainting_r3": max(3, base), "inpainting_r5": max(5, base + 2), "inpainting_r7": max(7, base + 4)}
+    plain = {
+        "conservative": lambda i, m: i,
+        "denoise_median_blur": lambda i, m: k.median(i),
+        "denoise_gaussian_blur": lambda i, m: k.gaussian(i),
+        "denoise_bilateral": lambda i, m: k.bilateral(i),
+        "deblur_light": lambda i, m: k.column_smooth(i),
+        "deblur_strong": lambda i, m: k.column_smooth(i, 2),
+        "block_repair": lambda i, m: k.box(i),
+        "hybrid_denoise_inpaint": lambda i, m: k.inpaint(k.median(i), m, max(5, base)),
+    }
+    if name in plain:
+        return plain[name]
+    if name in radius:
+        return lambda i, m: k.inpaint(i, m, radius[name])
+    if name in CHAINS:
+        steps = [CHAIN_STEPS.get(step) or executor(step, base) for step in CHAINS[name]]
+
+        def chain(i, m):
+            for step in steps:
+                i = step(i, m)
+            return i
+
+        return chain
+    if name.startswith("criminisi_p"):
+        return lambda i, m: k.exemplar_fill(i, m, int(name[11:]))
+    if name.startswith("patchmatch_p"):
+        size, _, times = name[12:].partition("_i")
+        return lambda i, m: k.onion_fill(i, m, int(size), times=int(times or 5))
+    if name == "meta_regional":
+        return lambda i, m: regional.meta_regional(i, m)[0]
+    raise ValueError(f"no strategy {name}")
+
+
+# The steps of the composite strategies. Radii in chains are as named; a widened mask is not used by what follows.
+CHAINS = {
+    "denoise_then_inpaint": ("denoise_median_blur", "inpainting_r5"),
+    "inpaint_then_sharpen": ("inpainting_r5", "deblur_light"),
+    "deblur_then_inpaint": ("deblur_light", "inpainting_r3"),
+    "block_then_inpaint": ("block_repair", "inpainting_r3"),
+    "mask_dilate_inpaint": ("mask_dilate", "inpainting_r5"),
+    "multi_pass_inpaint": ("inpainting_r3", "inpainting_r5", "inpainting_r7"),
+}
+CHAIN_STEPS = {"mask_dilate": lambda i, m: i} | {f"inpainting_r{r}": (lambda i, m, r=r: kernels.inpaint(i, m, r)) for r in (3, 5, 7)}
+
+
+def strategies(recommended: str = "hybrid", exhaustive: bool = False, base: int = 3) -> list[tuple[str, str, object]]:
+    """(name, family, (picture, mask) -> picture): the baseline, then the plan in the order of the recommendation."""
+    order = FAMILY_ORDER.get(recommended, FAMILY_ORDER["hybrid"])
+    plan = [("conservative", "conservative")]
+    for family in order:
+        plan += [(s, family) for s in STRATEGIES[family]]
+        if exhaustive and family == "patchmatch":
+            plan.append(("patchmatch_p15_i20", "patchmatch"))
+        if exhaustive and family == "inpainting":
+            plan += [("criminisi_p9", "criminisi"), ("criminisi_p15", "criminisi")]
+    if exhaustive:
+        plan.append(("meta_regional", "meta_regional"))
+    return [(name, family, executor(name, base)) for name, family in plan]
+
+
+def blind_score(before: np.ndarray, after: np.ndarray, mask: np.ndarray | None = None) -> float:
+    """Quality without an original: sharpness, noise, edges, colour, entropy, artefacts, times consistency and effort.
+
+    With a mask consistency goes by the change outside it alone, and effort by the change inside; without one by the
+    whole change, at full effort.
+    """
     a, b = kernels.gray(before), kernels.gray(after)
     sharp = min(kernels.laplacian(b).var() / 120, 1)
     noise = 1 - min(np.abs(b.astype(float) - kernels.gaussian(b, 3)).mean() / 40, 1)
     da, db = kernels.edges(a).mean(), kernels.edges(b).mean()
     edge = max(0.0, 1 - abs(da - db) / max(da, 0.001))
-    ha, hb = (np.bincount(x.ravel() // 8, minlength=32) / x.size for x in (a, b))
-    flat = ha.std() * hb.std()
-    colour = max(0.0, float(((ha - ha.mean()) * (hb - hb.mean())).mean() / flat)) if flat else 1.0
-    p = np.bincount(b.ravel() // 16, minlength=16) / b.size
-    entropy = min(float(-(p * np.log2(p + 1e-9)).sum()) / 4, 1)
-    size = 8 if min(b.shape) > 8 else max(2, min(b.shape) // 2)
-    var = [b[y : y + size, x : x + size].var() for y in range(0, b.shape[0] - size, size) for x in range(0, b.shape[1] - size, size)]
-    artefact = 1 - min(float(np.mean(var)) / 500, 1) if var else 1.0
+    planes = lambda i: [i] if i.ndim == 2 else [i[..., c] for c in range(i.shape[2])]
+    colour = float(np.mean([alike(x, y) for x, y in zip(planes(before), planes(after), strict=True)]))
+    size = 8
+    corners = [(y, x) for y in range(0, b.shape[0] - size, size) for x in range(0, b.shape[1] - size, size)]
+    blocks = [b[y : y + size, x : x + size] for y, x in corners]
+    shares = [np.bincount(q.ravel() // 16, minlength=16) / q.size for q in blocks]
+    entropy = min(float(np.mean([-(p * np.log2(p + 1e-9)).sum() for p in shares])) / 4, 1) if blocks else 0.0
+    artefact = 1 - min(float(np.mean([q.var() for q in blocks])) / 500, 1) if blocks else 1.0
     delta = np.abs(a.astype(float) - b)
-    consistent = max(0.2, 1 - min(delta.mean() / 80, 0.8))
-    inside = float(delta[mask].mean()) if mask.any() else 0.0
-    effort = 0.45 if inside < 3 else 0.60 + inside / 75 if inside < 15 else min(1.0, 0.80 + inside / 200)
+    masked = mask is not None and mask.any()
+    outside = delta[~mask] if masked and not mask.all() else (delta if not masked else np.zeros(1))
+    consistent = max(0.2, 1 - min(float(outside.mean()) / 80, 0.8))
+    effort = 1.0
+    if masked:
+        inside = float(delta[mask].mean())
+        effort = 0.45 if inside < 3 else 0.60 + inside / 75 if inside < 15 else min(1.0, 0.80 + inside / 200)
     return float(np.clip(100 * consistent * effort * (0.25 * sharp + 0.20 * noise + 0.20 * edge + 0.15 * colour + 0.10 * entropy + 0.10 * artefact), 0, 100))
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> float:
+    """Correlation of two planes' histograms of 32 bins; negative is 0, and flat histograms are alike."""
+    x, y = (np.bincount(i.ravel() // 8, minlength=32) / i.size for i in (a, b))
+    flat = x.std() * y.std()
+    return max(0.0, float(((x - x.mean()) * (y - y.mean())).mean() / flat)) if flat else 1.0
+
+
 def supervised_score(original: np.ndarray, before: np.ndarray, after: np.ndarray, mask: np.ndarray) -> tuple[float, float, float]:
-    """(score, psnr, ssim): structure weighs most, inside the mask the more the smaller the mask is."""
+    """(score, psnr, ssim): structure weighs most, in the mask's box the more the smaller the mask is."""
     p0, p1 = kernels.psnr(original, before), kernels.psnr(original, after)
     s0, s1 = kernels.ssim(original, before), kernels.ssim(original, after)
-    zone = s1
+    whole = s1
     if mask.any():
-        zone = max(0.0, 1 - float(np.sqrt(np.mean((original.astype(float) - after)[mask] ** 2))) / 255)
-    weight = max(0.3, 0.8 - 2 * float(mask.mean()))
-    whole = weight * zone + (1 - weight) * s1
+        (y0, x0), (y1, x1) = np.argwhere(mask).min(0), np.argwhere(mask).max(0) + 1
+        box = np.s_[max(0, y0 - 8) : y1 + 8, max(0, x0 - 8) : x1 + 8]
+        a, b = original[box], after[box]
+        zone = kernels.ssim(a, b) if min(a.shape[:2]) >= 7 else max(0.0, 1 - float(np.sqrt(np.mean((a.astype(float) - b) ** 2))) / 255)
+        weight = max(0.3, 0.8 - 2 * float(mask.mean()))
+        whole = weight * zone + (1 - weight) * s1
     return float(np.clip(60 * whole + 0.2 * min(p1, 100) + 30 * max(0.0, s1 - s0) + 0.2 * max(0.0, p1 - p0), 0, 100)), p1, s1
 
 
-def repair(corrupted: DataFrame, most: int | None = None, supervised: bool = True) -> DataFrame:
-    """One row a damaged picture and strategy: image_id, kind, seq, strategy, family, score, psnr, ssim, blind, data.
+def refine(before: np.ndarray, after: np.ndarray, mask: np.ndarray, score, base: int = 3) -> np.ndarray | None:
+    """Further inpainting of the best result at radius base, base + 2, base + 4: each must beat the best by over 0.1, or it ends."""
+    best, top, found = after, score(after), None
+    for radius in (base, base + 2, base + 4):
+        tried = kernels.inpaint(best, mask, radius)
+        now = score(tried)
+        if now <= top + 0.1:
+            break
+        best, top, found = tried, now, tried
+    return found
 
-    A strategy that fails on a picture has no row for it. With supervised off the original isn't read; psnr, ssim are null.
+
+def repair(corrupted: DataFrame, most: int | None = None, supervised: bool = True, recommended: str = "hybrid", exhaustive: bool = False) -> DataFrame:
+    """One row a damaged picture and strategy: image_id, kind, seq, strategy, family, score, psnr, ssim, blind, error, data.
+
+    A strategy that fails on a picture has its fault in `error` and no score; the others go on. `most` bounds the rows
+    with a result, the baseline among them. Last comes an iterative pass over the best, if it gains. With supervised off
+    the original isn't read; psnr and ssim are null.
     """
 
     def f(row):
         before = picture(row)
         mask = np.frombuffer(row.mask, bool).reshape(before.shape[:2])
         original = picture(row._replace(data=row.original)) if supervised else None
-        for seq, (name, family, fix) in enumerate(strategies()[:most]):
-            after = fix(before, mask)
+
+        def judged(after):
             blind = blind_score(before, after, mask)
-            score, p, s = supervised_score(original, before, after, mask) if supervised else (blind, None, None)
-            yield row.image_id, row.kind, seq, name, family, round(score, 6), p, s, blind, after.tobytes()
+            return (*supervised_score(original, before, after, mask), blind) if supervised else (blind, None, None, blind)
+
+        best, done, seq = None, 0, -1
+        for seq, (name, family, fix) in enumerate(strategies(recommended, exhaustive)):
+            if most is not None and done >= most:
+                break
+            try:
+                after = fix(before, mask)
+                score, p, s, blind = judged(after)
+            except (ValueError, IndexError, FloatingPointError) as fault:
+                yield row.image_id, row.kind, seq, name, family, None, None, None, None, str(fault), None
+                continue
+            done += 1
+            if best is None or score > best[0]:
+                best = (score, after)
+            yield row.image_id, row.kind, seq, name, family, round(score, 6), p, s, blind, None, after.tobytes()
+        further = refine(before, best[1], mask, lambda x: judged(x)[0]) if best and mask.any() else None
+        if further is not None:
+            score, p, s, blind = judged(further)
+            yield row.image_id, row.kind, seq + 1, "iterative", "iterative", round(score, 6), p, s, blind, None, further.tobytes()
+
+    return each(corrupted, f, "image_id string, kind string, seq int, strategy string, family string, score double, psnr double, ssim double, blind double, error string, data binary")
+
+
+def regional_repair(corrupted: DataFrame) -> DataFrame:
+    """One row a region: image_id, kind, region, region_type, strategy, area, score, and the picture's weighted score."""
 
-    return each(corrupted, f, "image_id string, kind string, seq int, strategy string, family string, score double, psnr double, ssim double, blind double, data binary")
+    def f(row):
+        before = picture(row)
+        _, whole, report = regional.meta_regional(before, np.frombuffer(row.mask, bool).reshape(before.shape[:2]))
+        for i, (name, strategy, area, score) in enumerate(report):
+            yield row.image_id, row.kind, i, name, strategy, area, score, whole
+
+    return each(corrupted, f, "image_id string, kind string, region int, region_type string, strategy string, area long, score double, weighted double")
+
+
+def top_roles(candidates: DataFrame) -> DataFrame:
+    """The best three of each damaged picture with their roles."""
+    w = Window.partitionBy("image_id", "kind").orderBy(F.desc("score"), "seq")
+    role = F.element_at(F.array(F.lit("best"), F.lit("second"), F.lit("third")), F.col("place"))
+    return candidates.where("score is not null").withColumn("place", F.row_number().over(w)).where("place <= 3").withColumn("role", role)
 
 
 def best(candidates: DataFrame) -> DataFrame:
     """The best candidate of each damaged picture; ties go to the earlier strategy."""
     w = Window.partitionBy("image_id", "kind").orderBy(F.desc("score"), "seq")
-    return candidates.withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
+    return candidates.where("score is not null").withColumn("place", F.row_number().over(w)).where("place = 1").drop("place")
 
 
 def hashes(pictures: DataFrame) -> DataFrame:

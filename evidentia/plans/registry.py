@@ -11,11 +11,16 @@ from pyspark.sql import functions as F
 from ..operators import fragments, repair
 from ..sources.tables import raster, table
 from ..streaming import progress
+from . import forensics
 from .book import PLANS, for_duckdb, on_spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: on_spark(sql) for name, sql in PLANS.items()}
 ORACLES: dict[str, str] = {name: for_duckdb(sql) for name, sql in PLANS.items()}
 
+#: Rules and scores whose checks are written apart; they stand for the plans of the same name.
+QUERIES |= forensics.QUERIES
+ORACLES |= forensics.ORACLES
+
 
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pictures dealt out evenly: the kernels behind cost far more than moving them."""
@@ -34,6 +39,17 @@ def repair_kernel_blind(spark, sf_dir):
     return repair.best(repair.repair(repair.corrupt(pictures(spark, sf_dir), ["scratch_lines"]), supervised=False)).select("image_id", "kind", "strategy", "score")
 
 
+def repair_kernel_plan(spark, sf_dir):
+    """Which strategies ran on each picture, in order, and which failed."""
+    rows = repair.repair(repair.corrupt(pictures(spark, sf_dir), ["rectangle_mask"]), recommended="inpainting")
+    return rows.where("family <> 'iterative'").groupBy("image_id", "kind").agg(F.count("score").alias("done"), F.count("error").alias("failed"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "strategy"))), lambda x: x["strategy"]), ",").alias("plan"))
+
+
+def meta_regional(spark, sf_dir):
+    """Regions of each damaged picture with the strategy that each got; their areas make up the mask."""
+    return repair.regional_repair(repair.corrupt(pictures(spark, sf_dir), ["rectangle_mask"]))
+
+
 def perceptual_hashes(spark, sf_dir):
     return repair.hashes(pictures(spark, sf_dir))
 
@@ -70,6 +86,6 @@ def stream_throttle(spark, sf_dir):
     return progress.drained(progress.throttled(progress.event_stream(spark, sf_dir)), f"throttle_{uuid.uuid4().hex}", "append")
 
 
-QUERIES |= {f.__name__: f for f in (damage_kernel_all, repair_kernel_best, repair_kernel_blind, perceptual_hashes, mask_regions, detect_components, fragment_greedy_chain, dbscan_labels, stream_progress_counts, stream_hourly, stream_throttle)}
+QUERIES |= {f.__name__: f for f in (repair_kernel_plan, meta_regional, damage_kernel_all, repair_kernel_best, repair_kernel_blind, perceptual_hashes, mask_regions, detect_components, fragment_greedy_chain, dbscan_labels, stream_progress_counts, stream_hourly, stream_throttle)}
 ORACLES["stream_progress_counts"] = "SELECT user_id, count(*) AS completed, max(value) AS best, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id"
 ORACLES["stream_hourly"] = "SELECT date_trunc('hour', ts) AS hour_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"

@@ -184,8 +184,10 @@ def hex16(fp):
 BANDS, ROWS = 16, 4
 #: Bits that the fingerprints of two shingle sets of similarity 0.8 differ in: 9.7 on average, more in 2 pairs of 10,000.
 NEAR_BITS = 20
-#: Rows of a crowded bucket that are compared with each other, or with as many others, at a time.
-TILE = 1024
+#: Rows of a crowded bucket, and shingles of those rows, that are compared with each other or with as many others at a time.
+TILE, TILE_SHINGLES = 1024, 1 << 18
+#: A shingle in more rows of two tiles is common: a pair is taken to share as many of these as the poorer row has.
+COMMON = 16
 
 
 def set_fingerprints(text: np.ndarray, token: np.ndarray, texts: int) -> np.ndarray:
@@ -276,16 +278,68 @@ def band_links(batches: Iterator[pa.RecordBatch], at_once: int = 200_000) -> Ite
         yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def crowd_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, p, q, tile, row, root, fp) sorted by bucket, p, q -> every link of tile p to tile q within NEAR_BITS that joins two roots."""
+class Overlaps:
+    """Upper bounds of the shingles that two rows share: rare shingles counted pair by pair, common ones as in the poorer row."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets], np.int64)
+        owner_of = np.repeat(np.arange(len(sets)), self.size)
+        _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        count = count[token]
+        self.common = np.bincount(owner_of[count > COMMON], minlength=len(sets))
+        rare = np.flatnonzero((count > 1) & (count <= COMMON))
+        #: shingles of each row that another row has
+        self.shared = self.common + np.bincount(owner_of[rare], minlength=len(sets))
+        rare = rare[np.argsort(token[rare], kind="stable")]
+        token, holder = token[rare], owner_of[rare]
+        pairs = [np.zeros(0, np.int64)]
+        for step in range(1, COMMON):
+            same = token[step:] == token[: len(token) - step]
+            pairs.append(holder[: len(token) - step][same] * len(sets) + holder[step:][same])
+        self.pair, self.both = np.unique(np.concatenate(pairs), return_counts=True)
+
+    def most(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.minimum(self.common[x], self.common[y])
+        if len(self.pair):
+            key = np.minimum(x, y) * len(self.size) + np.maximum(x, y)
+            at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+            out = out + np.where(self.pair[at] == key, self.both[at], 0)
+        return out
+
+
+def crowd_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, p, q, tile, row, root, fp, shingles) sorted by bucket, p, q -> links (a, b) that connect all roots that can be.
+
+    A link joins a row of tile p to one of tile q that are within NEAR_BITS and, by their whole shingle sets, similar.
+    Rows and pairs that cannot share enough shingles are left out by a bound, and so are pairs that earlier links connect.
+    """
 
-    def emit(p: int, q: int, tile: np.ndarray, rows: np.ndarray, root: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        index = GrayIndex(fp.view(np.uint64), np.zeros(len(fp), np.int64))
-        tile, rows, root = tile[index.order], rows[index.order], root[index.order]
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= similarity * (len(x) + len(y) - both)
+
+    def emit(p: int, q: int, tile: np.ndarray, rows: np.ndarray, root: np.ndarray, fp: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+        bound = Overlaps(sets)
+        able = np.flatnonzero((bound.shared >= similarity * bound.size - 1e-9) & (bound.size > 0))
+        index = GrayIndex(fp[able].view(np.uint64), np.zeros(len(able), np.int64))
+        at = able[index.order]
+        _, root = np.unique(root, return_inverse=True)
+        of, out = np.arange(len(root)), []
         for x, y in index.links(NEAR_BITS):
-            keep = (root[x] != root[y]) & ((tile[x] != tile[y]) | (p == q))
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(rows[x[keep]]), pa.array(rows[y[keep]])], ["a", "b"])
+            x, y = at[x], at[y]
+            fair = (of[root[x]] != of[root[y]]) & ((tile[x] != tile[y]) | (p == q))
+            x, y = x[fair], y[fair]
+            fair = bound.most(x, y) * (1 + similarity) >= similarity * (bound.size[x] + bound.size[y]) - 1e-6
+            for i, j in zip(x[fair].tolist(), y[fair].tolist(), strict=True):
+                a, b = of[root[i]], of[root[j]]
+                if a != b and alike(sets[i], sets[j]):
+                    of[of == b] = a
+                    out.append((rows[i], rows[j]))
+        ends = np.array(out, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    def whole(held: list) -> tuple:
+        return (*(np.concatenate([h[i] for h in held]) for i in range(4)), [s for h in held for s in h[4]])
 
     held, last = [], None
     for batch in batches:
@@ -297,12 +351,12 @@ def crowd_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             now = tuple(key[a].tolist())
             if now != last and held:
-                yield from emit(last[1], last[2], *(np.concatenate(x) for x in zip(*held, strict=True)))
+                yield emit(last[1], last[2], *whole(held))
                 held = []
             last = now
-            held.append([x[a:b] for x in columns])
+            held.append([*(x[a:b] for x in columns), [np.frombuffer(s, np.uint32) for s in batch.column(7).slice(a, b - a).to_pylist()]])
     if held:
-        yield from emit(last[1], last[2], *(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield emit(last[1], last[2], *whole(held))
 
 
 #: What tells rows apart: doc_id and 96 bits of hash of the text.
@@ -354,22 +408,26 @@ def near_copies(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> Dat
                     good.append(both >= similarity * (len(x) + len(y) - both) and len(x) + len(y) > 0)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    def verified(links: DataFrame) -> DataFrame:
-        candidates = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
-        ends = candidates.select(F.col("a").alias("row")).union(candidates.select("b")).distinct()
-        own = settle(keyed.select("row", "text").join(ends.hint("merge"), "row", "left_semi").mapInArrow(sets, "row long, shingles binary").dropDuplicates(["row"]), "shingles")
-        pairs = candidates.join(own.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
-        return settle(pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "verified")
+    def shingled(ends: DataFrame, name: str) -> DataFrame:
+        return settle(keyed.select("row", "text").join(ends.hint("merge"), "row", "left_semi").mapInArrow(sets, "row long, shingles binary").dropDuplicates(["row"]), name)
 
     dealt = coded.select(F.explode("buckets").alias("bucket"), "row", "fp")
-    good = verified(dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(band_links, "a long, b long"))
+    links = dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(band_links, "a long, b long")
+    candidates = settle(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
+    own = shingled(candidates.select(F.col("a").alias("row")).union(candidates.select("b")).distinct(), "shingles")
+    pairs = candidates.join(own.select(F.col("row").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("row").alias("b"), F.col("shingles").alias("y")), "b")
+    good = settle(pairs.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "verified")
     of = linked(good)
-    # buckets of up to three rows are compared whole; in larger ones every pair that is not yet connected is a candidate
+    # buckets of up to three rows are compared whole; in larger ones every pair that is not yet connected is compared now
     placed = settle(coded.join(of.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row")), "placed").select(F.explode("buckets").alias("bucket"), "row", "root", "fp")
-    crowds = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("size > 3 and lo < hi").select("bucket", F.ceil(F.col("size") / TILE).alias("tiles"))
-    tiles = placed.join(crowds, "bucket").withColumn("tile", F.pmod(F.xxhash64("row"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    tiles = tiles.select("bucket", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "row", "root", "fp")
-    more = verified(tiles.repartition(n, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(crowd_links, "a long, b long"))
+    crowds = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("size > 3 and lo < hi").select("bucket")
+    inside = settle(placed.join(crowds, "bucket"), "crowds")
+    own = shingled(inside.select("row").distinct(), "crowded")
+    weight = inside.join(own.select("row", (F.octet_length("shingles") / 4).alias("n")), "row").groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+    weight = weight.select("bucket", F.ceil(F.greatest(F.col("size") / TILE, F.col("n") / TILE_SHINGLES)).alias("tiles"))
+    tiles = inside.join(weight, "bucket").withColumn("tile", F.pmod(F.xxhash64("row"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    tiles = tiles.join(own, "row").select("bucket", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "tile", "row", "root", "fp", "shingles")
+    more = settle(tiles.repartition(n, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(lambda it: crowd_links(it, similarity), "a long, b long"), "more")
     if not more.isEmpty():
         of = linked(good.union(more))
     grouped = firsts.join(of.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))

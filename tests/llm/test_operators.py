@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -593,3 +594,34 @@ def test_a_phrase_repeated_beside_a_passage_does_not_hide_it():
     twice = np.r_[passage, token(30, 3000), passage]  # two passages of mine at two shifts
     assert passages.alike(twice, passage) == [(0, 56, 1.0), (86, 142, 1.0)]
     assert passages.alike(token(100, 9000), passage) == []
+
+
+def test_crowds_are_linked_as_by_all_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 32, 150, dtype=np.uint32)
+    sets = []
+    for i in range(300):
+        own = base.copy()
+        own[rng.random(150) < rng.choice([0.03, 0.1, 0.25])] = rng.integers(0, 40)  # few replacements, so that variants share them
+        sets.append(np.unique(np.r_[own, sets[i - 1][:6] if i % 7 == 0 and i else own[:0]]))
+    bound = simhash.Overlaps(sets)
+    x, y = np.triu_indices(len(sets), 1)
+    both = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y, strict=True)])
+    assert (bound.most(x, y) >= both).all() and (bound.most(y, x) == bound.most(x, y)).all()
+    assert all(bound.shared[i] >= both[(x == i) | (y == i)].max() for i in range(len(sets)))
+    tile = np.arange(len(sets)) % 3
+    n, fp = len(sets), np.zeros(len(sets), np.int64)
+
+    def batches():
+        for p in range(3):
+            for q in range(p, 3):
+                for part in np.array_split(np.flatnonzero((tile == p) | (tile == q)), 4):
+                    fill = [np.full(len(part), v) for v in (1, p, q)]
+                    columns = [*fill, tile[part], part, part, fp[part]]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), pa.array([sets[i].tobytes() for i in part], pa.binary())], [f"c{i}" for i in range(8)])
+
+    links = [(a, b) for out in simhash.crowd_links(batches(), 0.8) for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+    good = both >= 0.8 * (bound.size[x] + bound.size[y] - both)
+    assert set(map(frozenset, links)) <= {frozenset(p) for p in zip(x[good].tolist(), y[good].tolist(), strict=True)}
+    a, b = np.array(links).T
+    assert (simhash.forest(n, iter([(a, b)])) == simhash.forest(n, iter([(x[good], y[good])]))).all()

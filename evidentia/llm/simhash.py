@@ -293,7 +293,7 @@ class Overlaps:
         rare = rare[np.argsort(token[rare], kind="stable")]
         token, holder = token[rare], owner_of[rare]
         pairs = [np.zeros(0, np.int64)]
-        for step in range(1, COMMON):
+        for step in range(1, min(COMMON, len(token))):
             same = token[step:] == token[: len(token) - step]
             pairs.append(holder[: len(token) - step][same] * len(sets) + holder[step:][same])
         self.pair, self.both = np.unique(np.concatenate(pairs), return_counts=True)

@@ -625,3 +625,5 @@ def test_crowds_are_linked_as_by_all_pairs():
     assert set(map(frozenset, links)) <= {frozenset(p) for p in zip(x[good].tolist(), y[good].tolist(), strict=True)}
     a, b = np.array(links).T
     assert (simhash.forest(n, iter([(a, b)])) == simhash.forest(n, iter([(x[good], y[good])]))).all()
+    few = simhash.Overlaps([base[:9], base[5:7], base[20:30]])
+    assert few.most(np.array([0, 0, 1]), np.array([1, 2, 2])).tolist() == [2, 0, 0] and few.shared.tolist() == [2, 2, 0]

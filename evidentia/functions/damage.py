@@ -46,11 +46,29 @@ def blocks(img, rng, size: int = 2):
     return np.where(mask if img.ndim == 2 else mask[..., None], coarse, img).astype(np.uint8), mask
 
 
-def bars(img, rng, count: int = 2, thickness: int = 1):
+def filled(img, mask, rng, fill: str = "black"):
+    """img with black, white, gray or noise where mask is."""
+    flat = {"black": 0, "white": 255, "gray": 128}
+    new = rng.integers(0, 256, img.shape) if fill == "noise" else flat[fill]
+    return np.where(mask if img.ndim == 2 else mask[..., None], new, img).astype(np.uint8)
+
+
+def bars(img, rng, count: int = 2, thickness: int = 1, vertical: bool = False, fill: str = "black"):
+    """Bars across the whole picture, at sorted random places."""
     mask = np.zeros(img.shape[:2], bool)
-    for y in np.sort(rng.integers(0, img.shape[0] - thickness + 1, count)):
-        mask[y : y + thickness] = True
-    return np.where(mask if img.ndim == 2 else mask[..., None], 0, img).astype(np.uint8), mask
+    lines = mask.T if vertical else mask
+    for at in np.sort(rng.integers(0, max(1, len(lines) - thickness + 1), count)):
+        lines[at : at + thickness] = True
+    return filled(img, mask, rng, fill), mask
+
+
+def combined(img, rng, halo: int = 10, sigma: float = 12.0):
+    """A filled rectangle with noise around it; the mask holds the rectangle only, so the noise is unmarked damage."""
+    mask = zone(img, rng)
+    near = kernels.dilate(mask, 2 * halo + 1)
+    loud = np.clip(img + rng.normal(0, sigma, img.shape), 0, 255)
+    noisy = np.where(near if img.ndim == 2 else near[..., None], loud, img).astype(np.uint8)
+    return filled(noisy, mask, rng), mask
 
 
 def scratches(img, rng, count: int = 2):
@@ -71,12 +89,22 @@ def dropout(img, rng, size: int = 4, ratio: float = 0.2):
     return np.where(mask if img.ndim == 2 else mask[..., None], 0, img).astype(np.uint8), mask
 
 
-def mixed(img, rng):
-    out, mask = bars(img, rng)
-    for step in (noise, blur):
-        out, more = step(out, rng)
+def mixed(img, rng, steps=(bars, noise, blur)):
+    """Several kinds of damage in turn; the mask is that of any of them."""
+    mask = np.zeros(img.shape[:2], bool)
+    for step in steps:
+        img, more = step(img, rng)
         mask |= more
-    return out, mask
+    return img, mask
+
+
+def imperfect(mask, rng, widen: int = 1, shrink: int = 0, noise_ratio: float = 0.01):
+    """mask as a poor detector would give it: grown and shrunk in 5 x 5 steps, then single pixels set and cleared at random."""
+    for n, change in ((widen, kernels.dilate), (shrink, kernels.erode)):
+        for _ in range(n):
+            mask = change(mask, 5)
+    dice = rng.random(mask.shape)
+    return (mask | (dice < noise_ratio)) & (dice <= 1 - noise_ratio)
 
 
-KINDS = {"rectangle_mask": rectangle, "noise": noise, "local_noise": salt_pepper, "local_blur": blur, "jpeg_block_artifacts": blocks, "multiple_bars": bars, "scratch_lines": scratches, "block_dropout": dropout, "mixed": mixed}
+KINDS = {"rectangle_mask": rectangle, "noise": noise, "local_noise": salt_pepper, "local_blur": blur, "jpeg_block_artifacts": blocks, "multiple_bars": bars, "scratch_lines": scratches, "block_dropout": dropout, "mixed": mixed, "combined": combined}

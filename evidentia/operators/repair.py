@@ -43,12 +43,17 @@ def each(pictures: DataFrame, f, schema: str) -> DataFrame:
     return pictures.mapInPandas(run, schema)
 
 
-def corrupt(pictures: DataFrame, kinds: list[str] | None = None, seed: int = 42) -> DataFrame:
-    """One row a picture and kind of damage: image_id, kind, data, mask, touched (pixels)."""
+def corrupt(pictures: DataFrame, kinds: list[str] | None = None, seed: int = 42, imperfect: bool = False) -> DataFrame:
+    """One row a picture and kind of damage: image_id, kind, data, mask, touched (pixels of the mask).
+
+    With imperfect set the mask is one that a poor detector would give.
+    """
 
     def f(row):
         for i, kind in enumerate(kinds or damage.KINDS):
             out, mask = damage.KINDS[kind](picture(row), seed_of(row.image_id, seed + i))
+            if imperfect:
+                mask = damage.imperfect(mask, seed_of(row.image_id, seed + i))
             yield row.image_id, kind, row.height, row.width, row.n_channels, row.data, out.tobytes(), mask.tobytes(), int(mask.sum())
 
     return each(pictures, f, "image_id string, kind string, height int, width int, n_channels int, original binary, data binary, mask binary, touched long")

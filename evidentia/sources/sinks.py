@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html import escape
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +36,18 @@ def current_status(events: DataFrame) -> DataFrame:
     return events.withColumn("__n", F.row_number().over(w)).where("__n = 1 and status <> 'deleted'").drop("__n")
 
 
+def escaped(x: Column) -> Column:
+    """Text that shows as itself in a page."""
+    for plain, shown in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        x = F.replace(x, F.lit(plain), F.lit(shown))
+    return x
+
+
 def html_rows(report: DataFrame, title: str) -> Column:
-    """A self-contained page per report row: its columns as a table, binary ones as embedded pictures."""
+    """A self-contained page per report row: its columns as a table, binary ones as embedded pictures, nulls as a dash."""
     cells = []
     for name, kind in report.dtypes:
-        shown = F.concat(F.lit("<img src='data:image/png;base64,"), F.base64(F.col(name)), F.lit("'>")) if kind == "binary" else F.coalesce(F.col(name).cast("string"), F.lit("—"))
-        cells.append(F.concat(F.lit(f"<tr><th>{name}</th><td>"), shown, F.lit("</td></tr>")))
-    return F.concat(F.lit(f"<!DOCTYPE html><title>{title}</title><table>"), *cells, F.lit("</table>"))
+        own = F.col(f"`{name}`")
+        shown = F.concat(F.lit("<img src='data:image/png;base64,"), F.base64(own), F.lit("'>")) if kind == "binary" else escaped(own.cast("string"))
+        cells.append(F.concat(F.lit(f"<tr><th>{escape(name)}</th><td>"), F.coalesce(shown, F.lit("—")), F.lit("</td></tr>")))
+    return F.concat(F.lit(f"<!DOCTYPE html><title>{escape(title)}</title><table>"), *cells, F.lit("</table>"))

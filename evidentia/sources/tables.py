@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +22,28 @@ def dumps(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return found.select(F.col("path").alias("dump_id"), "length", "content")
 
 
+def marker_offsets(spark: SparkSession, path: str, marker: bytes, glob: str = "*", size: int = 64 << 20) -> DataFrame:
+    """(dump_id, offset) of every place where marker starts, overlaps included, in files of any length.
+
+    A task reads a range of `size` bytes and as many behind it as a marker across its end needs; a marker belongs to the
+    range that it starts in. Files are opened by `pyarrow.fs`. Empty files hold none.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).where("length > 0")
+    ranges = found.select(F.col("path").alias("dump_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))).alias("start"))
+    look = re.compile(b"(?=" + re.escape(marker) + b")")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dump, start in batch.itertuples(index=False):
+                files, name = FileSystem.from_uri(quote(re.sub("^file:/+", "file:///", dump), safe="/:@"))
+                with files.open_input_file(name) as f:
+                    data = f.read_at(min(size + len(marker) - 1, f.size() - start), start)
+                at = [start + m.start() for m in look.finditer(data) if m.start() < size]
+                yield pd.DataFrame({"dump_id": dump, "offset": pd.Series(at, dtype="int64")})
+
+    return ranges.repartition("dump_id", "start").mapInPandas(scan, "dump_id string, offset long")
+
+
 def file_listing(spark: SparkSession, path: str, glob: str = "*", newest: int = 10) -> DataFrame:
     """Newest files first; contents aren't read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)

@@ -82,3 +82,17 @@ def test_files_logs_and_status(spark, tmp_path):
     assert [(r["analysis_id"], r["status"]) for r in sinks.current_status(events).collect()] == [("a", "completed")]
     page = spark.createDataFrame([("x", bytearray(b"12"))], "name string, picture binary")
     assert "base64,MTI=" in page.select(sinks.html_rows(page, "t")).first()[0]
+    odd = spark.createDataFrame([("<b>&'", None)], "`a.b` string, picture binary")
+    shown = odd.select(sinks.html_rows(odd, "<t>")).first()[0]
+    assert "&lt;b&gt;&amp;&#x27;" in shown and "<td>—</td>" in shown and "<title>&lt;t&gt;" in shown
+
+
+def test_marker_offsets_across_ranges(spark, tmp_path):
+    data = b"\xff\xff\xd8ab\xff\xd8\xff\xd8aaaa"
+    (tmp_path / "a b.bin").write_bytes(data)
+    (tmp_path / "empty.bin").write_bytes(b"")
+    for marker in (b"\xff\xd8", b"aa"):
+        want = [i for i in range(len(data)) if data.startswith(marker, i)]
+        for size in (1, 2, 3, 100):
+            got = tables.marker_offsets(spark, str(tmp_path), marker, size=size)
+            assert sorted(r["offset"] for r in got.collect()) == want

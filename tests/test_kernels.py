@@ -71,7 +71,30 @@ def test_damage_stays_in_its_mask_and_is_seeded(kind):
     g = gradient(32)
     one, mask = damage.KINDS[kind](g, np.random.default_rng(3))
     two, _ = damage.KINDS[kind](g, np.random.default_rng(3))
-    assert np.array_equal(one, two) and np.array_equal(one[~mask], g[~mask])
+    near = kernels.dilate(mask, 21) if kind == "combined" else mask
+    assert np.array_equal(one, two) and np.array_equal(one[~near], g[~near])
+
+
+def test_combined_damage_has_unmarked_noise():
+    g = np.full((40, 40), 120, np.uint8)
+    out, mask = damage.combined(g, np.random.default_rng(1))
+    assert not out[mask].any() and (out[~mask] != 120).any()
+
+
+def test_vertical_bars_and_fills():
+    g = gradient(32)
+    out, mask = damage.bars(g, np.random.default_rng(1), count=3, thickness=2, vertical=True, fill="white")
+    assert (mask == mask[0]).all() and 2 <= mask[0].sum() <= 6 and (out[mask] == 255).all()
+    noisy, _ = damage.bars(g, np.random.default_rng(1), fill="noise")
+    assert len(np.unique(noisy)) > 2
+
+
+def test_imperfect_masks():
+    mask = np.zeros((20, 20), bool)
+    mask[8:12, 8:12] = True
+    assert damage.imperfect(mask, np.random.default_rng(1), noise_ratio=0).sum() == 64
+    assert np.array_equal(damage.imperfect(mask, np.random.default_rng(1), shrink=1, noise_ratio=0), mask)
+    assert (damage.imperfect(mask, np.random.default_rng(1), widen=0, noise_ratio=0.05) != mask).any()
 
 
 def test_png_decodes_by_the_image_source(spark, tmp_path):

@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: A word is a maximal run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: For bytes.translate: A-Z to a-z, all else as it is.
+LOWER_ASCII = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Text bytes that a kernel turns into NumPy arrays at a time.
 CHUNK_BYTES = 2 << 20
 

@@ -68,7 +68,13 @@ def op10_warc(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages"), 0).drop("payload")
 
 
-QUERIES = {"op1_lines": op1_lines, "op2_toxicity": op2_toxicity, "op3_rules": op3_rules, "op4_suffixes": op4_suffixes, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op7_langid": op7_langid, "op8_passages": op8_passages, "op9_simhash": op9_simhash, "op10_warc": op10_warc}
+def op11_variants(spark, sf_dir):
+    from .variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_lines": op1_lines, "op2_toxicity": op2_toxicity, "op3_rules": op3_rules, "op4_suffixes": op4_suffixes, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op7_langid": op7_langid, "op8_passages": op8_passages, "op9_simhash": op9_simhash, "op10_warc": op10_warc, "op11_variants": op11_variants}
 
 #: Learned models, XXH64 fingerprints, Pareto ranks, similar passages and edit distances have no SQL; tests/llm holds
 #: these against brute force or held-out labels.
@@ -85,4 +91,17 @@ SELECT t.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed,
   list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, (i // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31) AS BIGINT), 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM (SELECT page_id, body, sha1(body) AS h, min(page_id) OVER (PARTITION BY body) AS first FROM (SELECT page_id, coalesce(html, '') AS body FROM pages) a) b""",
+    "op11_variants": """WITH k AS MATERIALIZED (SELECT list_transform(range(0, 256), lambda c: list_reduce(list_prepend(c, range(0, 8)), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS crc),
+r AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) q),
+c AS MATERIALIZED (SELECT run, n, hex(encode(id || ':' || run)) AS x FROM (SELECT id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY id, run) q),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda a, b: xor(a >> 8, crc[1 + xor(a % 256, b)]))) AS h FROM c, k),
+o AS (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM o WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM w) q),
+e AS MATERIALIZED (SELECT a.word, b.word AS other, b.n AS other_n FROM d a JOIN d b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.less = w.word UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.less = w.word),
+b AS MATERIALIZED (SELECT word, count(*) AS n_near, max(other_n) AS top FROM e GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * w.n THEN (SELECT min(other) FROM e WHERE e.word = w.word AND other_n = top) END AS form, CASE WHEN top >= 10 * w.n THEN top END AS form_n FROM w LEFT JOIN b ON w.word = b.word),
+s AS (WITH RECURSIVE s AS (SELECT word, word AS root FROM f UNION ALL SELECT s.word, f.form FROM s JOIN f ON s.root = f.word WHERE f.form IS NOT NULL) SELECT * FROM s)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT s.word, s.root FROM s JOIN f g ON s.root = g.word WHERE g.form IS NULL) t ON t.word = f.word""",
 }

@@ -74,7 +74,13 @@ def op11_variants(spark, sf_dir):
     return spelling_variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_lines": op1_lines, "op2_toxicity": op2_toxicity, "op3_rules": op3_rules, "op4_suffixes": op4_suffixes, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op7_langid": op7_langid, "op8_passages": op8_passages, "op9_simhash": op9_simhash, "op10_warc": op10_warc, "op11_variants": op11_variants}
+def op12_lines(spark, sf_dir):
+    from .linededup import line_digests
+
+    return line_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_lines": op1_lines, "op2_toxicity": op2_toxicity, "op3_rules": op3_rules, "op4_suffixes": op4_suffixes, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op7_langid": op7_langid, "op8_passages": op8_passages, "op9_simhash": op9_simhash, "op10_warc": op10_warc, "op11_variants": op11_variants, "op12_lines": op12_lines}
 
 #: Learned models, XXH64 fingerprints, Pareto ranks, similar passages and edit distances have no SQL; tests/llm holds
 #: these against brute force or held-out labels.
@@ -104,4 +110,10 @@ b AS MATERIALIZED (SELECT word, count(*) AS n_near, max(other_n) AS top FROM e G
 f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * w.n THEN (SELECT min(other) FROM e WHERE e.word = w.word AND other_n = top) END AS form, CASE WHEN top >= 10 * w.n THEN top END AS form_n FROM w LEFT JOIN b ON w.word = b.word),
 s AS (WITH RECURSIVE s AS (SELECT word, word AS root FROM f UNION ALL SELECT s.word, f.form FROM s JOIN f ON s.root = f.word WHERE f.form IS NOT NULL) SELECT * FROM s)
 SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT s.word, s.root FROM s JOIN f g ON s.root = g.word WHERE g.form IS NULL) t ON t.word = f.word""",
+    "op12_lines": """WITH t AS MATERIALIZED (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS MATERIALIZED (SELECT doc_id, i, lines[i] AS line, translate(trim(lines[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM t) q),
+k AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (keeper IS NOT NULL AND doc_id <> keeper) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR doc_id = keeper), '')) AS kept_sha256
+FROM l LEFT JOIN k ON l.key = k.key GROUP BY l.doc_id""",
 }

@@ -80,7 +80,13 @@ def op12_lines(spark, sf_dir):
     return line_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_lines": op1_lines, "op2_toxicity": op2_toxicity, "op3_rules": op3_rules, "op4_suffixes": op4_suffixes, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op7_langid": op7_langid, "op8_passages": op8_passages, "op9_simhash": op9_simhash, "op10_warc": op10_warc, "op11_variants": op11_variants, "op12_lines": op12_lines}
+def op13_divergence(spark, sf_dir):
+    from .divergence import source_divergence
+
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_lines": op1_lines, "op2_toxicity": op2_toxicity, "op3_rules": op3_rules, "op4_suffixes": op4_suffixes, "op5_mixing": op5_mixing, "op6_decontaminate": op6_decontaminate, "op7_langid": op7_langid, "op8_passages": op8_passages, "op9_simhash": op9_simhash, "op10_warc": op10_warc, "op11_variants": op11_variants, "op12_lines": op12_lines, "op13_divergence": op13_divergence}
 
 #: Learned models, XXH64 fingerprints, Pareto ranks, similar passages and edit distances have no SQL; tests/llm holds
 #: these against brute force or held-out labels.
@@ -116,4 +122,17 @@ k AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 20 GROUP BY
 SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (keeper IS NOT NULL AND doc_id <> keeper) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR doc_id = keeper), '')) AS kept_sha256
 FROM l LEFT JOIN k ON l.key = k.key GROUP BY l.doc_id""",
+    "op13_divergence": r"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS MATERIALIZED (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+v AS MATERIALIZED (SELECT lang, term, count(*) AS c FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+l AS MATERIALIZED (SELECT lang, count(*) AS v, sum(c) AS n FROM v GROUP BY lang),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT w.lang, source, w.term, count(*) AS c FROM w JOIN v ON w.lang = v.lang AND w.term = v.term GROUP BY w.lang, source, w.term),
+n AS MATERIALIZED (SELECT g.lang, g.source, coalesce(l.v, 0) AS v, coalesce(l.n, 0) AS ln, coalesce((SELECT sum(c) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0) AS n FROM g LEFT JOIN l ON g.lang = l.lang),
+p AS MATERIALIZED (SELECT n.lang, n.source, v.term, coalesce(c.c, 0) AS c, 1 + (1000000000 * CAST(coalesce(c.c, 0) + 1 AS HUGEINT)) // (n.n + n.v) AS p, 1 + (1000000000 * CAST(v.c + 1 AS HUGEINT)) // (n.ln + n.v) AS q
+  FROM n JOIN v ON n.lang = v.lang LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = v.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x) y WHERE part = 'pair' OR rank <= 200""",
 }

@@ -15,43 +15,43 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, chunks, settle
+from .common import LOWER_ASCII, chunks, parts, settle
 
 #: A term is a run of these bytes: letters A-Z of either case and all code points above 127.
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 #: Documents of a language that must hold a term, parts of a probability, terms told of a source.
 LEAST_DOCS, PARTS, TOP = 3, 1_000_000_000, 200
 #: Distinct (language, source, term) that a task holds before it hands their counts on.
-HELD = 500_000
+HELD = 600_000
 #: Sources of a language that meet in one tile of a term's posting list.
 TILE = 256
 
 
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, text) -> (lang, source, term, n, docs), summed over a task's documents as far as memory goes."""
-    n: Counter = Counter()
-    docs: Counter = Counter()
-
-    def flush() -> pa.RecordBatch:
-        lang, source, term = zip(*n, strict=True)
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([docs[k] for k in n], pa.int64())],
-            ["lang", "source", "term", "n", "docs"],
-        )
-        n.clear()
-        docs.clear()
-        return out
+    groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    held = 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in groups.items():
+            if n:
+                columns = [pa.repeat(lang, len(n)), pa.repeat(source, len(n)), pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in n], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+        groups.clear()
 
     for batch, data, ends in chunks(batches, "text"):
         low = data.tobytes().translate(LOWER_ASCII)
-        for i, (lang, source) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-            for term, times in Counter(TERM.findall(low[ends[i] : ends[i + 1]])).items():
-                n[lang, source, term] += times
-                docs[lang, source, term] += 1
-            if len(n) >= HELD:
-                yield flush()
-    if n:
-        yield flush()
+        for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            n, docs = groups.setdefault(key, (Counter(), Counter()))
+            held -= len(n)
+            terms = TERM.findall(low[ends[i] : ends[i + 1]])
+            n.update(terms)
+            docs.update(set(terms))
+            held += len(n)
+            if held >= HELD:
+                yield from flush()
+                held = 0
+    yield from flush()
 
 
 def exact_sum(x: Column) -> Column:
@@ -71,25 +71,25 @@ def gap(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def price_postings(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """groups (gid, lang, source, kept, p0), postings (gid, lang, term, n, p, p0) and terms (lang, term, q).
+def price_postings(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """groups (gid, lang, source, kept, p0) and postings (gid, lang, term, p, p0, q) of the terms kept.
 
     kept is the number of terms that the language keeps, p0 the price of an absent term, q a term's price in the language.
+    All that concerns a term of a language meets in one shuffle: its counts by source, its documents, its total.
     """
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(text("lang").alias("lang"), text("source").alias("source"), text("text").alias("text"))
     named = settle(rows.groupBy("lang", "source").agg(F.lit(1).alias("one")).select("lang", "source", F.monotonically_increasing_id().alias("gid")), "groups")
-    counted = rows.mapInArrow(count_terms, "lang string, source string, term string, n long, docs long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counted = settle(counted, "counts")
-    terms = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= LEAST_DOCS).drop("docs")
-    langs = settle(terms.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total")), "langs")
-    own = settle(counted.join(terms.select("lang", "term"), ["lang", "term"]).join(named, ["lang", "source"]).select("gid", "lang", "term", "n"), "postings")
-    groups = named.join(langs, "lang", "left").join(own.groupBy("gid").agg(F.sum("n").alias("total")), "gid", "left")
-    groups = groups.select("gid", "lang", "source", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("total", F.lit(0)).alias("total"))
+    counted = rows.mapInArrow(count_terms, "lang string, source string, term string, n long, docs long").repartition(parts(docs.sparkSession), "lang", "term")
+    counted = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of = Window.partitionBy("lang", "term")
+    counted = counted.withColumns({"held": F.sum("docs").over(of), "lang_n": F.sum("n").over(of), "first": F.row_number().over(of.orderBy("source")) == 1})
+    own = settle(counted.where(F.col("held") >= LEAST_DOCS).join(named, ["lang", "source"]).select("gid", "lang", "term", "n", "lang_n", "first"), "postings")
+    langs = own.where("first").groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
+    groups = named.join(langs, "lang", "left").join(own.groupBy("gid").agg(F.sum("n").alias("total")), "gid", "left").na.fill(0, ["kept", "lang_total", "total"])
     groups = settle(groups.withColumn("p0", price(F.lit(0), F.col("total"), F.col("kept"))), "priced")
-    postings = own.join(groups.select("gid", "kept", "total", "p0"), "gid").select("gid", "lang", "term", "n", price(F.col("n"), F.col("total"), F.col("kept")).alias("p"), "p0")
-    terms = terms.join(langs, "lang").select("lang", "term", price(F.col("lang_n"), F.col("lang_total"), F.col("kept")).alias("q"))
-    return groups, settle(postings, "prices"), terms
+    priced = own.join(groups.drop("lang", "source"), "gid").withColumns({"p": price(F.col("n"), F.col("total"), F.col("kept")), "q": price(F.col("lang_n"), F.col("lang_total"), F.col("kept"))})
+    return groups, settle(priced.select("gid", "lang", "term", "p", "p0", "q"), "prices")
 
 
 def pair_values(groups: DataFrame, postings: DataFrame) -> DataFrame:
@@ -108,11 +108,11 @@ def pair_values(groups: DataFrame, postings: DataFrame) -> DataFrame:
     tiles = groups.groupBy("lang").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     dealt = postings.join(tiles, "lang").withColumn("tile", F.pmod(F.xxhash64("gid"), F.col("tiles")).cast("int")).withColumn("meets", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     left = dealt.select("lang", "term", F.col("tile").alias("x"), F.col("meets").alias("y"), "gid", "p", "p0")
-    right = dealt.select("lang", "term", F.col("meets").alias("x"), F.col("tile").alias("y"), F.col("gid").alias("other"), F.col("p").alias("q"), F.col("p0").alias("q0"))
+    right = dealt.select("lang", "term", F.col("meets").alias("x"), F.col("tile").alias("y"), F.col("gid").alias("other"), F.col("p").alias("r"), F.col("p0").alias("r0"))
     met = left.join(right, ["lang", "term", "x", "y"]).where("gid < other")
-    turn = lambda p, p0, q, q0: gap(p, q) - gap(p, q0) - gap(p0, q) + gap(p0, q0)
-    c = {k: F.col(k) for k in ("p", "p0", "q", "q0")}
-    both = met.groupBy("gid", "other").agg(exact_sum(turn(c["p"], c["p0"], c["q"], c["q0"])).alias("there"), exact_sum(turn(c["q"], c["q0"], c["p"], c["p0"])).alias("back"))
+    turn = lambda p, p0, r, r0: gap(p, r) - gap(p, r0) - gap(p0, r) + gap(p0, r0)
+    c = {k: F.col(k) for k in ("p", "p0", "r", "r0")}
+    both = met.groupBy("gid", "other").agg(exact_sum(turn(c["p"], c["p0"], c["r"], c["r0"])).alias("there"), exact_sum(turn(c["r"], c["r0"], c["p"], c["p0"])).alias("back"))
     both = settle(both, "overlaps")
     both = both.select("gid", "other", F.col("there").alias("both")).unionByName(both.select(F.col("other").alias("gid"), F.col("gid").alias("other"), F.col("back").alias("both")))
     nothing = F.lit(0).cast("decimal(38,0)")
@@ -120,9 +120,9 @@ def pair_values(groups: DataFrame, postings: DataFrame) -> DataFrame:
     return pairs.join(alone, ["gid", "other"], "left").join(both, ["gid", "other"], "left").select("gid", "lang", "source", "item", value.cast("long").alias("value"))
 
 
-def term_values(groups: DataFrame, postings: DataFrame, terms: DataFrame) -> DataFrame:
+def term_values(groups: DataFrame, postings: DataFrame) -> DataFrame:
     """(gid, lang, source, item, value) for the terms that a source has more often than its language."""
-    more = postings.join(terms, ["lang", "term"]).where("p > q").select("gid", F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
+    more = postings.where("p > q").select("gid", F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
     return more.join(groups.select("gid", "lang", "source"), "gid").select("gid", "lang", "source", "item", "value")
 
 
@@ -136,9 +136,9 @@ def source_divergence(docs: DataFrame) -> DataFrame:
     then item. Null text, lang and source are empty ones; sources without terms are compared, too, by 0 where the language
     keeps no term; repeated rows count each; other columns are not read.
     """
-    groups, postings, terms = price_postings(docs)
+    groups, postings = price_postings(docs)
     order = Window.partitionBy("gid").orderBy(F.col("value").desc(), "item")
     rank = F.row_number().over(order)
     pairs = pair_values(groups, postings).withColumn("rank", rank).withColumn("part", F.lit("pair"))
-    words = term_values(groups, postings, terms).withColumn("rank", rank).where(F.col("rank") <= TOP).withColumn("part", F.lit("term"))
+    words = term_values(groups, postings).withColumn("rank", rank).where(F.col("rank") <= TOP).withColumn("part", F.lit("term"))
     return pairs.unionByName(words).select("lang", "source", "part", "item", "value", "rank")

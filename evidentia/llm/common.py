@@ -32,7 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settled_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/settled/{spark.sparkContext.applicationId}"
+    """This application's folder for tables and archives between steps; it goes with the application, or by clear()."""
+    folder = f"{shared_dir(spark).rstrip('/')}/settled/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return folder
 
 
 def settle(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -44,7 +50,7 @@ def settle(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete this application's settled tables; results that still read them must have been written before."""
+    """Delete this application's settled tables and archives; results that still read them must have been written before."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(settled_dir(spark))
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 

@@ -15,7 +15,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, shared_dir
+from .common import parts, settled_dir
 
 # Fixed values of the WARC format.
 MAGIC = b"\x1f\x8b\x08"
@@ -23,7 +23,12 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 VERSION = b"WARC/1.1"
 DATE = "2020-01-01T00:00:00Z"
 
+#: What a record's first bytes are, whatever its version.
+START = b"WARC/"
+
 BLOCK = 1 << 20
+#: Bytes of records that a task holds before it hands them on.
+HELD_BYTES = 4 << 20
 #: Tasks over which the pages with one payload are dealt, so that an error page of a million copies isn't one task's.
 SALTS = 16
 
@@ -117,65 +122,87 @@ def members(fs: pafs.FileSystem, path: str, start: int, end: int) -> Iterator[tu
 
 
 def inflate(f, at: int, size: int, begun: bytes) -> tuple[bytes | None, int]:
-    """Body of the member at `at` and the offset behind it; None unless it is whole and starts as a WARC record does."""
-    inflater, out, got, place = zlib.decompressobj(31), [], 0, at
+    """Body of the member at `at` and the offset behind it; None unless it is whole and starts as a WARC record does.
+
+    The first bytes are inflated alone, so a chance hit of the magic costs no more than them; the rest goes block by block.
+    """
+    inflater, place = zlib.decompressobj(31), at
     data = begun or f.read_at(min(BLOCK, size - at), at)
     try:
-        while True:
-            place += len(data)
+        place += len(data)
+        out = [inflater.decompress(data, len(START))]
+        data = inflater.unconsumed_tail
+        while len(out[0]) < len(START) and not inflater.eof and (data or place < size):
+            if not data:
+                data = f.read_at(min(BLOCK, size - place), place)
+                place += len(data)
+            out[0] += inflater.decompress(data, len(START) - len(out[0]))
+            data = inflater.unconsumed_tail
+        if out[0] != START:
+            return None, at
+        while not inflater.eof:
+            if not data:
+                if place >= size:
+                    return None, at
+                data = f.read_at(min(BLOCK, size - place), place)
+                place += len(data)
             out.append(inflater.decompress(data))
-            got += len(out[-1])
-            if got >= 5 and not b"".join(out)[:5] == b"WARC/" and len(out) == 1:
-                return None, at
-            if inflater.eof:
-                body = b"".join(out)
-                return (body if body[:5] == b"WARC/" else None), place - len(inflater.unused_data)
-            if place >= size:
-                return None, at
-            data = f.read_at(min(BLOCK, size - place), place)
+            data = b""
+        return b"".join(out), place - len(inflater.unused_data)
     except zlib.error:
         return None, at
 
 
+def row_of(head: bytes, block: bytes) -> dict:
+    """A row of SCHEMA from any record's header and block.
+
+    The payload of an HTTP message is what follows its header, of any other record the whole block. Where the header has no
+    digest it is computed, where there is no Content-Length in the message the payload's own length counts. Ids that
+    aren't those of pages, as in archives written elsewhere, are null.
+    """
+    field = {k.lower(): v for k, v in re.findall(r"\r\n([\w-]+):[ \t]*([^\r\n]*)", head.decode("utf-8", "replace"))}
+    kind = field.get("warc-type", "")
+    http, split, payload = block.partition(b"\r\n\r\n")
+    if not split or not field.get("content-type", "").startswith("application/http"):
+        http, payload = b"", block
+    ids = [re.fullmatch(r"<?urn:page:(-?\d+)>?", field.get(name, "").strip()) for name in ("warc-record-id", "warc-refers-to")]
+    length = re.search(rb"\r\nContent-Length:[ \t]*(\d+)", http, re.I)
+    digest = field.get("warc-payload-digest", "").removeprefix("sha1:") or sha1_base32(payload)
+    page, refers = (int(x[1]) if x else None for x in ids)
+    return {"page_id": page, "payload_bytes": int(length[1]) if length and kind == "revisit" else len(payload), "payload_digest": digest, "record_type": kind, "refers_to": refers, "payload": None if kind == "revisit" else payload}
+
+
 def read(spark: SparkSession, folder: str, range_bytes: int = 4 << 20) -> DataFrame:
-    """One row a record: page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits).
+    """One row a record of any type: page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits).
 
-    Archives are cut into ranges of range_bytes; the driver holds one row a range (path and two offsets), never a record.
-    Bytes that are no WARC member are skipped. An empty folder gives no rows.
+    The driver lists the archives; tasks cut them into ranges of range_bytes and deal those out. Bytes that are no WARC
+    member are skipped, whoever wrote them; records of other types and other writers come with null ids. A record is read
+    whole, of any length that fits a task. An empty folder gives no rows.
     """
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root, recursive=True)
-    files = [(x.path, x.size) for x in fs.get_file_info(pafs.FileSelector(root)) if x.is_file and os.path.basename(x.path).endswith(".warc.gz") and not os.path.basename(x.path).startswith(".")]
-    ranges = [(p, a, min(a + range_bytes, n)) for p, n in sorted(files) for a in range(0, n, range_bytes)]
+    files = [(x.path, x.size) for x in fs.get_file_info(pafs.FileSelector(root)) if x.is_file and x.size and os.path.basename(x.path).endswith(".warc.gz") and not os.path.basename(x.path).startswith(".")]
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = pafs.FileSystem.from_uri(folder)
-
-        def rows(batch):
-            for x in batch.to_pylist():
-                for head, block in members(store, x["path"], x["start"], x["end"]):
-                    field = dict(re.findall(r"\r\n([\w-]+): *([^\r\n]*)", head.decode()))
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    page = re.search(r"urn:page:(-?\d+)", field["WARC-Record-ID"])
-                    refers = re.search(r"urn:page:(-?\d+)", field.get("WARC-Refers-To", ""))
-                    full = int(re.search(rb"Content-Length: *(\d+)", http)[1])
-                    kind = field["WARC-Type"]
-                    yield {"page_id": int(page[1]) if page else None, "payload_bytes": full, "payload_digest": field["WARC-Payload-Digest"].removeprefix("sha1:"), "record_type": kind, "refers_to": int(refers[1]) if refers else None, "payload": payload if kind == "response" else None}
-
         for batch in batches:
             held, n = [], 0
-            for row in rows(batch):
-                held.append(row)
-                n += row["payload_bytes"]
-                if n >= 4 << 20:
-                    yield pa.RecordBatch.from_pylist(held, SCHEMA)
-                    held, n = [], 0
+            for x in batch.to_pylist():
+                for head, block in members(store, x["path"], x["start"], x["end"]):
+                    held.append(row_of(head, block))
+                    n += len(block)
+                    if n >= HELD_BYTES:
+                        yield pa.RecordBatch.from_pylist(held, SCHEMA)
+                        held, n = [], 0
             yield pa.RecordBatch.from_pylist(held, SCHEMA)
 
-    todo = spark.createDataFrame(ranges, "path string, start long, end long")
-    todo = todo.repartition(max(1, min(len(ranges), 16 * parts(spark))))
-    return todo.mapInArrow(run, schema)
+    total = sum(n for _, n in files)
+    listed = spark.createDataFrame(sorted(files), "path string, size long").repartition(max(1, min(len(files), parts(spark))))
+    step = F.lit(range_bytes)
+    ranges = listed.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, step.cast("long"))).alias("start"))
+    ranges = ranges.select("path", "start", F.least(F.col("start") + step, "size").alias("end"))
+    return ranges.repartition(max(1, min(total // range_bytes + len(files), 16 * parts(spark)))).mapInArrow(run, schema)
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
@@ -185,9 +212,10 @@ def round_trip(pages: DataFrame, least_bytes: int = 0, folder: str | None = None
     """Write pages (page_id, url, html) as archives and read them back, one row a page.
 
     Null html is an empty payload; a null page_id is kept and never referred to; of rows with equal page_id and payload
-    each is a record of the same type. Ties go to the smallest page_id.
+    each is a record of the same type. Ties go to the smallest page_id. Payloads may be as long as a task can hold; columns
+    beside those three are not read; an empty table gives no rows. Without a folder the archives are in settled_dir().
     """
     spark = pages.sparkSession
-    folder = folder or f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = folder or f"{settled_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, folder, least_bytes).agg(F.sum("records")).collect()
     return read(spark, folder)

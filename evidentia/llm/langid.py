@@ -181,16 +181,19 @@ def count_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, rows) -> Model:
-    """Fit on about FIT_DOCS whole documents a language among those where rows holds, chosen by hash of doc_id.
+    """Fit on about FIT_DOCS whole documents a language among those where rows holds, chosen by hash of doc_id and text.
 
-    They are counted where they lie; the driver gets a language's distinct codes, whose number the sample bounds.
+    The one of smallest hash is always among them, so a language with a row to learn from is learned, whatever its ids;
+    repeated rows count once. The codes are counted where the sample lies; the driver gets a language's distinct codes,
+    whose number the sample bounds. A language without such a row isn't in the model.
     """
-    known = docs.where(rows & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    share = [(r["lang"], cut_of(r["count"])) for r in known.groupBy("lang").count().collect()]
+    text = F.col("text").cast("string")
+    known = docs.where(rows & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), text), 1).alias("h"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
+    share = [(r["lang"], max(r["least"], cut_of(r["n"]))) for r in known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.min("h").alias("least")).collect()]
     if not share:
         return fit({})
     cuts = docs.sparkSession.createDataFrame(share, "lang string, cut long")
-    picked = known.join(F.broadcast(cuts) if len(share) <= BROADCAST_LANGS else cuts, "lang").where(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) <= F.col("cut")).select("lang", "text")
+    picked = known.join(F.broadcast(cuts) if len(share) <= BROADCAST_LANGS else cuts, "lang").where("h <= cut").groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
     found = picked.mapInArrow(count_codes, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     counts = {}
     for lang, _ in share:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, settle
+from .common import WORD, fresh_names, settle
 
 #: Bins of the Pareto rank in which the cut of a source is found before the one bin it falls into is sorted.
 BINS = 1024
@@ -41,7 +41,8 @@ MADE = ("size", "source_size", "target", "copies", "taken")
 def mix(docs: DataFrame, cap: int = 3, seed: int = 42, carry: bool = False) -> DataFrame:
     """One row a row of docs: doc_id, size, source_size, target, copies, taken (copies * size).
 
-    With carry the columns of docs come too, but for those named like these (a corpus to write, each row `copies` times).
+    With carry the columns of docs come first, unchanged (a corpus to write, each row `copies` times); where one is named
+    like a column made here, in any case, that one is named by MADE under fresh_names(docs, *MADE).
 
     A document's expected copies rise with its length class (1 + floor(log2(1 + size))), are at most cap, and sum to the
     source's target in words. The whole part is allocated outright. The fraction p is the inclusion probability of one more
@@ -101,5 +102,8 @@ def mix(docs: DataFrame, cap: int = 3, seed: int = 42, carry: bool = False) -> D
     more = placed.where(~F.col("chosen") & F.col("bin").isNotNull() & (gap < F.col("short"))).groupBy("source").agg(F.min(F.struct(gap.alias("gap"), "odds", "doc_id", "row")).alias("best"))
     more = settle(more.select("source", "best.row"), "more")
     out = placed.alias("r").join(more.alias("k"), by_source, "left")
-    own = [F.col(f"doc.`{c}`") for c in docs.columns if c.lower() not in MADE] if carry else ["doc_id"]
-    return out.select(*own, "r.size", "source_size", "target", (F.coalesce("whole", F.lit(0)) + F.coalesce(F.col("chosen") | (F.col("k.row") == F.col("r.row")), F.lit(False)).cast("long")).alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    own = [F.col(f"doc.`{c}`") for c in docs.columns] if carry else [F.col("doc_id")]
+    copies = F.coalesce("whole", F.lit(0)) + F.coalesce(F.col("chosen") | (F.col("k.row") == F.col("r.row")), F.lit(False)).cast("long")
+    made = F.col("r.size"), F.col("source_size"), F.col("target"), copies, copies * F.col("r.size")
+    names = fresh_names(docs, *MADE) if carry else MADE
+    return out.select(*own, *[x.alias(n) for x, n in zip(made, names, strict=True)])

@@ -18,8 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts have under ten words and go; without labels only the base limits count. doc_id, null or
     repeated, plays no part: each row is judged by its whole text.
     """
-    judged = rules.quality_rules(docs, common.table(spark, sf_dir, "labels"))
-    return judged.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rules.passing(docs, common.table(spark, sf_dir, "labels"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +33,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of fifty words or more that nearly repeat one of an earlier document.
 
-    A document with no word left goes. Rows with a null doc_id or text stay as they are, as do texts without a repeat.
+    A document with no word left goes. Rows without a doc_id come last, so they lose what they share with others. Null
+    texts stay as they are, as do those without a repeat.
     """
     return passages.without(docs, common.settle(passages.repeated_passages(docs), "passages"))
 
@@ -45,11 +45,12 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, all their columns, with the copies to take of each.
+    """The documents of the mix, all their columns as they are, with the copies to take of each.
 
     Null and wordless texts have no size and are never taken; a null source is a source.
     """
-    return mixing.mix(docs, carry=True).where(F.col("copies") > 0)
+    copies = common.fresh_names(docs, *mixing.MADE)[mixing.MADE.index("copies")]
+    return mixing.mix(docs, carry=True).where(F.col(copies) > 0)
 
 
 STAGES = [
@@ -70,3 +71,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         docs = common.settle(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def write(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """run() to a Parquet table at path; then the tables between the stages are deleted."""
+    run(spark, sf_dir).write.parquet(path)
+    common.clear(spark)

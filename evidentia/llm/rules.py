@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, let, settle
+from .common import fold, fresh_names, let, settle
 
 WINDOW = 5
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -72,21 +72,14 @@ def measures(text: Column) -> Column:
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_upper", "n_shouts", "n_lines")
+MEASURES = ("symbols_per_char", "upper_per_char", "shouts_per_word", "chars_per_word", "repeated_share", "distinct_share", "same_lines_share", "words")
 
 
-def ratios() -> dict[str, Column]:
-    """What the conditions are on, from the counts."""
-    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
-    return {
-        "symbols_per_char": F.col("n_symbols") / chars,
-        "upper_per_char": F.col("n_upper") / chars,
-        "shouts_per_word": F.col("n_shouts") / words,
-        "chars_per_word": F.col("word_chars") / words,
-        "repeated_share": F.col("n_repeat_words") / words,
-        "distinct_share": F.col("n_distinct") / words,
-        "same_lines_share": F.col("n_dup_lines") / F.col("n_lines"),
-        "words": F.col("n_words").cast("double"),
-    }
+def ratios(m: Column) -> list[Column]:
+    """MEASURES, what the conditions are on, from the struct of counts."""
+    words, chars = F.greatest(m["n_words"], F.lit(1)), F.greatest(m["word_chars"], F.lit(1))
+    shares = (m["n_symbols"] / chars, m["n_upper"] / chars, m["n_shouts"] / words, m["word_chars"] / words, m["n_repeat_words"] / words, m["n_distinct"] / words, m["n_dup_lines"] / m["n_lines"])
+    return [x.alias(n) for n, x in zip(MEASURES, (*shares, m["n_words"].cast("double")), strict=True)]
 
 
 @dataclass(frozen=True)
@@ -95,17 +88,17 @@ class Condition:
     above: bool
     cut: float
 
-    def column(self) -> Column:
-        return F.col(self.measure) > self.cut if self.above else F.col(self.measure) <= self.cut
+    def column(self, r: Column) -> Column:
+        return r[self.measure] > self.cut if self.above else r[self.measure] <= self.cut
 
     def __str__(self) -> str:
         return f"{self.measure} {'>' if self.above else '<='} {self.cut:.6g}"
 
 
-def both(conditions: list[Condition]) -> Column:
+def both(conditions: list[Condition], r: Column) -> Column:
     out = F.lit(True)
     for c in conditions:
-        out = out & c.column()
+        out = out & c.column(r)
     return out
 
 
@@ -117,7 +110,7 @@ def fit(rows: DataFrame) -> list[list[Condition]]:
     gain on growing rows, loses its last conditions while that doesn't lower its precision on the others, and is kept if
     it meets PRECISION and COVER there.
     """
-    names = list(ratios())
+    names = MEASURES
     at = [(i + 0.5) / CUTS for i in range(CUTS)]
     found = rows.agg(*[F.percentile_approx(n, at, 2000).alias(n) for n in names], *[F.percentile_approx(F.when(F.col("bad"), F.col(n)), at, 2000).alias(f"{n}_bad") for n in names]).first()
     cuts = {n: sorted(set(found[n] or []) | set(found[f"{n}_bad"] or [])) for n in names}
@@ -178,30 +171,47 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Counts of at most FIT_ROWS labelled documents with bad and growing; a document labelled both ways is bad."""
     picked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") == 0).alias("bad")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text")).join(F.broadcast(picked), "doc_id")
-    rows = own.select("doc_id", "bad", (fold(F.col("doc_id"), 3) != 0).alias("growing"), measures(F.col("text")).alias("m")).select("doc_id", "bad", "growing", "m.*")
-    return rows.withColumns(ratios())
+    rows = own.select("doc_id", "bad", (fold(F.col("doc_id"), 3) != 0).alias("growing"), measures(F.col("text")).alias("m"))
+    return rows.select("doc_id", "bad", "growing", *ratios(F.col("m")))
+
+
+MADE = (*COUNTS, "base_failed", "rule", "kept")
+
+
+def verdict(text: Column, rules: list[list[Condition]]) -> Column:
+    """Struct of MADE for a text: the counts, whether it fails the base limits, the first rule met (or null), kept."""
+
+    def of(m: Column, r: Column) -> Column:
+        rule = F.lit(None).cast("int")
+        for i, conditions in reversed(list(enumerate(rules, 1))):
+            rule = F.when(both(conditions, r), F.lit(i)).otherwise(rule)
+        failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+        return F.struct(*[m[c].alias(c) for c in COUNTS], failed.alias("base_failed"), rule.alias("rule"), (~failed & rule.isNull()).alias("kept"))
+
+    return let(measures(text), lambda m: let(F.struct(*ratios(m)), lambda r: of(m, r)))
 
 
 def judge(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
     """docs' columns plus the counts, base_failed, rule (number of the first rule met, null if none) and kept.
 
-    Columns of docs that are named like these are replaced. Null and empty texts fail the base limits; extra columns pass
-    through; rows are judged each for itself, so repeated rows agree.
+    Columns of docs that are named like these, in any case, are replaced. Null and empty texts fail the base limits; extra
+    columns pass through; rows are judged each for itself, so repeated rows agree; an empty table gives none.
     """
-    made = [*COUNTS, "base_failed", "rule", "kept"]
-    own = [c for c in docs.columns if c not in made]
-    rows = docs.select(*[F.col(f"`{c}`") for c in own], measures(docs["text"]).alias("__m")).select(*[F.col(f"`{c}`") for c in own], "__m.*")
-    clash = [c for c in own if c in ratios()]
-    inner = rows.withColumnsRenamed({c: f"__own_{c}" for c in clash}).withColumns(ratios())
-    verdict = F.lit(None).cast("int")
-    for i, r in reversed(list(enumerate(rules, 1))):
-        verdict = F.when(both(r), F.lit(i)).otherwise(verdict)
-    out = inner.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).withColumn("rule", verdict)
-    out = out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()).drop(*ratios())
-    return out.withColumnsRenamed({f"__own_{c}": c for c in clash})
+    (found,) = fresh_names(docs, "verdict")
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in MADE]
+    return docs.select(*own, verdict(docs["text"], rules).alias(found)).select(*own, f"{found}.*")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Fit on the labelled rows and judge every document. Without labels there are no rules beyond the base limits."""
-    rows = settle(sample(docs, labels), "counts")
-    return judge(docs, fit(rows))
+    """judge() all of docs by the rules fitted on those labelled.
+
+    Without labels there are no rules beyond the base limits; labels of null or unknown doc_ids are left out, a doc_id
+    labelled both ways is bad, texts under a repeated doc_id share its label.
+    """
+    return judge(docs, fit(settle(sample(docs, labels), "counts")))
+
+
+def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with all their columns, whatever their names."""
+    rules = fit(settle(sample(docs, labels), "counts"))
+    return docs.where(verdict(docs["text"], rules)["kept"])

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -162,6 +163,16 @@ def test_languages_in_other_scripts_and_long_texts(spark):
     assert np.mean([p == t for p, t, h in out if h]) > 0.95
 
 
+def test_languages_whose_rows_share_an_id_are_learned(spark):
+    rng = random.Random(5)
+    words = {"de": "der die das und nicht ist mit von auch sich", "en": "the and that with have this from they will would", "nl": "het een van dat niet zijn met voor maar ook"}
+    text = lambda lang: " ".join(rng.choices(words[lang].split(), k=12))
+    for shared in (0, 3, 4, 9, 12):  # learnable ids of any hash
+        rows = [(shared, text("de"), "de") for _ in range(1300)] + [(shared, "het een van dat", "nl")] * 900 + [(i, text("en"), "en") for i in range(1000, 1900)] + [(None, text("nl"), "nl")]
+        got = langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where(f"doc_id = {shared}").groupBy("lang_pred").count().collect()
+        assert {r["lang_pred"]: r["count"] for r in got} == ({"en": 2200} if zlib.crc32(b"%d" % shared) % 4 == 2 else {"de": 1300, "nl": 900})
+
+
 def test_the_sample_of_a_language_never_vanishes():
     for n in (1, 600, 10**6, 629_145_600, 10**9, 10**13):
         assert 0.99 * min(1, langid.FIT_DOCS / n) <= langid.cut_of(n) / (1 << 63) <= 1.01 * min(1, langid.FIT_DOCS / n)

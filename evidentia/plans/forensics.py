@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import grid
 from ..sources.tables import raster, table
 from .book import K, for_duckdb, on_spark
 
@@ -128,22 +129,30 @@ def header_verdict(content: Column, formats: tuple[str, ...] = ("JPEG",)) -> Dat
 # ---- relations ----
 
 
-def ssim(pixels: DataFrame, keys: list[str], a: str, b: str, window: int = SSIM_WINDOW) -> DataFrame:
-    """keys, ssim: mean structural similarity of columns a and b of a pixel relation (y and x from 0), uniform windows.
+def ssims(pixels: DataFrame, keys: list[str], window: int = SSIM_WINDOW, **pairs: tuple[str, str]) -> DataFrame:
+    """keys and, for each name in pairs, the mean structural similarity of its two columns; uniform windows, in one pass.
 
-    Each pixel goes to the centres of the windows it lies in; partial sums are combined before they are shuffled.
-    Pictures smaller than a window have no row.
+    pixels: keys, y, x and the columns, whole rectangles. Sums over windows are differences of running sums. Pictures smaller
+    than a window have no row.
     """
-    k, n = window // 2, window * window
-    edge = pixels.groupBy(*keys).agg((F.max("y") + 1).alias("_height"), (F.max("x") + 1).alias("_width")).where(f"_height >= {window} and _width >= {window}")
-    spread = lambda at, size: F.explode(F.sequence(F.greatest(F.lit(k), F.col(at) - k).cast("long"), F.least(F.col(size) - k - 1, F.col(at) + k).cast("long")))
-    rows = pixels.join(edge, keys).withColumn("_cy", spread("y", "_height")).withColumn("_cx", spread("x", "_width"))
-    p, q = F.col(a).cast("double"), F.col(b).cast("double")
-    at = rows.groupBy(*keys, "_cy", "_cx").agg(F.avg(p).alias("ua"), F.avg(q).alias("ub"), F.avg(p * p).alias("aa"), F.avg(q * q).alias("bb"), F.avg(p * q).alias("ab"))
+    n = window * window
+    used = sorted({c for pair in pairs.values() for c in pair})
+    value = {c: F.col(c).cast("double") for c in used}
+    sums = {f"_{c}": value[c] for c in used} | {f"_{c}_{c}": value[c] * value[c] for c in used} | {f"_{a}_{b}": value[a] * value[b] for a, b in pairs.values()} | {"_n": F.lit(1)}
+    rows = grid.box_sums(pixels.select(*keys, "y", "x", *used), keys, window // 2, **sums).where(F.col("_n") == n)
     f, c1, c2 = n / (n - 1), (0.01 * 255) ** 2, (0.03 * 255) ** 2
-    va, vb, cov = f * (F.col("aa") - F.col("ua") ** 2), f * (F.col("bb") - F.col("ub") ** 2), f * (F.col("ab") - F.col("ua") * F.col("ub"))
-    value = (2 * F.col("ua") * F.col("ub") + c1) * (2 * cov + c2) / ((F.col("ua") ** 2 + F.col("ub") ** 2 + c1) * (va + vb + c2))
-    return at.groupBy(*keys).agg(F.avg(value).alias("ssim"))
+    mean = lambda *c: F.col("_" + "_".join(c)) / n
+
+    def at(a: str, b: str) -> Column:
+        va, vb, cov = (f * (mean(x, y) - mean(x) * mean(y)) for x, y in ((a, a), (b, b), (a, b)))
+        return (2 * mean(a) * mean(b) + c1) * (2 * cov + c2) / ((mean(a) * mean(a) + mean(b) * mean(b) + c1) * (va + vb + c2))
+
+    return rows.groupBy(*keys).agg(*[F.avg(at(*pair)).alias(name) for name, pair in pairs.items()])
+
+
+def ssim(pixels: DataFrame, keys: list[str], a: str, b: str, window: int = SSIM_WINDOW) -> DataFrame:
+    """keys, ssim of the columns a and b."""
+    return ssims(pixels, keys, window, ssim=(a, b))
 
 
 def decibels(mse: Column) -> Column:
@@ -165,8 +174,8 @@ def supervised(pixels: DataFrame, keys: list[str]) -> DataFrame:
     box = pixels.join(base.select(*keys, "y0", "y1", "x0", "x1"), keys).where(f"y between y0 - {PAD} and y1 + {PAD} and x between x0 - {PAD} and x1 + {PAD}")
     low = box.groupBy(*keys).agg(F.min("y").alias("ly"), F.min("x").alias("lx"), F.greatest(F.lit(0.0), 1 - F.sqrt(F.avg(sq("w", "o"))) / 255).alias("zone_rmse"))
     crop = box.join(low.select(*keys, "ly", "lx"), keys).withColumn("y", F.col("y") - F.col("ly")).withColumn("x", F.col("x") - F.col("lx"))
-    rows = base.join(ssim(pixels, keys, "o", "w"), keys, "left").join(ssim(pixels, keys, "o", "d").withColumnRenamed("ssim", "ssim_d"), keys, "left")
-    rows = rows.join(ssim(crop, keys, "o", "w").withColumnRenamed("ssim", "zone"), keys, "left").join(low.select(*keys, "zone_rmse"), keys, "left")
+    rows = base.join(ssims(pixels, keys, ssim=("o", "w"), ssim_d=("o", "d")), keys, "left")
+    rows = rows.join(ssims(crop, keys, zone=("o", "w")), keys, "left").join(low.select(*keys, "zone_rmse"), keys, "left")
     rows = rows.withColumns({"psnr": decibels(F.col("mse")), "psnr_d": decibels(F.col("mse_d")), "zone_ssim": F.coalesce("zone", "zone_rmse")})
     rows = rows.withColumns({"gain_psnr": F.col("psnr") - F.col("psnr_d"), "gain_ssim": F.col("ssim") - F.col("ssim_d")})
     weight = F.greatest(F.lit(0.3), F.lit(0.8) - F.col("coverage") * 2)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the file formats.
@@ -97,3 +97,25 @@ def upload_verdict(name: Column, content: Column) -> Column:
     suffix = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
     magic = F.when(suffix == ".png", at(content, 0, 8) == F.lit(PNG_START)).otherwise(at(content, 0, 3) == F.lit(b"\xff\xd8\xff"))
     return F.when(~suffix.isin(".jpg", ".jpeg", ".png"), "bad_suffix").when(content.isNull() | (F.octet_length(content) == 0), "empty").when(F.octet_length(content) > 20 << 20, "too_large").when(~magic, "bad_magic").otherwise("ok")
+
+
+class MarkerPlaces:
+    """Table function (content, marker) -> offset: places where marker starts, overlaps included; none for nulls or an empty marker."""
+
+    def eval(self, content: bytes | None, marker: bytes | None):
+        at = bytes(content).find(bytes(marker)) if content and marker else -1
+        while at >= 0:
+            yield (at,)
+            at = bytes(content).find(bytes(marker), at + 1)
+
+
+def register(spark: SparkSession) -> None:
+    """Make marker_places known to SQL, for LATERAL joins."""
+    spark.udtf.register("marker_places", F.udtf(MarkerPlaces, returnType="offset: long", useArrow=True))
+
+
+def places(dumps: DataFrame, marker: bytes) -> DataFrame:
+    """(dump_id, offset) of marker in dumps (dump_id, content), by the table function."""
+    register(dumps.sparkSession)
+    rows = dumps.select("dump_id", "content", F.lit(marker).alias("marker"))
+    return rows.sparkSession.sql("SELECT d.dump_id, o.offset FROM {dumps} d, LATERAL marker_places(d.content, d.marker) o", dumps=rows)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .settled import settled
+
 
 def continuity(a: bytes, b: bytes, reach: int = 64, window: int = 32) -> float:
     """How well b goes on where a ends: alike edges, shared windows, like sizes."""
@@ -55,7 +57,7 @@ def clusters(vectors: DataFrame, eps: float = 0.3, least: int = 2) -> DataFrame:
     near = a.select("vec_id", "u", F.explode(steps).alias("s"), "cell").select(F.col("vec_id").alias("id_b"), F.col("u").alias("w"), F.zip_with("cell", "s", lambda c, s: c + s).alias("cell"))
     dot = F.aggregate(F.zip_with("u", "w", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
     pairs = a.join(near, "cell").where((F.col("vec_id") != F.col("id_b")) & (1 - dot <= eps)).select("vec_id", "id_b")
-    pairs = pairs.checkpoint() if vectors.sparkSession.sparkContext.getCheckpointDir() else pairs.cache()
+    pairs = settled(pairs)
     core = pairs.groupBy("vec_id").count().where(F.col("count") + 1 >= least).select("vec_id")
     links = pairs.join(core, "vec_id").join(core.select(F.col("vec_id").alias("id_b")), "id_b", "left_semi")
     label = core.withColumn("cluster", F.col("vec_id"))
@@ -63,7 +65,7 @@ def clusters(vectors: DataFrame, eps: float = 0.3, least: int = 2) -> DataFrame:
     while changed:
         low = links.join(label.select(F.col("vec_id").alias("id_b"), F.col("cluster").alias("c")), "id_b").groupBy("vec_id").agg(F.min("c").alias("c"))
         new = label.join(low, "vec_id", "left").select("vec_id", F.least("cluster", F.coalesce("c", "cluster")).alias("cluster"), F.col("cluster").alias("was"))
-        new = new.checkpoint() if vectors.sparkSession.sparkContext.getCheckpointDir() else new.cache()
+        new = settled(new)
         changed = new.where("cluster <> was").count()
         label = new.select("vec_id", "cluster")
     border = pairs.join(label.select(F.col("vec_id").alias("id_b"), "cluster"), "id_b").groupBy("vec_id").agg(F.min("cluster").alias("near"))

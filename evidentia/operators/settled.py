@@ -4,23 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and read back from the checkpoint folder, which outlives any executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or what the context was given.
 
-    The folder is the one in spark.checkpoint.dir or set on the context; a local session without one gets a temporary one,
-    a cluster without one is refused.
+    A local session without one gets a temporary one, a cluster without one is refused.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(folder or f"{tempfile.gettempdir()}/checkpoints")
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and read back from the shared folder, which outlives any executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

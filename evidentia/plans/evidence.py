@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import carve, grid, matching, ranged
+from ..operators.settled import shared_folder
 from ..sources.tables import raster, table
+from ..streaming import heartbeat, progress, store
 from . import forensics
 
 # ---- descriptors ----
@@ -134,6 +138,47 @@ n AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY imag
 mu AS MATERIALIZED (SELECT a.image_id, a.point_id, a.other_id, a.distance FROM n a JOIN n b ON a.image_id = b.image_id AND a.other_id = b.point_id AND b.other_id = a.point_id WHERE a.point_id < a.other_id)"""
 STRONG_SQL = f"{MUTUAL_SQL}, sm AS MATERIALIZED (SELECT mu.image_id, mu.point_id, mu.other_id, mu.distance, sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS pixels FROM mu JOIN p a ON a.image_id = mu.image_id AND a.point_id = mu.point_id JOIN p b ON b.image_id = mu.image_id AND b.point_id = mu.other_id WHERE mu.distance < 12.5 AND (a.y - b.y) ** 2 + (a.x - b.x) ** 2 >= 100)"
 
+# ---- streams ----
+
+
+def stream_heartbeat(spark, sf_dir):
+    """Hourly beats of the strategies that clicks and views open, until the user's next event; the watermark is a day behind."""
+    events = progress.event_stream(spark, sf_dir)
+    family = F.when(F.col("event_type") == "click", "criminisi").when(F.col("event_type") == "view", "patchmatch")
+    rows = events.select(F.col("user_id").alias("task"), "ts", F.col("event_id").alias("seq"), family.alias("family"))
+    return progress.drained(heartbeat.beating(rows, "1 day", 3600), "append")
+
+
+def status_events(events: DataFrame) -> DataFrame:
+    """Seven events in a row are those of an analysis; the first creates it."""
+    e = F.col("event_id")
+    status = F.when(F.col("event_type") == "view", "running").when(F.col("event_type") == "purchase", "completed").when((F.col("event_type") == "error") & (e % 3 == 0), "failed")
+    kind = F.when(e % 7 == 0, "created").when(e % 17 == 0, "deleted").when(e % 13 == 0, "file").when(e % 11 == 0, "progress").when(status.isNotNull(), "status").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "signup", "progress").otherwise("strategy_completed")
+    key = F.when(kind == "strategy_completed", F.concat(F.lit("s"), e % 5)).otherwise(F.concat(F.lit("k"), e % 3))
+    return events.select(F.concat(F.lit("a"), F.floor(e / 7)).alias("analysis_id"), "ts", e.alias("seq"), kind.alias("kind"), status.alias("status"), key.alias("key"), F.concat(F.lit("v"), e).alias("value"), F.col("value").alias("score"), (e % 10).cast("double").alias("elapsed_s"))
+
+
+def status_store(spark, sf_dir):
+    """The store after a stream of status events: state, progress, files and the strategies completed of each analysis left."""
+    folder = f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    rows = status_events(progress.event_stream(spark, sf_dir))
+    rows.writeStream.foreachBatch(store.upserts(f"{folder}/store")).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    last = F.element_at("strategy_completed_events", -1)
+    text = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda x: F.concat(x["key"], F.lit("="), x["value"]))), ",")
+    done = F.size("strategy_completed_events")
+    return store.read(spark, f"{folder}/store").select("analysis_id", "status", "request", "error", text("files").alias("files"), text("progress").alias("progress"), done.cast("long").alias("strategies_completed"), F.when(done > 0, last["strategy"]).alias("last_strategy"), F.when(done > 0, last["score"]).alias("last_score"), "refused")
+
+
+# ---- table functions ----
+
+
+def offsets_udtf(spark, sf_dir):
+    """Places of a tag in pages by a table function, laterally for each page."""
+    carve.register(spark)
+    table(spark, sf_dir, "pages").select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content")).createOrReplaceTempView("evidentia_page_bytes")
+    return spark.sql("SELECT p.page_id, o.offset FROM evidentia_page_bytes p, LATERAL marker_places(p.content, CAST('<p>' AS BINARY)) o")
+
+
 PX = "px AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, CAST(CASE WHEN hi > lo THEN floor((e - lo) / (hi - lo) * 255) ELSE 0 END AS BIGINT) AS v FROM (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS e, CAST(list_min(embedding) AS DOUBLE) AS lo, CAST(list_max(embedding) AS DOUBLE) AS hi FROM embeddings) q)"
 
 
@@ -170,7 +215,7 @@ h0 AS MATERIALIZED (SELECT nb.image_id, y, x, CAST(v < greatest(8, least(30, CAS
 {morph_sql('h1', 'h0', 2, 'min')}, {morph_sql('h2', 'h1', 2, 'max')}, {morph_sql('h3', 'h2', 2, 'max')}, {morph_sql('h4', 'h3', 2, 'max')}, {morph_sql('h5', 'h4', 2, 'min')}, {morph_sql('h6', 'h5', 2, 'min')},
 {parts_sql('hp', 'h6')}, hs AS (SELECT image_id, label FROM hp GROUP BY ALL HAVING count(*) BETWEEN 200 AND 2457), hit AS MATERIALIZED (SELECT hp.image_id, y, x FROM hp JOIN hs ON hp.image_id = hs.image_id AND hp.label = hs.label)"""
 
-QUERIES = {f.__name__: f for f in (knn_mutual, copy_move_matches, copy_move_points, match_groups, ranged_segments, variance_11, component_areas, mask_morphology, detect_damage, detect_advanced, zone_score)}
+QUERIES = {f.__name__: f for f in (knn_mutual, copy_move_matches, copy_move_points, match_groups, ranged_segments, variance_11, component_areas, mask_morphology, detect_damage, detect_advanced, zone_score, stream_heartbeat, status_store, offsets_udtf)}
 
 ORACLES = {
     "knn_mutual": f"WITH {MUTUAL_SQL} SELECT image_id, point_id, other_id, distance FROM mu",
@@ -209,4 +254,17 @@ e AS (SELECT image_id, strategy, avg((w - o) ** 2) AS m, avg((d - o) ** 2) AS md
 q AS (SELECT e.image_id, e.strategy, s, sd, z, mi, mo, mod, greatest(0.3e0, 0.8e0 - 2 * cov) AS k, CASE WHEN m = 0 THEN 100e0 ELSE 10 * log10(65025 / m) END AS p, CASE WHEN md = 0 THEN 100e0 ELSE 10 * log10(65025 / md) END AS pd FROM e JOIN t ON e.image_id = t.image_id AND e.strategy = t.strategy)
 SELECT image_id, strategy, round(least(100, greatest(0, 60 * ((1 - k) * s + k * z) + p / 5 + 30 * greatest(0, s - sd) + greatest(0, p - pd) / 5)), 5) AS score, round(p, 5) AS psnr, round(s, 5) AS ssim, round(z, 5) AS zone_ssim, round(p - pd, 5) AS gain_psnr, round(s - sd, 5) AS gain_ssim,
 round(100 * greatest(0, 1 - sqrt(mi) / 255), 5) AS mask_region_score, round(100 * greatest(0, 1 - mo / 65025), 5) AS outside_score, round(greatest(0, 1 - mo / greatest(mod, 1e-6)), 5) AS outside_preservation FROM q""",
+    "stream_heartbeat": """WITH e AS (SELECT user_id AS task, ts AS started, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt, CASE event_type WHEN 'click' THEN 'criminisi' WHEN 'view' THEN 'patchmatch' END AS family FROM events),
+n AS (SELECT task, started, family, CASE WHEN nxt IS NULL THEN (SELECT epoch_ms(max(ts)) - 86400000 FROM events) * 1000 ELSE epoch_us(nxt) - 1 END - epoch_us(started) AS open FROM e WHERE family IS NOT NULL)
+SELECT task, family, started, beat, beat * 3600e0 AS elapsed_s FROM (SELECT task, family, started, unnest(range(1, greatest(0, open) // 3600000000 + 1)) AS beat FROM n) b""",
+    "status_store": """WITH RECURSIVE k AS MATERIALIZED (SELECT event_id // 7 AS a, event_id AS e, value, CASE WHEN event_id % 7 = 0 THEN 'created' WHEN event_id % 17 = 0 THEN 'deleted' WHEN event_id % 13 = 0 THEN 'file' WHEN event_id % 11 = 0 THEN 'progress' WHEN event_type = 'view' THEN 'running' WHEN event_type = 'purchase' THEN 'completed'
+  WHEN event_type = 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'error' END WHEN event_type = 'signup' THEN 'progress' ELSE 'done' END AS kind FROM events),
+w AS (SELECT a, e, true AS alive, 'pending' AS status, 'v' || e AS request, CAST(NULL AS VARCHAR) AS error, CAST([] AS VARCHAR[]) AS files, CAST([] AS VARCHAR[]) AS progress, 0 AS n, CAST(NULL AS VARCHAR) AS last, CAST(NULL AS DOUBLE) AS score, 0 AS refused FROM k WHERE kind = 'created'
+UNION ALL SELECT w.a, k.e, w.alive AND k.kind <> 'deleted', CASE WHEN w.alive AND ((w.status = 'pending' AND k.kind IN ('running', 'failed')) OR (w.status = 'running' AND k.kind IN ('completed', 'failed'))) THEN k.kind ELSE w.status END, w.request, CASE WHEN w.alive AND k.kind = 'error' THEN 'v' || k.e ELSE w.error END,
+  CASE WHEN w.alive AND k.kind = 'file' THEN list_append(list_filter(w.files, lambda f: f NOT LIKE 'k' || (k.e % 3) || '=%'), 'k' || (k.e % 3) || '=v' || k.e) ELSE w.files END, CASE WHEN w.alive AND k.kind = 'progress' THEN list_append(list_filter(w.progress, lambda f: f NOT LIKE 'k' || (k.e % 3) || '=%'), 'k' || (k.e % 3) || '=v' || k.e) ELSE w.progress END,
+  w.n + CASE WHEN w.alive AND k.kind = 'done' THEN 1 ELSE 0 END, CASE WHEN w.alive AND k.kind = 'done' THEN 's' || (k.e % 5) ELSE w.last END, CASE WHEN w.alive AND k.kind = 'done' THEN k.value ELSE w.score END,
+  w.refused + CASE WHEN NOT w.alive OR (k.kind = 'running' AND w.status <> 'pending') OR (k.kind = 'completed' AND w.status <> 'running') OR (k.kind = 'failed' AND w.status NOT IN ('pending', 'running')) THEN 1 ELSE 0 END FROM w JOIN k ON k.a = w.a AND k.e = w.e + 1)
+SELECT 'a' || a AS analysis_id, status, request, error, array_to_string(list_sort(files), ',') AS files, array_to_string(list_sort(progress), ',') AS progress, CAST(n AS BIGINT) AS strategies_completed, last AS last_strategy, score AS last_score, CAST(refused AS BIGINT) AS refused
+FROM w WHERE alive AND e = (SELECT max(e) FROM k WHERE k.a = w.a)""",
+    "offsets_udtf": "SELECT page_id, CAST(p AS BIGINT) AS \"offset\" FROM (SELECT page_id, h, unnest(range(0, length(h) // 2)) AS p FROM (SELECT page_id, hex(encode(html)) AS h FROM pages) q) c WHERE substr(h, 2 * p + 1, 6) = '3C703E'",
 }

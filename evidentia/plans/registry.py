@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,17 +74,21 @@ def dbscan_labels(spark, sf_dir):
 
 
 def stream_progress_counts(spark, sf_dir):
-    return progress.drained(progress.counts(progress.event_stream(spark, sf_dir)), f"counts_{uuid.uuid4().hex}", "complete")
+    return progress.drained(progress.counts(progress.event_stream(spark, sf_dir)), "complete")
 
 
 def stream_hourly(spark, sf_dir):
-    return progress.drained(progress.hourly(progress.event_stream(spark, sf_dir)), f"hourly_{uuid.uuid4().hex}", "update")
+    return progress.drained(progress.hourly(progress.event_stream(spark, sf_dir)), "update", ("hour_start", "event_type"))
 
 
 def stream_throttle(spark, sf_dir):
-    return progress.drained(progress.throttled(progress.event_stream(spark, sf_dir)), f"throttle_{uuid.uuid4().hex}", "append")
+    return progress.drained(progress.throttled(progress.event_stream(spark, sf_dir)), "append")
 
 
 QUERIES |= {f.__name__: f for f in (repair_kernel_plan, meta_regional, damage_kernel_all, repair_kernel_best, repair_kernel_blind, perceptual_hashes, mask_regions, detect_components, fragment_greedy_chain, dbscan_labels, stream_progress_counts, stream_hourly, stream_throttle)}
 ORACLES["stream_progress_counts"] = "SELECT user_id, count(*) AS completed, max(value) AS best, arg_max(event_type, (ts, event_id)) AS status FROM events GROUP BY user_id"
 ORACLES["stream_hourly"] = "SELECT date_trunc('hour', ts) AS hour_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+ORACLES["stream_throttle"] = """WITH RECURSIVE n AS MATERIALIZED (SELECT user_id, event_id, event_type, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+w AS (SELECT user_id, event_id, event_type, k, true AS kept, t AS last FROM n WHERE k = 1
+UNION ALL SELECT n.user_id, n.event_id, n.event_type, n.k, n.event_type IN ('error', 'purchase') OR n.t - w.last >= 30, CASE WHEN n.event_type IN ('error', 'purchase') OR n.t - w.last >= 30 THEN n.t ELSE w.last END FROM w JOIN n ON n.user_id = w.user_id AND n.k = w.k + 1)
+SELECT user_id, event_id, event_type FROM w WHERE kept"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.settled import shared_folder
+from . import store
+
 GAP_S = 30
 FORCED = ("error", "purchase")
 
@@ -51,8 +55,18 @@ def throttled(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, event_type string", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run the stream over what is there and return the result."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drained(stream: DataFrame, mode: str, keys: tuple[str, ...] = (), folder: str | None = None) -> DataFrame:
+    """Run the stream over what is there, into files under a checkpoint, and return them as a table.
+
+    Appended rows go to a Parquet sink; a complete result and updates (of rows told apart by keys) to versions in a store
+    that a replayed batch doesn't change. A folder that was drained before goes on from where it stopped.
+    """
+    spark = stream.sparkSession
+    folder = folder or f"{shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").start(f"{folder}/rows").awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    merge = store.replaced(list(keys)) if mode == "update" else lambda _, batch: batch
+    writer.foreachBatch(store.upserts(f"{folder}/rows", stream.schema, merge)).start().awaitTermination()
+    return store.read(spark, f"{folder}/rows", stream.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .settled import settled
@@ -70,3 +70,58 @@ def clusters(vectors: DataFrame, eps: float = 0.3, least: int = 2) -> DataFrame:
         label = new.select("vec_id", "cluster")
     border = pairs.join(label.select(F.col("vec_id").alias("id_b"), "cluster"), "id_b").groupBy("vec_id").agg(F.min("cluster").alias("near"))
     return vectors.select("vec_id").join(label, "vec_id", "left").join(border, "vec_id", "left").select("vec_id", F.coalesce("cluster", "near", F.lit(-1)).alias("cluster"))
+
+
+#: Shorter fragments are rejected.
+LEAST_FRAGMENT = 8
+
+
+def judged(fragments: DataFrame, least: int = LEAST_FRAGMENT) -> DataFrame:
+    """(dump_id, idx, off, data) with size, sha256 and reason: null, too_small, or duplicate of an earlier one by offset and index.
+
+    Fragments without data are too small.
+    """
+    rows = fragments.withColumns({"size": F.coalesce(F.octet_length("data"), F.lit(0)).cast("long"), "sha256": F.sha2(F.coalesce("data", F.lit(b"")), 256)})
+    again = F.row_number().over(Window.partitionBy("dump_id", "sha256").orderBy("off", "idx")) > 1
+    return rows.withColumn("reason", F.when(F.col("size") < least, "too_small").when(again, "duplicate"))
+
+
+def assembled(chain: DataFrame) -> DataFrame:
+    """Files put together: dump_id, fragments, size, sha256, score, gaps, running, data. One row a dump, any number of fragments.
+
+    chain: dump_id, place (their order, unique in a dump), off, size, sha256, data, and continuity (null counts as 1, for the
+    first). gaps are the bytes of the dump between one fragment's end and the next one's start, where that is behind; running is
+    a digest chained over the fragments' own, so that of two files that differ the first fragment that does can be found.
+    The bytes of a file meet in one row, as the file must; longer than 2 GB is an error of the aggregate.
+    """
+    ends = Window.partitionBy("dump_id").orderBy("place")
+    rows = chain.withColumn("gap", F.greatest(F.lit(0).cast("long"), F.col("off") - F.lag(F.col("off") + F.col("size")).over(ends)))
+    whole = rows.groupBy("dump_id").agg(
+        F.count("*").alias("fragments"), F.sum("size").alias("size"), F.avg(F.coalesce("continuity", F.lit(1.0))).alias("score"), F.coalesce(F.sum("gap"), F.lit(0)).alias("gaps"),
+        F.array_sort(F.collect_list(F.struct("place", "sha256"))).alias("list"), F.expr("listagg(data) WITHIN GROUP (ORDER BY place)").alias("data"),
+    )
+    running = F.aggregate("list", F.lit(""), lambda a, x: F.sha2(F.concat(a, x["sha256"]).cast("binary"), 256))
+    data = F.coalesce("data", F.lit(b""))
+    return whole.select("dump_id", "fragments", "size", F.sha2(data, 256).alias("sha256"), "score", "gaps", running.alias("running"), data.alias("data"))
+
+
+def report(fragments: DataFrame, chain: DataFrame, source: DataFrame) -> DataFrame:
+    """One row a dump of source (dump_id, content): what was found, used and rejected, and the file that came of it.
+
+    fragments as judged() gives them, chain as assembled() takes it. Dumps without fragments have an empty list each and an
+    empty file of score 0.
+    """
+    lists = fragments.groupBy("dump_id").agg(
+        F.count("*").alias("total_fragments"), F.array_sort(F.collect_list(F.struct("off", "idx", "size", "sha256"))).alias("offsets"),
+        F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("off", "idx", "size", "reason", "sha256")))).alias("fragments_rejected"),
+    )
+    used = chain.groupBy("dump_id").agg(F.array_sort(F.collect_list(F.struct("place", "idx", "off", "size", F.coalesce("continuity", F.lit(1.0)).alias("continuity"), "sha256"))).alias("fragments_used"))
+    rows = source.select("dump_id", F.sha2(F.coalesce("content", F.lit(b"")), 256).alias("sha256_dump")).join(lists, "dump_id", "left").join(used, "dump_id", "left").join(assembled(chain), "dump_id", "left")
+    nothing = F.sha2(F.lit(b""), 256)
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<struct<{kind}>>"))
+    return rows.select(
+        "dump_id", "sha256_dump", F.coalesce("total_fragments", F.lit(0)).alias("total_fragments"), F.coalesce("fragments", F.lit(0)).alias("used_fragments"), F.size(empty(F.col("fragments_rejected"), "off:bigint,idx:bigint,size:bigint,reason:string,sha256:string")).cast("long").alias("rejected_fragments"),
+        empty(F.col("offsets"), "off:bigint,idx:bigint,size:bigint,sha256:string").alias("offsets"), empty(F.col("fragments_used"), "place:bigint,idx:bigint,off:bigint,size:bigint,continuity:double,sha256:string").alias("fragments_used"),
+        empty(F.col("fragments_rejected"), "off:bigint,idx:bigint,size:bigint,reason:string,sha256:string").alias("fragments_rejected"),
+        F.struct(F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("sha256", nothing).alias("sha256"), F.coalesce("gaps", F.lit(0)).alias("gaps"), F.coalesce("running", F.lit("")).alias("running")).alias("assembly"), F.coalesce("score", F.lit(0.0)).alias("assembly_score"),
+    )

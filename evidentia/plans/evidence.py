@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import carve, grid, matching, ranged
+from ..operators import carve, clustering, fragments, grid, matching, ranged
 from ..operators.settled import shared_folder
 from ..sources.tables import raster, table
 from ..streaming import heartbeat, progress, store
@@ -138,6 +138,53 @@ n AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY imag
 mu AS MATERIALIZED (SELECT a.image_id, a.point_id, a.other_id, a.distance FROM n a JOIN n b ON a.image_id = b.image_id AND a.other_id = b.point_id AND b.other_id = a.point_id WHERE a.point_id < a.other_id)"""
 STRONG_SQL = f"{MUTUAL_SQL}, sm AS MATERIALIZED (SELECT mu.image_id, mu.point_id, mu.other_id, mu.distance, sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS pixels FROM mu JOIN p a ON a.image_id = mu.image_id AND a.point_id = mu.point_id JOIN p b ON b.image_id = mu.image_id AND b.point_id = mu.other_id WHERE mu.distance < 12.5 AND (a.y - b.y) ** 2 + (a.x - b.x) ** 2 >= 100)"
 
+# ---- fragments ----
+
+
+def coloured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of 16 x 16 in five kinds of colour."""
+    v, kind = F.col("v"), F.col("image_id") % 5
+    b = F.when(kind == 0, v).when(kind == 1, F.floor(v / 4)).when(kind == 2, 255 - F.floor(v / 8)).when(kind == 3, F.lit(90)).otherwise(F.floor(v / 2) + F.col("x"))
+    return mosaic(spark, sf_dir, 2).select("image_id", "y", "x", b.cast("long").alias("b"), v.alias("g"), F.when(kind == 3, F.col("y") * 3).otherwise(255 - v).cast("long").alias("r"))
+
+
+def fragment_features(spark, sf_dir):
+    """The 107 features of each picture, one a row."""
+    return clustering.features(coloured(spark, sf_dir), ["image_id"]).select("image_id", F.posexplode("features").alias("place", "x")).select("image_id", F.col("place").cast("long"), F.round("x", 6).alias("value"))
+
+
+def feature_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(clustering.features(coloured(spark, sf_dir), ["image_id"]).select(F.col("image_id").alias("id"), F.col("features").alias("vector")), 0.02, 3)
+
+
+def fragment_clusters(spark, sf_dir):
+    return feature_clusters(spark, sf_dir).withColumnRenamed("id", "image_id")
+
+
+def fragment_cluster_rollup(spark, sf_dir):
+    return clustering.rollup(feature_clusters(spark, sf_dir))
+
+
+def cut_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as dumps and their fragments: 1 to 9 pieces each, every eleventh lost, every thirteenth cut to 5 bytes, every sixth twice."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("dump_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    n = F.col("dump_id") % 9 + 1
+    size = F.floor(F.octet_length("content") / n) + 1
+    rows = docs.select("dump_id", "content", size.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("idx")).withColumn("h", F.col("dump_id") * 31 + F.col("idx") * 17).where("h % 11 <> 0")
+    length = F.when(F.col("h") % 13 == 0, 5).otherwise(F.col("n")).cast("int")
+    rows = rows.select("dump_id", "idx", (F.col("idx") * F.col("n")).alias("off"), F.substring("content", (F.col("idx") * F.col("n") + 1).cast("int"), length).alias("data"), "h")
+    return docs, rows.drop("h").unionByName(rows.where("h % 6 = 0").select("dump_id", (F.col("idx") + 100).alias("idx"), (F.col("off") + 1).alias("off"), "data"))
+
+
+def fragment_assembly(spark, sf_dir):
+    """Documents put together again of what is left of their pieces, in order of offsets."""
+    docs, pieces = cut_documents(spark, sf_dir)
+    found = fragments.judged(pieces)
+    chain = found.where("reason is null").withColumn("place", F.row_number().over(Window.partitionBy("dump_id").orderBy("off", "idx"))).withColumn("continuity", F.when(F.col("place") > 1, 1 / F.col("place")))
+    rows = fragments.report(found, chain, docs)
+    return rows.select(F.col("dump_id").alias("doc_id"), "sha256_dump", "total_fragments", "used_fragments", "rejected_fragments", F.array_join(F.transform("fragments_rejected", lambda x: F.concat(x["idx"], F.lit(":"), x["reason"])), ",").alias("rejected"), "assembly.size", "assembly.sha256", "assembly.gaps", "assembly.running", F.round("assembly_score", 6).alias("score"))
+
+
 # ---- streams ----
 
 
@@ -215,7 +262,18 @@ h0 AS MATERIALIZED (SELECT nb.image_id, y, x, CAST(v < greatest(8, least(30, CAS
 {morph_sql('h1', 'h0', 2, 'min')}, {morph_sql('h2', 'h1', 2, 'max')}, {morph_sql('h3', 'h2', 2, 'max')}, {morph_sql('h4', 'h3', 2, 'max')}, {morph_sql('h5', 'h4', 2, 'min')}, {morph_sql('h6', 'h5', 2, 'min')},
 {parts_sql('hp', 'h6')}, hs AS (SELECT image_id, label FROM hp GROUP BY ALL HAVING count(*) BETWEEN 200 AND 2457), hit AS MATERIALIZED (SELECT hp.image_id, y, x FROM hp JOIN hs ON hp.image_id = hs.image_id AND hp.label = hs.label)"""
 
-QUERIES = {f.__name__: f for f in (knn_mutual, copy_move_matches, copy_move_points, match_groups, ranged_segments, variance_11, component_areas, mask_morphology, detect_damage, detect_advanced, zone_score, stream_heartbeat, status_store, offsets_udtf)}
+FEATURES_SQL = f"""{mosaic_sql(2)}, co AS MATERIALIZED (SELECT image_id, y, x, CASE image_id % 5 WHEN 0 THEN v WHEN 1 THEN v // 4 WHEN 2 THEN 255 - v // 8 WHEN 3 THEN 90 ELSE v // 2 + x END AS b, v AS g, CASE image_id % 5 WHEN 3 THEN y * 3 ELSE 255 - v END AS r FROM mo),
+ch AS MATERIALIZED (SELECT image_id, 0 AS c, b AS v FROM co UNION ALL SELECT image_id, 1, g FROM co UNION ALL SELECT image_id, 2, r FROM co),
+hi AS (SELECT i.image_id, i.c * 32 + k.k AS place, (SELECT count(*) FROM ch WHERE ch.image_id = i.image_id AND ch.c = i.c AND ch.v // 8 = k.k) / (256 + 1e-9) AS x FROM (SELECT DISTINCT image_id, c FROM ch) i, range(32) k(k)),
+mm AS MATERIALIZED (SELECT image_id, c, avg(v) AS m, stddev_pop(v) AS s FROM ch GROUP BY ALL), sk AS (SELECT ch.image_id, ch.c, any_value(m) AS m, any_value(s) AS s, avg(((v - m) / (s + 1e-9)) ** 3) AS k FROM ch JOIN mm ON ch.image_id = mm.image_id AND ch.c = mm.c GROUP BY ALL),
+gr AS MATERIALIZED (SELECT image_id, y, x, (4899 * r + 9617 * g + 1868 * b + 8192) // 16384 AS v FROM co), bl AS (SELECT image_id, v // 16 AS k, count(*) / (64 + 1e-9) AS p FROM gr WHERE y < 8 AND x < 8 GROUP BY ALL),
+ft AS MATERIALIZED (SELECT image_id, place, x FROM hi UNION ALL SELECT image_id, 96 + 3 * c, m / 255 FROM sk UNION ALL SELECT image_id, 97 + 3 * c, s / 255 FROM sk UNION ALL SELECT image_id, 98 + 3 * c, greatest(-1, least(1, k / 10)) FROM sk
+UNION ALL SELECT image_id, 105, sum(-p * log2(p + 1e-9)) / 4 FROM bl GROUP BY image_id UNION ALL SELECT image_id, 106, var_pop(v) / 65025 FROM gr GROUP BY image_id)"""
+CLUSTERS_SQL = f"""{FEATURES_SQL}, un AS MATERIALIZED (SELECT image_id, list(x ORDER BY place) AS u FROM ft GROUP BY image_id), ne AS MATERIALIZED (SELECT a.image_id AS a, b.image_id AS b FROM un a JOIN un b ON a.image_id <> b.image_id WHERE 1 - list_cosine_similarity(a.u, b.u) <= 0.02),
+ce AS MATERIALIZED (SELECT a FROM ne GROUP BY a HAVING count(*) >= 2), rc AS (SELECT a AS id, a AS name FROM ce UNION SELECT ne.b, rc.name FROM rc JOIN ne ON rc.id = ne.a JOIN ce ON ce.a = ne.b), nm AS MATERIALIZED (SELECT id, min(name) AS cluster FROM rc GROUP BY id),
+la AS MATERIALIZED (SELECT un.image_id, coalesce(nm.cluster, (SELECT min(m.cluster) FROM ne JOIN nm m ON m.id = ne.b WHERE ne.a = un.image_id), -1) AS cluster FROM un LEFT JOIN nm ON nm.id = un.image_id)"""
+
+QUERIES = {f.__name__: f for f in (knn_mutual, copy_move_matches, copy_move_points, match_groups, ranged_segments, variance_11, component_areas, mask_morphology, detect_damage, detect_advanced, zone_score, stream_heartbeat, status_store, offsets_udtf, fragment_features, fragment_clusters, fragment_cluster_rollup, fragment_assembly)}
 
 ORACLES = {
     "knn_mutual": f"WITH {MUTUAL_SQL} SELECT image_id, point_id, other_id, distance FROM mu",
@@ -267,4 +325,16 @@ UNION ALL SELECT w.a, k.e, w.alive AND k.kind <> 'deleted', CASE WHEN w.alive AN
 SELECT 'a' || a AS analysis_id, status, request, error, array_to_string(list_sort(files), ',') AS files, array_to_string(list_sort(progress), ',') AS progress, CAST(n AS BIGINT) AS strategies_completed, last AS last_strategy, score AS last_score, CAST(refused AS BIGINT) AS refused
 FROM w WHERE alive AND e = (SELECT max(e) FROM k WHERE k.a = w.a)""",
     "offsets_udtf": "SELECT page_id, CAST(p AS BIGINT) AS \"offset\" FROM (SELECT page_id, h, unnest(range(0, length(h) // 2)) AS p FROM (SELECT page_id, hex(encode(html)) AS h FROM pages) q) c WHERE substr(h, 2 * p + 1, 6) = '3C703E'",
+    "fragment_features": f"WITH {FEATURES_SQL} SELECT image_id, place, round(x, 6) AS value FROM ft",
+    "fragment_clusters": f"WITH RECURSIVE {CLUSTERS_SQL} SELECT image_id, cluster FROM la",
+    "fragment_cluster_rollup": f"WITH RECURSIVE {CLUSTERS_SQL} SELECT cluster, count(*) AS size, min(image_id) AS first_id, max(image_id) AS last_id, (SELECT round(count(*) FILTER (WHERE cluster >= 0) / count(*), 3) FROM la) AS coherence FROM la GROUP BY cluster",
+    "fragment_assembly": """WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents), s AS (SELECT doc_id, h, length(h) // 2 // (doc_id % 9 + 1) + 1 AS n, unnest(range(doc_id % 9 + 1)) AS idx FROM d),
+p AS MATERIALIZED (SELECT doc_id, idx, idx * n AS off, substr(h, CAST(2 * idx * n + 1 AS BIGINT), CAST(2 * CASE WHEN (doc_id * 31 + idx * 17) % 13 = 0 THEN 5 ELSE n END AS BIGINT)) AS data, (doc_id * 31 + idx * 17) % 6 = 0 AS twice FROM s WHERE (doc_id * 31 + idx * 17) % 11 <> 0),
+f AS MATERIALIZED (SELECT doc_id, idx, off, data, length(data) // 2 AS size, row_number() OVER (PARTITION BY doc_id, data ORDER BY off, idx) AS nth FROM (SELECT doc_id, idx, off, data FROM p UNION ALL SELECT doc_id, idx + 100, off + 1, data FROM p WHERE twice) q),
+g AS MATERIALIZED (SELECT *, CASE WHEN size < 8 THEN 'too_small' WHEN nth > 1 THEN 'duplicate' END AS reason FROM f), c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY off, idx) AS place, off - lag(off + size) OVER (PARTITION BY doc_id ORDER BY off, idx) AS gap FROM g WHERE reason IS NULL),
+k AS (SELECT doc_id, place, sha256(sha256(unhex(data))) AS running FROM c WHERE place = 1 UNION ALL SELECT c.doc_id, c.place, sha256(k.running || sha256(unhex(c.data))) FROM k JOIN c ON c.doc_id = k.doc_id AND c.place = k.place + 1),
+w AS (SELECT doc_id, count(*) AS n, sum(size) AS size, string_agg(data, '' ORDER BY place) AS data, sum(greatest(0, coalesce(gap, 0))) AS gaps, avg(CASE WHEN place > 1 THEN 1e0 / place ELSE 1e0 END) AS score FROM c GROUP BY doc_id)
+SELECT d.doc_id, sha256(d.text) AS sha256_dump, (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id) AS total_fragments, coalesce(w.n, 0) AS used_fragments, (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id AND reason IS NOT NULL) AS rejected_fragments,
+coalesce((SELECT string_agg(idx || ':' || reason, ',' ORDER BY off, idx) FROM g WHERE g.doc_id = d.doc_id AND reason IS NOT NULL), '') AS rejected, CAST(coalesce(w.size, 0) AS BIGINT) AS size, sha256(unhex(coalesce(w.data, ''))) AS sha256, CAST(coalesce(w.gaps, 0) AS BIGINT) AS gaps,
+coalesce((SELECT running FROM k WHERE k.doc_id = d.doc_id ORDER BY place DESC LIMIT 1), '') AS running, round(coalesce(w.score, 0e0), 6) AS score FROM d LEFT JOIN w ON w.doc_id = d.doc_id""",
 }

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import carve, clustering, fragments, grid, matching, ranged
+from ..operators import carve, clustering, fragments, grid, matching, ranged, reports
 from ..operators.settled import shared_folder
 from ..sources.tables import raster, table
 from ..streaming import heartbeat, progress, store
@@ -185,6 +185,45 @@ def fragment_assembly(spark, sf_dir):
     return rows.select(F.col("dump_id").alias("doc_id"), "sha256_dump", "total_fragments", "used_fragments", "rejected_fragments", F.array_join(F.transform("fragments_rejected", lambda x: F.concat(x["idx"], F.lit(":"), x["reason"])), ",").alias("rejected"), "assembly.size", "assembly.sha256", "assembly.gaps", "assembly.running", F.round("assembly_score", 6).alias("score"))
 
 
+# ---- reports ----
+
+
+def report_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs, candidates and file digests from the scored repairs of each vector's picture."""
+    scored = grid.settled(forensics.scored(spark, sf_dir))
+    three = lambda c: F.round(F.round(c, 9), 3)
+    key = F.concat(F.lit("v"), "vec_id")
+    cands = scored.select(key.alias("run_key"), F.xxhash64("strategy").alias("seq"), "strategy", F.concat(F.lit("out/"), "vec_id", F.lit("_"), "strategy", F.lit(".png")).alias("path"), *[three(F.col(c)).alias(c) for c in ("score", "psnr", "ssim", "gain_psnr", "gain_ssim")], F.lit("supervised").alias("mode"))
+    place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc(three(F.col("score"))), "strategy"))
+    best = scored.withColumn("place", place).where("place = 1")
+    v = F.col("vec_id")
+    gain = 0.7 * F.col("gain_psnr") + 30 * F.col("gain_ssim")
+    struct = lambda **c: F.struct(*[x.alias(n) for n, x in c.items()])
+    text = F.lit(None).cast("string")
+    runs = best.select(
+        key.alias("run_key"), F.when(v % 4 > 0, F.concat(F.lit("in/"), v, F.lit(".png"))).alias("source_image"), F.when(v % 9 == 0, "failed").alias("status"), F.lit("2024-01-01T00:00:00").alias("at"),
+        struct(type=F.lit("rectangle_mask"), parameters=F.create_map(F.lit("x"), (v % 4).cast("string")), image_path=F.concat(F.lit("bad/"), v, F.lit(".png")), mask_path=text, randomize=v % 2 == 0, imperfect_mask=F.lit(None).cast("boolean")).alias("corruption"),
+        struct(psnr=three(F.col("psnr") - F.col("gain_psnr")), ssim=three(F.col("ssim") - F.col("gain_ssim"))).alias("before"), struct(psnr=three(F.col("psnr")), ssim=three(F.col("ssim"))).alias("after"), struct(psnr_gain=three(F.col("gain_psnr")), ssim_gain=three(F.col("gain_ssim")), improvement_score=three(gain)).alias("gains"),
+        ((F.round("gain_psnr", 9) > 0) & (F.round("gain_ssim", 9) > 0.01)).alias("improvement"), struct(iou=(v % 101) / 100, precision=F.lit(None).cast("double"), recall=F.lit(1.0)).alias("detection"), F.lit("inpainting").alias("recommended"), F.when(v % 3 > 0, F.create_map(F.lit("seed"), v.cast("string"))).alias("extra"),
+    )
+    sha = lambda c: F.sha2(F.concat(F.lit(c), v).cast("binary"), 256)
+    digests = best.select(key.alias("run_key"), sha("original").alias("original"), F.when(v % 5 > 0, sha("corrupted")).alias("corrupted"), sha("reconstructed").alias("reconstructed"))
+    # ties of candidates go by name
+    names = Window.partitionBy("run_key").orderBy("strategy")
+    return runs, cands.withColumn("seq", F.row_number().over(names).cast("long")), digests
+
+
+def report_json(spark, sf_dir):
+    runs, cands, _ = report_inputs(spark, sf_dir)
+    return reports.reports(runs, cands, {"seed": "42", "execution_mode": "assisted"}).select("run_key", reports.text("report").alias("report"))
+
+
+def legal_json(spark, sf_dir):
+    runs, cands, digests = report_inputs(spark, sf_dir)
+    rows = reports.legal(reports.reports(runs, cands, {"seed": "42", "execution_mode": "assisted"}), digests, F.lit("2024-01-02T00:00:00"))
+    return rows.select("run_key", F.sha2(reports.text("legal"), 256).alias("digest"), reports.text("legal.chain_of_custody").alias("custody"), reports.text("legal.table_of_methods").alias("methods"), "legal.forensic_mode", "legal.warning")
+
+
 # ---- streams ----
 
 
@@ -273,7 +312,21 @@ CLUSTERS_SQL = f"""{FEATURES_SQL}, un AS MATERIALIZED (SELECT image_id, list(x O
 ce AS MATERIALIZED (SELECT a FROM ne GROUP BY a HAVING count(*) >= 2), rc AS (SELECT a AS id, a AS name FROM ce UNION SELECT ne.b, rc.name FROM rc JOIN ne ON rc.id = ne.a JOIN ce ON ce.a = ne.b), nm AS MATERIALIZED (SELECT id, min(name) AS cluster FROM rc GROUP BY id),
 la AS MATERIALIZED (SELECT un.image_id, coalesce(nm.cluster, (SELECT min(m.cluster) FROM ne JOIN nm m ON m.id = ne.b WHERE ne.a = un.image_id), -1) AS cluster FROM un LEFT JOIN nm ON nm.id = un.image_id)"""
 
-QUERIES = {f.__name__: f for f in (knn_mutual, copy_move_matches, copy_move_points, match_groups, ranged_segments, variance_11, component_areas, mask_morphology, detect_damage, detect_advanced, zone_score, stream_heartbeat, status_store, offsets_udtf, fragment_features, fragment_clusters, fragment_cluster_rollup, fragment_assembly)}
+REPORTS_SQL = forensics.SCORES + """, t AS (SELECT vec_id, strategy, 60 * s + p / 5 + 30 * greatest(0, s - sd) + greatest(0, p - pd) / 5 AS raw, p, s, p - pd AS gp, s - sd AS gs FROM sc),
+u AS MATERIALIZED (SELECT vec_id, strategy, round(round(least(100e0, greatest(0e0, raw)), 9), 3) AS score, p, s, gp, gs, {'strategy': strategy, 'path': 'out/' || vec_id || '_' || strategy || '.png', 'score': round(round(least(100e0, greatest(0e0, raw)), 9), 3), 'psnr': round(round(p, 9), 3), 'ssim': round(round(s, 9), 3), 'gain_psnr': round(round(gp, 9), 3) + 0e0, 'gain_ssim': round(round(gs, 9), 3) + 0e0, 'mode': 'supervised'} AS c FROM t),
+b AS MATERIALIZED (SELECT vec_id, list(c ORDER BY score DESC, strategy) AS cs, first(score ORDER BY score DESC, strategy) AS score, first(p ORDER BY score DESC, strategy) AS p, first(s ORDER BY score DESC, strategy) AS s, first(gp ORDER BY score DESC, strategy) AS gp, first(gs ORDER BY score DESC, strategy) AS gs FROM u GROUP BY vec_id),
+g AS MATERIALIZED (SELECT *, round(round(gp, 9), 3) + 0e0 AS rp, round(round(gs, 9), 3) + 0e0 AS rs, round(round(0.7e0 * gp + 30 * gs, 9), 3) + 0e0 AS im, round(gp, 9) > 0 AND round(gs, 9) > 0.01 AS up, vec_id % 101 / 100e0 AS iou, CASE WHEN vec_id % 4 > 0 THEN 'in/' || vec_id || '.png' END AS src FROM b),
+n AS MATERIALIZED (SELECT *, CASE WHEN iou >= 0.6 THEN 'good' WHEN iou >= 0.3 THEN 'medium' ELSE 'poor' END AS q, CASE WHEN up AND im > 0 THEN 'improved' WHEN abs(im) < 0.5 THEN 'neutral' ELSE 'degraded' END AS f, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'medium' ELSE 'poor' END AS lv FROM g),
+rj AS MATERIALIZED (SELECT vec_id, cs, src, {'run_id': substr(sha256('v' || vec_id), 1, 12), 'timestamp': '2024-01-01T00:00:00', 'status': CASE WHEN vec_id % 9 = 0 THEN 'failed' ELSE 'completed' END,
+'input': {'source_image': src, 'corruption_type': 'rectangle_mask', 'execution_mode': 'assisted', 'detection_mode': CAST(NULL AS VARCHAR), 'seed': CASE WHEN vec_id % 3 > 0 THEN CAST(vec_id AS VARCHAR) ELSE '42' END},
+'corruption': {'type': 'rectangle_mask', 'parameters': {'x': CAST(vec_id % 4 AS VARCHAR)}, 'image_path': 'bad/' || vec_id || '.png', 'mask_path': CAST(NULL AS VARCHAR), 'detected_mask': CAST(NULL AS VARCHAR), 'randomize': vec_id % 2 = 0, 'imperfect_mask': false},
+'reconstruction': {'best_candidate': cs[1], 'all_candidates': cs, 'selected_strategy': cs[1].strategy, 'recommended_strategy': 'inpainting', 'score': score, 'retry_count': 0, 'detection_confidence': CAST(NULL AS VARCHAR), 'method': CAST(NULL AS VARCHAR), 'corruption_type_used': 'rectangle_mask'},
+'metrics': {'original_vs_corrupted': {'psnr': round(round(p - gp, 9), 3), 'ssim': round(round(s - gs, 9), 3)}, 'original_vs_reconstructed': {'psnr': round(round(p, 9), 3), 'ssim': round(round(s, 9), 3)}, 'gains': {'psnr_gain': rp, 'ssim_gain': rs, 'improvement_score': im}, 'improvement': up, 'detection_metrics': {'iou': iou, 'precision': CAST(NULL AS DOUBLE), 'recall': 1e0}, 'recoverability_status': CAST(NULL AS VARCHAR)},
+'corruption_classification': CAST(NULL AS VARCHAR), 'detection_confidence': CAST(NULL AS VARCHAR),
+'analysis': {'detection_quality': q, 'repair_effectiveness': f, 'score_level': lv, 'score': score, 'iou': iou, 'psnr_gain': rp, 'ssim_gain': rs, 'notes': list_filter([CASE WHEN q = 'poor' THEN 'imprecise detection' END, CASE WHEN f = 'degraded' THEN 'no measurable gain' END, CASE WHEN q = 'good' AND f = 'improved' THEN 'located and improved' END,
+  CASE WHEN rp > 3 THEN 'PSNR gain +' || printf('%.1f', CAST(round(CAST(rp AS DECIMAL(12, 3)), 1) AS DOUBLE)) || ' dB' END, CASE WHEN rs > 0.05 THEN 'SSIM gain +' || printf('%.3f', rs) END, CASE WHEN lv = 'excellent' THEN 'excellent score' END, CASE WHEN q <> 'poor' AND f <> 'degraded' AND NOT (q = 'good' AND f = 'improved') AND rp <= 3 AND rs <= 0.05 AND lv <> 'excellent' THEN 'nothing unusual' END], lambda x: x IS NOT NULL)}} AS r FROM n)"""
+
+QUERIES = {f.__name__: f for f in (knn_mutual, copy_move_matches, copy_move_points, match_groups, ranged_segments, variance_11, component_areas, mask_morphology, detect_damage, detect_advanced, zone_score, stream_heartbeat, status_store, offsets_udtf, fragment_features, fragment_clusters, fragment_cluster_rollup, fragment_assembly, report_json, legal_json)}
 
 ORACLES = {
     "knn_mutual": f"WITH {MUTUAL_SQL} SELECT image_id, point_id, other_id, distance FROM mu",
@@ -337,4 +390,12 @@ w AS (SELECT doc_id, count(*) AS n, sum(size) AS size, string_agg(data, '' ORDER
 SELECT d.doc_id, sha256(d.text) AS sha256_dump, (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id) AS total_fragments, coalesce(w.n, 0) AS used_fragments, (SELECT count(*) FROM g WHERE g.doc_id = d.doc_id AND reason IS NOT NULL) AS rejected_fragments,
 coalesce((SELECT string_agg(idx || ':' || reason, ',' ORDER BY off, idx) FROM g WHERE g.doc_id = d.doc_id AND reason IS NOT NULL), '') AS rejected, CAST(coalesce(w.size, 0) AS BIGINT) AS size, sha256(unhex(coalesce(w.data, ''))) AS sha256, CAST(coalesce(w.gaps, 0) AS BIGINT) AS gaps,
 coalesce((SELECT running FROM k WHERE k.doc_id = d.doc_id ORDER BY place DESC LIMIT 1), '') AS running, round(coalesce(w.score, 0e0), 6) AS score FROM d LEFT JOIN w ON w.doc_id = d.doc_id""",
+    "report_json": REPORTS_SQL + " SELECT 'v' || vec_id AS run_key, CAST(to_json(r) AS VARCHAR) AS report FROM rj",
+    "legal_json": REPORTS_SQL + f""", l AS (SELECT vec_id, r, list_filter([CASE WHEN src IS NOT NULL THEN {{'step': '1_original', 'label': 'image received', 'path': src, 'sha256': sha256('original' || vec_id), 'timestamp': '2024-01-02T00:00:00', 'action': 'reception', 'note': CAST(NULL AS VARCHAR)}} END,
+  {{'step': '2_corrupted', 'label': 'image after simulated damage', 'path': 'bad/' || vec_id || '.png', 'sha256': CASE WHEN vec_id % 5 > 0 THEN sha256('corrupted' || vec_id) ELSE '' END, 'timestamp': '2024-01-02T00:00:00', 'action': 'corruption_appliquee', 'note': NULL}},
+  {{'step': '3_reconstructed', 'label': 'image reconstructed by algorithm', 'path': cs[1].path, 'sha256': sha256('reconstructed' || vec_id), 'timestamp': '2024-01-02T00:00:00', 'action': 'reconstruction_algorithmique', 'note': '{reports.NOTE}'}}], lambda x: x IS NOT NULL) AS ch,
+  list_transform(cs, lambda x: {{'strategy': x.strategy, 'score': x.score, 'psnr': x.psnr, 'ssim': x.ssim, 'mode': x.mode, 'forensic_safe': true}}) AS me FROM rj)
+SELECT 'v' || vec_id AS run_key, sha256(substr(j, 1, length(j) - 1) || ',' || substr(k, 2)) AS digest, CAST(to_json(ch) AS VARCHAR) AS custody, CAST(to_json(me) AS VARCHAR) AS methods, 'forensic_safe' AS forensic_mode, '{reports.WARNINGS[False]}' AS warning
+FROM (SELECT vec_id, ch, me, CAST(to_json(r) AS VARCHAR) AS j, CAST(to_json({{'legal_report': true, 'generated_at': '2024-01-02T00:00:00', 'report_version': '1.0-legal', 'analysis_id': r.run_id, 'chain_of_custody': ch, 'table_of_methods': me, 'forensic_mode': 'forensic_safe', 'sha256_original': sha256('original' || vec_id), 'sha256_reconstructed': sha256('reconstructed' || vec_id),
+  'disclaimer': '{reports.DISCLAIMER.replace(chr(39), chr(39) * 2)}', 'legal_note': '{reports.NOTE}', 'warning': '{reports.WARNINGS[False]}', 'certifications': {{'probatoire': false, 'expertise_humaine_requise': true, 'methode_reproductible': true, 'open_source': true}}}}) AS VARCHAR) AS k FROM l) z""",
 }

@@ -16,6 +16,11 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 DIALECT = {
     "spark": {
+        "~stencils": """hz AS (SELECT vec_id, y, x, v, coalesce(lag(v) OVER a, lead(v) OVER a) AS l, coalesce(lead(v) OVER a, lag(v) OVER a) AS r FROM r WINDOW a AS (PARTITION BY vec_id, y ORDER BY x)),
+hs AS (SELECT *, l + v + r AS hs, r - l AS hd, l + 2 * v + r AS hg, l * l + v * v + r * r AS hq FROM hz),
+vt AS (SELECT *, coalesce(lag(v) OVER c, lead(v) OVER c) AS uv, coalesce(lead(v) OVER c, lag(v) OVER c) AS dv, coalesce(lag(hs) OVER c, lead(hs) OVER c) AS us, coalesce(lead(hs) OVER c, lag(hs) OVER c) AS ds, coalesce(lag(hd) OVER c, lead(hd) OVER c) AS ud, coalesce(lead(hd) OVER c, lag(hd) OVER c) AS dd,
+  coalesce(lag(hg) OVER c, lead(hg) OVER c) AS ug, coalesce(lead(hg) OVER c, lag(hg) OVER c) AS dg, coalesce(lag(hq) OVER c, lead(hq) OVER c) AS uq, coalesce(lead(hq) OVER c, lag(hq) OVER c) AS dq FROM hs WINDOW c AS (PARTITION BY vec_id, x ORDER BY y)),
+st AS (SELECT vec_id, y, x, v, l + r + uv + dv - 4 * v AS lap, ud + 2 * hd + dd AS gx, dg - ug AS gy, us + hs + ds AS s1, uq + hq + dq AS s2, ug + 2 * hg + dg AS gauss FROM vt)""",
         "~div": "div",
         "~pixels": "SELECT vec_id, CAST(p AS BIGINT) AS p, CAST(e AS DOUBLE) AS e, CAST(array_min(embedding) AS DOUBLE) AS mn, CAST(array_max(embedding) AS DOUBLE) AS mx FROM @embeddings LATERAL VIEW posexplode(embedding) t AS p, e",
         r"~sha\(([^()]*)\)": r"sha2(\1, 256)",
@@ -34,6 +39,12 @@ DIALECT = {
         r"~windows8": "SELECT doc_id, idx, substring(data, CAST(k * 8 + 1 AS INT), 8) AS piece FROM fr LATERAL VIEW explode(CASE WHEN length(data) >= 8 THEN sequence(0, CAST(length(data) div 8 - 1 AS INT)) END) t AS k",
     },
     "duckdb": {
+        "~stencils": """nb AS (SELECT a.vec_id, a.y, a.x, a.v, b.v AS nv, CASE WHEN a.y = 0 AND dy = -1 THEN 1 WHEN a.y = 7 AND dy = 1 THEN -1 ELSE dy END AS sy, dy, dx
+  FROM (SELECT r.*, j.k AS dy, i.k AS dx, CASE WHEN y + j.k < 0 THEN 1 WHEN y + j.k > 7 THEN 6 ELSE y + j.k END AS ny, CASE WHEN x + i.k < 0 THEN 1 WHEN x + i.k > 7 THEN 6 ELSE x + i.k END AS nx FROM r CROSS JOIN (~series(-1, 1)) j CROSS JOIN (~series(-1, 1)) i) a
+  JOIN r b ON a.vec_id = b.vec_id AND a.ny = b.y AND a.nx = b.x),
+st AS (SELECT vec_id, y, x, v, CAST(sum(CASE WHEN dy = 0 AND dx = 0 THEN -4 * nv WHEN dy = 0 OR dx = 0 THEN nv ELSE 0 END) AS BIGINT) AS lap,
+  CAST(sum(nv * dx * (CASE WHEN dy = 0 THEN 2 ELSE 1 END)) AS BIGINT) AS gx, CAST(sum(nv * dy * (CASE WHEN dx = 0 THEN 2 ELSE 1 END)) AS BIGINT) AS gy,
+  CAST(sum(nv) AS BIGINT) AS s1, CAST(sum(nv * nv) AS BIGINT) AS s2, CAST(sum(nv * (CASE WHEN dy = 0 THEN 2 ELSE 1 END) * (CASE WHEN dx = 0 THEN 2 ELSE 1 END)) AS BIGINT) AS gauss FROM nb GROUP BY vec_id, y, x, v)""",
         "~div": "//",
         "~pixels": "SELECT vec_id, CAST(unnest(range(len(embedding))) AS BIGINT) AS p, CAST(unnest(embedding) AS DOUBLE) AS e, CAST(list_min(embedding) AS DOUBLE) AS mn, CAST(list_max(embedding) AS DOUBLE) AS mx FROM embeddings",
         r"~sha\(([^()]*)\)": r"sha256(\1)",
@@ -100,13 +111,9 @@ errs AS (SELECT vec_id, seq, strategy, family, avg(CAST((w - o) * (w - o) AS DOU
 scored AS (SELECT *, CASE WHEN mse = 0 THEN 100.0 ELSE 10 * log10(65025 / mse) END AS psnr, CASE WHEN mse_before = 0 THEN 100.0 ELSE 10 * log10(65025 / mse_before) END AS psnr_before,
   greatest(0.0, 1 - sqrt(coalesce(mse_in, 0)) / 255) * 100 AS inside FROM errs),
 ranked AS (SELECT *, round(0.6 * inside + 0.4 * least(psnr, 100.0), 6) AS score FROM scored)"""
-#: Sobel, Laplacian and neighbours with borders reflected without the edge pixel.
-N = R + """, nb AS (SELECT a.vec_id, a.y, a.x, a.v, b.v AS nv, CASE WHEN a.y = 0 AND dy = -1 THEN 1 WHEN a.y = 7 AND dy = 1 THEN -1 ELSE dy END AS sy, dy, dx
-  FROM (SELECT r.*, j.k AS dy, i.k AS dx, CASE WHEN y + j.k < 0 THEN 1 WHEN y + j.k > 7 THEN 6 ELSE y + j.k END AS ny, CASE WHEN x + i.k < 0 THEN 1 WHEN x + i.k > 7 THEN 6 ELSE x + i.k END AS nx FROM r CROSS JOIN (~series(-1, 1)) j CROSS JOIN (~series(-1, 1)) i) a
-  JOIN r b ON a.vec_id = b.vec_id AND a.ny = b.y AND a.nx = b.x),
-st AS (SELECT vec_id, y, x, v, CAST(sum(CASE WHEN dy = 0 AND dx = 0 THEN -4 * nv WHEN dy = 0 OR dx = 0 THEN nv ELSE 0 END) AS BIGINT) AS lap,
-  CAST(sum(nv * dx * (CASE WHEN dy = 0 THEN 2 ELSE 1 END)) AS BIGINT) AS gx, CAST(sum(nv * dy * (CASE WHEN dx = 0 THEN 2 ELSE 1 END)) AS BIGINT) AS gy,
-  CAST(sum(nv) AS BIGINT) AS s1, CAST(sum(nv * nv) AS BIGINT) AS s2, CAST(sum(nv * (CASE WHEN dy = 0 THEN 2 ELSE 1 END) * (CASE WHEN dx = 0 THEN 2 ELSE 1 END)) AS BIGINT) AS gauss FROM nb GROUP BY vec_id, y, x, v)"""
+#: Sobel, Laplacian and sums of 3 x 3, with borders reflected without the edge pixel: by windows along rows, then columns, on
+#: Spark; its check joins each pixel to its nine neighbours.
+N = R + ", ~stencils"
 #: Three masks of a picture: dark, flat in variance, flat in gradient.
 D = N + """, mk AS (SELECT vec_id, y, x, v, v <= 60 AS dark, s2 / 9.0 - (s1 / 9.0) * (s1 / 9.0) < 2500 AS flat, sqrt(CAST(gx * gx + gy * gy AS DOUBLE)) < 200 AS calm FROM st)"""
 
@@ -195,7 +202,6 @@ plan("psnr_mse", f"WITH {K} SELECT vec_id, strategy, round(mse, 6) AS mse, round
 plan("masked_rmse", f"WITH {K} SELECT vec_id, strategy, round(inside, 6) AS inside_score, round(delta_in, 6) AS delta_in FROM scored")
 plan("outside_preservation", f"WITH {K} SELECT vec_id, strategy, round(greatest(0.0, 1 - coalesce(mse_out, 0) / greatest(mse_before, 0.000001)), 6) AS preservation FROM scored")
 plan("bbox_zone", f"WITH {M} SELECT vec_id, greatest(0, min(y) - 1) AS y0, least(7, max(y) + 1) AS y1, greatest(0, min(x) - 1) AS x0, least(7, max(x) + 1) AS x1, CAST(count(*) AS BIGINT) AS area FROM m WHERE hit GROUP BY vec_id")
-plan("supervised_score", f"WITH {K} SELECT vec_id, strategy, round(greatest(0.0, least(100.0, greatest(0.3, 0.8 - 2 * coverage) * inside * 0.6 + 0.2 * least(psnr, 100.0) + 0.2 * greatest(0.0, psnr - psnr_before))), 6) AS score FROM scored")
 plan("sharpness_laplacian", f"WITH {N} SELECT vec_id, (64 * sum(lap * lap) - sum(lap) * sum(lap)) / 4096.0 AS sharpness, least((64 * sum(lap * lap) - sum(lap) * sum(lap)) / 4096.0 / 120, 1.0) AS sharp_score, avg(CAST(abs(lap) AS DOUBLE)) AS mean_lap FROM st GROUP BY vec_id")
 plan("noise_residual", f"WITH {N} SELECT vec_id, avg(abs(v - gauss / 16.0)) AS noise, 1 - least(avg(abs(v - gauss / 16.0)) / 40, 1.0) AS noise_score FROM st GROUP BY vec_id")
 plan("local_entropy_blocks", f"""WITH {R}, h AS (SELECT vec_id, y ~div 4 AS blk_y, x ~div 4 AS blk_x, v ~div 16 AS bin, count(*) / 16.0 AS pr FROM r GROUP BY vec_id, y ~div 4, x ~div 4, v ~div 16)
@@ -215,14 +221,8 @@ SELECT vec_id, CASE WHEN dark > 0.12 OR bright > 0.12 THEN 'mask_like' WHEN va >
 plan("classify_damage_b", f"""WITH {N}, f AS (SELECT vec_id, (64 * sum(v * v) - sum(v) * sum(v)) / 4096.0 AS va, round(avg(sqrt(CAST(gx * gx + gy * gy AS DOUBLE))), 4) AS gr FROM st GROUP BY vec_id)
 SELECT vec_id, va AS variance, gr AS gradient, CASE WHEN va < 2000 THEN 'missing' WHEN va > 5500 THEN 'noise' WHEN gr < 250 THEN 'blur' WHEN gr > 450 THEN 'jpeg_block' ELSE 'mixed' END AS label FROM f""")
 plan("region_type", f"WITH {N}, g AS (SELECT vec_id, y ~div 4 AS blk_y, x ~div 4 AS blk_x, avg(sqrt(CAST(gx * gx + gy * gy AS DOUBLE))) AS gr, var_pop(v) AS va FROM st GROUP BY vec_id, y ~div 4, x ~div 4) SELECT vec_id, blk_y AS block_y, blk_x AS block_x, CASE WHEN gr >= 350 THEN 'strong_edges' WHEN va >= 3500 THEN 'textured' ELSE 'homogeneous' END AS type FROM g")
-plan("level_profile", """SELECT event_id, lvl, CASE WHEN lvl <= 10 THEN 'minimal' WHEN lvl <= 20 THEN 'light' WHEN lvl <= 35 THEN 'moderate' WHEN lvl <= 50 THEN 'marked' WHEN lvl <= 65 THEN 'heavy' WHEN lvl <= 80 THEN 'severe' ELSE 'extreme' END AS profile FROM (SELECT event_id, greatest(0.0, least(100.0, value)) AS lvl FROM @events) q""")
 plan("severity_lookup", """SELECT o_orderkey, sev, size_ratio FROM (SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'heavy' WHEN o_orderpriority LIKE '3%' THEN 'medium' ELSE 'light' END AS sev FROM @orders) o
 JOIN (SELECT 'light' AS name, 0.2 AS size_ratio UNION ALL SELECT 'medium', 0.4 UNION ALL SELECT 'heavy', 0.6) s ON o.sev = s.name""")
-plan("type_whitelist", "SELECT event_type, lower(trim(event_type)) IN ('click', 'view', 'purchase') AS allowed, CAST(count(*) AS BIGINT) AS n FROM @events GROUP BY event_type, lower(trim(event_type)) IN ('click', 'view', 'purchase')")
-plan("recommended_strategy", f"""WITH {R}, f AS (SELECT vec_id, avg(CASE WHEN v < 25 THEN 1.0 ELSE 0.0 END) AS dark, round(var_pop(v), 6) AS va FROM r GROUP BY vec_id), k AS (SELECT vec_id, CASE WHEN dark > 0.1 THEN 'mask_like' WHEN va > 4500 THEN 'noise_like' WHEN va < 3000 THEN 'blur' ELSE 'unknown' END AS label, least(1.0, 0.35 + dark) AS confidence FROM f)
-SELECT vec_id, label, CASE WHEN confidence < 0.40 THEN 'conservative' WHEN label = 'mask_like' THEN 'inpainting' WHEN label = 'noise_like' THEN 'denoise' WHEN label = 'blur' THEN 'deblur' ELSE 'hybrid' END AS strategy FROM k""")
-plan("recoverability_class", f"WITH {K} SELECT vec_id, strategy, CASE WHEN psnr - psnr_before >= 5 AND inside >= 80 THEN 'recoverable' WHEN psnr - psnr_before > 0.5 AND inside >= 60 THEN 'partially_recoverable' ELSE 'not_recoverable' END AS class FROM scored")
-plan("improvement_flag", f"WITH {K} SELECT vec_id, strategy, (psnr - psnr_before > 1 AND inside > 50) OR (psnr - psnr_before > 0 AND inside > 80) AS improved, round(0.7 * (psnr - psnr_before) + 0.3 * inside, 6) AS improvement_score FROM scored")
 plan("analysis_labels", f"WITH {K} SELECT vec_id, strategy, CASE WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'fair' ELSE 'poor' END AS label FROM ranked")
 plan("effort_multiplier", f"WITH {K} SELECT vec_id, strategy, round(CASE WHEN coalesce(delta_in, 0) < 3 THEN 0.45 WHEN delta_in < 15 THEN 0.60 + delta_in / 75 ELSE least(1.0, 0.80 + delta_in / 200) END, 6) AS effort FROM scored")
 
@@ -234,8 +234,6 @@ SELECT vec_id, max(CASE WHEN rk = 1 THEN strategy END) AS best_score, max(CASE W
 plan("family_best", f"WITH {K} SELECT vec_id, family, strategy, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, family ORDER BY score DESC, seq) AS rk FROM ranked) q WHERE rk = 1")
 plan("attempt_cap", f"WITH {K} SELECT vec_id, CAST(count(*) AS BIGINT) AS attempts, round(max(score), 6) AS best FROM ranked WHERE seq < 3 GROUP BY vec_id")
 STRAT = "(SELECT 1 AS seq, 'inpainting_r3' AS strategy, 'inpainting' AS family UNION ALL SELECT 2, 'inpainting_r5', 'inpainting' UNION ALL SELECT 3, 'inpainting_r7', 'inpainting' UNION ALL SELECT 4, 'denoise_median', 'denoise' UNION ALL SELECT 5, 'denoise_gaussian', 'denoise' UNION ALL SELECT 6, 'deblur', 'deblur' UNION ALL SELECT 7, 'block_repair', 'block_repair' UNION ALL SELECT 8, 'hybrid', 'hybrid' UNION ALL SELECT 9, 'patchmatch_p7', 'patchmatch')"
-plan("adaptive_plan", f"SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY CASE WHEN family = label THEN 0 WHEN family = 'hybrid' THEN 1 ELSE 2 END, seq) AS BIGINT) AS place, strategy FROM (SELECT DISTINCT family AS label FROM {STRAT} a WHERE family IN ('inpainting', 'denoise', 'deblur', 'block_repair')) l CROSS JOIN {STRAT} s WHERE NOT (s.family = 'hybrid' AND label IN ('denoise', 'deblur', 'block_repair'))")
-plan("exhaustive_plan", f"SELECT strategy, family, CAST(row_number() OVER (ORDER BY seq) AS BIGINT) AS place FROM (SELECT seq, strategy, family FROM {STRAT} a UNION ALL SELECT 10, 'patchmatch_p15_i20', 'patchmatch' UNION ALL SELECT 11, 'criminisi_p9', 'criminisi' UNION ALL SELECT 12, 'criminisi_p15', 'criminisi' UNION ALL SELECT 13, 'meta_regional', 'meta') u")
 plan("corrupt_and_repair_best", f"""WITH {K} SELECT vec_id, strategy, round(psnr_before, 6) AS psnr_before, round(psnr, 6) AS psnr_after, round(inside, 6) AS inside, score, CASE WHEN psnr - psnr_before >= 5 AND inside >= 80 THEN 'recoverable' WHEN psnr - psnr_before > 0.5 AND inside >= 60 THEN 'partially_recoverable' ELSE 'not_recoverable' END AS class
 FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, seq) AS rk FROM ranked) q WHERE rk = 1""")
 plan("compare_masks", f"""WITH {K} SELECT a.vec_id, CASE WHEN a.score >= b.score THEN 'user' ELSE 'auto' END AS winner, round(a.score - b.score, 6) AS margin FROM ranked a JOIN ranked b ON a.vec_id = b.vec_id WHERE a.strategy = 'box_mean' AND b.strategy = 'row_mean'""")
@@ -249,9 +247,6 @@ HP = HB + ", packed AS (SELECT vec_id, CAST(sum(b * CAST(power(2, y * 7 + x) AS
 #: A search: every picture whose id is divisible by 50 against all.
 plan("diff_hash_pairs", f"WITH {HP} SELECT id_a, id_b, distance, 1 - distance / 56.0 AS similarity FROM (SELECT a.vec_id AS id_a, b.vec_id AS id_b, CAST(bit_count(~xor(a.h, b.h)) AS BIGINT) AS distance FROM packed a JOIN packed b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) d WHERE distance <= 16")
 plan("hash_label", f"WITH {HP}, d AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, CAST(bit_count(~xor(a.h, b.h)) AS BIGINT) AS distance FROM packed a JOIN packed b ON b.vec_id = a.vec_id + 1) SELECT id_a, id_b, distance, CASE WHEN distance = 0 THEN 'identical' WHEN distance <= 5 THEN 'near' WHEN distance <= 10 THEN 'similar' WHEN distance <= 20 THEN 'related' ELSE 'different' END AS label FROM d")
-plan("lsb_stats", f"WITH {R} SELECT vec_id, CAST(sum(v % 2) AS BIGINT) AS ones, CAST(count(*) - sum(v % 2) AS BIGINT) AS zeros, round(avg(CAST(v % 2 AS DOUBLE)), 4) AS ratio FROM r GROUP BY vec_id")
-plan("lsb_anomaly", f"""WITH {R}, s AS (SELECT vec_id, avg(CAST(v % 2 AS DOUBLE)) AS p FROM r GROUP BY vec_id), e AS (SELECT vec_id, p, -(p * log2(p + 0.0000000001) + (1 - p) * log2(1 - p + 0.0000000001)) AS en FROM s), a AS (SELECT vec_id, round(greatest(0.0, least(1.0, (1 - 2 * abs(p - 0.5) + en) / 2)), 6) AS score FROM e)
-SELECT vec_id, score, CASE WHEN score > 0.75 THEN 'high' WHEN score > 0.5 THEN 'medium' ELSE 'low' END AS level, score > 0.6 AS suspicious FROM a""")
 plan("noise_block_outliers", f"""WITH {N}, b AS (SELECT vec_id, y ~div 2 AS blk_y, x ~div 2 AS blk_x, (4 * sum((16 * v - gauss) * (16 * v - gauss)) - sum(16 * v - gauss) * sum(16 * v - gauss)) / 4096.0 AS va FROM st GROUP BY vec_id, y ~div 2, x ~div 2), w AS (SELECT *, avg(va) OVER (PARTITION BY vec_id) AS mu, stddev_pop(va) OVER (PARTITION BY vec_id) AS sd FROM b)
 SELECT vec_id, blk_y AS block_y, blk_x AS block_x, va AS variance FROM w WHERE va > mu + 2 * sd""")
 plan("signal_correlation", """WITH e AS (~vec), s AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, count(*) AS n, sum(a.e) AS sa, sum(b.e) AS sb, sum(a.e * b.e) AS sab, sum(a.e * a.e) AS saa, sum(b.e * b.e) AS sbb FROM e a JOIN e b ON a.p = b.p AND b.vec_id = a.vec_id + 1 GROUP BY a.vec_id, b.vec_id)
@@ -266,22 +261,15 @@ plan("cluster_rollup", "SELECT label, CAST(count(*) AS BIGINT) AS size, min(vec_
 # ---- reports, audit, status, timeline ----
 
 plan("custody_chain", """SELECT doc_id, step, label, sha256 FROM (SELECT doc_id, 1 AS step, 'source' AS label, ~sha(text) AS sha256 FROM @documents UNION ALL SELECT doc_id, 2, 'normalized', ~sha(norm) FROM (SELECT doc_id, lower(text) AS norm FROM @documents WHERE text <> lower(text)) a UNION ALL SELECT doc_id, 3, 'tagged', ~sha(tagged) FROM (SELECT doc_id, lang || ':' || text AS tagged FROM @documents WHERE lang <> 'en') b) u""")
-plan("legal_methods", f"SELECT strategy, CASE WHEN family IN ('patchmatch', 'criminisi') THEN false ELSE true END AS forensic_safe, CASE WHEN strategy LIKE '%lama%' THEN 'generative' ELSE 'deterministic' END AS mode FROM {STRAT} s")
 plan("benchmark_summary", f"WITH {K} SELECT strategy, CAST(count(*) AS BIGINT) AS n, round(avg(psnr - psnr_before), 3) AS psnr_gain, round(avg(score), 2) AS mean_score FROM ranked GROUP BY strategy")
 plan("strategy_mean_top8", f"WITH {K} SELECT strategy, mean_score FROM (SELECT strategy, round(avg(score), 6) AS mean_score, row_number() OVER (ORDER BY avg(score) DESC, strategy) AS rk FROM ranked GROUP BY strategy) q WHERE rk <= 8")
 plan("benchmark_runs", f"WITH {K} SELECT vec_id % 5 AS corruption_type, strategy, CAST(count(*) AS BIGINT) AS n, round(avg(psnr), 6) AS psnr_after, round(avg(psnr_before), 6) AS psnr_before FROM ranked GROUP BY vec_id % 5, strategy")
 plan("mode_summary", "SELECT event_type AS execution_mode, CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean_value, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END), 6) AS improved FROM @events GROUP BY event_type")
-plan("audit_tail", "SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rk FROM @events) q WHERE rk <= 100")
 plan("status_latest", "SELECT user_id, event_type AS status, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM @events) q WHERE rk = 1")
 plan("status_progress", "SELECT user_id, CAST(count(*) AS BIGINT) AS completed, round(max(value), 6) AS best, ~seconds(min(ts), max(ts)) AS elapsed_s FROM @events GROUP BY user_id".replace("~seconds(min(ts), max(ts))", "max(el)").replace("FROM @events", "FROM (SELECT user_id, value, ~seconds(t0, ts) AS el FROM (SELECT user_id, value, ts, min(ts) OVER (PARTITION BY user_id) AS t0 FROM @events) a) b"))
-plan("analysis_listing", "SELECT user_id, last_event FROM (SELECT user_id, max(event_id) AS last_event, row_number() OVER (ORDER BY max(event_id) DESC) AS rk FROM @events GROUP BY user_id) q WHERE rk <= 50")
-plan("retention_counts", "SELECT coalesce(cat, 'total') AS category, CAST(count(*) AS BIGINT) AS n FROM (SELECT event_type AS cat FROM @events WHERE value > 24) q GROUP BY ROLLUP (cat)")
 plan("timeline_elapsed", "SELECT event_id, ~seconds(t0, ts) AS elapsed_s FROM (SELECT event_id, ts, min(ts) OVER (PARTITION BY user_id) AS t0 FROM @events) q")
 plan("timeline_last_event", "SELECT user_id, max(event_id) AS last_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM @events WHERE event_type = 'purchase') q WHERE rk = 1 GROUP BY user_id")
 plan("progress_windows", "SELECT date_trunc('hour', ts) AS hour_start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM @events GROUP BY date_trunc('hour', ts), event_type")
 plan("text_gain", "SELECT a.conv_id, a.turn, CASE WHEN length(a.text) = 0 AND length(b.text) > 0 THEN 1.0 ELSE round(least(1.0, greatest(0, length(b.text) - length(a.text)) / greatest(length(a.text), 1)), 6) END AS gain FROM @conversations a JOIN @conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
-plan("software_flags", "SELECT page_id, (lower(url) LIKE '%photoshop%' OR lower(url) LIKE '%gimp%' OR lower(url) LIKE '%example%') AS flagged FROM @pages")
 plan("exif_score", "SELECT page_id, n_flags, round(least(1.0, 0.2 * n_flags), 6) AS score FROM (SELECT page_id, CASE WHEN url LIKE 'http:%' THEN 1 ELSE 0 END + CASE WHEN url LIKE '%?%' THEN 1 ELSE 0 END + CASE WHEN url LIKE '%#%' THEN 1 ELSE 0 END + CASE WHEN length(html) < 2000 THEN 1 ELSE 0 END AS n_flags FROM @pages) q")
-plan("dms_decimal", "SELECT s_suppkey, (CASE WHEN s_nationkey % 2 = 0 THEN -1 ELSE 1 END) * (s_nationkey + (s_suppkey % 60) / 60.0 + (s_suppkey % 3600) / 3600.0) AS degrees FROM @supplier")
-plan("path_guard", "SELECT page_id, CASE WHEN url LIKE '%..%' THEN 403 WHEN url LIKE '%#%' THEN 404 WHEN url NOT LIKE '%example%' THEN 403 ELSE 200 END AS status FROM @pages")
 plan("report_rows", f"WITH {K} SELECT vec_id, CAST(count(*) AS BIGINT) AS n_candidates, round(max(score), 6) AS best_score, round(min(score), 6) AS worst_score, round(max(psnr - psnr_before), 6) AS best_gain FROM ranked GROUP BY vec_id")

@@ -265,18 +265,31 @@ def plan_rows(spark, exhaustive: bool) -> DataFrame:
     return families.join(steps, "at").select("recommended", place.cast("long").alias("place"), "strategy", "family")
 
 
+def recommended_pictures(spark, sf_dir) -> DataFrame:
+    """vec_id, recommended: what is advised for the type of damage that each picture stands for; conservative ones have no plan."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in DAMAGE_TYPES]), (F.col("vec_id") % len(DAMAGE_TYPES) + 1).cast("int"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", recommended(kind, F.lit(1.0)).alias("recommended"))
+
+
+def picture_plans(spark, sf_dir, exhaustive: bool) -> DataFrame:
+    return recommended_pictures(spark, sf_dir).join(F.broadcast(plan_rows(spark, exhaustive)), "recommended").select("vec_id", "recommended", "place", "strategy", "family")
+
+
 def adaptive_plan(spark, sf_dir):
-    return plan_rows(spark, False)
+    """The strategies tried on each picture, in order."""
+    return picture_plans(spark, sf_dir, False)
 
 
 def exhaustive_plan(spark, sf_dir):
-    return plan_rows(spark, True)
+    return picture_plans(spark, sf_dir, True)
 
 
 def legal_methods(spark, sf_dir):
-    rows = plan_rows(spark, True).where("recommended = 'hybrid'").select("strategy").unionByName(spark.createDataFrame([("lama_big",)], "strategy string"))
+    """Every strategy of each picture's exhaustive plan, and a generative one for every seventh, with what it is worth as evidence."""
+    generative = table(spark, sf_dir, "embeddings").where("vec_id % 7 = 0").select("vec_id", F.lit("lama_big").alias("strategy"))
     name = F.lower("strategy")
-    return rows.select("strategy", (~F.contains(name, F.lit("patchmatch")) & ~F.contains(name, F.lit("lama"))).alias("forensic_safe"), F.when(F.contains(name, F.lit("lama")), "generative").otherwise("forensic_safe").alias("mode"))
+    rows = picture_plans(spark, sf_dir, True).select("vec_id", "strategy").unionByName(generative)
+    return rows.select("vec_id", "strategy", (~F.contains(name, F.lit("patchmatch")) & ~F.contains(name, F.lit("lama"))).alias("forensic_safe"), F.when(F.contains(name, F.lit("lama")), "generative").otherwise("forensic_safe").alias("mode"))
 
 
 CANDIDATES = on_spark(f"WITH {K} SELECT vec_id, seq, strategy, family, y, x, o, d, w, hit FROM cand")
@@ -474,6 +487,11 @@ STEPS = """st(family, so, strategy) AS (VALUES ('inpainting', 1, 'inpainting_r3'
   ('composite', 2, 'inpaint_then_sharpen'), ('composite', 3, 'deblur_then_inpaint'), ('composite', 4, 'block_then_inpaint'), ('composite', 5, 'mask_dilate_inpaint'), ('composite', 6, 'multi_pass_inpaint'), ('hybrid', 1, 'hybrid_denoise_inpaint')),
 od(recommended, families) AS (VALUES ('inpainting', 'inpainting composite hybrid patchmatch denoise deblur block_repair'), ('denoise', 'denoise composite inpainting patchmatch deblur block_repair'), ('deblur', 'deblur composite denoise inpainting patchmatch block_repair'),
   ('block_repair', 'block_repair deblur composite denoise inpainting patchmatch'), ('hybrid', 'hybrid composite inpainting patchmatch denoise deblur block_repair'))"""
+ADVICE = """ad AS (SELECT vec_id, CASE WHEN vec_id % 15 IN (2, 4, 10, 11, 12, 13) THEN 'inpainting' WHEN vec_id % 15 IN (1, 14) THEN 'denoise' WHEN vec_id % 15 = 5 THEN 'deblur' WHEN vec_id % 15 = 8 THEN 'block_repair' WHEN vec_id % 15 IN (3, 6, 7, 9) THEN 'hybrid' ELSE 'conservative' END AS recommended FROM embeddings)"""
+ALL_STEPS = """fo AS (SELECT recommended, unnest(string_split(families, ' ')) AS family, unnest(range(9)) AS k FROM od),
+al AS (SELECT recommended, k, so, strategy, family FROM fo JOIN st USING (family) UNION ALL SELECT recommended, k, 4, 'patchmatch_p15_i20', family FROM fo WHERE family = 'patchmatch'
+UNION ALL SELECT recommended, k, 3 + i, 'criminisi_p' || (3 + 6 * i), 'criminisi' FROM fo, range(1, 3) r(i) WHERE family = 'inpainting' UNION ALL SELECT recommended, 100, 1, 'meta_regional', 'meta_regional' FROM od),
+pl AS (SELECT recommended, row_number() OVER (PARTITION BY recommended ORDER BY k, so) AS place, strategy, family FROM al)"""
 SCORES = for_duckdb(f"WITH {K}") + """,
 ce(cy, cx) AS (VALUES (3, 3), (3, 4), (4, 3), (4, 4)),
 wi AS (SELECT vec_id, strategy, cy, cx, avg(o) AS uo, avg(w) AS uw, avg(d) AS ud, avg(o * o) AS oo, avg(w * w) AS ww, avg(d * d) AS dd, avg(o * w) AS ow, avg(o * d) AS od
@@ -490,12 +508,9 @@ WHEN kind LIKE '%noise%' THEN 'denoise' WHEN kind LIKE '%blur%' THEN 'deblur' WH
     "level_profile": """SELECT event_id, level, label, corruption_type, imperfect_mask, use_mask FROM (SELECT event_id, CAST(trunc(least(100, greatest(0, value - 20))) AS BIGINT) AS level FROM events) e JOIN
 (VALUES (0, 10, 'very_low', 'rectangle_mask', false, true), (11, 20, 'low', 'bar', false, true), (21, 35, 'moderate', 'zone_deletion', false, true), (36, 50, 'moderate_plus', 'local_blur', false, true), (51, 65, 'high', 'jpeg_block_artifacts', true, true),
 (66, 80, 'very_high', 'block_dropout', true, false), (81, 100, 'extreme', 'mixed', true, false)) p(lo, hi, label, corruption_type, imperfect_mask, use_mask) ON level BETWEEN lo AND hi""",
-    "adaptive_plan": f"WITH {STEPS}, fo AS (SELECT recommended, unnest(string_split(families, ' ')) AS family, unnest(range(9)) AS k FROM od) SELECT recommended, row_number() OVER (PARTITION BY recommended ORDER BY k, so) AS place, strategy, family FROM fo JOIN st USING (family)",
-    "exhaustive_plan": f"""WITH {STEPS}, fo AS (SELECT recommended, unnest(string_split(families, ' ')) AS family, unnest(range(9)) AS k FROM od),
-al AS (SELECT recommended, k, so, strategy, family FROM fo JOIN st USING (family) UNION ALL SELECT recommended, k, 4, 'patchmatch_p15_i20', family FROM fo WHERE family = 'patchmatch'
-UNION ALL SELECT recommended, k, 3 + i, 'criminisi_p' || (3 + 6 * i), 'criminisi' FROM fo, range(1, 3) r(i) WHERE family = 'inpainting' UNION ALL SELECT recommended, 100, 1, 'meta_regional', 'meta_regional' FROM od)
-SELECT recommended, row_number() OVER (PARTITION BY recommended ORDER BY k, so) AS place, strategy, family FROM al""",
-    "legal_methods": f"WITH {STEPS} SELECT strategy, strategy NOT LIKE 'patchmatch%' AS forensic_safe, 'forensic_safe' AS mode FROM (SELECT strategy FROM st UNION ALL VALUES ('patchmatch_p15_i20'), ('criminisi_p9'), ('criminisi_p15'), ('meta_regional')) a UNION ALL SELECT 'lama_big', false, 'generative'",
+    "adaptive_plan": f"WITH {STEPS}, {ADVICE}, fo AS (SELECT recommended, unnest(string_split(families, ' ')) AS family, unnest(range(9)) AS k FROM od), pl AS (SELECT recommended, row_number() OVER (PARTITION BY recommended ORDER BY k, so) AS place, strategy, family FROM fo JOIN st USING (family)) SELECT vec_id, recommended, place, strategy, family FROM ad JOIN pl USING (recommended)",
+    "exhaustive_plan": f"WITH {STEPS}, {ADVICE}, {ALL_STEPS} SELECT vec_id, recommended, place, strategy, family FROM ad JOIN pl USING (recommended)",
+    "legal_methods": f"WITH {STEPS}, {ADVICE}, {ALL_STEPS} SELECT vec_id, strategy, strategy NOT LIKE 'patchmatch%' AS forensic_safe, 'forensic_safe' AS mode FROM ad JOIN pl USING (recommended) UNION ALL SELECT vec_id, 'lama_big', false, 'generative' FROM embeddings WHERE vec_id % 7 = 0",
     "supervised_score": SCORES + """ SELECT vec_id, strategy, round(least(100, greatest(0, 60 * s + p / 5 + 30 * greatest(0, s - sd) + greatest(0, p - pd) / 5)), 5) AS score, round(p, 5) AS psnr, round(s, 5) AS ssim, round(s, 5) AS zone_ssim,
 round(100 * greatest(0, 1 - sqrt(mi) / 255), 5) AS mask_region_score, round(100 * greatest(0, 1 - mo / 65025), 5) AS outside_score, round(greatest(0, 1 - mo / greatest(mod, 1e-6)), 5) AS outside_preservation FROM sc""",
     "recoverability_class": SCORES + """ SELECT vec_id, strategy, CASE WHEN round(s - sd, 9) <= 0 THEN 'non_recoverable' WHEN round(p - pd, 9) >= 5 AND round(s, 9) >= 0.97 THEN 'recoverable' WHEN round(p - pd, 9) > 0.5 AND round(s, 9) >= 0.85 THEN 'partially_recoverable' ELSE 'non_recoverable' END AS class FROM sc""",

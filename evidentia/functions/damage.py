@@ -48,7 +48,7 @@ def blocks(img, rng, size: int = 2):
 
 def filled(img, mask, rng, fill: str = "black"):
     """img with black, white, gray or noise where mask is."""
-    flat = {"black": 0, "white": 255, "gray": 128}
+    flat = {"black": 0, "white": 255, "gray": 127}
     new = rng.integers(0, 256, img.shape) if fill == "noise" else flat[fill]
     return np.where(mask if img.ndim == 2 else mask[..., None], new, img).astype(np.uint8)
 

@@ -233,7 +233,6 @@ plan("candidate_top3_roles", f"""WITH {K}, b AS (SELECT *, row_number() OVER (PA
 SELECT vec_id, max(CASE WHEN rk = 1 THEN strategy END) AS best_score, max(CASE WHEN rv = 1 THEN strategy END) AS best_visual, max(CASE WHEN strategy = 'conservative' THEN strategy END) AS most_conservative FROM b GROUP BY vec_id""")
 plan("family_best", f"WITH {K} SELECT vec_id, family, strategy, score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, family ORDER BY score DESC, seq) AS rk FROM ranked) q WHERE rk = 1")
 plan("attempt_cap", f"WITH {K} SELECT vec_id, CAST(count(*) AS BIGINT) AS attempts, round(max(score), 6) AS best FROM ranked WHERE seq < 3 GROUP BY vec_id")
-STRAT = "(SELECT 1 AS seq, 'inpainting_r3' AS strategy, 'inpainting' AS family UNION ALL SELECT 2, 'inpainting_r5', 'inpainting' UNION ALL SELECT 3, 'inpainting_r7', 'inpainting' UNION ALL SELECT 4, 'denoise_median', 'denoise' UNION ALL SELECT 5, 'denoise_gaussian', 'denoise' UNION ALL SELECT 6, 'deblur', 'deblur' UNION ALL SELECT 7, 'block_repair', 'block_repair' UNION ALL SELECT 8, 'hybrid', 'hybrid' UNION ALL SELECT 9, 'patchmatch_p7', 'patchmatch')"
 plan("corrupt_and_repair_best", f"""WITH {K} SELECT vec_id, strategy, round(psnr_before, 6) AS psnr_before, round(psnr, 6) AS psnr_after, round(inside, 6) AS inside, score, CASE WHEN psnr - psnr_before >= 5 AND inside >= 80 THEN 'recoverable' WHEN psnr - psnr_before > 0.5 AND inside >= 60 THEN 'partially_recoverable' ELSE 'not_recoverable' END AS class
 FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, seq) AS rk FROM ranked) q WHERE rk = 1""")
 plan("compare_masks", f"""WITH {K} SELECT a.vec_id, CASE WHEN a.score >= b.score THEN 'user' ELSE 'auto' END AS winner, round(a.score - b.score, 6) AS margin FROM ranked a JOIN ranked b ON a.vec_id = b.vec_id WHERE a.strategy = 'box_mean' AND b.strategy = 'row_mean'""")
@@ -271,5 +270,4 @@ plan("timeline_elapsed", "SELECT event_id, ~seconds(t0, ts) AS elapsed_s FROM (S
 plan("timeline_last_event", "SELECT user_id, max(event_id) AS last_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM @events WHERE event_type = 'purchase') q WHERE rk = 1 GROUP BY user_id")
 plan("progress_windows", "SELECT date_trunc('hour', ts) AS hour_start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM @events GROUP BY date_trunc('hour', ts), event_type")
 plan("text_gain", "SELECT a.conv_id, a.turn, CASE WHEN length(a.text) = 0 AND length(b.text) > 0 THEN 1.0 ELSE round(least(1.0, greatest(0, length(b.text) - length(a.text)) / greatest(length(a.text), 1)), 6) END AS gain FROM @conversations a JOIN @conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
-plan("exif_score", "SELECT page_id, n_flags, round(least(1.0, 0.2 * n_flags), 6) AS score FROM (SELECT page_id, CASE WHEN url LIKE 'http:%' THEN 1 ELSE 0 END + CASE WHEN url LIKE '%?%' THEN 1 ELSE 0 END + CASE WHEN url LIKE '%#%' THEN 1 ELSE 0 END + CASE WHEN length(html) < 2000 THEN 1 ELSE 0 END AS n_flags FROM @pages) q")
 plan("report_rows", f"WITH {K} SELECT vec_id, CAST(count(*) AS BIGINT) AS n_candidates, round(max(score), 6) AS best_score, round(min(score), 6) AS worst_score, round(max(psnr - psnr_before), 6) AS best_gain FROM ranked GROUP BY vec_id")

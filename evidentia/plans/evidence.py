@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import carve, clustering, fragments, grid, matching, ranged, reports
+from ..operators import carve, clustering, fragments, grid, matching, metadata, ranged, reports
 from ..operators.settled import shared_folder
 from ..sources.tables import raster, table
 from ..streaming import heartbeat, progress, store
@@ -224,6 +224,52 @@ def legal_json(spark, sf_dir):
     return rows.select("run_key", F.sha2(reports.text("legal"), 256).alias("digest"), reports.text("legal.chain_of_custody").alias("custody"), reports.text("legal.table_of_methods").alias("methods"), "legal.forensic_mode", "legal.warning")
 
 
+# ---- metadata ----
+
+SOFTWARE = ("photoshop", "Adobe Lightroom 6", "GIMP 2.10", "camera 1.0", "", "Capture One 23", "firmware", "Paint.NET 5")
+
+
+def exif_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dump_id, content: a JPEG start with EXIF for each page, or without, fields left out by its id; all at fixed places."""
+    page = F.col("page_id")
+    little = lambda x, n: F.concat(*[F.unhex(F.lpad(F.hex(F.floor(x / 256**i).cast("long") % 256), 2, "0")) for i in range(n)])
+    fixed = lambda b: F.lit(b)
+    text = lambda x, n: F.encode(F.rpad(x, n, "\0"), "ISO-8859-1")
+
+    def entry(tag: int, kind: int, count: int, value: Column, there: Column | None = None) -> Column:
+        name = fixed(tag.to_bytes(2, "little"))
+        name = name if there is None else F.when(there, name).otherwise(fixed(b"\xee\xee"))
+        return F.concat(name, fixed(kind.to_bytes(2, "little") + count.to_bytes(4, "little")), value)
+
+    at = lambda n: fixed(n.to_bytes(4, "little"))
+    short = lambda x: F.concat(little(x, 2), fixed(b"\0\0"))
+    sides = lambda a, b, odd: F.encode(F.rpad(F.when(odd, b).otherwise(a), 4, "\0"), "ISO-8859-1")
+    angle = lambda d, m, s: F.concat(little(d, 4), at(1), little(m, 4), at(1), little(s, 4), at(100))
+    software = F.element_at(F.array(*[F.lit(x) for x in SOFTWARE]), (page % len(SOFTWARE) + 1).cast("int"))
+    first = [entry(0x010F, 2, 8, at(98), page % 3 > 0), entry(0x0110, 2, 8, at(106), page % 3 > 0), entry(0x0112, 3, 1, short(page % 10)), entry(0x0131, 2, 20, at(114)), entry(0x0132, 2, 20, at(134), page % 4 > 0), entry(0x8769, 4, 1, at(154)), entry(0x8825, 4, 1, at(204), page % 6 == 0)]
+    second = [entry(0x8827, 3, 1, short(page % 50 * 100)), entry(0x9003, 2, 20, at(184), page % 5 > 0)]
+    third = [entry(1, 2, 2, sides("N", "S", page % 4 == 0)), entry(2, 5, 3, at(258)), entry(3, 2, 2, sides("E", "W", page % 5 == 0), page % 12 == 0), entry(4, 5, 3, at(282))]
+    modified = F.when(page % 2 == 0, "2024:01:01 10:00:00").otherwise("2024:02:02 11:11:11")
+    tiff = F.concat(
+        fixed(b"II*\0\x08\0\0\0\x07\0"), *first, at(0), text(F.lit("Maker"), 8), text(F.concat(F.lit("M"), page % 100), 8), text(software, 20), text(modified, 20),
+        fixed(b"\x02\0"), *second, at(0), text(F.lit("2024:01:01 10:00:00"), 20), fixed(b"\x04\0"), *third, at(0), angle(page % 90, page % 60, page * 7 % 6000), angle(page % 180, page * 3 % 60, page * 11 % 6000),
+    )
+    start = fixed(b"\xff\xd8\xff\xe1\x01\x40")
+    content = F.when(page % 7 == 0, start).otherwise(F.concat(start, fixed(b"Exif\0\0"), tiff))
+    return table(spark, sf_dir, "pages").select(page.cast("string").alias("dump_id"), content.alias("content"))
+
+
+def exif_records(spark, sf_dir):
+    """The EXIF record of each file, as read back from its bytes."""
+    found = metadata.record(metadata.exif(exif_files(spark, sf_dir)))
+    return found.select(F.col("dump_id").cast("long").alias("page_id"), "exif_present", "camera_make", "camera_model", "software", "datetime_original", "datetime_modified", "gps_present", "gps_lat", "gps_lon", "orientation", "iso", F.size("raw_tags").cast("long").alias("n_tags"))
+
+
+def exif_score(spark, sf_dir):
+    rows = metadata.consistency(metadata.record(metadata.exif(exif_files(spark, sf_dir))))
+    return rows.select(F.col("dump_id").cast("long").alias("page_id"), F.size("flags").cast("long").alias("n_flags"), F.col("suspicion_score").alias("score"), "suspicious", F.array_join("flags", "; ").alias("flags"))
+
+
 # ---- streams ----
 
 
@@ -326,7 +372,12 @@ rj AS MATERIALIZED (SELECT vec_id, cs, src, {'run_id': substr(sha256('v' || vec_
 'analysis': {'detection_quality': q, 'repair_effectiveness': f, 'score_level': lv, 'score': score, 'iou': iou, 'psnr_gain': rp, 'ssim_gain': rs, 'notes': list_filter([CASE WHEN q = 'poor' THEN 'imprecise detection' END, CASE WHEN f = 'degraded' THEN 'no measurable gain' END, CASE WHEN q = 'good' AND f = 'improved' THEN 'located and improved' END,
   CASE WHEN rp > 3 THEN 'PSNR gain +' || printf('%.1f', CAST(round(CAST(rp AS DECIMAL(12, 3)), 1) AS DOUBLE)) || ' dB' END, CASE WHEN rs > 0.05 THEN 'SSIM gain +' || printf('%.3f', rs) END, CASE WHEN lv = 'excellent' THEN 'excellent score' END, CASE WHEN q <> 'poor' AND f <> 'degraded' AND NOT (q = 'good' AND f = 'improved') AND rp <= 3 AND rs <= 0.05 AND lv <> 'excellent' THEN 'nothing unusual' END], lambda x: x IS NOT NULL)}} AS r FROM n)"""
 
-QUERIES = {f.__name__: f for f in (knn_mutual, copy_move_matches, copy_move_points, match_groups, ranged_segments, variance_11, component_areas, mask_morphology, detect_damage, detect_advanced, zone_score, stream_heartbeat, status_store, offsets_udtf, fragment_features, fragment_clusters, fragment_cluster_rollup, fragment_assembly, report_json, legal_json)}
+EXIF_SQL = """ex AS MATERIALIZED (SELECT page_id, page_id % 7 > 0 AS exif_present, CASE WHEN page_id % 3 > 0 THEN 'Maker' END AS camera_make, CASE WHEN page_id % 3 > 0 THEN 'M' || (page_id % 100) END AS camera_model, (['photoshop', 'Adobe Lightroom 6', 'GIMP 2.10', 'camera 1.0', '', 'Capture One 23', 'firmware', 'Paint.NET 5'])[page_id % 8 + 1] AS software,
+CASE WHEN page_id % 5 > 0 THEN '2024:01:01 10:00:00' END AS datetime_original, CASE WHEN page_id % 4 > 0 THEN CASE WHEN page_id % 2 = 0 THEN '2024:01:01 10:00:00' ELSE '2024:02:02 11:11:11' END END AS datetime_modified, page_id % 6 = 0 AS gps_present,
+CASE WHEN page_id % 6 = 0 THEN round((page_id % 90 + (page_id % 60) / 60e0 + (page_id * 7 % 6000) / 100e0 / 3600) * CASE WHEN page_id % 4 = 0 THEN -1 ELSE 1 END, 6) END AS gps_lat, CASE WHEN page_id % 12 = 0 THEN round((page_id % 180 + (page_id * 3 % 60) / 60e0 + (page_id * 11 % 6000) / 100e0 / 3600) * CASE WHEN page_id % 5 = 0 THEN -1 ELSE 1 END, 6) END AS gps_lon,
+page_id % 10 AS orientation, page_id % 50 * 100 AS iso FROM pages)"""
+
+QUERIES = {f.__name__: f for f in (knn_mutual, copy_move_matches, copy_move_points, match_groups, ranged_segments, variance_11, component_areas, mask_morphology, detect_damage, detect_advanced, zone_score, stream_heartbeat, status_store, offsets_udtf, fragment_features, fragment_clusters, fragment_cluster_rollup, fragment_assembly, report_json, legal_json, exif_records, exif_score)}
 
 ORACLES = {
     "knn_mutual": f"WITH {MUTUAL_SQL} SELECT image_id, point_id, other_id, distance FROM mu",
@@ -398,4 +449,10 @@ coalesce((SELECT running FROM k WHERE k.doc_id = d.doc_id ORDER BY place DESC LI
 SELECT 'v' || vec_id AS run_key, sha256(substr(j, 1, length(j) - 1) || ',' || substr(k, 2)) AS digest, CAST(to_json(ch) AS VARCHAR) AS custody, CAST(to_json(me) AS VARCHAR) AS methods, 'forensic_safe' AS forensic_mode, '{reports.WARNINGS[False]}' AS warning
 FROM (SELECT vec_id, ch, me, CAST(to_json(r) AS VARCHAR) AS j, CAST(to_json({{'legal_report': true, 'generated_at': '2024-01-02T00:00:00', 'report_version': '1.0-legal', 'analysis_id': r.run_id, 'chain_of_custody': ch, 'table_of_methods': me, 'forensic_mode': 'forensic_safe', 'sha256_original': sha256('original' || vec_id), 'sha256_reconstructed': sha256('reconstructed' || vec_id),
   'disclaimer': '{reports.DISCLAIMER.replace(chr(39), chr(39) * 2)}', 'legal_note': '{reports.NOTE}', 'warning': '{reports.WARNINGS[False]}', 'certifications': {{'probatoire': false, 'expertise_humaine_requise': true, 'methode_reproductible': true, 'open_source': true}}}}) AS VARCHAR) AS k FROM l) z""",
+    "exif_records": f"""WITH {EXIF_SQL} SELECT page_id, exif_present, CASE WHEN exif_present THEN camera_make END AS camera_make, CASE WHEN exif_present THEN camera_model END AS camera_model, CASE WHEN exif_present THEN software END AS software, CASE WHEN exif_present THEN datetime_original END AS datetime_original, CASE WHEN exif_present THEN datetime_modified END AS datetime_modified,
+exif_present AND gps_present AS gps_present, CASE WHEN exif_present THEN gps_lat END AS gps_lat, CASE WHEN exif_present THEN gps_lon END AS gps_lon, CASE WHEN exif_present THEN orientation END AS orientation, CASE WHEN exif_present THEN iso END AS iso,
+CASE WHEN exif_present THEN 3 + CASE WHEN camera_make IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN datetime_original IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN datetime_modified IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN gps_present THEN 4 + CASE WHEN gps_lon IS NOT NULL THEN 1 ELSE 0 END ELSE 0 END ELSE 0 END AS n_tags FROM ex""",
+    "exif_score": f"""WITH {EXIF_SQL}, f AS (SELECT page_id, list_filter(CASE WHEN NOT exif_present THEN ['no EXIF'] ELSE [CASE WHEN page_id % 8 IN (0, 1, 2, 5, 7) THEN 'edited with ' || software END, CASE WHEN datetime_original <> datetime_modified THEN 'taken ' || datetime_original || ', modified ' || datetime_modified END,
+  CASE WHEN gps_present THEN 'position (' || gps_lat || ', ' || coalesce(CAST(gps_lon AS VARCHAR), '?') || ')' END, CASE WHEN orientation = 9 THEN 'orientation 9' END, CASE WHEN camera_model IS NULL THEN 'no camera model' END] END, lambda x: x IS NOT NULL) AS flags FROM ex)
+SELECT page_id, len(flags) AS n_flags, least(1e0, round(len(flags) / 5e0, 2)) AS score, len(flags) > 0 AS suspicious, array_to_string(flags, '; ') AS flags FROM f""",
 }

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import grid
+from ..operators.metadata import EDITORS, edited
 from ..sources.tables import raster, table
 from .book import K, for_duckdb, on_spark
 
@@ -23,10 +24,6 @@ DAMAGE_TYPES = (
     "rectangle_mask", "noise", "zone_deletion", "combined", "bar", "local_blur", "shift_region", "block_dropout", "jpeg_block_artifacts", "mixed",
     "scratch_lines", "large_deleted_square", "multiple_bars", "random_holes", "local_noise",
 )
-EDITORS = (
-    "photoshop", "gimp", "lightroom", "affinity", "pixelmator", "capture one", "darktable", "rawtherapee", "luminar", "dall-e", "stable diffusion",
-    "midjourney", "firefly", "topaz", "imagemagick", "paint.net",
-)
 LEVELS = [
     (10, "very_low", "rectangle_mask", False, True), (20, "low", "bar", False, True), (35, "moderate", "zone_deletion", False, True), (50, "moderate_plus", "local_blur", False, True),
     (65, "high", "jpeg_block_artifacts", True, True), (80, "very_high", "block_dropout", True, False), (100, "extreme", "mixed", True, False),
@@ -88,11 +85,6 @@ def profile(level: Column) -> Column:
     return out
 
 
-def editor(software: Column) -> Column:
-    """Whether one of the EDITORS is named in it."""
-    return F.exists(F.array(*[F.lit(e) for e in EDITORS]), lambda e: F.contains(F.lower(F.coalesce(software, F.lit(""))), e))
-
-
 def degrees(d: Column, m: Column, s: Column, ref: Column) -> Column:
     """Degrees, minutes, seconds to decimal, south and west negative, 6 places half-even."""
     return F.bround((d + m / 60 + s / 3600) * F.when(ref.isin("S", "W"), -1.0).otherwise(1.0), 6)
@@ -423,7 +415,7 @@ def retention_counts(spark, sf_dir):
 def software_flags(spark, sf_dir):
     names = (*EDITORS, "camera firmware", "Paint.NET 4", "Adobe Photoshop 25", "")
     rows = table(spark, sf_dir, "pages").select("page_id", F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("page_id") % len(names) + 1).cast("int")).alias("software"))
-    return rows.select("page_id", "software", editor(F.initcap("software")).alias("flagged"))
+    return rows.select("page_id", "software", edited(F.initcap("software")).alias("flagged"))
 
 
 def dms_decimal(spark, sf_dir):

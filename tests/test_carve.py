@@ -53,6 +53,15 @@ def test_mixed_dump_comes_out_whole(spark):
     assert got == {"png": png, "bmp": bmp(), "jpeg": jpeg}
 
 
+def test_broken_exif_is_read_as_far_as_it_goes(spark):
+    start = b"\xff\xd8\xff\xe1\x00\x99Exif\x00\x00"
+    loop = b"II*\x00\x08\x00\x00\x00" + struct.pack("<H", 2) + struct.pack("<HHII", 0x0112, 3, 1, 99) + struct.pack("<HHII", 0x8769, 4, 1, 8) + bytes(4)
+    cut = b"MM\x00*\x00\x00\x00\x08" + struct.pack(">H", 9) + struct.pack(">HHIHH", 0x0112, 3, 1, 6, 0)
+    rows = {r["dump_id"]: r for r in metadata.consistency(metadata.record(metadata.exif(frame(spark, start + loop, start + cut, start + b"II*", start, b"", start + b"??" + loop)))).collect()}
+    assert rows["0"]["orientation"] == 99 and "orientation 99" in rows["0"]["flags"] and rows["1"]["orientation"] == 6
+    assert all(not rows[k]["exif_present"] and rows[k]["flags"] == ["no EXIF"] for k in "2345")
+
+
 def test_uploads(spark):
     rows = [("a.gif", b"x"), ("a.png", b""), ("a.PNG", carve.PNG_START), ("a.jpg", b"\x00\x01\x02"), ("a.jpeg", b"\xff\xd8\xff\xe0")]
     df = spark.createDataFrame([(n, bytearray(b)) for n, b in rows], "name string, content binary")
@@ -64,9 +73,10 @@ def test_exif(spark):
     soft, when = b"Adobe Photoshop\x00", b"2020:01:01 00:00:00\x00"
     ifd = struct.pack("<H", 2) + struct.pack("<HHII", 0x0131, 2, len(soft), ascii_at) + struct.pack("<HHII", 0x0132, 2, len(when), ascii_at + len(soft)) + bytes(4)
     jpeg = b"\xff\xd8\xff\xe1\x00\x99Exif\x00\x00II*\x00\x08\x00\x00\x00" + ifd + soft + when
-    rows = {r["dump_id"]: r for r in metadata.consistency(metadata.exif(frame(spark, jpeg, b"nothing"))).collect()}
-    assert rows["0"]["flags"] == ["editing_software", "no_camera"] and rows["0"]["score"] == pytest.approx(0.4)
-    assert rows["1"]["flags"] == ["no_exif"]
+    rows = {r["dump_id"]: r for r in metadata.consistency(metadata.record(metadata.exif(frame(spark, jpeg, b"nothing")))).collect()}
+    assert rows["0"]["flags"] == ["edited with Adobe Photoshop", "no camera model"] and rows["0"]["suspicion_score"] == pytest.approx(0.4) and rows["0"]["suspicious"]
+    assert rows["0"]["datetime_modified"] == "2020:01:01 00:00:00" and rows["0"]["datetime_original"] is None and not rows["0"]["gps_present"]
+    assert rows["1"]["flags"] == ["no EXIF"]
     assert spark.range(1).select(metadata.degrees(F.lit("10,30,0"), F.lit("S"))).first()[0] == -10.5
 
 

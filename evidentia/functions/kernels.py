@@ -66,8 +66,8 @@ def bilateral(img: np.ndarray, n: int = 7, range_sigma: float = 50.0, space_sigm
 
 @per_channel
 def column_smooth(img: np.ndarray, times: int = 1) -> np.ndarray:
-    """A 5 x 1 Gaussian down the columns."""
-    w = gaussian_weights(5)
+    """A 5 x 1 Gaussian of deviation 1 down the columns."""
+    w = gaussian_weights(5, 1.0)
     for _ in range(times):
         img = np.rint(np.einsum("yxij,i->yx", patches(img, 5)[..., 2:3].astype(float), w)).astype(np.uint8)
     return img

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import carve, clustering, fragments, grid, matching, metadata, ranged, reports
+from ..operators import carve, clustering, filters, fragments, grid, matching, metadata, ranged, reports
 from ..operators.settled import shared_folder
 from ..sources.tables import raster, table
 from ..streaming import heartbeat, progress, store
@@ -138,6 +138,47 @@ n AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY imag
 mu AS MATERIALIZED (SELECT a.image_id, a.point_id, a.other_id, a.distance FROM n a JOIN n b ON a.image_id = b.image_id AND a.other_id = b.point_id AND b.other_id = a.point_id WHERE a.point_id < a.other_id)"""
 STRONG_SQL = f"{MUTUAL_SQL}, sm AS MATERIALIZED (SELECT mu.image_id, mu.point_id, mu.other_id, mu.distance, sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS pixels FROM mu JOIN p a ON a.image_id = mu.image_id AND a.point_id = mu.point_id JOIN p b ON b.image_id = mu.image_id AND b.point_id = mu.other_id WHERE mu.distance < 12.5 AND (a.y - b.y) ** 2 + (a.x - b.x) ** 2 >= 100)"
 
+# ---- filters and damage ----
+
+
+def filtered_pixels(spark, sf_dir):
+    """Every pixel of pictures of 16 x 16 under the five filters."""
+    keys, pixels = ["image_id"], mosaic(spark, sf_dir, 2)
+    out = pixels
+    for f in (filters.gaussian, filters.median, filters.bilateral, filters.box, filters.column_smooth):
+        out = out.join(f(pixels, keys).select(*keys, "y", "x", F.col("v").alias(f.__name__)), [*keys, "y", "x"])
+    return out
+
+
+def in_zone() -> Column:
+    k = F.col("image_id")
+    return (F.col("y") >= k % 7) & (F.col("y") < k % 7 + 12) & (F.col("x") >= k % 5) & (F.col("x") < k % 5 + 15)
+
+
+def damage_noise(spark, sf_dir):
+    """Normal noise, and salt and pepper, in a rectangle of pictures of 32 x 32, summed up by row."""
+    pixels = mosaic(spark, sf_dir, 4)
+    normal, salt = filters.noise(pixels, "image_id", in_zone(), 25, 3), filters.salt_and_pepper(pixels, "image_id", in_zone(), 8)
+    rows = normal.join(salt.select("image_id", "y", "x", F.col("v").alias("salted")), ["image_id", "y", "x"])
+    return rows.groupBy("image_id", "y").agg(F.sum("v").alias("noisy"), F.sum("salted").alias("salted"), F.count_if("hit").alias("hit"))
+
+
+def damage_combined(spark, sf_dir):
+    k = F.col("image_id")
+    rows = filters.combined(mosaic(spark, sf_dir, 4), "image_id", k % 7 + 8, k % 7 + 16, k % 5 + 9, k % 5 + 15, 0, 12.0, 5)
+    return rows.select("image_id", "y", "x", "v", "hit")
+
+
+def damage_multiple_bars(spark, sf_dir):
+    rows = filters.bars(filters.bars(mosaic(spark, sf_dir, 4), "image_id", 3, 4, False, 0, 2).withColumnRenamed("hit", "across"), "image_id", 2, 3, True, 255, 9)
+    return rows.select("image_id", "y", "x", "v", (F.col("across") | F.col("hit")).alias("hit"))
+
+
+def mask_imperfect(spark, sf_dir):
+    rows = mosaic(spark, sf_dir, 4).select("image_id", "y", "x", (in_zone() & (F.col("v") < 90)).cast("int").alias("hit"))
+    return filters.imperfect(rows, "image_id", 1, 1, 0.02, 6).groupBy("image_id", "y").agg(F.sum("hit").alias("n"), F.min(F.when(F.col("hit") == 1, F.col("x"))).alias("x0"), F.max(F.when(F.col("hit") == 1, F.col("x"))).alias("x1"))
+
+
 # ---- fragments ----
 
 
@@ -377,7 +418,19 @@ CASE WHEN page_id % 5 > 0 THEN '2024:01:01 10:00:00' END AS datetime_original, C
 CASE WHEN page_id % 6 = 0 THEN round((page_id % 90 + (page_id % 60) / 60e0 + (page_id * 7 % 6000) / 100e0 / 3600) * CASE WHEN page_id % 4 = 0 THEN -1 ELSE 1 END, 6) END AS gps_lat, CASE WHEN page_id % 12 = 0 THEN round((page_id % 180 + (page_id * 3 % 60) / 60e0 + (page_id * 11 % 6000) / 100e0 / 3600) * CASE WHEN page_id % 5 = 0 THEN -1 ELSE 1 END, 6) END AS gps_lon,
 page_id % 10 AS orientation, page_id % 50 * 100 AS iso FROM pages)"""
 
-QUERIES = {f.__name__: f for f in (knn_mutual, copy_move_matches, copy_move_points, match_groups, ranged_segments, variance_11, component_areas, mask_morphology, detect_damage, detect_advanced, zone_score, stream_heartbeat, status_store, offsets_udtf, fragment_features, fragment_clusters, fragment_cluster_rollup, fragment_assembly, report_json, legal_json, exif_records, exif_score)}
+def chance_sql(y: str, x: str, seed: int) -> str:
+    """The pseudo-random number of a pixel of picture image_id."""
+    m = f"(image_id * 7919 + {y} * 104729 + {x} * 611953 + {seed * 15_485_863})"
+    return f"((({m} % 1000003) * ({m} % 1000003 + {seed}) % 1000003 * 48271 + {m}) % 1000003 / 1000003e0)"
+
+
+def loud_sql(sigma: str, seed: int) -> str:
+    return f"CAST(floor(greatest(0e0, least(255e0, v + {sigma} * sqrt(-2e0 * ln(1e0 - {chance_sql('y', 'x', seed)})) * cos(2e0 * pi() * {chance_sql('y', 'x', seed + 1)})))) AS BIGINT)"
+
+
+ZONE_SQL = "(y >= image_id % 7 AND y < image_id % 7 + 12 AND x >= image_id % 5 AND x < image_id % 5 + 15)"
+
+QUERIES = {f.__name__: f for f in (knn_mutual, copy_move_matches, copy_move_points, match_groups, ranged_segments, variance_11, component_areas, mask_morphology, detect_damage, detect_advanced, zone_score, stream_heartbeat, status_store, offsets_udtf, fragment_features, fragment_clusters, fragment_cluster_rollup, fragment_assembly, report_json, legal_json, exif_records, exif_score, filtered_pixels, damage_noise, damage_combined, damage_multiple_bars, mask_imperfect)}
 
 ORACLES = {
     "knn_mutual": f"WITH {MUTUAL_SQL} SELECT image_id, point_id, other_id, distance FROM mu",
@@ -455,4 +508,18 @@ CASE WHEN exif_present THEN 3 + CASE WHEN camera_make IS NOT NULL THEN 2 ELSE 0
     "exif_score": f"""WITH {EXIF_SQL}, f AS (SELECT page_id, list_filter(CASE WHEN NOT exif_present THEN ['no EXIF'] ELSE [CASE WHEN page_id % 8 IN (0, 1, 2, 5, 7) THEN 'edited with ' || software END, CASE WHEN datetime_original <> datetime_modified THEN 'taken ' || datetime_original || ', modified ' || datetime_modified END,
   CASE WHEN gps_present THEN 'position (' || gps_lat || ', ' || coalesce(CAST(gps_lon AS VARCHAR), '?') || ')' END, CASE WHEN orientation = 9 THEN 'orientation 9' END, CASE WHEN camera_model IS NULL THEN 'no camera model' END] END, lambda x: x IS NOT NULL) AS flags FROM ex)
 SELECT page_id, len(flags) AS n_flags, least(1e0, round(len(flags) / 5e0, 2)) AS score, len(flags) > 0 AS suspicious, array_to_string(flags, '; ') AS flags FROM f""",
+    "filtered_pixels": f"""WITH {mosaic_sql(2)}, m4 AS MATERIALIZED (SELECT *, ([1, 4, 6, 4, 1])[dy + 3] AS wy, ([1, 4, 6, 4, 1])[dx + 3] AS wx FROM {mirrored('mo', 4, 16)} z),
+ga AS (SELECT image_id, y, x, (sum(CASE WHEN abs(dy) <= 2 AND abs(dx) <= 2 THEN v * wy * wx ELSE 0 END) + 128) // 256 AS gaussian, round_even(sum(CASE WHEN dy <= 3 AND dx <= 3 THEN v ELSE 0 END) / 64e0, 0) AS box,
+  round_even(sum(CASE WHEN dx = 0 AND abs(dy) <= 2 THEN v * exp(-dy * dy / 2e0) ELSE 0 END) / (1 + 2 * exp(-0.5e0) + 2 * exp(-2e0)), 0) AS column_smooth, round_even(sum(CASE WHEN dy * dy + dx * dx <= 9 THEN v * exp(-(dy * dy + dx * dx) / 5000e0) * exp(-(v - own) * (v - own) / 5000e0) ELSE 0 END)
+  / sum(CASE WHEN dy * dy + dx * dx <= 9 THEN exp(-(dy * dy + dx * dx) / 5000e0) * exp(-(v - own) * (v - own) / 5000e0) ELSE 0 END), 0) AS bilateral, any_value(own) AS v FROM m4 GROUP BY ALL),
+sp AS (SELECT a.image_id, a.y, a.x, greatest(0, least(15, a.y + dy.k)) AS sy, greatest(0, least(15, a.x + dx.k)) AS sx FROM mo a, range(-2, 3) dy(k), range(-2, 3) dx(k)), me AS (SELECT sp.image_id, sp.y, sp.x, list_sort(list(b.v))[13] AS median FROM sp JOIN mo b ON b.image_id = sp.image_id AND b.y = sp.sy AND b.x = sp.sx GROUP BY ALL)
+SELECT ga.image_id, ga.y, ga.x, ga.v, CAST(gaussian AS BIGINT) AS gaussian, median, CAST(bilateral AS BIGINT) AS bilateral, CAST(box AS BIGINT) AS box, CAST(column_smooth AS BIGINT) AS column_smooth FROM ga JOIN me ON ga.image_id = me.image_id AND ga.y = me.y AND ga.x = me.x""",
+    "damage_noise": f"""WITH {mosaic_sql(4)} SELECT image_id, y, CAST(sum(CASE WHEN {ZONE_SQL} THEN {loud_sql('25e0', 3)} ELSE v END) AS BIGINT) AS noisy, CAST(sum(CASE WHEN NOT {ZONE_SQL} THEN v WHEN {chance_sql('y', 'x', 8)} < 0.05e0 THEN 0 WHEN {chance_sql('y', 'x', 8)} > 0.95e0 THEN 255 ELSE v END) AS BIGINT) AS salted, count(*) FILTER (WHERE {ZONE_SQL}) AS hit FROM mo GROUP BY ALL""",
+    "damage_combined": f"""WITH {mosaic_sql(4)}, h AS (SELECT *, y BETWEEN image_id % 7 + 8 AND image_id % 7 + 15 AND x BETWEEN image_id % 5 + 9 AND image_id % 5 + 14 AS hit, y BETWEEN image_id % 7 - 2 AND image_id % 7 + 25 AND x BETWEEN image_id % 5 - 1 AND image_id % 5 + 24 AS halo FROM mo)
+SELECT image_id, y, x, CASE WHEN hit THEN 0 WHEN halo THEN {loud_sql('12e0', 5)} ELSE v END AS v, hit FROM h""",
+    "damage_multiple_bars": f"""WITH {mosaic_sql(4)}, i AS (SELECT DISTINCT image_id FROM mo), hb AS (SELECT image_id, CAST(floor({chance_sql('0', 'k', 2)} * 28) AS BIGINT) AS at FROM i, range(3) k(k)), vb AS (SELECT image_id, CAST(floor({chance_sql('0', 'k', 9)} * 29) AS BIGINT) AS at FROM i, range(2) k(k)),
+l AS (SELECT image_id, y, x, v, EXISTS (SELECT 1 FROM hb WHERE hb.image_id = mo.image_id AND mo.y >= hb.at AND mo.y < hb.at + 4) AS h, EXISTS (SELECT 1 FROM vb WHERE vb.image_id = mo.image_id AND mo.x >= vb.at AND mo.x < vb.at + 3) AS w FROM mo)
+SELECT image_id, y, x, CASE WHEN w THEN 255 WHEN h THEN 0 ELSE v END AS v, h OR w AS hit FROM l""",
+    "mask_imperfect": f"""WITH {mosaic_sql(4)}, h AS MATERIALIZED (SELECT image_id, y, x, CAST({ZONE_SQL} AND v < 90 AS INTEGER) AS hit FROM mo), {morph_sql('g', 'h', 2, 'max')}, {morph_sql('e', 'g', 2, 'min')},
+n AS (SELECT image_id, y, x, CASE WHEN {chance_sql('y', 'x', 6)} < 0.02e0 THEN 1 WHEN {chance_sql('y', 'x', 6)} > 0.98e0 THEN 0 ELSE hit END AS hit FROM e) SELECT image_id, y, CAST(sum(hit) AS BIGINT) AS n, min(x) FILTER (WHERE hit = 1) AS x0, max(x) FILTER (WHERE hit = 1) AS x1 FROM n GROUP BY ALL""",
 }

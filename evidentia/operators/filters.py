@@ -88,10 +88,10 @@ def bilateral(pixels: DataFrame, keys: list[str]) -> DataFrame:
 # ---- damage ----
 
 
-def chance(picture: Column, seed: int) -> Column:
+def chance(picture: Column, seed: int, y: Column | None = None, x: Column | None = None) -> Column:
     """A number from 0 to below 1 that a pixel (picture, y, x) has under a seed."""
     a, b, c, d = FACTORS
-    mixed = picture * a + F.col("y") * b + F.col("x") * c + seed * d
+    mixed = picture * a + (F.col("y") if y is None else y) * b + (F.col("x") if x is None else x) * c + seed * d
     twice = (mixed % MODULUS) * (mixed % MODULUS + seed) % MODULUS
     return ((twice * 48_271 + mixed) % MODULUS).cast("double") / MODULUS
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .filters import chance
 from .settled import settled
 
 
@@ -125,3 +126,30 @@ def report(fragments: DataFrame, chain: DataFrame, source: DataFrame) -> DataFra
         empty(F.col("fragments_rejected"), "off:bigint,idx:bigint,size:bigint,reason:string,sha256:string").alias("fragments_rejected"),
         F.struct(F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("sha256", nothing).alias("sha256"), F.coalesce("gaps", F.lit(0)).alias("gaps"), F.coalesce("running", F.lit("")).alias("running")).alias("assembly"), F.coalesce("score", F.lit(0.0)).alias("assembly_score"),
     )
+
+
+def scattered(dumps: DataFrame, pieces: int = 6, loss: float = 0.2, noise: int = 512, seed: int = 42) -> DataFrame:
+    """Ground truth of dumps (dump_id, content) cut up: dump_id, idx, source_offset, size, sha256, lost, place, dump_offset, data.
+
+    Cuts lie within a quarter of a piece's length around even ones; about the share `loss` of the pieces is lost; the others
+    are shuffled, each behind `noise` bytes of noise, and have a place and an offset in the new dump. All chance comes from
+    dump_id and seed, so a rerun gives the same. Null contents are empty: their pieces are, too.
+    """
+    n = F.octet_length("content").cast("long")
+    rows = dumps.select("dump_id", F.coalesce("content", F.lit(b"")).alias("content"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))).alias("idx"))
+    dice = lambda k, which: chance(F.col("dump_id"), seed, k, F.lit(which))
+    cut = lambda k: F.when(k <= 0, 0).when(k >= pieces, n).otherwise(F.floor(k * n / pieces + (dice(k, 0) - 0.5) * n / pieces / 2)).cast("long")
+    rows = rows.withColumns({"source_offset": cut(F.col("idx")), "next": cut(F.col("idx") + 1)}).withColumn("size", F.col("next") - F.col("source_offset"))
+    data = F.substring("content", (F.col("source_offset") + 1).cast("int"), F.col("size").cast("int"))
+    rows = rows.select("dump_id", "idx", "source_offset", "size", data.alias("data"), (dice(F.col("idx"), 1) < loss).alias("lost"), dice(F.col("idx"), 2).alias("shuffled"))
+    kept = Window.partitionBy("dump_id", "lost").orderBy("shuffled", "idx")
+    before = F.coalesce(F.sum(F.col("size") + noise).over(kept.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.select("dump_id", "idx", "source_offset", "size", F.sha2("data", 256).alias("sha256"), "lost", F.when(~F.col("lost"), F.row_number().over(kept)).cast("long").alias("place"), F.when(~F.col("lost"), before + noise).cast("long").alias("dump_offset"), "data")
+
+
+def dumped(truth: DataFrame, noise: int = 512) -> DataFrame:
+    """(dump_id, content): the pieces of scattered() that are left, in their places, noise before each; dumps that lost all are left out."""
+    word = F.sha2(F.concat_ws(":", "dump_id", "idx").cast("binary"), 256)
+    loud = F.unhex(F.substring(F.repeat(word, noise // 32 + 1), 1, 2 * noise))
+    rows = truth.where("not lost").select("dump_id", "place", F.concat(loud, F.col("data")).alias("data"))
+    return rows.groupBy("dump_id").agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY place)").alias("content"))

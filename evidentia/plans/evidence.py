@@ -226,6 +226,58 @@ def fragment_assembly(spark, sf_dir):
     return rows.select(F.col("dump_id").alias("doc_id"), "sha256_dump", "total_fragments", "used_fragments", "rejected_fragments", F.array_join(F.transform("fragments_rejected", lambda x: F.concat(x["idx"], F.lit(":"), x["reason"])), ",").alias("rejected"), "assembly.size", "assembly.sha256", "assembly.gaps", "assembly.running", F.round("assembly_score", 6).alias("score"))
 
 
+def fragment_scatter(spark, sf_dir):
+    """Documents as dumps cut in six, about a fifth of the pieces lost, the rest shuffled among noise: what is where."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("dump_id"), F.encode("text", "UTF-8").alias("content"))
+    return fragments.scattered(docs).drop("data")
+
+
+def scattered_dumps(spark, sf_dir):
+    """The new dumps of those pieces: their length, and whether each piece is where it should be."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("dump_id"), F.encode("text", "UTF-8").alias("content"))
+    truth = grid.settled(fragments.scattered(docs))
+    rows = truth.where("not lost").join(fragments.dumped(truth), "dump_id")
+    found = F.sha2(F.substring("content", (F.col("dump_offset") + 1).cast("int"), F.col("size").cast("int")), 256) == F.col("sha256")
+    return rows.groupBy("dump_id").agg(F.max(F.octet_length("content")).cast("long").alias("length"), F.count_if(found).alias("found"), F.count("*").alias("pieces"))
+
+
+# ---- benchmarks and masks ----
+
+
+def benchmark_modes(spark, sf_dir):
+    """Per type of damage: runs, mean gains, score and time, and the strategy that was best most often (ties by name); errors don't count."""
+    scored = grid.settled(forensics.scored(spark, sf_dir))
+    place = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc(F.round("score", 9)), "strategy"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in forensics.DAMAGE_TYPES]), (F.col("vec_id") % 15 + 1).cast("int"))
+    runs = scored.withColumn("place", place).where("place = 1 and vec_id % 23 <> 0").select(kind.alias("corruption_type"), "strategy", "gain_psnr", "gain_ssim", "score", (F.col("vec_id") % 17 / 10).alias("seconds"))
+    means = runs.groupBy("corruption_type").agg(F.count("*").alias("n"), *[F.round(F.round(F.avg(c), 9), k).alias(name) for c, k, name in (("gain_psnr", 3, "mean_psnr_gain"), ("gain_ssim", 4, "mean_ssim_gain"), ("score", 2, "mean_score"), ("seconds", 2, "mean_seconds"))])
+    often = runs.groupBy("corruption_type", "strategy").agg(F.count("*").alias("n")).groupBy("corruption_type").agg(F.min(F.struct(-F.col("n"), "strategy")).alias("m"))
+    return means.join(often, "corruption_type").select(*means.columns, F.col("m.strategy").alias("modal_strategy"))
+
+
+def mask_winner(spark, sf_dir):
+    """Repair under a given mask and under a found one: scores, the better (ties: the given one), and how much of the found mask is given.
+
+    A found mask without a pixel is wholly covered.
+    """
+    given, found = in_zone(), (F.col("v") <= 20) & (F.col("image_id") % 6 > 0)
+    rows = mosaic(spark, sf_dir, 4).select("image_id", "y", "x", F.col("v").alias("o"), given.alias("given"), found.alias("found")).withColumn("d", F.when(F.col("given"), 0).otherwise(F.col("o")))
+    both = rows.select("image_id", "y", "x", "o", "d", F.explode(F.array(*[F.struct(F.lit(n).alias("mask"), F.col(n).alias("hit")) for n in ("given", "found")])).alias("m")).select("image_id", "m.mask", "y", "x", "o", "d", "m.hit")
+    mean = F.floor(F.avg(F.when(~F.col("hit"), F.col("d"))).over(Window.partitionBy("image_id", "mask", "y")))
+    pixels = both.withColumn("w", F.when(F.col("hit"), F.coalesce(mean, F.lit(0))).otherwise(F.col("d")))
+    scores = forensics.supervised(grid.settled(pixels), ["image_id", "mask"]).select("image_id", "mask", F.round("score", 4).alias("score"))
+    pair = scores.groupBy("image_id").agg(*[F.max(F.when(F.col("mask") == n, F.col("score"))).alias(f"{n}_score") for n in ("given", "found")])
+    cover = rows.groupBy("image_id").agg(F.round(F.coalesce(F.try_divide(F.count_if(F.col("given") & F.col("found")), F.count_if("found")), F.lit(1.0)), 6).alias("coverage"))
+    return pair.join(cover, "image_id").withColumn("winner", F.when(F.col("given_score") >= F.col("found_score"), "given").otherwise("found"))
+
+
+def mask_uploads(spark, sf_dir):
+    """Pictures taken as masks: pixels above 128 are set; a mask without one is refused."""
+    rows = raster(table(spark, sf_dir, "embeddings")).withColumn("set", (F.col("v") > 128) & (F.col("vec_id") % 10 > 0))
+    rows = rows.groupBy("vec_id").agg(F.count_if("set").alias("n_set"))
+    return rows.withColumn("status", F.when(F.col("n_set") == 0, 422).otherwise(200).cast("long"))
+
+
 # ---- reports ----
 
 
@@ -430,7 +482,18 @@ def loud_sql(sigma: str, seed: int) -> str:
 
 ZONE_SQL = "(y >= image_id % 7 AND y < image_id % 7 + 12 AND x >= image_id % 5 AND x < image_id % 5 + 15)"
 
-QUERIES = {f.__name__: f for f in (knn_mutual, copy_move_matches, copy_move_points, match_groups, ranged_segments, variance_11, component_areas, mask_morphology, detect_damage, detect_advanced, zone_score, stream_heartbeat, status_store, offsets_udtf, fragment_features, fragment_clusters, fragment_cluster_rollup, fragment_assembly, report_json, legal_json, exif_records, exif_score, filtered_pixels, damage_noise, damage_combined, damage_multiple_bars, mask_imperfect)}
+def dice_sql(k: str, which: int) -> str:
+    """The pseudo-random number of piece k of a document under seed 42."""
+    m = f"(doc_id * 7919 + {k} * 104729 + {which * 611_953 + 42 * 15_485_863})"
+    return f"((({m} % 1000003) * ({m} % 1000003 + 42) % 1000003 * 48271 + {m}) % 1000003 / 1000003e0)"
+
+
+SCATTER_SQL = f"""pc AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) AS n, unnest(range(6)) AS idx FROM documents),
+cu AS (SELECT doc_id, text, idx, CAST(CASE WHEN idx = 0 THEN 0 ELSE floor(idx * n / 6e0 + ({dice_sql('idx', 0)} - 0.5e0) * n / 6e0 / 2e0) END AS BIGINT) AS a, CAST(CASE WHEN idx = 5 THEN n ELSE floor((idx + 1) * n / 6e0 + ({dice_sql('(idx + 1)', 0)} - 0.5e0) * n / 6e0 / 2e0) END AS BIGINT) AS z FROM pc),
+sc AS MATERIALIZED (SELECT doc_id, idx, a AS source_offset, z - a AS size, sha256(unhex(substr(hex(encode(text)), 2 * a + 1, 2 * (z - a)))) AS sha256, {dice_sql('idx', 1)} < 0.2e0 AS lost, {dice_sql('idx', 2)} AS u FROM cu),
+pl AS MATERIALIZED (SELECT doc_id AS dump_id, idx, source_offset, size, sha256, lost, CASE WHEN NOT lost THEN row_number() OVER w END AS place, CASE WHEN NOT lost THEN CAST(sum(size + 512) OVER (PARTITION BY doc_id, lost ORDER BY u, idx) - size AS BIGINT) END AS dump_offset FROM sc WINDOW w AS (PARTITION BY doc_id, lost ORDER BY u, idx))"""
+
+QUERIES = {f.__name__: f for f in (knn_mutual, copy_move_matches, copy_move_points, match_groups, ranged_segments, variance_11, component_areas, mask_morphology, detect_damage, detect_advanced, zone_score, stream_heartbeat, status_store, offsets_udtf, fragment_features, fragment_clusters, fragment_cluster_rollup, fragment_assembly, report_json, legal_json, exif_records, exif_score, filtered_pixels, damage_noise, damage_combined, damage_multiple_bars, mask_imperfect, fragment_scatter, scattered_dumps, benchmark_modes, mask_winner, mask_uploads)}
 
 ORACLES = {
     "knn_mutual": f"WITH {MUTUAL_SQL} SELECT image_id, point_id, other_id, distance FROM mu",
@@ -522,4 +585,20 @@ l AS (SELECT image_id, y, x, v, EXISTS (SELECT 1 FROM hb WHERE hb.image_id = mo.
 SELECT image_id, y, x, CASE WHEN w THEN 255 WHEN h THEN 0 ELSE v END AS v, h OR w AS hit FROM l""",
     "mask_imperfect": f"""WITH {mosaic_sql(4)}, h AS MATERIALIZED (SELECT image_id, y, x, CAST({ZONE_SQL} AND v < 90 AS INTEGER) AS hit FROM mo), {morph_sql('g', 'h', 2, 'max')}, {morph_sql('e', 'g', 2, 'min')},
 n AS (SELECT image_id, y, x, CASE WHEN {chance_sql('y', 'x', 6)} < 0.02e0 THEN 1 WHEN {chance_sql('y', 'x', 6)} > 0.98e0 THEN 0 ELSE hit END AS hit FROM e) SELECT image_id, y, CAST(sum(hit) AS BIGINT) AS n, min(x) FILTER (WHERE hit = 1) AS x0, max(x) FILTER (WHERE hit = 1) AS x1 FROM n GROUP BY ALL""",
+    "fragment_scatter": f"WITH {SCATTER_SQL} SELECT dump_id, idx, source_offset, size, sha256, lost, place, dump_offset FROM pl",
+    "scattered_dumps": f"WITH {SCATTER_SQL} SELECT dump_id, CAST(sum(size + 512) AS BIGINT) AS length, count(*) AS found, count(*) AS pieces FROM pl WHERE NOT lost GROUP BY dump_id",
+    "benchmark_modes": forensics.SCORES + """, t AS (SELECT vec_id, strategy, p - pd AS gp, s - sd AS gs, least(100e0, greatest(0e0, 60 * s + p / 5 + 30 * greatest(0, s - sd) + greatest(0, p - pd) / 5)) AS score FROM sc),
+b AS MATERIALIZED (SELECT * FROM (SELECT *, (['rectangle_mask', 'noise', 'zone_deletion', 'combined', 'bar', 'local_blur', 'shift_region', 'block_dropout', 'jpeg_block_artifacts', 'mixed', 'scratch_lines', 'large_deleted_square', 'multiple_bars', 'random_holes', 'local_noise'])[vec_id % 15 + 1] AS kind, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 9) DESC, strategy) AS k FROM t) q WHERE k = 1 AND vec_id % 23 <> 0)
+SELECT kind AS corruption_type, count(*) AS n, round(round(avg(gp), 9), 3) AS mean_psnr_gain, round(round(avg(gs), 9), 4) AS mean_ssim_gain, round(round(avg(score), 9), 2) AS mean_score, round(round(avg(vec_id % 17 / 10e0), 9), 2) AS mean_seconds,
+(SELECT strategy FROM b c WHERE c.kind = b.kind GROUP BY strategy ORDER BY count(*) DESC, strategy LIMIT 1) AS modal_strategy FROM b GROUP BY kind""",
+    "mask_winner": f"""WITH {mosaic_sql(4)}, g AS (SELECT image_id, y, x, v AS o, {ZONE_SQL} AS given, v <= 20 AND image_id % 6 > 0 AS found FROM mo), r AS MATERIALIZED (SELECT image_id, y, x, o, CASE WHEN given THEN 0 ELSE o END AS d, mask, CASE WHEN mask = 'given' THEN given ELSE found END AS hit FROM g, (VALUES ('given'), ('found')) k(mask)),
+me AS (SELECT image_id, mask, y, floor(avg(d)) AS m FROM r WHERE NOT hit GROUP BY ALL), c AS MATERIALIZED (SELECT r.*, CASE WHEN hit THEN coalesce(m, 0) ELSE d END AS w FROM r LEFT JOIN me ON me.image_id = r.image_id AND me.mask = r.mask AND me.y = r.y),
+bb AS (SELECT image_id, mask, greatest(0, min(y) - 8) AS ly, least(31, max(y) + 8) AS hy, greatest(0, min(x) - 8) AS lx, least(31, max(x) + 8) AS hx FROM c WHERE hit GROUP BY ALL),
+wi AS MATERIALIZED (SELECT k.image_id, k.mask, k.y, k.x, avg(c.o) AS uo, avg(c.w) AS uw, avg(c.d) AS ud, avg(c.o * c.o) AS oo, avg(c.w * c.w) AS ww, avg(c.d * c.d) AS dd, avg(c.o * c.w) AS ow, avg(c.o * c.d) AS od FROM (SELECT image_id, mask, y, x, unnest(range(-3, 4)) AS dy FROM c WHERE y BETWEEN 3 AND 28 AND x BETWEEN 3 AND 28) k JOIN c ON c.image_id = k.image_id AND c.mask = k.mask AND c.y = k.y + k.dy AND abs(c.x - k.x) <= 3 GROUP BY ALL),
+v AS (SELECT *, (2 * uo * uw + 6.5025) * (2 * 49 / 48e0 * (ow - uo * uw) + 58.5225) / ((uo * uo + uw * uw + 6.5025) * (49 / 48e0 * (oo - uo * uo + ww - uw * uw) + 58.5225)) AS s, (2 * uo * ud + 6.5025) * (2 * 49 / 48e0 * (od - uo * ud) + 58.5225) / ((uo * uo + ud * ud + 6.5025) * (49 / 48e0 * (oo - uo * uo + dd - ud * ud) + 58.5225)) AS sd FROM wi),
+t AS (SELECT v.image_id, v.mask, avg(s) AS s, avg(sd) AS sd, avg(s) FILTER (WHERE y BETWEEN ly + 3 AND hy - 3 AND x BETWEEN lx + 3 AND hx - 3) AS z FROM v LEFT JOIN bb ON bb.image_id = v.image_id AND bb.mask = v.mask GROUP BY ALL),
+e AS (SELECT image_id, mask, avg((w - o) ** 2) AS m, avg((d - o) ** 2) AS md, count(*) FILTER (WHERE hit) / count(*) AS cov FROM c GROUP BY ALL), q AS (SELECT e.image_id, e.mask, s, sd, z, greatest(0.3e0, 0.8e0 - 2 * cov) AS k, CASE WHEN m = 0 THEN 100e0 ELSE 10 * log10(65025 / m) END AS p, CASE WHEN md = 0 THEN 100e0 ELSE 10 * log10(65025 / md) END AS pd FROM e JOIN t ON e.image_id = t.image_id AND e.mask = t.mask),
+sc AS (SELECT image_id, mask, round(least(100, greatest(0, 60 * CASE WHEN z IS NULL THEN s ELSE (1 - k) * s + k * z END + p / 5 + 30 * greatest(0, s - sd) + greatest(0, p - pd) / 5)), 4) AS score FROM q), pr AS (SELECT image_id, max(score) FILTER (WHERE mask = 'given') AS given_score, max(score) FILTER (WHERE mask = 'found') AS found_score FROM sc GROUP BY image_id)
+SELECT pr.image_id, given_score, found_score, coverage, CASE WHEN given_score >= found_score THEN 'given' ELSE 'found' END AS winner FROM pr JOIN (SELECT image_id, round(CASE WHEN count(*) FILTER (WHERE found) = 0 THEN 1e0 ELSE count(*) FILTER (WHERE given AND found) / count(*) FILTER (WHERE found) END, 6) AS coverage FROM g GROUP BY image_id) o ON o.image_id = pr.image_id""",
+    "mask_uploads": f"WITH {PX} SELECT vec_id, n_set, CASE WHEN n_set = 0 THEN 422 ELSE 200 END AS status FROM (SELECT vec_id, count(*) FILTER (WHERE v > 128 AND vec_id % 10 > 0) AS n_set FROM px GROUP BY vec_id) q",
 }

@@ -8,7 +8,7 @@ from urllib.parse import quote
 
 import pandas as pd
 from pyarrow.fs import FileSystem
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,18 @@ def dumps(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return found.select(F.col("path").alias("dump_id"), "length", "content")
 
 
+def fragment_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """Files of a directory as fragments in order of name: dump_id (the directory), idx from 1, off (idx - 1), path, size, sha256, data.
+
+    Files are numbered directory by directory, on their names alone; contents are joined to the numbers. Spark's reader leaves
+    empty files out.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    order = found.select("path", folder.alias("dump_id")).withColumn("idx", F.row_number().over(Window.partitionBy("dump_id").orderBy("path")).cast("long"))
+    return order.join(found.select("path", "length", "content"), "path").select("dump_id", "idx", (F.col("idx") - 1).alias("off"), "path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), F.col("content").alias("data"))
+
+
 def marker_offsets(spark: SparkSession, path: str, marker: bytes, glob: str = "*", size: int = 64 << 20) -> DataFrame:
     """(dump_id, offset) of every place where marker starts, overlaps included, in files of any length.
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 from evidentia.operators import fragments
+from evidentia.sources import tables
 
 DDL = "dump_id long, idx long, off long, data binary"
 
@@ -53,3 +54,29 @@ def test_reports_equal_a_plain_walk(spark):
         assert [(x["off"], x["idx"], x["size"]) for x in r["fragments_used"]] == [(u[0], u[1], len(u[2])) for u in used]
         score = [0.5 if u[0] > 0 else 1.0 for u in used]
         assert abs(r["assembly_score"] - (sum(score) / len(score) if score else 0.0)) < 1e-12
+
+
+def test_scattered_dumps_hold_what_their_truth_says(spark):
+    rng = random.Random(9)
+    dumps = {d: rng.randbytes(n) for d, n in enumerate([0, 1, 2, 5, 6, 7, 100, 5000])} | {20: None}
+    df = spark.createDataFrame(list(dumps.items()), "dump_id long, content binary").repartition(3)
+    truth = fragments.scattered(df, 6, 0.3, 40, 7)
+    rows = truth.collect()
+    new = {r["dump_id"]: bytes(r["content"]) for r in fragments.dumped(truth, 40).collect()}
+    for d, body in dumps.items():
+        own = sorted((r for r in rows if r["dump_id"] == d), key=lambda r: r["idx"])
+        assert len(own) == 6 and b"".join(bytes(r["data"]) for r in own) == (body or b"")
+        assert [r["source_offset"] for r in own] == [sum(x["size"] for x in own[:k]) for k in range(6)]
+        kept = sorted((r for r in own if not r["lost"]), key=lambda r: r["place"])
+        assert [r["place"] for r in kept] == list(range(1, len(kept) + 1)) and all(r["place"] is None for r in own if r["lost"])
+        assert all(new[d][r["dump_offset"] : r["dump_offset"] + r["size"]] == bytes(r["data"]) for r in kept)
+        assert not kept or len(new[d]) == sum(r["size"] + 40 for r in kept)
+    assert any(r["lost"] for r in rows) and sorted(tuple(r) for r in rows) == sorted(tuple(r) for r in truth.collect())
+
+
+def test_fragment_files_go_by_name_in_each_directory(spark, tmp_path):
+    for name, body in (("a/2.bin", b"two"), ("a/10.bin", b"ten"), ("b/x.bin", b""), ("b/y.txt", b"no")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    got = {(r["path"].rsplit("/", 2)[1] + "/" + r["path"].rsplit("/", 1)[1]): (r["idx"], r["off"], r["size"], bytes(r["data"])) for r in tables.fragment_files(spark, str(tmp_path), "*.bin").collect()}
+    assert got == {"a/10.bin": (1, 0, 3, b"ten"), "a/2.bin": (2, 1, 3, b"two")}

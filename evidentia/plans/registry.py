@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import fragments, repair
 from ..sources.tables import raster, table
 from ..streaming import progress
-from . import evidence, forensics
+from . import apart, evidence, forensics
 from .book import PLANS, for_duckdb, on_spark
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: on_spark(sql) for name, sql in PLANS.items()}
@@ -18,7 +18,7 @@ ORACLES: dict[str, str] = {name: for_duckdb(sql) for name, sql in PLANS.items()}
 
 #: Rules and scores whose checks are written apart; they stand for the plans of the same name.
 QUERIES |= forensics.QUERIES | evidence.QUERIES
-ORACLES |= forensics.ORACLES | evidence.ORACLES
+ORACLES |= apart.ORACLES | forensics.ORACLES | evidence.ORACLES
 
 
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ FIRST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER
 SEG = f"""{CH}, st AS (SELECT page_id, html, i FROM ch WHERE substr(html, i, 7) = '<script'), en AS (SELECT page_id, i FROM ch WHERE substr(html, i, 9) = '</script>'),
 sg AS MATERIALIZED (SELECT st.page_id, any_value(st.html) AS html, st.i - 1 AS a, min(en.i) + 8 AS z FROM st JOIN en ON en.page_id = st.page_id AND en.i >= st.i GROUP BY st.page_id, st.i)"""
 #: Four pieces of a text of four characters or more; the last takes the rest.
-FR = "pc AS MATERIALIZED (SELECT doc_id, text, length(text) // 4 AS n, unnest([0, 1, 2, 3]) AS idx FROM documents WHERE length(text) >= 4), fr AS MATERIALIZED (SELECT doc_id, idx, n * idx AS off, CASE WHEN idx < 3 THEN text[n * idx + 1 : n * idx + n] ELSE text[n * 3 + 1 :] END AS data FROM pc)"
+FR = "pc AS MATERIALIZED (SELECT doc_id, text, length(text) // 4 AS n, CAST(unnest([0, 1, 2, 3]) AS BIGINT) AS idx FROM documents WHERE length(text) >= 4), fr AS MATERIALIZED (SELECT doc_id, idx, n * idx AS off, CASE WHEN idx < 3 THEN text[n * idx + 1 : n * idx + n] ELSE text[n * 3 + 1 :] END AS data FROM pc)"
 BITS = f"{PX}, bt AS MATERIALIZED (SELECT a.vec_id, a.y, a.x, a.v > b.v AS up FROM px a JOIN px b ON b.vec_id = a.vec_id AND b.y = a.y AND b.x = a.x + 1), bl AS MATERIALIZED (SELECT vec_id, list(up ORDER BY y, x) AS u FROM bt GROUP BY vec_id)"
 APART_BITS = "len(list_filter(list_zip(a.u, b.u), lambda z: z[1] <> z[2]))"
 COSINE = "round(1 - list_dot_product(list_transform(a.embedding, lambda t: CAST(t AS DOUBLE)), list_transform(b.embedding, lambda t: CAST(t AS DOUBLE))) / (sqrt(list_dot_product(list_transform(a.embedding, lambda t: CAST(t AS DOUBLE)), list_transform(a.embedding, lambda t: CAST(t AS DOUBLE)))) * sqrt(list_dot_product(list_transform(b.embedding, lambda t: CAST(t AS DOUBLE)), list_transform(b.embedding, lambda t: CAST(t AS DOUBLE))))), 9)"
@@ -36,14 +36,14 @@ ORACLES = {
     "multi_format_union": f"WITH {CH}, m AS (SELECT page_id, i - 1 AS start_offset, CASE WHEN substr(html, i, 3) = '<p>' THEN 'p' WHEN substr(html, i, 4) = '<li>' THEN 'li' WHEN substr(html, i, 3) = '<a ' THEN 'a' END AS format FROM ch) SELECT page_id, format, start_offset, row_number() OVER (PARTITION BY page_id ORDER BY start_offset) AS idx FROM m WHERE format IS NOT NULL",
     "header_predicate": "SELECT page_id, CASE WHEN coalesce(html, '') = '' THEN 'empty' WHEN length(html) > 20 * 1024 * 1024 THEN 'too_large' WHEN NOT starts_with(html, '<!DOCTYPE') THEN 'bad_magic' WHEN NOT contains(html, '</html>') THEN 'truncated' WHEN length(html) <= 999 THEN 'too_small' ELSE 'ok' END AS reason FROM pages",
     "byte_le_decode": "SELECT o_orderkey, o_orderkey & 65535 AS u16, (o_orderkey & 65535) + ((o_custkey & 65535) << 16) AS u32 FROM orders",
-    "hex_roundtrip": "SELECT o_orderkey, printf('%016x', o_orderkey * 7919) AS hex16, length(replace(bin(o_orderkey * 7919), '0', '')) AS ones FROM orders",
+    "hex_roundtrip": "SELECT o_orderkey, printf('%016x', o_orderkey * 7919) AS hex16, CAST(length(replace(bin(o_orderkey * 7919), '0', '')) AS INTEGER) AS ones FROM orders",
     # fragments
     "fragment_split": f"WITH {FR} SELECT doc_id, idx, off, length(data) AS size, sha256(data) AS sha256 FROM fr",
     "fragment_loss_antijoin": f"WITH {FR} SELECT doc_id, idx, length(data) AS size FROM fr WHERE (doc_id * 31 + idx * 17) % 5 = 0",
     "fragment_continuity_pairs": f"WITH {FR} SELECT a.doc_id, a.idx AS i, b.idx AS j, round(CASE WHEN right(a.data, 4) = left(b.data, 4) THEN 0.7e0 ELSE 0e0 END + 0.3e0 * (least(length(a.data), length(b.data)) / greatest(length(a.data), length(b.data))), 6) AS continuity FROM fr a JOIN fr b ON a.doc_id = b.doc_id AND a.idx <> b.idx",
     "window_hash_overlap": f"WITH {FR}, w AS MATERIALIZED (SELECT doc_id, idx, list_distinct(list_transform(range(length(data) // 8), lambda k: data[8 * k + 1 : 8 * k + 8])) AS ws FROM fr), p AS (SELECT a.doc_id, a.idx AS i, b.idx AS j, len(list_intersect(a.ws, b.ws)) AS shared, greatest(len(a.ws), len(b.ws)) AS n FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.idx < b.idx) SELECT doc_id, i, j, round(shared / n, 6) AS similarity FROM p WHERE shared > 0",
     "fragment_assemble": "SELECT doc_id, length(text) AS size, sha256(text) AS sha256 FROM documents WHERE length(text) >= 4",
-    "fragment_report": "SELECT doc_id, 4 AS n_fragments, CASE WHEN length(text) // 4 < 150 THEN 3 ELSE 0 END + CASE WHEN length(text) - 3 * (length(text) // 4) < 150 THEN 1 ELSE 0 END AS rejected, 0 AS first_offset, 3 * (length(text) // 4) AS last_offset FROM documents WHERE length(text) >= 4",
+    "fragment_report": "SELECT doc_id, CAST(4 AS BIGINT) AS n_fragments, CAST(CASE WHEN length(text) // 4 < 150 THEN 3 ELSE 0 END + CASE WHEN length(text) - 3 * (length(text) // 4) < 150 THEN 1 ELSE 0 END AS BIGINT) AS rejected, CAST(0 AS BIGINT) AS first_offset, 3 * (length(text) // 4) AS last_offset FROM documents WHERE length(text) >= 4",
     # damage
     "damage_rectangle": f"WITH {PX} SELECT vec_id, y, x, CASE WHEN {IN} THEN 0 ELSE v END AS v, {IN} AS hit FROM px",
     "damage_zone_fill": f"WITH {PX} SELECT vec_id, y, x, CASE WHEN {IN} THEN ([0, 255, 127])[vec_id % 3 + 1] ELSE v END AS v FROM px",
@@ -74,7 +74,7 @@ SELECT f AS l_returnflag, round(q[1 + CAST(floor(a) AS BIGINT)] + (a - floor(a))
     "candidate_top1": f"WITH {CAND} SELECT vec_id, first(strategy ORDER BY score DESC, seq) AS strategy, max(score) AS score FROM rk GROUP BY vec_id",
     "candidate_top3_roles": f"WITH {CAND} SELECT vec_id, first(strategy ORDER BY score DESC, seq) AS best_score, first(strategy ORDER BY family <> 'inpainting', score DESC, seq) AS best_visual, 'conservative' AS most_conservative FROM rk GROUP BY vec_id",
     "family_best": f"WITH {CAND} SELECT vec_id, family, first(strategy ORDER BY score DESC, seq) AS strategy, max(score) AS score FROM rk GROUP BY vec_id, family",
-    "attempt_cap": f"WITH {CAND} SELECT vec_id, 3 AS attempts, max(score) FILTER (WHERE strategy <> 'box_mean') AS best FROM rk GROUP BY vec_id",
+    "attempt_cap": f"WITH {CAND} SELECT vec_id, CAST(3 AS BIGINT) AS attempts, max(score) FILTER (WHERE strategy <> 'box_mean') AS best FROM rk GROUP BY vec_id",
     "corrupt_and_repair_best": f"WITH {CAND} SELECT vec_id, strategy, round(pb, 6) AS psnr_before, round(p, 6) AS psnr_after, round(inside, 6) AS inside, score, CASE WHEN p - pb <= 0.5 OR inside < 60 THEN 'not_recoverable' WHEN p - pb >= 5 AND inside >= 80 THEN 'recoverable' ELSE 'partially_recoverable' END AS class FROM {FIRST}",
     "compare_masks": f"WITH {CAND}, t AS (SELECT vec_id, max(score) FILTER (WHERE seq = 3) AS a, max(score) FILTER (WHERE seq = 1) AS b FROM rk GROUP BY vec_id) SELECT vec_id, CASE WHEN a < b THEN 'auto' ELSE 'user' END AS winner, round(a - b, 6) AS margin FROM t",
     "meta_regional_score": f"WITH {CAND}, c AS (SELECT strategy, sum(coverage) AS c FROM rk GROUP BY strategy) SELECT rk.strategy, round(sum(score * coverage / c), 6) AS weighted FROM rk JOIN c ON c.strategy = rk.strategy GROUP BY rk.strategy",

@@ -29,13 +29,13 @@ def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_mutual(spark, sf_dir):
-    return matching.mutual(descriptors(spark, sf_dir), 1)
+    return matching.mutual(descriptors(spark, sf_dir), 1).withColumn("distance", F.col("distance").cast("long"))
 
 
 def copy_move_matches(spark, sf_dir):
     points = descriptors(spark, sf_dir)
     found = matching.strong(matching.mutual(points, 1, 12), points, 1)
-    return found.select("image_id", "point_id", "other_id", "distance", F.round("pixels", 1).alias("pixels"))
+    return found.select("image_id", "point_id", "other_id", F.col("distance").cast("long").alias("distance"), F.round("pixels", 1).alias("pixels"))
 
 
 def copy_move_points(spark, sf_dir):
@@ -46,7 +46,8 @@ def copy_move_points(spark, sf_dir):
 def match_groups(spark, sf_dir):
     """Groups among the points of a picture that have a mutual neighbour."""
     points = descriptors(spark, sf_dir)
-    return matching.groups(matching.mutual(points, 1).join(points.select("image_id", "point_id", "y", "x"), ["image_id", "point_id"]))
+    found = matching.groups(matching.mutual(points, 1).join(points.select("image_id", "point_id", "y", "x"), ["image_id", "point_id"]))
+    return found.withColumn("leader", F.col("leader").cast("long"))
 
 
 # ---- dumps ----
@@ -131,8 +132,8 @@ def zone_score(spark, sf_dir):
     return found.select("image_id", "strategy", *[F.round(c, 5).alias(c) for c in ("score", "psnr", "ssim", "zone_ssim", "gain_psnr", "gain_ssim", "mask_region_score", "outside_score", "outside_preservation")])
 
 
-POINTS_SQL = """p AS MATERIALIZED (SELECT label AS image_id, vec_id AS point_id, list_transform(embedding, lambda e: e > 0) AS s, vec_id * 37 % 160 AS y, vec_id * 91 % 240 AS x FROM embeddings
-UNION ALL SELECT label, 1000000 + vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE) > 0.02e0), (vec_id * 37 % 160 + 60) % 160, (vec_id * 91 % 240 + 100) % 240 FROM embeddings WHERE vec_id % 3 = 0)"""
+POINTS_SQL = """p AS MATERIALIZED (SELECT CAST(label AS BIGINT) AS image_id, vec_id AS point_id, list_transform(embedding, lambda e: e > 0) AS s, vec_id * 37 % 160 AS y, vec_id * 91 % 240 AS x FROM embeddings
+UNION ALL SELECT CAST(label AS BIGINT), 1000000 + vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE) > 0.02e0), (vec_id * 37 % 160 + 60) % 160, (vec_id * 91 % 240 + 100) % 240 FROM embeddings WHERE vec_id % 3 = 0)"""
 MUTUAL_SQL = f"""{POINTS_SQL}, d AS MATERIALIZED (SELECT a.image_id, a.point_id, b.point_id AS other_id, len(list_filter(list_zip(a.s, b.s), lambda z: z[1] <> z[2])) AS distance FROM p a JOIN p b ON a.image_id = b.image_id AND a.point_id <> b.point_id),
 n AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id, point_id ORDER BY distance, other_id) AS k FROM d) z WHERE k = 1),
 mu AS MATERIALIZED (SELECT a.image_id, a.point_id, a.other_id, a.distance FROM n a JOIN n b ON a.image_id = b.image_id AND a.other_id = b.point_id AND b.other_id = a.point_id WHERE a.point_id < a.other_id)"""
@@ -567,7 +568,7 @@ FROM (SELECT vec_id, ch, me, CAST(to_json(r) AS VARCHAR) AS j, CAST(to_json({{'l
   'disclaimer': '{reports.DISCLAIMER.replace(chr(39), chr(39) * 2)}', 'legal_note': '{reports.NOTE}', 'warning': '{reports.WARNINGS[False]}', 'certifications': {{'probatoire': false, 'expertise_humaine_requise': true, 'methode_reproductible': true, 'open_source': true}}}}) AS VARCHAR) AS k FROM l) z""",
     "exif_records": f"""WITH {EXIF_SQL} SELECT page_id, exif_present, CASE WHEN exif_present THEN camera_make END AS camera_make, CASE WHEN exif_present THEN camera_model END AS camera_model, CASE WHEN exif_present THEN software END AS software, CASE WHEN exif_present THEN datetime_original END AS datetime_original, CASE WHEN exif_present THEN datetime_modified END AS datetime_modified,
 exif_present AND gps_present AS gps_present, CASE WHEN exif_present THEN gps_lat END AS gps_lat, CASE WHEN exif_present THEN gps_lon END AS gps_lon, CASE WHEN exif_present THEN orientation END AS orientation, CASE WHEN exif_present THEN iso END AS iso,
-CASE WHEN exif_present THEN 3 + CASE WHEN camera_make IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN datetime_original IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN datetime_modified IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN gps_present THEN 4 + CASE WHEN gps_lon IS NOT NULL THEN 1 ELSE 0 END ELSE 0 END ELSE 0 END AS n_tags FROM ex""",
+CAST(CASE WHEN exif_present THEN 3 + CASE WHEN camera_make IS NOT NULL THEN 2 ELSE 0 END + CASE WHEN datetime_original IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN datetime_modified IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN gps_present THEN 4 + CASE WHEN gps_lon IS NOT NULL THEN 1 ELSE 0 END ELSE 0 END ELSE 0 END AS BIGINT) AS n_tags FROM ex""",
     "exif_score": f"""WITH {EXIF_SQL}, f AS (SELECT page_id, list_filter(CASE WHEN NOT exif_present THEN ['no EXIF'] ELSE [CASE WHEN page_id % 8 IN (0, 1, 2, 5, 7) THEN 'edited with ' || software END, CASE WHEN datetime_original <> datetime_modified THEN 'taken ' || datetime_original || ', modified ' || datetime_modified END,
   CASE WHEN gps_present THEN 'position (' || gps_lat || ', ' || coalesce(CAST(gps_lon AS VARCHAR), '?') || ')' END, CASE WHEN orientation = 9 THEN 'orientation 9' END, CASE WHEN camera_model IS NULL THEN 'no camera model' END] END, lambda x: x IS NOT NULL) AS flags FROM ex)
 SELECT page_id, len(flags) AS n_flags, least(1e0, round(len(flags) / 5e0, 2)) AS score, len(flags) > 0 AS suspicious, array_to_string(flags, '; ') AS flags FROM f""",
@@ -600,5 +601,5 @@ t AS (SELECT v.image_id, v.mask, avg(s) AS s, avg(sd) AS sd, avg(s) FILTER (WHER
 e AS (SELECT image_id, mask, avg((w - o) ** 2) AS m, avg((d - o) ** 2) AS md, count(*) FILTER (WHERE hit) / count(*) AS cov FROM c GROUP BY ALL), q AS (SELECT e.image_id, e.mask, s, sd, z, greatest(0.3e0, 0.8e0 - 2 * cov) AS k, CASE WHEN m = 0 THEN 100e0 ELSE 10 * log10(65025 / m) END AS p, CASE WHEN md = 0 THEN 100e0 ELSE 10 * log10(65025 / md) END AS pd FROM e JOIN t ON e.image_id = t.image_id AND e.mask = t.mask),
 sc AS (SELECT image_id, mask, round(least(100, greatest(0, 60 * CASE WHEN z IS NULL THEN s ELSE (1 - k) * s + k * z END + p / 5 + 30 * greatest(0, s - sd) + greatest(0, p - pd) / 5)), 4) AS score FROM q), pr AS (SELECT image_id, max(score) FILTER (WHERE mask = 'given') AS given_score, max(score) FILTER (WHERE mask = 'found') AS found_score FROM sc GROUP BY image_id)
 SELECT pr.image_id, given_score, found_score, coverage, CASE WHEN given_score >= found_score THEN 'given' ELSE 'found' END AS winner FROM pr JOIN (SELECT image_id, round(CASE WHEN count(*) FILTER (WHERE found) = 0 THEN 1e0 ELSE count(*) FILTER (WHERE given AND found) / count(*) FILTER (WHERE found) END, 6) AS coverage FROM g GROUP BY image_id) o ON o.image_id = pr.image_id""",
-    "mask_uploads": f"WITH {PX} SELECT vec_id, n_set, CASE WHEN n_set = 0 THEN 422 ELSE 200 END AS status FROM (SELECT vec_id, count(*) FILTER (WHERE v > 128 AND vec_id % 10 > 0) AS n_set FROM px GROUP BY vec_id) q",
+    "mask_uploads": f"WITH {PX} SELECT vec_id, n_set, CAST(CASE WHEN n_set = 0 THEN 422 ELSE 200 END AS BIGINT) AS status FROM (SELECT vec_id, count(*) FILTER (WHERE v > 128 AND vec_id % 10 > 0) AS n_set FROM px GROUP BY vec_id) q",
 }

@@ -136,27 +136,28 @@ def near(rows: Rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
     Each probe's grams look up their posting lists in the group; the merged hits of a pair must reach the overlap bound.
     """
+    indexed_row = (rows.role == 0) & ~rows.shorter
+    meets = (np.bincount(rows.group, indexed_row) > 0) & (np.bincount(rows.group) > 1)
     gram, own, at = grams(rows.data, rows.ends)
-    indexed = (rows.role[own] == 0) & ~rows.shorter[own] & ((at & 0xFFFFF) != rows.place[own])
-    entry = np.stack([rows.group[own].astype(np.int64), gram.astype(np.int64) << 32 | at])
-    lists = entry[:, indexed]
-    order = np.lexsort(lists[::-1])
-    lists, ids = lists[:, order], own[indexed][order]
-    if not len(ids):
+    some = meets[rows.group[own]]
+    gram, own, at = gram[some], own[some], at[some] & 0xFFFFF
+    if not len(own):
         return
-    # posting lists as numbered kinds, so that one sorted search finds them
-    kind_new = np.ones(len(ids), bool)
-    kind_new[1:] = (lists[:, 1:] != lists[:, :-1]).any(0)
-    head = np.flatnonzero(kind_new)
-    stop = np.r_[head[1:], len(ids)]
-    names = lists[:, head].T.copy().view([("g", "i8"), ("p", "i8")]).ravel()
+    # group, gram and place as one number: groups are fewer than rows, grams have 24 bits, places 20
+    entry = rows.group[own].astype(np.int64) << 44 | gram.astype(np.int64) << 20 | at
+    listed = indexed_row[own] & (at != rows.place[own])
+    lists, ids = entry[listed], own[listed]
+    order = np.argsort(lists, kind="stable")
+    lists, ids = lists[order], ids[order]
+    head = np.flatnonzero(np.r_[True, lists[1:] != lists[:-1]]) if len(lists) else np.zeros(0, np.int64)
+    if not len(head):
+        return
+    stop, names = np.r_[head[1:], len(ids)], lists[head]
     plus = np.flatnonzero(rows.shorter[own])
-    wanted = np.concatenate([entry, entry[:, plus] + np.array([[0], [1]])], 1).T.copy().view([("g", "i8"), ("p", "i8")]).ravel()
-    asker = np.concatenate([own, own[plus]])
-    order = np.argsort(asker, kind="stable")
-    wanted, asker = wanted[order], asker[order]
-    found = search(names, wanted)
-    hit = found >= 0
+    wanted, asker = np.concatenate([entry, entry[plus] + 1]), np.concatenate([own, own[plus]])
+    found = np.minimum(np.searchsorted(names, wanted), len(names) - 1)
+    hit = np.flatnonzero(names[found] == wanted)
+    hit = hit[np.argsort(asker[hit], kind="stable")]
     found, asker = found[hit], asker[hit]
     size = stop[found] - head[found]
     upto = np.cumsum(size)
@@ -168,29 +169,17 @@ def near(rows: Rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n = size[low:high]
         probe = np.repeat(asker[low:high], n)
         index = ids[np.repeat(head[found[low:high]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        pair, count = np.unique(probe << 32 | index, return_counts=True)
+        fits = (rows.length[index] - rows.length[probe] == rows.shorter[probe]) & (probe != index) & ~(rows.old[probe] & rows.old[index])
+        pair, count = np.unique(probe[fits] << 32 | index[fits], return_counts=True)
         probe, index = pair >> 32, pair & 0xFFFFFFFF
-        fits = (rows.length[index] - rows.length[probe] == rows.shorter[probe]) & (count >= rows.length[index] - 2 * Q) & (probe != index) & ~(rows.old[probe] & rows.old[index])
-        probe, index = probe[fits], index[fits]
+        # places repeat every 2**20 code points, where a hit one further on can be missed
+        enough = count >= rows.length[index] - 2 * Q - (rows.length[index] >> 20)
+        probe, index = probe[enough], index[enough]
         good = one_edit(rows, probe, index)
         yield probe[good], index[good]
         low = high
 
 
-def search(names: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each wanted pair in the sorted names, or -1."""
-    # pairs are ordered by group, then posting; a group's postings are a short range
-    first = np.searchsorted(names["g"], wanted["g"], "left")
-    last = np.searchsorted(names["g"], wanted["g"], "right")
-    while (open_ := np.flatnonzero(last - first > 1)).size:
-        middle = (first[open_] + last[open_]) // 2
-        right = names["p"][middle] <= wanted["p"][open_]
-        first[open_] = np.where(right, middle, first[open_])
-        last[open_] = np.where(right, last[open_], middle)
-    at = np.minimum(first, len(names) - 1)
-    return np.where((last > first) & (names[at] == wanted), at, -1)
-
-
 def one_edit(rows: Rows, probe: np.ndarray, index: np.ndarray) -> np.ndarray:
     """Whether the words differ by exactly one replaced code point, or the indexed one has one more."""
     good = np.zeros(len(probe), bool)

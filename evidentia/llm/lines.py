@@ -16,6 +16,8 @@ from .textbytes import LOWER, SPACE, Hasher, owner, spans, sums
 #: Labelled documents that the field is fitted on at most (of smallest hash), none longer than so many bytes.
 FIT_DOCS, FIT_TEXT_BYTES = 4000, 1 << 16
 STEPS, RATE, DECAY = 120, 0.1, 1e-3
+#: Texts of more lines go by blocks of so many lines.
+LONG, BLOCK = 4096, 512
 
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>{}[]\\^~=+@_/"]] = True
@@ -113,31 +115,65 @@ def inputs(x: Lines, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
 def marginals(unary: np.ndarray, trans: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """P(good) of each line, and for each line but a text's first the 2 x 2 of it and the one before (else zeros).
 
-    Forward-backward over all texts at once, longest first, so that step t touches only the texts with a line t.
+    Forward-backward over all texts at once, longest first, so that step t touches only the texts with a line t. Texts of
+    over LONG lines go by blocks(), in far fewer steps than they have lines.
     """
     size = np.diff(ends)
     order = np.argsort(-size, kind="stable")
+    long = int(np.searchsorted(-size[order], -LONG, "left"))
     base, size = ends[:-1][order], size[order]
     psi = np.stack([np.zeros(len(unary)), unary], 1)
     e = np.exp(psi - psi.max(1, keepdims=True)) if len(psi) else psi
     t = np.exp(trans - trans.max())
-    forward, backward, norm = np.zeros_like(e), np.ones_like(e), np.ones(len(e))
+    forward, backward = np.zeros_like(e), np.ones_like(e)
+    for at, n in zip(base[:long].tolist(), size[:long].tolist(), strict=True):
+        forward[at : at + n], backward[at : at + n] = blocks(e[at : at + n], t)
+    rest, size = base[long:], size[long:]
     longest = int(size[0]) if len(size) else 0
     live = [int(np.searchsorted(-size, -k, "left")) for k in range(longest)]  # texts with more than k lines
     for k in range(longest):
-        at = base[: live[k]] + k
+        at = rest[: live[k]] + k
         f = e[at] if k == 0 else (forward[at - 1] @ t) * e[at]
-        norm[at] = f.sum(1)
-        forward[at] = f / norm[at, None]
+        forward[at] = f / f.sum(1, keepdims=True)
     for k in range(longest - 1, 0, -1):
-        at = base[: live[k]] + k
-        backward[at - 1] = ((e[at] * backward[at]) @ t.T) / norm[at, None]
+        at = rest[: live[k]] + k
+        b = (e[at] * backward[at]) @ t.T
+        backward[at - 1] = b / b.sum(1, keepdims=True)
     both = np.zeros((len(e), 2, 2))
     inner = np.ones(len(e), bool)
-    inner[base[size > 0]] = False
+    inner[ends[:-1][ends[:-1] < ends[1:]]] = False
     at = np.flatnonzero(inner)
-    both[at] = forward[at - 1][:, :, None] * t[None] * (e[at] * backward[at])[:, None, :] / norm[at, None, None]
-    return (forward * backward)[:, 1], both
+    pair = forward[at - 1][:, :, None] * t[None] * (e[at] * backward[at])[:, None, :]
+    both[at] = pair / pair.sum((1, 2), keepdims=True)
+    good = forward * backward
+    return good[:, 1] / good.sum(1), both
+
+
+def blocks(e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward vectors of one long text, up to a factor a line.
+
+    A step is a product with a 2 x 2 matrix. The products within all blocks of BLOCK lines are taken side by side, then
+    carried from block to block: BLOCK steps and one a block, instead of one a line.
+    """
+    n = len(e)
+    count = -(-n // BLOCK)
+    step = np.tile(np.eye(2), (count * BLOCK, 1, 1))
+    step[1:n] = t[None] * e[1:, None, :]
+    step = step.reshape(count, BLOCK, 2, 2)
+    unit = lambda m, axes: m / m.max(axes, keepdims=True)
+    after, before = step.copy(), step.copy()  # products from a block's start to a line, and from a line to its end
+    for k in range(1, BLOCK):
+        after[:, k] = unit(after[:, k - 1] @ step[:, k], (1, 2))
+        before[:, -k - 1] = unit(step[:, -k - 1] @ before[:, -k], (1, 2))
+    come, go = np.zeros((count, 2)), np.zeros((count, 2))
+    come[0], go[-1] = e[0], 1
+    for k in range(1, count):
+        come[k] = unit(come[k - 1] @ after[k - 1, -1], 0)
+        go[-k - 1] = unit(before[-k, 0] @ go[-k], 0)
+    forward = np.einsum("bi,bkij->bkj", come, after).reshape(-1, 2)[:n]
+    backward = np.ones((count * BLOCK + 1, 2))
+    backward[:-1] = np.einsum("bkij,bj->bki", before, go).reshape(-1, 2)
+    return unit(forward, 1), unit(backward[1 : n + 1], 1)
 
 
 @dataclass

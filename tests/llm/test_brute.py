@@ -16,7 +16,10 @@ from evidentia.llm.common import CHUNK_BYTES
 SF = "/root/testdata/sf0.001"
 
 
-def test_marginals_equal_a_sum_over_all_labellings():
+@pytest.mark.parametrize(("long", "block"), [(4096, 512), (3, 4), (0, 1), (5, 3)])
+def test_marginals_equal_a_sum_over_all_labellings(monkeypatch, long, block):
+    monkeypatch.setattr(lines, "LONG", long)
+    monkeypatch.setattr(lines, "BLOCK", block)
     rng = np.random.default_rng(0)
     size = [1, 4, 0, 7, 2, 9]
     ends = np.r_[0, np.cumsum(size)]
@@ -33,6 +36,20 @@ def test_marginals_equal_a_sum_over_all_labellings():
         assert np.allclose(good[a:b], one / total) and np.allclose(both[a:b], pair / total)
 
 
+def test_a_text_of_many_lines_goes_by_blocks():
+    rng = np.random.default_rng(6)
+    ends = np.array([0, 5, 60_005, 60_020])
+    unary, trans = rng.normal(0, 3, ends[-1]), rng.normal(0, 2, (2, 2))
+    by_blocks = lines.marginals(unary, trans, ends)
+    plain = [np.zeros(ends[-1]), np.zeros((ends[-1], 2, 2))]
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        one = [lines.marginals(unary[a : a + n], trans, np.array([0, n])) for n in [min(4000, b - a)]]
+        plain[0][a : a + len(one[0][0])], plain[1][a : a + len(one[0][0])] = one[0]
+    inside = np.r_[0:5, 5:3905, 60_005:60_020]  # the far end of what was cut at 4,000 lines is forgotten by then
+    assert np.allclose(by_blocks[0][inside], plain[0][inside]) and np.allclose(by_blocks[1][inside], plain[1][inside])
+    assert np.isfinite(by_blocks[0]).all() and np.allclose(by_blocks[1][6:60_005].sum((1, 2)), 1)
+
+
 def information(v, p):
     """Mutual information of each two voters given the class, by counting."""
     n, k = v.shape

@@ -107,7 +107,6 @@ def clusters(vectors: DataFrame, eps: float = 0.3, least: int = 2) -> DataFrame:
 
 def rollup(labels: DataFrame) -> DataFrame:
     """(cluster, size, first_id, last_id, coherence): each cluster, noise too; coherence is the share of ids in a cluster."""
-    total = labels.agg(F.count("*").alias("total"), F.count_if(F.col("cluster") != NOISE).alias("clustered"))
+    share = labels.agg(F.round(F.try_divide(F.count_if(F.col("cluster") != NOISE), F.count("*")), 3)).first()[0]
     rows = labels.groupBy("cluster").agg(F.count("*").alias("size"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-    share = total.select(F.round(F.try_divide(F.col("clustered"), F.col("total")), 3).alias("coherence"))
-    return rows.join(F.broadcast(share)).select("cluster", "size", "first_id", "last_id", "coherence")
+    return rows.withColumn("coherence", F.lit(share).cast("double"))

@@ -27,10 +27,26 @@ def flips(bits: int) -> Column:
     return F.array(*[F.lit(sum(1 << i for i in at)) for at in itertools.combinations(range(BLOCK), bits)])
 
 
-def blocks(code: Column, words: int) -> Column:
-    """Array of (block, value) of a code."""
+def blocks(code: Column, words: int, bits: int | None = None) -> Column:
+    """Array of (block, value) of a code, or of its first `bits` bits."""
     part = lambda w, i: F.struct(F.lit(w * (64 // BLOCK) + i).alias("block"), F.shiftrightunsigned(code[w], i * BLOCK).bitwiseAND(F.lit((1 << BLOCK) - 1)).cast("int").alias("value"))
-    return F.array(*[part(w, i) for w in range(words) for i in range(64 // BLOCK)])
+    return F.array(*[part(w, i) for w in range(words) for i in range(64 // BLOCK)][: None if bits is None else -(-bits // BLOCK)])
+
+
+def within(queries: DataFrame, points: DataFrame, words: int, most: int, bits: int | None = None) -> DataFrame:
+    """(query_id, point_id, distance) of all points whose codes differ from a query's in `most` bits or fewer, itself left out.
+
+    queries, points: point_id and code. Of the m blocks of such two codes one differs by most / m bits or fewer, so each
+    query looks up its blocks with so many bits flipped; pairs that meet in several are compared once. `bits` is the
+    number of bits in use, if the rest are 0. Null codes match nothing.
+    """
+    m = (bits or words * 64) // BLOCK
+    reach = F.explode(F.flatten(F.array(*[flips(r) for r in range(min(BLOCK, most // m) + 1)])))
+    index = points.where("code is not null").select("point_id", F.explode(blocks(F.col("code"), words, bits)).alias("b")).select("point_id", "b.block", "b.value")
+    probes = queries.where("code is not null").select(F.col("point_id").alias("query_id"), F.explode(blocks(F.col("code"), words, bits)).alias("b")).select("query_id", "b.block", "b.value", reach.alias("flip"))
+    met = probes.select("query_id", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value")).join(index, ["block", "value"]).where("query_id <> point_id").select("query_id", "point_id").distinct()
+    rows = met.join(queries.select(F.col("point_id").alias("query_id"), F.col("code").alias("a")), "query_id").join(points.select("point_id", F.col("code").alias("b")), "point_id")
+    return rows.select("query_id", "point_id", distance(F.col("a"), F.col("b")).cast("long").alias("distance")).where(F.col("distance") <= most)
 
 
 def nearest(points: DataFrame, words: int, most: int | None = None) -> DataFrame:

@@ -243,8 +243,6 @@ plan("meta_regional_score", f"WITH {K} SELECT strategy, round(sum(score * covera
 plan("diff_hash", f"WITH {R} SELECT vec_id, CAST(sum(CASE WHEN v > nx THEN 1 ELSE 0 END) AS BIGINT) AS ones, CAST(sum(CASE WHEN v > nx THEN (y * 7 + x) ELSE 0 END) AS BIGINT) AS places FROM (SELECT *, lead(v) OVER (PARTITION BY vec_id, y ORDER BY x) AS nx FROM r) q WHERE nx IS NOT NULL GROUP BY vec_id")
 HB = R + ", bits AS (SELECT vec_id, y, x, CASE WHEN v > nx THEN 1 ELSE 0 END AS b FROM (SELECT *, lead(v) OVER (PARTITION BY vec_id, y ORDER BY x) AS nx FROM r) q WHERE nx IS NOT NULL)"
 HP = HB + ", packed AS (SELECT vec_id, CAST(sum(b * CAST(power(2, y * 7 + x) AS BIGINT)) AS BIGINT) AS h FROM bits GROUP BY vec_id)"
-#: A search: every picture whose id is divisible by 50 against all.
-plan("diff_hash_pairs", f"WITH {HP} SELECT id_a, id_b, distance, 1 - distance / 56.0 AS similarity FROM (SELECT a.vec_id AS id_a, b.vec_id AS id_b, CAST(bit_count(~xor(a.h, b.h)) AS BIGINT) AS distance FROM packed a JOIN packed b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) d WHERE distance <= 16")
 plan("hash_label", f"WITH {HP}, d AS (SELECT a.vec_id AS id_a, b.vec_id AS id_b, CAST(bit_count(~xor(a.h, b.h)) AS BIGINT) AS distance FROM packed a JOIN packed b ON b.vec_id = a.vec_id + 1) SELECT id_a, id_b, distance, CASE WHEN distance = 0 THEN 'identical' WHEN distance <= 5 THEN 'near' WHEN distance <= 10 THEN 'similar' WHEN distance <= 20 THEN 'related' ELSE 'different' END AS label FROM d")
 plan("noise_block_outliers", f"""WITH {N}, b AS (SELECT vec_id, y ~div 2 AS blk_y, x ~div 2 AS blk_x, (4 * sum((16 * v - gauss) * (16 * v - gauss)) - sum(16 * v - gauss) * sum(16 * v - gauss)) / 4096.0 AS va FROM st GROUP BY vec_id, y ~div 2, x ~div 2), w AS (SELECT *, avg(va) OVER (PARTITION BY vec_id) AS mu, stddev_pop(va) OVER (PARTITION BY vec_id) AS sd FROM b)
 SELECT vec_id, blk_y AS block_y, blk_x AS block_x, va AS variance FROM w WHERE va > mu + 2 * sd""")

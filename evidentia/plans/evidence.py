@@ -50,6 +50,16 @@ def match_groups(spark, sf_dir):
     return found.withColumn("leader", F.col("leader").cast("long"))
 
 
+def diff_hash_pairs(spark, sf_dir):
+    """A search: every picture whose id is divisible by 50 against all, by difference hashes of 56 bits at most 16 apart."""
+    pixels = raster(table(spark, sf_dir, "embeddings"))
+    up = (F.col("v") > F.lead("v").over(Window.partitionBy("vec_id", "y").orderBy("x"))).cast("long")
+    bits = pixels.withColumn("up", up).where("up is not null").groupBy("vec_id").agg(F.sum(F.call_function("shiftleft", F.col("up"), (F.col("y") * 7 + F.col("x")).cast("int"))).alias("h"))
+    points = grid.settled(bits.select(F.col("vec_id").alias("point_id"), F.array("h").alias("code")))
+    found = matching.within(points.where("point_id % 50 = 0"), points, 1, 16, 56)
+    return found.select(F.col("query_id").alias("id_a"), F.col("point_id").alias("id_b"), "distance", (1 - F.col("distance") / 56).alias("similarity"))
+
+
 # ---- dumps ----
 
 
@@ -494,7 +504,7 @@ cu AS (SELECT doc_id, text, idx, CAST(CASE WHEN idx = 0 THEN 0 ELSE floor(idx *
 sc AS MATERIALIZED (SELECT doc_id, idx, a AS source_offset, z - a AS size, sha256(unhex(substr(hex(encode(text)), 2 * a + 1, 2 * (z - a)))) AS sha256, {dice_sql('idx', 1)} < 0.2e0 AS lost, {dice_sql('idx', 2)} AS u FROM cu),
 pl AS MATERIALIZED (SELECT doc_id AS dump_id, idx, source_offset, size, sha256, lost, CASE WHEN NOT lost THEN row_number() OVER w END AS place, CASE WHEN NOT lost THEN CAST(sum(size + 512) OVER (PARTITION BY doc_id, lost ORDER BY u, idx) - size AS BIGINT) END AS dump_offset FROM sc WINDOW w AS (PARTITION BY doc_id, lost ORDER BY u, idx))"""
 
-QUERIES = {f.__name__: f for f in (knn_mutual, copy_move_matches, copy_move_points, match_groups, ranged_segments, variance_11, component_areas, mask_morphology, detect_damage, detect_advanced, zone_score, stream_heartbeat, status_store, offsets_udtf, fragment_features, fragment_clusters, fragment_cluster_rollup, fragment_assembly, report_json, legal_json, exif_records, exif_score, filtered_pixels, damage_noise, damage_combined, damage_multiple_bars, mask_imperfect, fragment_scatter, scattered_dumps, benchmark_modes, mask_winner, mask_uploads)}
+QUERIES = {f.__name__: f for f in (knn_mutual, copy_move_matches, copy_move_points, match_groups, diff_hash_pairs, ranged_segments, variance_11, component_areas, mask_morphology, detect_damage, detect_advanced, zone_score, stream_heartbeat, status_store, offsets_udtf, fragment_features, fragment_clusters, fragment_cluster_rollup, fragment_assembly, report_json, legal_json, exif_records, exif_score, filtered_pixels, damage_noise, damage_combined, damage_multiple_bars, mask_imperfect, fragment_scatter, scattered_dumps, benchmark_modes, mask_winner, mask_uploads)}
 
 ORACLES = {
     "knn_mutual": f"WITH {MUTUAL_SQL} SELECT image_id, point_id, other_id, distance FROM mu",

@@ -10,14 +10,14 @@ from evidentia.operators.settled import components
 DDL = "image_id long, point_id long, code array<long>, y long, x long"
 
 
-def bits(a, b):
+def bits_of(a, b):
     return sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b, strict=True))
 
 
 def brute(rows):
     out = {}
     for i, p, c, *_ in rows:
-        near = [(bits(c, d), q) for j, q, d, *_ in rows if j == i and q != p and d is not None] if c is not None else []
+        near = [(bits_of(c, d), q) for j, q, d, *_ in rows if j == i and q != p and d is not None] if c is not None else []
         if near:
             out[i, p] = min(near)
     return out
@@ -50,6 +50,17 @@ def test_nearest_and_mutual_points_equal_brute_force(spark, words, spread):
     assert got == {k: v for k, v in want.items() if v[0] <= most}
 
 
+@pytest.mark.parametrize(("most", "bits"), [(0, None), (7, None), (20, None), (16, 56), (64, None)])
+def test_all_within_a_distance_equal_brute_force(spark, most, bits):
+    cut = (1 << (bits or 64)) - 1
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    rows = [(p, None if c is None else [signed(c[0] & cut)]) for p, c in enumerate(r[2] for r in made(most, 70, 1, 25))]
+    df = spark.createDataFrame(rows, "point_id long, code array<long>")
+    got = [tuple(r) for r in matching.within(df.where("point_id % 5 = 0"), df, 1, most, bits).collect()]
+    want = [(p, q, bits_apart) for p, a in rows if p % 5 == 0 and a for q, b in rows if b and p != q and (bits_apart := bits_of(a, b)) <= most]
+    assert sorted(got) == sorted(want)
+
+
 def test_no_plan_compares_all_with_all(spark):
     df = spark.createDataFrame(made(5, 40, 1, 3), DDL)
     plan = matching.nearest(df, 1)._jdf.queryExecution().toString()

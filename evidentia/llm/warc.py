@@ -15,7 +15,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import parts, settled_dir
+from .common import parts, settle, settled_dir
 
 # Fixed values of the WARC format.
 MAGIC = b"\x1f\x8b\x08"
@@ -31,6 +31,8 @@ BLOCK = 1 << 20
 HELD_BYTES = 4 << 20
 #: Tasks over which the pages with one payload are dealt, so that an error page of a million copies isn't one task's.
 SALTS = 16
+#: Bits of the table of repeated digests.
+BITS = 1 << 23
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -53,15 +55,25 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 def first_of_equals(pages: DataFrame, least_bytes: int) -> DataFrame:
     """pages plus refers_to (smallest page_id with the same payload) and duplicate (true for all but that page's first row).
 
-    Copies are found on digests alone; a payload that many pages share costs one combined row a task, not a group.
+    Copies are found on digests alone; a payload that many pages share costs one combined row a task, not a group. A bit
+    table of the digests that repeat, 1 MB whatever their number, goes to all tasks: pages whose bit isn't set have no equal
+    and stay where they are. Only the others are joined by digest, dealt over SALTS tasks each.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
     salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("salt", salt)
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("salt", salt).withColumn("bit", F.pmod(F.xxhash64("digest"), F.lit(BITS)) + 1)
     many = rows.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    many = many.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return rows.join(many, ["digest", "salt"], "left").select("page_id", "url", "payload", F.col("first").alias("refers_to"), (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("duplicate"))
+    many = settle(many.select("digest", "first"), "repeated")
+    bits = many.select((F.pmod(F.xxhash64("digest"), F.lit(BITS)) + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    place = F.bitmap_bit_position("bit")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    seen = F.coalesce(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    marked = rows.withColumn("bucket", F.bitmap_bucket_number("bit")).join(F.broadcast(bits), "bucket", "left").withColumn("seen", seen)
+    alone = marked.where("not seen").select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("duplicate"))
+    dealt = many.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    others = marked.where("seen").join(dealt, ["digest", "salt"], "left").select("page_id", "url", "payload", F.col("first").alias("refers_to"), (F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("duplicate"))
+    return alone.unionByName(others)
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:

@@ -71,3 +71,21 @@ def test_pages_of_many_megabytes_go_round_and_the_archives_go_with_clear(spark):
     assert any("warc-" in str(x.getPath()) for x in store.listStatus(folder))
     common.clear(spark)
     assert not store.exists(folder)
+
+
+def test_only_pages_that_may_have_an_equal_are_joined(spark, monkeypatch):
+    rows = [(i, f"u{i}", f"<p>{i if i % 3 else i % 6}</p>") for i in range(1, 400)] + [(None, "n", "<p>0</p>"), (500, "e", None), (501, "e", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    first = {}
+    for i, _, html in rows:
+        if i is not None:
+            first[html or ""] = min(first.get(html or "", i), i)
+    n = {}
+    for _, _, html in rows:
+        n[html or ""] = n.get(html or "", 0) + 1
+    want = sorted((i or -1, first[h or ""] if n[h or ""] > 1 else -1, n[h or ""] > 1 and i != first[h or ""]) for i, _, h in rows)
+    for bits in (warc.BITS, 1, 64):  # one bit for all: every page is joined
+        monkeypatch.setattr(warc, "BITS", bits)
+        got = warc.first_of_equals(pages, 0).collect()
+        assert sorted((r["page_id"] or -1, -1 if r["refers_to"] is None else r["refers_to"], r["duplicate"]) for r in got) == want
+        assert all(bytes(r["payload"]) == (dict((i, h) for i, _, h in rows)[r["page_id"]] or "").encode() for r in got)

@@ -96,4 +96,12 @@ SELECT f AS l_returnflag, round(q[1 + CAST(floor(a) AS BIGINT)] + (a - floor(a))
     "timeline_elapsed": "SELECT e.event_id, date_diff('second', f.t, e.ts) AS elapsed_s FROM events e JOIN (SELECT user_id, min(ts) AS t FROM events GROUP BY user_id) f ON f.user_id = e.user_id",
     "mode_summary": "SELECT event_type AS execution_mode, count(*) AS n, round(sum(value) / count(*), 6) AS mean_value, round(count(*) FILTER (WHERE value > 50) / count(*), 6) AS improved FROM events GROUP BY event_type",
     "text_gain": "WITH t AS (SELECT conv_id, turn, length(text) AS n, lead(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS m, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) SELECT conv_id, turn, CASE WHEN n = 0 AND m > 0 THEN 1e0 WHEN m <= n THEN 0e0 ELSE round(least(1e0, (m - n) / greatest(n, 1)), 6) END AS gain FROM t WHERE nxt = turn + 1 AND n IS NOT NULL AND m IS NOT NULL",
+    "format_aliases": "WITH t AS (SELECT p_type, trim(lower(p_type)) AS t FROM part) SELECT p_type AS raw, CASE WHEN t = 'jpg' THEN 'jpeg' ELSE t END AS name, count(*) AS n FROM t GROUP BY ALL",
+    "detect_dark_adaptive": f"WITH {PX}, s AS (SELECT vec_id, list_sort(list(v)) AS l FROM px GROUP BY vec_id), t AS (SELECT vec_id, CASE WHEN (l[32] + l[33]) / 2 >= 60 THEN 22e0 ELSE greatest(8e0, least(30e0, 0.6e0 * (l[4] + 0.15e0 * (l[5] - l[4])))) END AS limit_ FROM s) SELECT px.vec_id, y, x, v < limit_ OR v >= 254 AS hit FROM px JOIN t ON t.vec_id = px.vec_id",
+    "severity_lookup": "SELECT o_orderkey, (['heavy', 'heavy', 'medium', 'light', 'light'])[CAST(left(o_orderpriority, 1) AS INTEGER)] AS sev, ([0.6e0, 0.6e0, 0.4e0, 0.2e0, 0.2e0])[CAST(left(o_orderpriority, 1) AS INTEGER)] AS size_ratio FROM orders",
+    "l2_normalize": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda t: CAST(t AS DOUBLE)) AS l FROM embeddings), n AS (SELECT vec_id, l, sqrt(list_dot_product(l, l)) AS n FROM e) SELECT vec_id, CAST(unnest(range(len(l))) AS BIGINT) AS p, round(unnest(list_transform(l, lambda t: t / CASE WHEN n = 0 THEN 1 ELSE n END)), 6) AS u FROM n",
+    "feature_vector": f"WITH {PX}, m AS (SELECT vec_id, avg(v) AS m, avg(v * v) AS q, avg(v * v * v) AS c FROM px GROUP BY vec_id), s AS (SELECT *, sqrt(q - m * m) AS s FROM m) SELECT s.vec_id, round(m / 255, 6) AS mean, round(s / 255, 6) AS std, round(greatest(-1e0, least(1e0, (c - 3 * m * q + 2 * m * m * m) / (s + 1e-9) ** 3 / 10)), 6) AS skew, (SELECT count(*) FROM px WHERE px.vec_id = s.vec_id AND v <= 127) AS low_half FROM s",
+    "cluster_rollup": "SELECT label, count(*) AS size, list_min(list(vec_id)) AS first_member, list_max(list(vec_id)) AS last_member, round(count(*) / any_value(n), 6) AS share FROM embeddings, (SELECT count(*) AS n FROM embeddings) c GROUP BY label",
+    "status_progress": "SELECT user_id, count(*) AS completed, round(list_max(list(value)), 6) AS best, date_diff('second', min(ts), max(ts)) AS elapsed_s FROM events GROUP BY user_id",
+    "progress_windows": "SELECT make_timestamp(epoch_us(ts) // 3600000000 * 3600000000) AS hour_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }

@@ -189,7 +189,7 @@ plan("mask_dilate", f"WITH {M} SELECT DISTINCT b.vec_id, b.y, b.x FROM m a JOIN
 plan("mask_area_guard", f"WITH {D}, g AS (SELECT *, avg(CASE WHEN dark OR flat THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY vec_id) AS ratio FROM mk) SELECT vec_id, y, x, ((dark OR flat) AND ratio <= 0.5) AS hit FROM g")
 plan("mask_confidence", f"""WITH {D} SELECT vec_id, round(0.6 * avg(CASE WHEN votes >= 2 THEN 1.0 ELSE 0.0 END) + 0.4 * (CASE WHEN avg(CASE WHEN votes > 0 THEN 1.0 ELSE 0.0 END) <= 0.15 THEN 1.0 WHEN avg(CASE WHEN votes > 0 THEN 1.0 ELSE 0.0 END) <= 0.30 THEN 0.7 WHEN avg(CASE WHEN votes > 0 THEN 1.0 ELSE 0.0 END) <= 0.50 THEN 0.4 ELSE 0.1 END), 6) AS confidence
 FROM (SELECT vec_id, CASE WHEN dark THEN 1 ELSE 0 END + CASE WHEN flat THEN 1 ELSE 0 END + CASE WHEN calm THEN 1 ELSE 0 END AS votes FROM mk) q GROUP BY vec_id""")
-plan("detect_dark_adaptive", f"WITH {R}, t AS (SELECT vec_id, ~pct(v, 0.05) AS p5, ~pct(v, 0.5) AS p50 FROM r GROUP BY vec_id), u AS (SELECT vec_id, greatest(8.0, least(30.0, CASE WHEN p50 < 60 THEN 0.6 * p50 ELSE 22.0 END)) AS thr FROM t) SELECT r.vec_id, y, x, (v <= thr OR v > 253) AS hit FROM r JOIN u ON r.vec_id = u.vec_id")
+plan("detect_dark_adaptive", f"WITH {R}, t AS (SELECT vec_id, ~pct(v, 0.05) AS p5, ~pct(v, 0.5) AS p50 FROM r GROUP BY vec_id), u AS (SELECT vec_id, greatest(8.0, least(30.0, CASE WHEN p50 < 60 THEN 0.6 * p5 ELSE 22.0 END)) AS thr FROM t) SELECT r.vec_id, y, x, (v < thr OR v > 253) AS hit FROM r JOIN u ON r.vec_id = u.vec_id")
 plan("detect_low_variance", f"WITH {N} SELECT vec_id, y, x, s2 / 9.0 - (s1 / 9.0) * (s1 / 9.0) < 1500 AS hit FROM st")
 plan("detect_flat_gradient", f"WITH {N} SELECT vec_id, y, x, sqrt(CAST(gx * gx + gy * gy AS DOUBLE)) < 150 AS hit, round(sqrt(CAST(gx * gx + gy * gy AS DOUBLE)), 6) AS magnitude FROM st")
 plan("detect_fusion", f"WITH {D} SELECT vec_id, round(avg(CASE WHEN dark THEN 1.0 ELSE 0.0 END), 6) AS dark_share, round(avg(CASE WHEN dark AND flat THEN 1.0 ELSE 0.0 END), 6) AS dark_flat, round(avg(CASE WHEN dark AND calm THEN 1.0 ELSE 0.0 END), 6) AS dark_calm FROM mk GROUP BY vec_id")

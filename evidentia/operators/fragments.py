@@ -7,8 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import clustering
 from .filters import chance
-from .settled import settled
 
 
 def continuity(a: bytes, b: bytes, reach: int = 64, window: int = 32) -> float:
@@ -43,34 +43,9 @@ def greedy_chain(fragments: DataFrame) -> DataFrame:
 
 
 def clusters(vectors: DataFrame, eps: float = 0.3, least: int = 2) -> DataFrame:
-    """Density clusters under cosine distance: vec_id, cluster (smallest core id reachable, -1: noise).
-
-    Vectors within eps differ little in any projection: a pair is compared only where both fall into one or neighbouring
-    cells of the first coordinate's direction, so no pair is compared across far cells. Labels spread over core links.
-    """
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = vectors.select(F.col("vec_id"), F.transform("embedding", lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm)).alias("u"))
-    width = float(np.sqrt(2 * eps))  # |a - b| <= sqrt(2 eps) on unit vectors, in every coordinate
-    # four coordinates make the cell
-    cell = [F.floor(F.col("u")[i] / width) for i in range(4)]
-    a = unit.select("vec_id", "u", F.array(*cell).alias("cell"))
-    steps = F.array(*[F.array(*[F.lit(s) for s in (i, j, k, m)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) for m in (-1, 0, 1)])
-    near = a.select("vec_id", "u", F.explode(steps).alias("s"), "cell").select(F.col("vec_id").alias("id_b"), F.col("u").alias("w"), F.zip_with("cell", "s", lambda c, s: c + s).alias("cell"))
-    dot = F.aggregate(F.zip_with("u", "w", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    pairs = a.join(near, "cell").where((F.col("vec_id") != F.col("id_b")) & (1 - dot <= eps)).select("vec_id", "id_b")
-    pairs = settled(pairs)
-    core = pairs.groupBy("vec_id").count().where(F.col("count") + 1 >= least).select("vec_id")
-    links = pairs.join(core, "vec_id").join(core.select(F.col("vec_id").alias("id_b")), "id_b", "left_semi")
-    label = core.withColumn("cluster", F.col("vec_id"))
-    changed = 1
-    while changed:
-        low = links.join(label.select(F.col("vec_id").alias("id_b"), F.col("cluster").alias("c")), "id_b").groupBy("vec_id").agg(F.min("c").alias("c"))
-        new = label.join(low, "vec_id", "left").select("vec_id", F.least("cluster", F.coalesce("c", "cluster")).alias("cluster"), F.col("cluster").alias("was"))
-        new = settled(new)
-        changed = new.where("cluster <> was").count()
-        label = new.select("vec_id", "cluster")
-    border = pairs.join(label.select(F.col("vec_id").alias("id_b"), "cluster"), "id_b").groupBy("vec_id").agg(F.min("cluster").alias("near"))
-    return vectors.select("vec_id").join(label, "vec_id", "left").join(border, "vec_id", "left").select("vec_id", F.coalesce("cluster", "near", F.lit(-1)).alias("cluster"))
+    """Density clusters of (vec_id, embedding) under cosine distance: vec_id, cluster (smallest core id reachable, -1: noise)."""
+    found = clustering.clusters(vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), eps, least)
+    return found.withColumnRenamed("id", "vec_id")
 
 
 #: Shorter fragments are rejected.

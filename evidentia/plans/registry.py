@@ -70,7 +70,8 @@ def fragment_greedy_chain(spark, sf_dir):
 
 
 def dbscan_labels(spark, sf_dir):
-    return fragments.clusters(table(spark, sf_dir, "embeddings"))
+    """Density clusters of the vectors as they are; 0.62 is where the first of them have neighbours."""
+    return fragments.clusters(table(spark, sf_dir, "embeddings"), 0.62)
 
 
 def stream_progress_counts(spark, sf_dir):
@@ -92,3 +93,5 @@ ORACLES["stream_throttle"] = """WITH RECURSIVE n AS MATERIALIZED (SELECT user_id
 w AS (SELECT user_id, event_id, event_type, k, true AS kept, t AS last FROM n WHERE k = 1
 UNION ALL SELECT n.user_id, n.event_id, n.event_type, n.k, n.event_type IN ('error', 'purchase') OR n.t - w.last >= 30, CASE WHEN n.event_type IN ('error', 'purchase') OR n.t - w.last >= 30 THEN n.t ELSE w.last END FROM w JOIN n ON n.user_id = w.user_id AND n.k = w.k + 1)
 SELECT user_id, event_id, event_type FROM w WHERE kept"""
+ORACLES["dbscan_labels"] = f"""WITH RECURSIVE ne AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE {apart.COSINE} <= 0.62), rc AS (SELECT a AS id, a AS name FROM ne UNION SELECT ne.b, rc.name FROM rc JOIN ne ON ne.a = rc.id),
+nm AS (SELECT id, min(name) AS name FROM rc GROUP BY id) SELECT vec_id, coalesce(name, -1) AS cluster FROM embeddings LEFT JOIN nm ON nm.id = vec_id"""

@@ -66,7 +66,7 @@ def fragment_greedy_chain(spark, sf_dir):
     size = F.greatest(F.lit(1), F.ceil(F.octet_length("b") / 6).cast("int"))
     cut = docs.select("dump_id", "b", size.alias("size"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("idx"))
     cut = cut.select("dump_id", F.col("idx").cast("long"), (F.col("idx") * F.col("size")).cast("long").alias("off"), F.substring("b", F.col("idx") * F.col("size") + 1, F.col("size")).alias("data"))
-    return fragments.greedy_chain(cut.where("octet_length(data) > 0"))
+    return fragments.greedy_chain(cut.where("octet_length(data) > 0")).withColumn("continuity", F.round("continuity", 6))
 
 
 def dbscan_labels(spark, sf_dir):
@@ -95,3 +95,11 @@ UNION ALL SELECT n.user_id, n.event_id, n.event_type, n.k, n.event_type IN ('err
 SELECT user_id, event_id, event_type FROM w WHERE kept"""
 ORACLES["dbscan_labels"] = f"""WITH RECURSIVE ne AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE {apart.COSINE} <= 0.62), rc AS (SELECT a AS id, a AS name FROM ne UNION SELECT ne.b, rc.name FROM rc JOIN ne ON ne.a = rc.id),
 nm AS (SELECT id, min(name) AS name FROM rc GROUP BY id) SELECT vec_id, coalesce(name, -1) AS cluster FROM embeddings LEFT JOIN nm ON nm.id = vec_id"""
+ORACLES["fragment_greedy_chain"] = """WITH RECURSIVE d AS (SELECT doc_id AS dump_id, hex(encode(text)) AS h, greatest(1, CAST(ceil(strlen(text) / 6) AS BIGINT)) AS n FROM documents WHERE text IS NOT NULL),
+f AS MATERIALIZED (SELECT dump_id, idx, data, length(data) // 2 AS size, right(data, 128) AS tail, left(data, 128) AS head FROM (SELECT dump_id, idx, substr(h, CAST(2 * idx * n + 1 AS BIGINT), CAST(2 * n AS BIGINT)) AS data FROM d, range(6) i(idx)) q WHERE data <> ''),
+w AS MATERIALIZED (SELECT *, list_transform(range(64), lambda k: CAST('0x' || substr(tail, 2 * k + 1, 2) AS INTEGER)) AS tb, list_transform(range(64), lambda k: CAST('0x' || substr(head, 2 * k + 1, 2) AS INTEGER)) AS hb, list_distinct(list_transform(range(33), lambda k: substr(tail, 2 * k + 1, 64))) AS tw, list_distinct(list_transform(range(33), lambda k: substr(head, 2 * k + 1, 64))) AS hw FROM f WHERE size >= 64),
+o AS MATERIALIZED (SELECT a.dump_id, a.idx AS i, b.idx AS j, 0.65e0 * greatest(0e0, 1 - list_sum(list_transform(list_zip(a.tb, b.hb), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 64e0 / 65025e0) + 0.35e0 * len(list_intersect(a.tw, b.hw)) / greatest(len(a.tw), len(b.hw)) AS overlap FROM w a JOIN w b ON a.dump_id = b.dump_id AND a.idx <> b.idx),
+c AS MATERIALIZED (SELECT a.dump_id, a.idx AS i, b.idx AS j, 0.7e0 * coalesce(overlap, 0) + 0.3e0 * least(a.size, b.size) / greatest(a.size, b.size) AS score FROM f a JOIN f b ON a.dump_id = b.dump_id AND a.idx <> b.idx LEFT JOIN o ON o.dump_id = a.dump_id AND o.i = a.idx AND o.j = b.idx),
+g AS (SELECT dump_id, CAST(0 AS BIGINT) AS place, min(idx) AS idx, CAST(NULL AS DOUBLE) AS continuity, [min(idx)] AS used FROM f GROUP BY dump_id
+UNION ALL SELECT dump_id, place + 1, j, score, list_append(used, j) FROM (SELECT g.dump_id, g.place, c.j, c.score, g.used, row_number() OVER (PARTITION BY g.dump_id ORDER BY c.score DESC, c.j) AS k FROM g JOIN c ON c.dump_id = g.dump_id AND c.i = g.idx AND NOT list_contains(g.used, c.j)) q WHERE k = 1)
+SELECT dump_id, place, idx, round(continuity, 6) AS continuity FROM g"""

@@ -262,6 +262,7 @@ def dct_hash(g: np.ndarray) -> int:
     """64 bits: the 8 x 8 lowest frequencies of 32 x 32 against their mean without the first."""
     n = 32
     basis = np.cos(np.pi * (2 * np.arange(n) + 1)[None] * np.arange(8)[:, None] / (2 * n))
+    basis[0] *= 0.5**0.5
     low = basis @ area_resize(g, n, n) @ basis.T
     return int("".join("01"[int(b)] for b in (low > low.ravel()[1:].mean()).ravel()), 2)
 

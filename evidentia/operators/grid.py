@@ -187,3 +187,55 @@ def fusion_scores(mask: DataFrame, keys: list[str]) -> DataFrame:
     rows = mask.groupBy(*keys).agg(F.avg((F.col("votes") >= 2).cast("double")).alias("agreement"), F.avg(F.col("hit").cast("double")).alias("area_ratio"))
     size = F.when(F.col("area_ratio") <= 0.15, 1.0).when(F.col("area_ratio") <= 0.30, 0.7).when(F.col("area_ratio") <= 0.50, 0.4).otherwise(0.1)
     return rows.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 * F.col("agreement") + 0.4 * size)))
+
+
+# ---- perceptual hashes ----
+
+#: Bits along a side of a hash; pixels along a side of the picture that its frequencies are taken from.
+HASH_SIDE, FREQUENCY_SIDE = 8, 32
+
+
+def resized(pixels: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
+    """keys, y, x, v: means over equal areas of the picture, height by width of them, rounded half to even.
+
+    A pixel counts in each area by the part of it that lies there; parts are whole numbers of the product of both sizes, so
+    the sums are exact.
+    """
+
+    def areas(at: str, size: str, n: int) -> Column:
+        low, high = F.col(at) * n, (F.col(at) + 1) * n
+        first, last = F.floor(low / F.col(size)).cast("long"), (F.ceil(high / F.col(size)) - 1).cast("long")
+        part = lambda i: F.least(high, (i + 1) * F.col(size)) - F.greatest(low, i * F.col(size))
+        return F.explode(F.transform(F.sequence(first, last), lambda i: F.struct(i.alias("i"), part(i).alias("part"))))
+
+    rows = pixels.select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("v").cast("long").alias("v")).join(sizes(pixels, keys), keys)
+    rows = rows.withColumn("a", areas("y", "height", height)).withColumn("b", areas("x", "width", width))
+    rows = rows.groupBy(*keys, F.col("a.i").alias("y"), F.col("b.i").alias("x")).agg(F.sum(F.col("a.part") * F.col("b.part") * F.col("v")).alias("s"), F.first(F.col("height") * F.col("width")).alias("n"))
+    return rows.select(*keys, "y", "x", F.rint(F.col("s") / F.col("n")).cast("long").alias("v"))
+
+
+def hex_of(bits: Column) -> Column:
+    """Hexadecimal digits of a string of 64 bits."""
+    return F.lpad(F.lower(F.conv(bits, 2, 16)), 16, "0")
+
+
+def difference_hash(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, dhash: whether each of 8 x 9 areas is brighter than the next to its right, as 16 hex digits."""
+    small = resized(pixels, keys, HASH_SIDE, HASH_SIDE + 1)
+    up = small.withColumn("up", F.col("v") > F.lead("v").over(along(keys, "x"))).where("up is not null")
+    bits = up.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", F.col("up").cast("int").alias("b")))), lambda e: e["b"].cast("string")), "").alias("bits"))
+    return bits.select(*keys, hex_of(F.col("bits")).alias("dhash"))
+
+
+def frequency_hash(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, phash: the 8 x 8 lowest frequencies of 32 x 32 areas against their mean without the first, as 16 hex digits.
+
+    Cosine sums are taken along rows, then columns; frequencies are compared to six places.
+    """
+    n, last = FREQUENCY_SIDE, HASH_SIDE
+    basis = lambda c, k: F.cos((2 * F.col(c) + 1) * (k * 3.141592653589793 / (2 * n))) * (0.5**0.5 if k == 0 else 1.0)
+    rows = resized(pixels, keys, n, n).groupBy(*keys, "y").agg(*[F.sum(F.col("v") * basis("x", k)).alias(f"c{k}") for k in range(last)])
+    low = rows.groupBy(*keys).agg(F.array(*[F.round(F.sum(F.col(f"c{k}") * basis("y", j)) * (2 / n), 6) for j in range(last) for k in range(last)]).alias("low"))
+    mean = F.round((F.aggregate("low", F.lit(0.0), lambda a, x: a + x) - F.col("low")[0]) / (last * last - 1), 6)
+    bits = F.array_join(F.transform("low", lambda x: (x > F.col("mean")).cast("int").cast("string")), "")
+    return low.withColumn("mean", mean).select(*keys, hex_of(bits).alias("phash"))

@@ -99,6 +99,12 @@ def component_areas(spark, sf_dir):
     return grid.component_table(mosaic(spark, sf_dir, 4).where("v <= 60"), ["image_id"])
 
 
+def picture_hashes(spark, sf_dir):
+    """Difference and frequency hashes of pictures of 32 x 32."""
+    pixels = mosaic(spark, sf_dir, 4)
+    return grid.difference_hash(pixels, ["image_id"]).join(grid.frequency_hash(pixels, ["image_id"]), "image_id")
+
+
 def mask_morphology(spark, sf_dir):
     """Dark pixels opened, and closed twice, with 5 x 5: pixels left in each picture's row."""
     rows = mosaic(spark, sf_dir, 4).select("image_id", "y", "x", (F.col("v") <= 110).cast("int").alias("dark"))
@@ -504,7 +510,7 @@ cu AS (SELECT doc_id, text, idx, CAST(CASE WHEN idx = 0 THEN 0 ELSE floor(idx *
 sc AS MATERIALIZED (SELECT doc_id, idx, a AS source_offset, z - a AS size, sha256(unhex(substr(hex(encode(text)), 2 * a + 1, 2 * (z - a)))) AS sha256, {dice_sql('idx', 1)} < 0.2e0 AS lost, {dice_sql('idx', 2)} AS u FROM cu),
 pl AS MATERIALIZED (SELECT doc_id AS dump_id, idx, source_offset, size, sha256, lost, CASE WHEN NOT lost THEN row_number() OVER w END AS place, CASE WHEN NOT lost THEN CAST(sum(size + 512) OVER (PARTITION BY doc_id, lost ORDER BY u, idx) - size AS BIGINT) END AS dump_offset FROM sc WINDOW w AS (PARTITION BY doc_id, lost ORDER BY u, idx))"""
 
-QUERIES = {f.__name__: f for f in (knn_mutual, copy_move_matches, copy_move_points, match_groups, diff_hash_pairs, ranged_segments, variance_11, component_areas, mask_morphology, detect_damage, detect_advanced, zone_score, stream_heartbeat, status_store, offsets_udtf, fragment_features, fragment_clusters, fragment_cluster_rollup, fragment_assembly, report_json, legal_json, exif_records, exif_score, filtered_pixels, damage_noise, damage_combined, damage_multiple_bars, mask_imperfect, fragment_scatter, scattered_dumps, benchmark_modes, mask_winner, mask_uploads)}
+QUERIES = {f.__name__: f for f in (knn_mutual, copy_move_matches, copy_move_points, match_groups, diff_hash_pairs, ranged_segments, variance_11, component_areas, picture_hashes, mask_morphology, detect_damage, detect_advanced, zone_score, stream_heartbeat, status_store, offsets_udtf, fragment_features, fragment_clusters, fragment_cluster_rollup, fragment_assembly, report_json, legal_json, exif_records, exif_score, filtered_pixels, damage_noise, damage_combined, damage_multiple_bars, mask_imperfect, fragment_scatter, scattered_dumps, benchmark_modes, mask_winner, mask_uploads)}
 
 ORACLES = {
     "knn_mutual": f"WITH {MUTUAL_SQL} SELECT image_id, point_id, other_id, distance FROM mu",
@@ -612,4 +618,9 @@ e AS (SELECT image_id, mask, avg((w - o) ** 2) AS m, avg((d - o) ** 2) AS md, co
 sc AS (SELECT image_id, mask, round(least(100, greatest(0, 60 * CASE WHEN z IS NULL THEN s ELSE (1 - k) * s + k * z END + p / 5 + 30 * greatest(0, s - sd) + greatest(0, p - pd) / 5)), 4) AS score FROM q), pr AS (SELECT image_id, max(score) FILTER (WHERE mask = 'given') AS given_score, max(score) FILTER (WHERE mask = 'found') AS found_score FROM sc GROUP BY image_id)
 SELECT pr.image_id, given_score, found_score, coverage, CASE WHEN given_score >= found_score THEN 'given' ELSE 'found' END AS winner FROM pr JOIN (SELECT image_id, round(CASE WHEN count(*) FILTER (WHERE found) = 0 THEN 1e0 ELSE count(*) FILTER (WHERE given AND found) / count(*) FILTER (WHERE found) END, 6) AS coverage FROM g GROUP BY image_id) o ON o.image_id = pr.image_id""",
     "mask_uploads": f"WITH {PX} SELECT vec_id, n_set, CAST(CASE WHEN n_set = 0 THEN 422 ELSE 200 END AS BIGINT) AS status FROM (SELECT vec_id, count(*) FILTER (WHERE v > 128 AND vec_id % 10 > 0) AS n_set FROM px GROUP BY vec_id) q",
+    "picture_hashes": f"""WITH {mosaic_sql(4)}, sm AS (SELECT mo.image_id, i, k, round_even(sum(v * (least(8 * y + 8, 32 * i + 32) - greatest(8 * y, 32 * i)) * (least(9 * x + 9, 32 * k + 32) - greatest(9 * x, 32 * k))) / 1024e0, 0) AS v FROM mo, range(8) a(i), range(9) b(k) WHERE least(8 * y + 8, 32 * i + 32) > greatest(8 * y, 32 * i) AND least(9 * x + 9, 32 * k + 32) > greatest(9 * x, 32 * k) GROUP BY ALL),
+dh AS (SELECT l.image_id, string_agg(CASE WHEN l.v > r.v THEN '1' ELSE '0' END, '' ORDER BY l.i, l.k) AS bits FROM sm l JOIN sm r ON r.image_id = l.image_id AND r.i = l.i AND r.k = l.k + 1 GROUP BY l.image_id),
+fr AS (SELECT image_id, j, k, round(sum(v * cos((2 * y + 1) * j * pi() / 64) * cos((2 * x + 1) * k * pi() / 64)) / 16 * CASE WHEN j = 0 THEN sqrt(0.5e0) ELSE 1e0 END * CASE WHEN k = 0 THEN sqrt(0.5e0) ELSE 1e0 END, 6) AS c FROM mo, range(8) a(j), range(8) b(k) GROUP BY image_id, j, k),
+me AS (SELECT image_id, round(sum(c) FILTER (WHERE j + k > 0) / 63, 6) AS m FROM fr GROUP BY image_id), ph AS (SELECT fr.image_id, string_agg(CASE WHEN c > m THEN '1' ELSE '0' END, '' ORDER BY j, k) AS bits FROM fr JOIN me ON me.image_id = fr.image_id GROUP BY fr.image_id)
+SELECT dh.image_id, list_aggregate(list_transform(range(16), lambda n: printf('%x', (dh.bits[4 * n + 1 : 4 * n + 4])::BIT::INTEGER)), 'string_agg', '') AS dhash, list_aggregate(list_transform(range(16), lambda n: printf('%x', (ph.bits[4 * n + 1 : 4 * n + 4])::BIT::INTEGER)), 'string_agg', '') AS phash FROM dh JOIN ph ON ph.image_id = dh.image_id""",
 }

@@ -111,3 +111,24 @@ def test_damage_and_fusion_of_a_large_picture(spark):
     (score,) = grid.fusion_scores(mask, ["id"]).collect()
     assert score["agreement"] == 600 / 4800 and score["area_ratio"] == wide.mean() and score["confidence"] == pytest.approx(0.6 * 0.125 + 0.4 * 0.7)
     assert grid.fused(df, ["id"], ["a", "b", "c"], most_share=0.1).where("hit = 1").count() == 0
+
+
+def areas(p, h, w):
+    """Means over equal areas, from sums of whole parts, rounded half to even."""
+    part = lambda n, m: np.array([[max(0, min((k + 1) * m, (i + 1) * n) - max(k * m, i * n)) for k in range(n)] for i in range(m)])
+    return np.rint(part(p.shape[0], h) @ p @ part(p.shape[1], w).T / p.size)
+
+
+def test_hashes_of_pictures_of_any_size(spark):
+    rng = np.random.default_rng(8)
+    pictures = {k: rng.integers(0, 256, s) for k, s in enumerate([(8, 8), (32, 32), (50, 41), (9, 70), (3, 5)])} | {7: np.full((20, 20), 9), 8: np.add.outer(np.arange(40), np.arange(36))}
+    df = relation(spark, pictures)
+    small = {k: areas(p, 8, 9) for k, p in pictures.items()}
+    assert all((v == small[k]).all() for k, v in back(grid.resized(df, ["id"], 8, 9), small, "v").items())
+    hexed = lambda bits: format(int("".join("01"[int(b)] for b in bits.ravel()), 2), "016x")
+    got = {r["id"]: r["dhash"] for r in grid.difference_hash(df, ["id"]).collect()}
+    assert got == {k: hexed(s[:, :-1] > s[:, 1:]) for k, s in small.items()}
+    basis = np.cos(np.pi * (2 * np.arange(32) + 1)[None] * np.arange(8)[:, None] / 64) * np.sqrt(np.r_[1, [2] * 7] / 32)[:, None]
+    low = {k: np.round(basis @ areas(p, 32, 32) @ basis.T, 6) for k, p in pictures.items()}
+    got = {r["id"]: r["phash"] for r in grid.frequency_hash(df, ["id"]).collect()}
+    assert got == {k: hexed(f > np.round((f.sum() - f[0, 0]) / 63, 6)) for k, f in low.items()}

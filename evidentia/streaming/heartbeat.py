@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ class Heart(StatefulProcessor):
     """One open strategy a task. Any later event of the task closes it; those of LONG_FAMILIES open the next.
 
     A beat is due `every` seconds after the start and again from then on, until the strategy is closed. Due beats go out
-    when the close comes, or when the watermark passes them; what was sent is kept, so none is sent twice.
+    when the close comes, or when the watermark passes them; what was sent is kept, so none is sent twice. The state is read
+    and written once a task and batch, whatever the number of events.
     """
 
     def __init__(self, every: int):
@@ -30,36 +32,41 @@ class Heart(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", "started long, family string, sent long")
 
-    def due(self, key: tuple, before: int) -> pd.DataFrame:
-        """Beats (numbers and their time) of the open strategy below a time in microseconds."""
-        started, family, sent = self.open.get()
-        last = max(sent, -((started - before) // self.every) - 1)
-        beats = range(sent + 1, last + 1)
-        self.open.update((started, family, last))
-        frame = pd.DataFrame({"task": key[0], "family": family, "started": pd.Timestamp(started, unit="us"), "beat": list(beats), "elapsed_s": [b * self.every / 1e6 for b in beats]})
-        return frame.astype({"task": "int64", "beat": "int64", "elapsed_s": "float64"})
-
-    def later(self) -> None:
-        started, _, sent = self.open.get()
+    def beats(self, key: tuple, opened: list[tuple[int, str, int]], before: list[int]) -> pd.DataFrame:
+        """Beats of strategies (time of start, family, beats sent), each below a time, all in microseconds."""
+        started, sent = (np.array([o[k] for o in opened], np.int64) for k in (0, 2))
+        n = np.maximum(-((started - np.array(before, np.int64)) // self.every) - 1 - sent, 0)
+        which = np.repeat(np.arange(len(n)), n)
+        beat = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + sent[which] + 1
+        family = np.array([o[1] for o in opened], object)
+        return pd.DataFrame({"task": np.full(len(which), key[0], np.int64), "family": family[which], "started": started[which].view("datetime64[us]"), "beat": beat, "elapsed_s": beat * self.every / 1e6})
+
+    def keep(self, started: int, family: str, sent: int) -> None:
+        self.open.update((started, family, sent))
         self.handle.registerTimer((started + (sent + 1) * self.every) // 1000)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         events = pd.concat(list(rows)).sort_values(["ts", "seq"])
-        for at, family in zip(events["ts"].astype("datetime64[us]").astype("int64"), events["family"], strict=True):
-            if self.open.exists():
-                yield self.due(key, at)
-                self.open.clear()
-            if family in LONG_FAMILIES:
-                self.open.update((at, family, 0))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if self.open.exists():
-            self.later()
+        at = events["ts"].astype("datetime64[us]").astype("int64").tolist()
+        before = self.open.get()
+        opened = ([(*before, at[0])] if before else []) + [(a, f, 0, b) for a, f, b in zip(at, events["family"], [*at[1:], None], strict=True) if f in LONG_FAMILIES]
+        closed = [o for o in opened if o[3] is not None]
+        if closed:
+            yield self.beats(key, closed, [o[3] for o in closed])
+        if before:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        if len(opened) > len(closed):
+            self.keep(*opened[-1][:3])
+        elif before:
+            self.open.clear()
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.open.exists():
-            yield self.due(key, timerValues.getCurrentWatermarkInMs() * 1000 + 1)
-            self.later()
+        before = self.open.get()
+        if before:
+            found = self.beats(key, [before], [timerValues.getCurrentWatermarkInMs() * 1000 + 1])
+            yield found
+            self.keep(before[0], before[1], before[2] + len(found))
 
 
 def beating(events: DataFrame, delay: str = "1 minute", every: int = EVERY_S) -> DataFrame:

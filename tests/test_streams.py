@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,41 @@ def test_beats_do_not_depend_on_the_batches(spark, tmp_path, files):
     assert {tuple(r) for r in heartbeat.beats(table, "until").collect()} == want
 
 
+def test_state_is_read_and_written_once_a_task_and_batch():
+    asked = []
+
+    class Held:
+        value = None
+
+        def get(self):
+            asked.append("get")
+            return self.value
+
+        def exists(self):
+            asked.append("exists")
+            return self.value is not None
+
+        def update(self, value):
+            asked.append("update")
+            self.value = value
+
+        def clear(self):
+            asked.append("clear")
+            self.value = None
+
+    class Handle:
+        listTimers = staticmethod(lambda: asked.append("list") or [])  # noqa: N815
+        registerTimer = deleteTimer = staticmethod(lambda at: asked.append("timer"))  # noqa: N815
+
+    rows = [(s, s, ["criminisi", "denoise", "patchmatch"][s % 3]) for s in range(0, 9000, 31)]
+    heart = heartbeat.Heart(10)
+    heart.handle, heart.open = Handle(), Held()
+    frames = list(heart.handleInputRows((4,), iter([pd.DataFrame([(at(s), q, f) for s, q, f in rows], columns=["ts", "seq", "family"])]), None))
+    assert len(asked) < 8
+    got = {(t, f, b.to_pydatetime(), k, e) for frame in frames for t, f, b, k, e in frame.itertuples(index=False)}
+    assert got == beats_by_hand([(4, *r) for r in rows], max(r[0] for r in rows))
+
+
 def walk(events):
     """The store after events, one after the other."""
     found, legal = {}, {("pending", "running"), ("pending", "failed"), ("running", "completed"), ("running", "failed")}

@@ -25,3 +25,22 @@ def test_a_dense_group_makes_links_by_rows_not_by_pairs(spark):
     df = spark.createDataFrame([(i, list(map(float, x)), True) for i, x in enumerate(u)], "id long, u array<double>, core boolean")
     rows = clustering.links(tiles.triangle(df, F.col("id"), 2), 0.3, 16).collect()
     assert len(rows) < 3 * len(u) and all(r["linked"] for r in rows)
+
+
+def test_search_equals_brute_force(spark):
+    rng = np.random.default_rng(2)
+    vectors = {i: list(map(float, rng.standard_normal(6))) for i in range(300)} | {400: [0.0] * 6, 401: None, 402: [1.0, None, 0.5], 403: [], 404: [2.0, None, 1.0, 0.0]}
+    df = spark.createDataFrame(list(vectors.items()), "id long, vector array<double>").repartition(5)
+    full = {i: np.array([x or 0.0 for x in v] + [0.0] * (6 - len(v))) for i, v in vectors.items() if v}
+    unit = {i: v / (np.linalg.norm(v) or 1) for i, v in full.items()}
+    want = {}
+    for i in unit:
+        if i % 2 == 0:
+            apart = sorted((round(1 - float(unit[i] @ unit[j]), 9), j) for j in unit if j != i)
+            want[i] = (sum(d <= 0.4 for d, _ in apart), *apart[0])
+    found = clustering.looked_up(df.where("id % 2 = 0"), df, 0.4)
+    plan = found._jdf.queryExecution().toString()
+    assert plan.count("MapInArrow") and "Generate posexplode" not in plan  # vectors meet whole, not a row a number
+    got = {r["id"]: (r["near"], r["distance"] + 0.0, r["other"]) for r in found.collect()}
+    assert got == want
+    assert clustering.looked_up(df.where("false"), df, 0.4).count() == clustering.looked_up(df, df.where("false"), 0.4).count() == 0

@@ -81,9 +81,9 @@ def exif(files: DataFrame) -> DataFrame:
 
 
 def degrees(dms, ref):
-    """Degrees, minutes, seconds as text -> signed degrees."""
+    """Degrees, minutes, seconds as text -> signed degrees; 0 has a sign, too."""
     p = F.transform(F.split(dms, ","), lambda x: x.try_cast("double"))
-    return F.round(F.when(F.upper(ref).isin("S", "W"), -1).otherwise(1) * (F.get(p, F.lit(0)) + F.get(p, F.lit(1)) / 60 + F.get(p, F.lit(2)) / 3600), 6)
+    return F.when(F.upper(ref).isin("S", "W"), -1.0).otherwise(1.0) * F.round(F.get(p, F.lit(0)) + F.get(p, F.lit(1)) / 60 + F.get(p, F.lit(2)) / 3600, 6)
 
 
 def record(tagged: DataFrame) -> DataFrame:
@@ -107,10 +107,16 @@ def edited(software: Column) -> Column:
     return F.exists(F.array(*[F.lit(e) for e in EDITORS]), lambda e: F.contains(F.lower(F.coalesce(software, F.lit(""))), e))
 
 
+def plainly(number: Column) -> Column:
+    """A number of at most six decimals as text, small ones without an exponent."""
+    text = F.rtrim(number.cast("decimal(38,6)").cast("string"), F.lit("0"))
+    return F.when((number != 0) & (F.abs(number) < 1e-3), text).otherwise(number.cast("string"))
+
+
 def consistency(records: DataFrame) -> DataFrame:
     """record() with flags, suspicion_score (0.2 a flag, 1 at most) and suspicious. Empty texts count as absent."""
     there = lambda c: F.coalesce(F.length(c), F.lit(0)) > 0
-    place = F.when(F.col("gps_lat").isNotNull(), F.concat(F.lit(" ("), "gps_lat", F.lit(", "), F.coalesce(F.col("gps_lon").cast("string"), F.lit("?")), F.lit(")"))).otherwise("")
+    place = F.when(F.col("gps_lat").isNotNull(), F.concat(F.lit(" ("), plainly(F.col("gps_lat")), F.lit(", "), F.coalesce(plainly(F.col("gps_lon")), F.lit("?")), F.lit(")"))).otherwise("")
     flags = F.array_compact(
         F.array(
             F.when(~F.col("exif_present"), "no EXIF"),

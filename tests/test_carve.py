@@ -106,3 +106,11 @@ def test_marker_offsets_across_ranges(spark, tmp_path):
         for size in (1, 2, 3, 100):
             got = tables.marker_offsets(spark, str(tmp_path), marker, size=size)
             assert sorted(r["offset"] for r in got.collect()) == want
+
+
+def test_small_positions_are_plain_text(spark):
+    ddl = "dump_id string, tags map<string,string>"
+    tags = lambda lat, lon: {"gps": "1", "lat_ref": "S", "lat": lat, "lon_ref": "E", "lon": lon, "model": "m"}
+    rows = [("a", tags("0.0,0.0,3.0", "0.0,0.0,0.04")), ("b", tags("0.0,0.0,0.0", "0.0,0.0,0.0")), ("c", tags("10.0,30.0,0.0", "0.0,0.0,36.0"))]
+    got = {r["dump_id"]: r["flags"] for r in metadata.consistency(metadata.record(spark.createDataFrame(rows, ddl))).collect()}
+    assert got == {"a": ["position (-0.000833, 0.000011)"], "b": ["position (-0.0, 0.0)"], "c": ["position (-10.5, 0.01)"]}

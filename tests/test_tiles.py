@@ -1,10 +1,12 @@
 """Tiles of pairs: each pair once, and results that grow with the rows, not with the pairs."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from evidentia.operators import clustering, tiles
+from evidentia.plans import registry
 
 
 @pytest.mark.parametrize("n", [1, 4])
@@ -44,3 +46,22 @@ def test_search_equals_brute_force(spark):
     got = {r["id"]: (r["near"], r["distance"] + 0.0, r["other"]) for r in found.collect()}
     assert got == want
     assert clustering.looked_up(df.where("false"), df, 0.4).count() == clustering.looked_up(df, df.where("false"), 0.4).count() == 0
+
+
+def documents(spark, folder, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    checks = duckdb.connect()
+    checks.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    return lambda name: (sorted(tuple(r) for r in registry.QUERIES[name](spark, str(folder)).collect()), sorted(checks.execute(registry.ORACLES[name]).fetchall()))
+
+
+def test_fragments_of_two_characters_are_compared_whole(spark, tmp_path):
+    got, want = documents(spark, tmp_path, ["abababab", "ababababx", "aaaa", "abcabcabcabc", "abcdabcdabcdabcd"])("fragment_continuity_pairs")
+    assert got == want and (0, 0, 1, 1.0) in got
+
+
+def test_windows_are_compared_in_their_row(spark, tmp_path):
+    texts = ["abcdefgh" * 9 + "\n" * 30, "é😀\r\nabcd" * 200, None, "", "abcdefg", "x" * 64, "".join(chr(40 + i * i % 77) for i in range(5000))]
+    got, want = documents(spark, tmp_path, texts)("window_hash_overlap")
+    assert got == want and got
+    assert "Exchange" not in registry.QUERIES["window_hash_overlap"](spark, str(tmp_path))._jdf.queryExecution().toString()

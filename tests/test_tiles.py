@@ -65,3 +65,10 @@ def test_windows_are_compared_in_their_row(spark, tmp_path):
     got, want = documents(spark, tmp_path, texts)("window_hash_overlap")
     assert got == want and got
     assert "Exchange" not in registry.QUERIES["window_hash_overlap"](spark, str(tmp_path))._jdf.queryExecution().toString()
+
+
+def test_shares_are_rounded_as_doubles(spark, tmp_path):
+    word = lambda k: f"{k:08d}"
+    text = "".join(map(word, range(640))) + "".join(map(word, range(1000, 1640))) + "".join(map(word, range(2000, 2640))) + "".join(map(word, [*range(41), *range(3000, 3599)]))
+    got, want = documents(spark, tmp_path, [text])("window_hash_overlap")
+    assert got == want == [(0, 0, 3, 0.064062)]

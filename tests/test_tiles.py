@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators import clustering, tiles
+from evidentia.operators import clustering, matching, tiles
 from evidentia.plans import registry
 
 
@@ -72,3 +72,15 @@ def test_shares_are_rounded_as_doubles(spark, tmp_path):
     text = "".join(map(word, range(640))) + "".join(map(word, range(1000, 1640))) + "".join(map(word, range(2000, 2640))) + "".join(map(word, [*range(41), *range(3000, 3599)]))
     got, want = documents(spark, tmp_path, [text])("window_hash_overlap")
     assert got == want == [(0, 0, 3, 0.064062)]
+
+
+def test_points_of_several_blocks_equal_brute_force_and_move_once_a_block(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BLOCK", 40)
+    rng = np.random.default_rng(3)
+    codes = {(k, i): int(x) for k, n in ((1, 130), (2, 1), (3, 40)) for i, x in enumerate(rng.integers(0, 1 << 14, n))}
+    df = spark.createDataFrame([(k, i, [c]) for (k, i), c in codes.items()], "image_id long, point_id long, code array<long>")
+    want = {(k, i): min(((c ^ d).bit_count(), j) for (m, j), d in codes.items() if m == k and j != i) for (k, i), c in codes.items() if k != 2}
+    found = matching.nearest(df, 1)
+    assert {(r["image_id"], r["point_id"]): (r["distance"], r["other_id"]) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().toString()
+    assert "Generate explode(sequence" in plan and "flip" not in plan  # a row a block, not a row a flipped bit

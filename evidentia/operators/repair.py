@@ -1,4 +1,7 @@
-"""Pictures as rows: damage, strategies, scores, the best of each. Kernels run in Arrow batches, a picture a row."""
+"""Pictures as rows: damage, strategies, scores, the best of each.
+
+Kernels run in Arrow batches, a picture a row. Repair takes the pictures of one size in a batch as a stack [n, c, y, x].
+"""
 
 from __future__ import annotations
 
@@ -31,14 +34,42 @@ def seed_of(image_id: str, salt: int) -> np.random.Generator:
     return np.random.default_rng([salt, *image_id.encode()])
 
 
+#: Bytes of the pictures of a stack.
+STACK = 1 << 16
+
+
+def stacked(f):
+    """f(rows of pictures of one size) -> rows, as a function of one row; f itself is its `stack`."""
+
+    def one(row):
+        return f([row])
+
+    one.stack = f
+    return one
+
+
+def stacks(rows: list) -> Iterator[list]:
+    """rows by size of picture, some at a time."""
+    shapes: dict[tuple, list] = {}
+    for row in rows:
+        shapes.setdefault((row.height, row.width, row.n_channels), []).append(row)
+    for shape, own in shapes.items():
+        n = max(1, STACK // max(1, int(np.prod(shape))))
+        yield from (own[i : i + n] for i in range(0, len(own), n))
+
+
 def each(pictures: DataFrame, f, schema: str) -> DataFrame:
     """f(row) -> list of rows, over all pictures."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
-            out = [x for row in batch.itertuples(index=False) for x in f(row)]
-            yield pd.DataFrame(out, columns=names)
+            rows = batch.itertuples(index=False)
+            if not hasattr(f, "stack"):
+                yield pd.DataFrame([x for row in rows for x in f(row)], columns=names)
+                continue
+            for some in stacks(list(rows)):
+                yield pd.DataFrame(list(f.stack(some)), columns=names)
 
     return pictures.mapInPandas(run, schema)
 
@@ -59,26 +90,86 @@ def corrupt(pictures: DataFrame, kinds: list[str] | None = None, seed: int = 42,
     return each(pictures, f, "image_id string, kind string, height int, width int, n_channels int, original binary, data binary, mask binary, touched long")
 
 
+def planes_of(pictures: list[np.ndarray]) -> np.ndarray:
+    """[y, x] or [y, x, c] pictures of one size -> [n, c, y, x]."""
+    a = np.stack(pictures)
+    return a[:, None] if a.ndim == 3 else np.ascontiguousarray(np.moveaxis(a, 3, 1))
+
+
+def picture_of(planes: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """[c, y, x] -> a picture of the form of `like`."""
+    return planes[0] if like.ndim == 2 else np.moveaxis(planes, 0, 2)
+
+
+def by_mask(f):
+    """f(pictures, mask) of stacks with one mask as a function of stacks (pictures, masks)."""
+
+    def run(pictures: np.ndarray, masks: np.ndarray) -> np.ndarray:
+        flat = np.packbits(masks.reshape(len(masks), -1), axis=1)
+        _, first, kind = np.unique(flat.view(f"V{flat.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        out = np.empty_like(pictures)
+        order = np.argsort(kind, kind="stable")
+        for at, own in zip(first, np.split(order, np.cumsum(np.bincount(kind))[:-1]), strict=True):
+            out[own] = f(pictures[own], masks[at])
+        return out
+
+    return run
+
+
+def by_plane(f):
+    """f(planes) as a function of stacks (pictures, masks)."""
+    return lambda pictures, masks: f(pictures.reshape(-1, *pictures.shape[2:])).reshape(pictures.shape)
+
+
+def inpainting(radius: int):
+    return by_mask(lambda pictures, mask: kernels.inpaint_planes(pictures.reshape(-1, *mask.shape), mask, radius).reshape(pictures.shape))
+
+
+def one_by_one(fix):
+    """fix(picture, mask) of one picture as a function of stacks (pictures, masks)."""
+
+    def run(pictures: np.ndarray, masks: np.ndarray) -> np.ndarray:
+        single = [p[0] if len(p) == 1 else np.moveaxis(p, 0, 2) for p in pictures]
+        return planes_of([fix(i, m) for i, m in zip(single, masks, strict=True)])
+
+    return run
+
+
 def executor(name: str, base: int = 3):
-    """(picture, mask) -> picture of a strategy's name."""
+    """(picture, mask) -> picture of a strategy's name; its `stack` does so with stacks."""
+    stack = stack_executor(name, base)
+
+    def fix(i, m):
+        return picture_of(stack(planes_of([i]), m[None])[0], i)
+
+    fix.stack = stack
+    return fix
+
+
+def stack_executor(name: str, base: int = 3):
+    """(pictures [n, c, y, x], masks [n, y, x]) -> pictures of a strategy's name."""
     k = kernels
     radius = {"inpainting_r3": max(3, base), "inpainting_r5": max(5, base + 2), "inpainting_r7": max(7, base + 4)}
     plain = {
-        "conservative": lambda i, m: i,
-        "denoise_median_blur": lambda i, m: k.median(i),
-        "denoise_gaussian_blur": lambda i, m: k.gaussian(i),
-        "denoise_bilateral": lambda i, m: k.bilateral(i),
-        "deblur_light": lambda i, m: k.column_smooth(i),
-        "deblur_strong": lambda i, m: k.column_smooth(i, 2),
-        "block_repair": lambda i, m: k.box(i),
-        "hybrid_denoise_inpaint": lambda i, m: k.inpaint(k.median(i), m, max(5, base)),
+        "denoise_median_blur": k.median.planes,
+        "denoise_gaussian_blur": k.gaussian.planes,
+        "denoise_bilateral": k.bilateral.planes,
+        "deblur_light": k.column_smooth.planes,
+        "deblur_strong": lambda p: k.column_smooth.planes(p, 2),
+        "block_repair": k.box.planes,
     }
+    if name == "conservative":
+        return lambda i, m: i
     if name in plain:
-        return plain[name]
+        return by_plane(plain[name])
     if name in radius:
-        return lambda i, m: k.inpaint(i, m, radius[name])
+        return inpainting(radius[name])
+    steps = None
+    if name == "hybrid_denoise_inpaint":
+        steps = [by_plane(k.median.planes), inpainting(max(5, base))]
     if name in CHAINS:
-        steps = [CHAIN_STEPS.get(step) or executor(step, base) for step in CHAINS[name]]
+        steps = [CHAIN_STEPS.get(step) or stack_executor(step, base) for step in CHAINS[name]]
+    if steps:
 
         def chain(i, m):
             for step in steps:
@@ -87,12 +178,14 @@ def executor(name: str, base: int = 3):
 
         return chain
     if name.startswith("criminisi_p"):
-        return lambda i, m: k.exemplar_fill(i, m, int(name[11:]))
+        size = int(name[11:])
+        fill = one_by_one(lambda i, m: k.exemplar_fill(i, m, size))
+        return lambda i, m: inpainting(3)(i, m) if min(m.shape[1:]) < size else fill(i, m)
     if name.startswith("patchmatch_p"):
         size, _, times = name[12:].partition("_i")
-        return lambda i, m: k.onion_fill(i, m, int(size), times=int(times or 5))
+        return by_mask(lambda pictures, mask: k.onion_planes(pictures, mask, int(size), times=int(times or 5)))
     if name == "meta_regional":
-        return lambda i, m: regional.meta_regional(i, m)[0]
+        return lambda i, m: regional.meta_regional_stack(i, m)[0]
     raise ValueError(f"no strategy {name}")
 
 
@@ -105,7 +198,7 @@ CHAINS = {
     "mask_dilate_inpaint": ("mask_dilate", "inpainting_r5"),
     "multi_pass_inpaint": ("inpainting_r3", "inpainting_r5", "inpainting_r7"),
 }
-CHAIN_STEPS = {"mask_dilate": lambda i, m: i} | {f"inpainting_r{r}": (lambda i, m, r=r: kernels.inpaint(i, m, r)) for r in (3, 5, 7)}
+CHAIN_STEPS = {"mask_dilate": lambda i, m: i} | {f"inpainting_r{r}": inpainting(r) for r in (3, 5, 7)}
 
 
 def strategies(recommended: str = "hybrid", exhaustive: bool = False, base: int = 3) -> list[tuple[str, str, object]]:
@@ -123,68 +216,130 @@ def strategies(recommended: str = "hybrid", exhaustive: bool = False, base: int
     return [(name, family, executor(name, base)) for name, family in plan]
 
 
+def grays(pictures: np.ndarray) -> np.ndarray:
+    return pictures[:, 0] if pictures.shape[1] == 1 else kernels.gray(np.moveaxis(pictures[:, :3], 1, 3).reshape(len(pictures), -1, 3)).reshape(len(pictures), *pictures.shape[2:])
+
+
+def of_each(a: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(a).reshape(len(a), -1)
+
+
+def histograms(values: np.ndarray, size: int) -> np.ndarray:
+    """Counts of the values below size in each row."""
+    return np.bincount((np.arange(len(values))[:, None] * size + values).ravel(), minlength=len(values) * size).reshape(-1, size)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Correlation of two stacks' planes by histograms of 32 bins; negative is 0, and flat histograms are alike."""
+    x, y = (histograms(of_each(i) // 8, 32) / i[0].size for i in (a, b))
+    flat = x.std(1) * y.std(1)
+    both = ((x - x.mean(1)[:, None]) * (y - y.mean(1)[:, None])).mean(1)
+    return np.where(flat > 0, np.maximum(0.0, both / np.where(flat > 0, flat, 1)), 1.0)
+
+
+def blind_scores(before: np.ndarray, after: np.ndarray, masks: np.ndarray | None = None) -> np.ndarray:
+    """blind_score() of each picture of a stack."""
+    a, b = grays(before), grays(after)
+    n, h, w = b.shape
+    sharp = np.minimum(of_each(kernels.laplacian(b)).var(1) / 120, 1)
+    noise = 1 - np.minimum(of_each(np.abs(b.astype(float) - kernels.gaussian.planes(b, 3))).mean(1) / 40, 1)
+    da, db = (of_each(kernels.edges(i)).mean(1) for i in (a, b))
+    edge = np.maximum(0.0, 1 - np.abs(da - db) / np.maximum(da, 0.001))
+    flat = lambda i: i.reshape(-1, h, w)
+    colour = alike(flat(before), flat(after)).reshape(n, -1).mean(1)
+    size = 8
+    down, along = len(range(0, h - size, size)), len(range(0, w - size, size))
+    entropy, artefact = np.zeros(n), np.ones(n)
+    if down and along:
+        blocks = np.moveaxis(b[:, : down * size, : along * size].reshape(n, down, size, along, size), 2, 3).reshape(n * down * along, -1)
+        p = histograms(blocks // 16, 16) / blocks.shape[1]
+        entropy = np.minimum((-(p * np.log2(p + 1e-9)).sum(1)).reshape(n, -1).mean(1) / 4, 1)
+        artefact = 1 - np.minimum(blocks.var(1).reshape(n, -1).mean(1) / 500, 1)
+    delta = of_each(np.abs(a.astype(float) - b))
+    mask = np.zeros(delta.shape, bool) if masks is None else of_each(masks)
+    marked = mask.sum(1)
+    outside = (delta * ~mask).sum(1) / np.maximum(1, mask.shape[1] - marked)
+    consistent = np.maximum(0.2, 1 - np.minimum(outside / 80, 0.8))
+    inside = (delta * mask).sum(1) / np.maximum(1, marked)
+    effort = np.where(marked == 0, 1.0, np.where(inside < 3, 0.45, np.where(inside < 15, 0.60 + inside / 75, np.minimum(1.0, 0.80 + inside / 200))))
+    return np.clip(100 * consistent * effort * (0.25 * sharp + 0.20 * noise + 0.20 * edge + 0.15 * colour + 0.10 * entropy + 0.10 * artefact), 0, 100)
+
+
 def blind_score(before: np.ndarray, after: np.ndarray, mask: np.ndarray | None = None) -> float:
     """Quality without an original: sharpness, noise, edges, colour, entropy, artefacts, times consistency and effort.
 
     With a mask consistency goes by the change outside it alone, and effort by the change inside; without one by the
     whole change, at full effort.
     """
-    a, b = kernels.gray(before), kernels.gray(after)
-    sharp = min(kernels.laplacian(b).var() / 120, 1)
-    noise = 1 - min(np.abs(b.astype(float) - kernels.gaussian(b, 3)).mean() / 40, 1)
-    da, db = kernels.edges(a).mean(), kernels.edges(b).mean()
-    edge = max(0.0, 1 - abs(da - db) / max(da, 0.001))
-    planes = lambda i: [i] if i.ndim == 2 else [i[..., c] for c in range(i.shape[2])]
-    colour = float(np.mean([alike(x, y) for x, y in zip(planes(before), planes(after), strict=True)]))
-    size = 8
-    corners = [(y, x) for y in range(0, b.shape[0] - size, size) for x in range(0, b.shape[1] - size, size)]
-    blocks = [b[y : y + size, x : x + size] for y, x in corners]
-    shares = [np.bincount(q.ravel() // 16, minlength=16) / q.size for q in blocks]
-    entropy = min(float(np.mean([-(p * np.log2(p + 1e-9)).sum() for p in shares])) / 4, 1) if blocks else 0.0
-    artefact = 1 - min(float(np.mean([q.var() for q in blocks])) / 500, 1) if blocks else 1.0
-    delta = np.abs(a.astype(float) - b)
-    masked = mask is not None and mask.any()
-    outside = delta[~mask] if masked and not mask.all() else (delta if not masked else np.zeros(1))
-    consistent = max(0.2, 1 - min(float(outside.mean()) / 80, 0.8))
-    effort = 1.0
-    if masked:
-        inside = float(delta[mask].mean())
-        effort = 0.45 if inside < 3 else 0.60 + inside / 75 if inside < 15 else min(1.0, 0.80 + inside / 200)
-    return float(np.clip(100 * consistent * effort * (0.25 * sharp + 0.20 * noise + 0.20 * edge + 0.15 * colour + 0.10 * entropy + 0.10 * artefact), 0, 100))
-
-
-def alike(a: np.ndarray, b: np.ndarray) -> float:
-    """Correlation of two planes' histograms of 32 bins; negative is 0, and flat histograms are alike."""
-    x, y = (np.bincount(i.ravel() // 8, minlength=32) / i.size for i in (a, b))
-    flat = x.std() * y.std()
-    return max(0.0, float(((x - x.mean()) * (y - y.mean())).mean() / flat)) if flat else 1.0
+    return float(blind_scores(planes_of([before]), planes_of([after]), None if mask is None else mask[None])[0])
+
+
+def peaks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The signal to noise ratio of each picture of two stacks."""
+    mse = of_each((a.astype(float) - b.astype(float)) ** 2).mean(1)
+    return np.where(mse == 0, 100.0, 10 * np.log10(255**2 / np.where(mse == 0, 1, mse)))
+
+
+def similarities(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    flat = lambda i: i.reshape(-1, *i.shape[2:])
+    return kernels.similarities(flat(a), flat(b)).reshape(len(a), -1).mean(1)
+
+
+def supervised_scores(original: np.ndarray, before: np.ndarray, after: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """supervised_score() of each picture of a stack."""
+    p0, p1 = peaks(original, before), peaks(original, after)
+    s0, s1 = similarities(original, before), similarities(original, after)
+    whole, (h, w) = s1.copy(), masks.shape[1:]
+    some = np.flatnonzero(masks.any((1, 2)))
+    down, along = masks[some].any(2), masks[some].any(1)
+    low = lambda a: np.maximum(0, a.argmax(1) - 8)
+    high = lambda a, n: np.minimum(n, n - a[:, ::-1].argmax(1) + 8)
+    boxes, kind = np.unique(np.stack([low(down), high(down, h), low(along), high(along, w)], 1), axis=0, return_inverse=True)
+    for i, (y0, y1, x0, x1) in enumerate(boxes):
+        own = some[kind.ravel() == i]
+        a, b = original[own][:, :, y0:y1, x0:x1], after[own][:, :, y0:y1, x0:x1]
+        zone = similarities(a, b) if min(a.shape[2:]) >= 7 else np.maximum(0.0, 1 - np.sqrt(of_each((a.astype(float) - b) ** 2).mean(1)) / 255)
+        weight = np.maximum(0.3, 0.8 - 2 * of_each(masks[own]).mean(1))
+        whole[own] = weight * zone + (1 - weight) * s1[own]
+    return np.clip(60 * whole + 0.2 * np.minimum(p1, 100) + 30 * np.maximum(0.0, s1 - s0) + 0.2 * np.maximum(0.0, p1 - p0), 0, 100), p1, s1
 
 
 def supervised_score(original: np.ndarray, before: np.ndarray, after: np.ndarray, mask: np.ndarray) -> tuple[float, float, float]:
     """(score, psnr, ssim): structure weighs most, in the mask's box the more the smaller the mask is."""
-    p0, p1 = kernels.psnr(original, before), kernels.psnr(original, after)
-    s0, s1 = kernels.ssim(original, before), kernels.ssim(original, after)
-    whole = s1
-    if mask.any():
-        (y0, x0), (y1, x1) = np.argwhere(mask).min(0), np.argwhere(mask).max(0) + 1
-        box = np.s_[max(0, y0 - 8) : y1 + 8, max(0, x0 - 8) : x1 + 8]
-        a, b = original[box], after[box]
-        zone = kernels.ssim(a, b) if min(a.shape[:2]) >= 7 else max(0.0, 1 - float(np.sqrt(np.mean((a.astype(float) - b) ** 2))) / 255)
-        weight = max(0.3, 0.8 - 2 * float(mask.mean()))
-        whole = weight * zone + (1 - weight) * s1
-    return float(np.clip(60 * whole + 0.2 * min(p1, 100) + 30 * max(0.0, s1 - s0) + 0.2 * max(0.0, p1 - p0), 0, 100)), p1, s1
-
-
-def refine(before: np.ndarray, after: np.ndarray, mask: np.ndarray, score, base: int = 3) -> np.ndarray | None:
-    """Further inpainting of the best result at radius base, base + 2, base + 4: each must beat the best by over 0.1, or it ends."""
-    best, top, found = after, score(after), None
+    return tuple(float(x[0]) for x in supervised_scores(planes_of([original]), planes_of([before]), planes_of([after]), mask[None]))
+
+
+def refine(before: np.ndarray, after: np.ndarray, masks: np.ndarray, score, base: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Further inpainting of the best results at radius base, base + 2, base + 4: each must beat the best by over 0.1, or it ends.
+
+    Stacks in, (pictures, which of them gained) out; score(pictures, places) gives the scores of those at places.
+    """
+    best, gained, left = after.copy(), np.zeros(len(after), bool), np.arange(len(after))
+    top = score(best, left)
     for radius in (base, base + 2, base + 4):
-        tried = kernels.inpaint(best, mask, radius)
-        now = score(tried)
-        if now <= top + 0.1:
+        tried = inpainting(radius)(best[left], masks[left])
+        now = score(tried, left)
+        more = now > top[left] + 0.1
+        left, tried, now = left[more], tried[more], now[more]
+        if not len(left):
             break
-        best, top, found = tried, now, tried
-    return found
+        best[left], top[left], gained[left] = tried, now, True
+    return best, gained
+
+
+FAULTS = (ValueError, IndexError, FloatingPointError)
+
+
+def attempt(fix, pictures: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, dict[int, str]]:
+    """The pictures mended by a strategy, and the faults of those it failed on, by place."""
+    run = getattr(fix, "stack", None) or one_by_one(fix)
+    try:
+        return run(pictures, masks), {}
+    except FAULTS as fault:
+        if len(pictures) == 1:
+            return pictures, {0: str(fault)}
+    parts = [attempt(fix, pictures[i : i + 1], masks[i : i + 1]) for i in range(len(pictures))]
+    return np.concatenate([p for p, _ in parts]), {i: fault[0] for i, (_, fault) in enumerate(parts) if fault}
 
 
 def repair(corrupted: DataFrame, most: int | None = None, supervised: bool = True, recommended: str = "hybrid", exhaustive: bool = False) -> DataFrame:
@@ -195,33 +350,48 @@ def repair(corrupted: DataFrame, most: int | None = None, supervised: bool = Tru
     the original isn't read; psnr and ssim are null.
     """
 
-    def f(row):
-        before = picture(row)
-        mask = np.frombuffer(row.mask, bool).reshape(before.shape[:2])
-        original = picture(row._replace(data=row.original)) if supervised else None
-
-        def judged(after):
-            blind = blind_score(before, after, mask)
-            return (*supervised_score(original, before, after, mask), blind) if supervised else (blind, None, None, blind)
-
-        best, done, seq = None, 0, -1
-        for seq, (name, family, fix) in enumerate(strategies(recommended, exhaustive)):
-            if most is not None and done >= most:
+    plan = strategies(recommended, exhaustive)
+
+    @stacked
+    def f(rows):
+        like = picture(rows[0])
+        before = planes_of([picture(row) for row in rows])
+        masks = np.stack([np.frombuffer(row.mask, bool).reshape(like.shape[:2]) for row in rows])
+        original = planes_of([np.frombuffer(row.original, np.uint8).reshape(like.shape) for row in rows]) if supervised else None
+
+        def judged(after, at):
+            blind = blind_scores(before[at], after, masks[at])
+            none = [None] * len(blind)
+            return [x.tolist() for x in supervised_scores(original[at], before[at], after, masks[at])] + [blind.tolist()] if supervised else [blind.tolist(), none, none, blind.tolist()]
+
+        n = len(rows)
+        top, kept, done = np.full(n, -np.inf), before.copy(), np.zeros(n, int)
+        last, over = np.full(n, -1), np.zeros(n, bool)
+        for seq, (name, family, fix) in enumerate(plan):
+            last[~over] = seq
+            over = over if most is None else done >= most
+            at = np.flatnonzero(~over)
+            if not len(at):
                 break
-            try:
-                after = fix(before, mask)
-                score, p, s, blind = judged(after)
-            except (ValueError, IndexError, FloatingPointError) as fault:
-                yield row.image_id, row.kind, seq, name, family, None, None, None, None, str(fault), None
+            after, faults = attempt(fix, before[at], masks[at])
+            good = np.array([i not in faults for i in range(len(at))])
+            for i, fault in faults.items():
+                yield rows[at[i]].image_id, rows[at[i]].kind, seq, name, family, None, None, None, None, fault, None
+            at, after = at[good], after[good]
+            if not len(at):
                 continue
-            done += 1
-            if best is None or score > best[0]:
-                best = (score, after)
-            yield row.image_id, row.kind, seq, name, family, round(score, 6), p, s, blind, None, after.tobytes()
-        further = refine(before, best[1], mask, lambda x: judged(x)[0]) if best and mask.any() else None
-        if further is not None:
-            score, p, s, blind = judged(further)
-            yield row.image_id, row.kind, seq + 1, "iterative", "iterative", round(score, 6), p, s, blind, None, further.tobytes()
+            done[at] += 1
+            scores = judged(after, at)
+            better = np.array(scores[0]) > top[at]
+            top[at[better]], kept[at[better]] = np.array(scores[0])[better], after[better]
+            for i, new, score, p, s, blind in zip(at, after, *scores, strict=True):
+                yield rows[i].image_id, rows[i].kind, seq, name, family, round(score, 6), p, s, blind, None, picture_of(new, like).tobytes()
+        some = np.flatnonzero((done > 0) & masks.any((1, 2)))
+        if len(some):
+            further, gained = refine(before[some], kept[some], masks[some], lambda after, at: np.array(judged(after, some[at])[0]))
+            some, further = some[gained], further[gained]
+            for i, new, score, p, s, blind in zip(some, further, *judged(further, some), strict=True) if len(some) else ():
+                yield rows[i].image_id, rows[i].kind, int(last[i]) + 1, "iterative", "iterative", round(score, 6), p, s, blind, None, picture_of(new, like).tobytes()
 
     return each(corrupted, f, "image_id string, kind string, seq int, strategy string, family string, score double, psnr double, ssim double, blind double, error string, data binary")
 
@@ -229,11 +399,14 @@ def repair(corrupted: DataFrame, most: int | None = None, supervised: bool = Tru
 def regional_repair(corrupted: DataFrame) -> DataFrame:
     """One row a region: image_id, kind, region, region_type, strategy, area, score, and the picture's weighted score."""
 
-    def f(row):
-        before = picture(row)
-        _, whole, report = regional.meta_regional(before, np.frombuffer(row.mask, bool).reshape(before.shape[:2]))
-        for i, (name, strategy, area, score) in enumerate(report):
-            yield row.image_id, row.kind, i, name, strategy, area, score, whole
+    @stacked
+    def f(rows):
+        before = [picture(row) for row in rows]
+        masks = np.stack([np.frombuffer(row.mask, bool).reshape(before[0].shape[:2]) for row in rows])
+        _, wholes, found = regional.meta_regional_stack(planes_of(before), masks)
+        for row, whole, report in zip(rows, wholes, found, strict=True):
+            for i, (name, strategy, area, score) in enumerate(report):
+                yield row.image_id, row.kind, i, name, strategy, area, score, whole
 
     return each(corrupted, f, "image_id string, kind string, region int, region_type string, strategy string, area long, score double, weighted double")
 

@@ -145,3 +145,26 @@ def test_best_candidate_has_the_top_score(spark):
     all_ = repair.repair(repair.corrupt(pics, ["rectangle_mask"])).select("strategy", "score", "image_id", "kind", "seq", "data").collect()
     top = repair.best(spark.createDataFrame(all_)).first()
     assert top["score"] == max(r["score"] for r in all_)
+
+
+def test_pictures_of_one_mask_are_repaired_together(monkeypatch):
+    """A stack's rows equal those of its pictures one by one; its mask is marched through once a radius."""
+    rng, rows, calls, march = np.random.default_rng(3), [], [], kernels.marching
+    mask = np.zeros((8, 8), bool)
+    mask[2:5, 3:6] = True
+    for i in range(40):
+        img = rng.integers(0, 256, (8, 8)).astype(np.uint8)
+        values = {"image_id": str(i), "kind": "k", "height": 8, "width": 8, "n_channels": 1, "original": img.tobytes(), "data": np.where(mask, 0, img).astype(np.uint8).tobytes(), "mask": mask.tobytes()}
+        rows.append(type("Row", (), values))
+    taken = {}
+    monkeypatch.setattr(repair, "each", lambda pictures, f, schema: taken.update({schema[:42]: f}))
+    monkeypatch.setattr(kernels, "marching", lambda m, r: calls.append(r) or march(m, r))
+    kernels.kept_steps.cache_clear()
+    repair.repair(None)
+    repair.regional_repair(None)
+    first, *_ = taken.values()
+    together = list(first.stack(rows))
+    assert sorted(calls) == [3, 5, 7]
+    for f in taken.values():
+        assert sorted(f.stack(rows)) == sorted(x for row in rows for x in f(row))
+    assert len(together) >= 20 * len(rows) and [len(s) for s in repair.stacks(rows * 60)] == [1024, 1024, 352]

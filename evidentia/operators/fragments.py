@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -11,35 +13,82 @@ from . import clustering
 from .filters import chance
 
 
+def overlap(a: bytes, b: bytes, window: int = 32) -> float:
+    """How well two ends of equal length go on: alike edges, shared windows."""
+    tail, head = (np.frombuffer(x, np.uint8).astype(float) for x in (a, b))
+    cut = lambda x: {x[i : i + window] for i in range(len(x) - window + 1)}
+    one, two = cut(a), cut(b)
+    return 0.65 * max(0.0, 1 - float(((tail - head) ** 2).mean()) / 255**2) + 0.35 * len(one & two) / max(len(one), len(two))
+
+
 def continuity(a: bytes, b: bytes, reach: int = 64, window: int = 32) -> float:
     """How well b goes on where a ends: alike edges, shared windows, like sizes."""
-    overlap = 0.0
-    if min(len(a), len(b)) >= reach:
-        tail, head = (np.frombuffer(x, np.uint8).astype(float) for x in (a[-reach:], b[:reach]))
-        cut = lambda x: {x[i : i + window] for i in range(len(x) - window + 1)}
-        one, two = cut(a[-reach:]), cut(b[:reach])
-        overlap = 0.65 * max(0.0, 1 - float(((tail - head) ** 2).mean()) / 255**2) + 0.35 * len(one & two) / max(len(one), len(two))
-    return 0.7 * overlap + 0.3 * min(len(a), len(b)) / max(1, len(a), len(b))
+    over = overlap(a[-reach:], b[:reach], window) if min(len(a), len(b)) >= reach else 0.0
+    return 0.7 * over + 0.3 * min(len(a), len(b)) / max(1, len(a), len(b))
+
+
+REACH, WINDOW = 64, 32
+CHAIN = "dump_id long, place long, idx long, continuity double"
+
+
+def hashed_windows(ends: np.ndarray) -> np.ndarray:
+    """[..., REACH] bytes -> a hash of each WINDOW of them: equal windows have equal hashes."""
+    w = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(ends, WINDOW, -1)).view(np.uint64)
+    out = np.zeros(w.shape[:-1], np.uint64)
+    for i in range(w.shape[-1]):
+        out = (out ^ w[..., i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def chains(idx: np.ndarray, size: np.ndarray, head: list[list[bytes]], tail: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, continuity) [dumps, places] of dumps of equally many fragments, in order of offset: all take a step at a time.
+
+    Windows are compared by hash; where any agrees, overlap() decides.
+    """
+    n, m = size.shape
+    ends = [np.frombuffer(b"".join(x.ljust(REACH, b"\0") for row in side for x in row), np.uint8).reshape(n, m, REACH) for side in (head, tail)]
+    first, last = (hashed_windows(e) for e in ends)
+    row, order, score = np.arange(n), np.zeros((n, m), np.int64), np.full((n, m), np.nan)
+    free = np.ones((n, m), bool)
+    free[:, 0] = False
+    for place in range(1, m):
+        at = order[:, place - 1]
+        both = (size >= REACH) & (size[row, at] >= REACH)[:, None]
+        gap = ((ends[1][row, at].astype(float)[:, None] - ends[0]) ** 2).mean(2)
+        less, more = np.minimum(size, size[row, at][:, None]), np.maximum(size, size[row, at][:, None])
+        fit = 0.7 * np.where(both, 0.65 * np.maximum(0.0, 1 - gap / 255**2), 0.0) + 0.3 * less / np.maximum(1, more)
+        shared = both & free & (last[row, at][:, None, :, None] == first[:, :, None, :]).any((2, 3))
+        for d, j in zip(*np.nonzero(shared), strict=True):
+            fit[d, j] = 0.7 * overlap(tail[d][at[d]], head[d][j]) + 0.3 * less[d, j] / max(1, more[d, j])
+        best = np.where(free, fit, -1.0).argmax(1)
+        order[:, place], score[:, place], free[row, best] = best, fit[row, best], False
+    return idx[row[:, None], order], score
 
 
 def greedy_chain(fragments: DataFrame) -> DataFrame:
     """(dump_id, idx, off, data) -> dump_id, place, idx, continuity: from the lowest offset, the best follower each time.
 
-    A dump's fragments are walked in one group; different dumps run side by side.
+    A dump is a row of its fragments' sizes and ends; a batch's dumps of equally many fragments are walked together.
     """
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf.sort_values(["off", "idx"]).to_dict("records")
-        chain, out = left.pop(0), []
-        out.append((chain["dump_id"], 0, chain["idx"], None))
-        while left:
-            score = [continuity(bytes(chain["data"]), bytes(x["data"])) for x in left]
-            k = int(np.argmax(score))
-            chain = left.pop(k)
-            out.append((chain["dump_id"], len(out), chain["idx"], score[k]))
-        return pd.DataFrame(out, columns=["dump_id", "place", "idx", "continuity"])
-
-    return fragments.groupBy("dump_id").applyInPandas(walk, "dump_id long, place long, idx long, continuity double")
+    data = F.coalesce("data", F.lit(b""))
+    size = F.octet_length(data)
+    ends = F.struct("off", "idx", size.cast("long").alias("size"), F.substring(data, 1, REACH).alias("head"), F.substring(data, F.greatest(F.lit(1), size - REACH + 1), F.lit(REACH)).alias("tail"))
+    dumps = fragments.groupBy("dump_id").agg(F.array_sort(F.collect_list(ends)).alias("f"))
+    dumps = dumps.select("dump_id", *[F.col(f"f.{c}").alias(c) for c in ("idx", "size", "head", "tail")])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            count = batch["idx"].map(len).to_numpy()
+            for m in np.unique(count):
+                own = batch[count == m]
+                step = max(1, (1 << 14) // int(m))
+                for part in (own[i : i + step] for i in range(0, len(own), step)):
+                    idx, size = (np.stack(part[c].to_list()).astype(np.int64) for c in ("idx", "size"))
+                    order, score = chains(idx, size, *[[[bytes(x) for x in row] for row in part[c]] for c in ("head", "tail")])
+                    yield pd.DataFrame({"dump_id": np.repeat(part["dump_id"].to_numpy(), m), "place": np.tile(np.arange(m), len(part)), "idx": order.ravel(), "continuity": pd.array(score.ravel(), "Float64")})
+
+    return dumps.mapInPandas(run, CHAIN)
 
 
 def clusters(vectors: DataFrame, eps: float = 0.3, least: int = 2) -> DataFrame:

@@ -168,3 +168,25 @@ def test_pictures_of_one_mask_are_repaired_together(monkeypatch):
     for f in taken.values():
         assert sorted(f.stack(rows)) == sorted(x for row in rows for x in f(row))
     assert len(together) >= 20 * len(rows) and [len(s) for s in repair.stacks(rows * 60)] == [1024, 1024, 352]
+
+
+def test_chains_of_many_dumps_are_walked_together(monkeypatch):
+    """Equal to a walk by continuity() pair by pair, which is left to pairs with a common window."""
+    rng, slow = np.random.default_rng(5), []
+    alphabet = [bytes(rng.integers(0, 256, 40, dtype=np.uint8)) for _ in range(3)]
+    dumps = [[bytes(rng.integers(0, 256, rng.integers(1, 200), dtype=np.uint8)) if rng.random() < 0.7 else b"".join(alphabet[k] for k in rng.integers(0, 3, 5)) for _ in range(6)] for _ in range(50)]
+    want = []
+    for pieces in dumps:
+        left, chain = list(range(1, 6)), [(0, None)]
+        while left:
+            score = [fragments.continuity(pieces[chain[-1][0]], pieces[j]) for j in left]
+            k = int(np.argmax(score))
+            chain.append((left.pop(k), score[k]))
+        want.append(chain)
+    overlap = fragments.overlap
+    monkeypatch.setattr(fragments, "overlap", lambda *a: slow.append(a) or overlap(*a))
+    size = np.array([[len(x) for x in d] for d in dumps])
+    order, score = fragments.chains(np.tile(np.arange(6), (50, 1)), size, [[x[:64] for x in d] for d in dumps], [[x[-64:] for x in d] for d in dumps])
+    assert [[i for i, _ in c] for c in want] == order.tolist()
+    assert np.array_equal(score[:, 1:], [[s for _, s in c[1:]] for c in want]) and np.isnan(score[:, 0]).all()
+    assert 0 < len(slow) < 50 * 15

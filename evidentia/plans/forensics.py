@@ -394,13 +394,14 @@ def first_valid_image(spark, sf_dir):
 
 def fragment_permutations(spark, sf_dir):
     """Texts in four pieces in a wrong order: the first order, of all 24 in turn, in which they are whole again."""
-    docs = table(spark, sf_dir, "documents").where("length(text) >= 40").select("doc_id", F.sha2("text", 256).alias("want"), F.floor(F.length("text") / 4).cast("int").alias("n"), "text")
+    docs = table(spark, sf_dir, "documents").where("length(text) >= 40").select("doc_id", F.floor(F.length("text") / 4).cast("int").alias("n"), "text")
     cut = [F.substring("text", F.lit(1), F.col("n")), F.substring("text", F.col("n") + 1, F.col("n")), F.substring("text", 2 * F.col("n") + 1, F.col("n")), F.substring("text", 3 * F.col("n") + 1, F.length("text"))]
-    turn = F.when(F.col("doc_id") % 3 == 0, F.array(cut[2], cut[0], cut[3], cut[1])).when(F.col("doc_id") % 3 == 1, F.array(cut[1], cut[0], cut[2], cut[3])).otherwise(F.array(cut[3], cut[2], cut[1], cut[0]))
-    orders = F.array(*[F.array(*[F.lit(i + 1) for i in p]) for p in itertools.permutations(range(4))])
-    rows = docs.select("doc_id", "want", turn.alias("pieces"))
-    valid = F.filter(orders, lambda p: F.sha2(F.array_join(F.transform(p, lambda i: F.element_at("pieces", i)), ""), 256) == F.col("want"))
-    return rows.select("doc_id", F.array_join(valid[0], "").alias("order"))
+    docs = docs.select("doc_id", "text", *[c.alias(f"cut_{k}") for k, c in enumerate(cut)])
+    # pieces are columns, each used many times, so a text is cut once and not once an order
+    turn = lambda *ks: F.when(F.col("doc_id") % 3 == 0, F.col(f"cut_{ks[0]}")).when(F.col("doc_id") % 3 == 1, F.col(f"cut_{ks[1]}")).otherwise(F.col(f"cut_{ks[2]}"))
+    rows = docs.select("doc_id", "text", *[turn(*ks).alias(f"piece_{k}") for k, ks in enumerate(zip((2, 0, 3, 1), (1, 0, 2, 3), (3, 2, 1, 0), strict=True), 1)])
+    whole = lambda p: F.concat(*[F.col(f"piece_{k}") for k in p]) == F.col("text")
+    return rows.select("doc_id", F.coalesce(*[F.when(whole(p), "".join(map(str, p))) for p in itertools.permutations(range(1, 5))]).alias("order"))
 
 
 def retention_counts(spark, sf_dir):

@@ -135,3 +135,8 @@ def test_header_verdicts(spark):
     got = {r["id"]: r["v"] for r in rows.select("id", forensics.header_verdict(F.col("content"), ("PNG",)).alias("v")).collect()}
     assert (got["png"]["valid"], got["png"]["width"], got["png"]["height"]) == (True, 4, 3)
     assert [got[k]["reason"] for k in ("cut", "jpeg", "none", "null")] == ["unreadable", "format", "unreadable", "unreadable"]
+
+
+def test_pieces_are_cut_once_and_not_once_an_order(spark):
+    plan = forensics.fragment_permutations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring(") == 4 and "lambda" not in plan and "sha2" not in plan

@@ -132,3 +132,15 @@ def test_hashes_of_pictures_of_any_size(spark):
     low = {k: np.round(basis @ areas(p, 32, 32) @ basis.T, 6) for k, p in pictures.items()}
     got = {r["id"]: r["phash"] for r in grid.frequency_hash(df, ["id"]).collect()}
     assert got == {k: hexed(f > np.round((f.sum() - f[0, 0]) / 63, 6)) for k, f in low.items()}
+
+
+def test_detection_makes_its_pictures_once(spark, monkeypatch):
+    """All three measures read the pixels from where they are settled."""
+    from evidentia.plans import evidence
+
+    plans, variance = [], grid.local_variance
+    monkeypatch.setattr(grid, "local_variance", lambda pixels, keys: plans.append(pixels._jdf.queryExecution().optimizedPlan().toString()) or variance(pixels, keys))
+    monkeypatch.setattr(grid, "fused", lambda *a, **b: (_ for _ in ()).throw(InterruptedError))
+    with pytest.raises(InterruptedError):
+        evidence.detect_advanced(spark, "/root/testdata/sf0.001")
+    assert plans and all("LogicalRDD" in p and "Join" not in p and "Relation" not in p for p in plans)

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .settled import components, settled
+from .settled import components, dealt, settled
 
+#: Pixels that a task has at once where pictures are dealt out whole.
+PART = 1 << 18
 #: Columns of a cell in which runs of neighbouring rows meet.
 CELL = 32
 # Fixed values of the detectors.

@@ -121,25 +121,31 @@ def header_verdict(content: Column, formats: tuple[str, ...] = ("JPEG",)) -> Dat
 # ---- relations ----
 
 
-def ssims(pixels: DataFrame, keys: list[str], window: int = SSIM_WINDOW, **pairs: tuple[str, str]) -> DataFrame:
-    """keys and, for each name in pairs, the mean structural similarity of its two columns; uniform windows, in one pass.
+def window_sums(pixels: DataFrame, keys: list[str], window: int, pairs: list[tuple[str, str]], *more: str) -> DataFrame:
+    """keys, y, x, the columns of pairs and `more`, and the sums over windows that alike() needs; _n counts a window's pixels."""
+    used = sorted({c for pair in pairs for c in pair})
+    value = {c: F.col(c).cast("double") for c in used}
+    sums = {f"_{c}": value[c] for c in used} | {f"_{c}_{c}": value[c] * value[c] for c in used} | {f"_{a}_{b}": value[a] * value[b] for a, b in pairs} | {"_n": F.lit(1)}
+    return grid.box_sums(pixels.select(*keys, "y", "x", *dict.fromkeys([*used, *more])), keys, window // 2, **sums)
 
-    pixels: keys, y, x and the columns, whole rectangles. Sums over windows are differences of running sums. Pictures smaller
-    than a window have no row.
-    """
+
+def alike(a: str, b: str, window: int) -> Column:
+    """Structural similarity of two columns in a whole window of window_sums()."""
     n = window * window
-    used = sorted({c for pair in pairs.values() for c in pair})
-    value = {c: F.col(c).cast("double") for c in used}
-    sums = {f"_{c}": value[c] for c in used} | {f"_{c}_{c}": value[c] * value[c] for c in used} | {f"_{a}_{b}": value[a] * value[b] for a, b in pairs.values()} | {"_n": F.lit(1)}
-    rows = grid.box_sums(pixels.select(*keys, "y", "x", *used), keys, window // 2, **sums).where(F.col("_n") == n)
     f, c1, c2 = n / (n - 1), (0.01 * 255) ** 2, (0.03 * 255) ** 2
     mean = lambda *c: F.col("_" + "_".join(c)) / n
+    va, vb, cov = (f * (mean(x, y) - mean(x) * mean(y)) for x, y in ((a, a), (b, b), (a, b)))
+    return (2 * mean(a) * mean(b) + c1) * (2 * cov + c2) / ((mean(a) * mean(a) + mean(b) * mean(b) + c1) * (va + vb + c2))
 
-    def at(a: str, b: str) -> Column:
-        va, vb, cov = (f * (mean(x, y) - mean(x) * mean(y)) for x, y in ((a, a), (b, b), (a, b)))
-        return (2 * mean(a) * mean(b) + c1) * (2 * cov + c2) / ((mean(a) * mean(a) + mean(b) * mean(b) + c1) * (va + vb + c2))
 
-    return rows.groupBy(*keys).agg(*[F.avg(at(*pair)).alias(name) for name, pair in pairs.items()])
+def ssims(pixels: DataFrame, keys: list[str], window: int = SSIM_WINDOW, **pairs: tuple[str, str]) -> DataFrame:
+    """keys and, for each name in pairs, the mean structural similarity of its two columns; uniform windows, in one pass.
+
+    pixels: keys, y, x and the columns, whole rectangles. Sums over windows are differences of running sums. Pictures smaller
+    than a window have no row.
+    """
+    rows = window_sums(pixels, keys, window, list(pairs.values())).where(F.col("_n") == window * window)
+    return rows.groupBy(*keys).agg(*[F.avg(alike(*pair, window)).alias(name) for name, pair in pairs.items()])
 
 
 def ssim(pixels: DataFrame, keys: list[str], a: str, b: str, window: int = SSIM_WINDOW) -> DataFrame:
@@ -151,24 +157,35 @@ def decibels(mse: Column) -> Column:
     return F.when(mse == 0, 100.0).otherwise(10 * F.log10(F.lit(65025.0) / mse))
 
 
-def supervised(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """Scores of repaired pictures with the original at hand. pixels: keys, y, x, o (original), d (damaged), w (repaired), hit.
+def supervised(pixels: DataFrame, keys: list[str], **repairs: str) -> DataFrame:
+    """Scores of repaired pictures with the original at hand. pixels: keys, y, x, o (original), d (damaged), hit and w (repaired).
 
-    One row a picture and strategy: the score from 0 to 100 and what it is made of. Inside the mask's box, PAD pixels
-    wider, structure counts the more the smaller the mask is; a box too small for SSIM counts by its RMSE.
+    One row a picture: the score from 0 to 100 and what it is made of. Inside the mask's box, PAD pixels wider, structure
+    counts the more the smaller the mask is; a box too small for SSIM counts by its RMSE. Where `repairs` names columns,
+    each is a repair of its own, and its name the column strategy behind the keys.
+
+    A window that lies in the box is one of the picture's, so all comes from one pass over the pixels and one group; of
+    pictures dealt out by their keys (grid.dealt) nothing is moved.
     """
+    tried, whole, n = repairs or {None: "w"}, Window.partitionBy(*keys), SSIM_WINDOW * SSIM_WINDOW
     sq = lambda a, b: ((F.col(a) - F.col(b)) * (F.col(a) - F.col(b))).cast("double")
-    base = pixels.groupBy(*keys).agg(
-        F.avg(sq("w", "o")).alias("mse"), F.avg(sq("d", "o")).alias("mse_d"), F.avg(F.when(F.col("hit"), sq("w", "o"))).alias("mse_in"),
-        F.avg(F.when(~F.col("hit"), sq("w", "o"))).alias("mse_out"), F.avg(F.when(~F.col("hit"), sq("d", "o"))).alias("mse_out_d"), F.avg(F.col("hit").cast("double")).alias("coverage"),
-        *[f(F.when(F.col("hit"), F.col(c))).alias(n) for n, f, c in (("y0", F.min, "y"), ("y1", F.max, "y"), ("x0", F.min, "x"), ("x1", F.max, "x"))],
-    )
-    box = pixels.join(base.select(*keys, "y0", "y1", "x0", "x1"), keys).where(f"y between y0 - {PAD} and y1 + {PAD} and x between x0 - {PAD} and x1 + {PAD}")
-    low = box.groupBy(*keys).agg(F.min("y").alias("ly"), F.min("x").alias("lx"), F.greatest(F.lit(0.0), 1 - F.sqrt(F.avg(sq("w", "o"))) / 255).alias("zone_rmse"))
-    crop = box.join(low.select(*keys, "ly", "lx"), keys).withColumn("y", F.col("y") - F.col("ly")).withColumn("x", F.col("x") - F.col("lx"))
-    rows = base.join(ssims(pixels, keys, ssim=("o", "w"), ssim_d=("o", "d")), keys, "left")
-    rows = rows.join(ssims(crop, keys, zone=("o", "w")), keys, "left").join(low.select(*keys, "zone_rmse"), keys, "left")
-    rows = rows.withColumns({"psnr": decibels(F.col("mse")), "psnr_d": decibels(F.col("mse_d")), "zone_ssim": F.coalesce("zone", "zone_rmse")})
+    hit, full, reach = F.col("hit"), F.col("_n") == n, SSIM_WINDOW // 2
+    rows = window_sums(pixels, keys, SSIM_WINDOW, [("o", c) for c in dict.fromkeys(["d", *tried.values()])], "hit")
+    rows = rows.withColumns({f"{c}{i}": f(F.when(hit, F.col(c))).over(whole) for c in ("y", "x") for i, f in enumerate((F.min, F.max))})
+    inside = lambda r: F.col("y").between(F.col("y0") - PAD + r, F.col("y1") + PAD - r) & F.col("x").between(F.col("x0") - PAD + r, F.col("x1") + PAD - r)
+    measures = {c: {
+        "mse": F.avg(sq(c, "o")), "mse_in": F.avg(F.when(hit, sq(c, "o"))), "mse_out": F.avg(F.when(~hit, sq(c, "o"))), "zone_rmse": F.greatest(F.lit(0.0), 1 - F.sqrt(F.avg(F.when(inside(0), sq(c, "o")))) / 255),
+        "ssim": F.avg(F.when(full, alike("o", c, SSIM_WINDOW))), "zone": F.avg(F.when(full & inside(reach), alike("o", c, SSIM_WINDOW))),
+    } for c in dict.fromkeys(tried.values())}
+    same = {"mse_d": F.avg(sq("d", "o")), "mse_out_d": F.avg(F.when(~hit, sq("d", "o"))), "coverage": F.avg(hit.cast("double")), "ssim_d": F.avg(F.when(full, alike("o", "d", SSIM_WINDOW))), "boxed": F.max("y1").isNotNull()}
+    rows = rows.groupBy(*keys).agg(*[m.alias(k) for k, m in same.items()], *[F.struct(*[m.alias(k) for k, m in of.items()]).alias(f"_{c}") for c, of in measures.items()])
+    if repairs:
+        each = F.explode(F.array(*[F.struct(F.lit(name).alias("strategy"), F.col(f"_{c}").alias("m")) for name, c in tried.items()]))
+        rows = rows.select(*keys, *same, each.alias("e")).select(*keys, "e.strategy", *same, "e.m.*")
+        keys = [*keys, "strategy"]
+    else:
+        rows = rows.select(*keys, *same, "_w.*")
+    rows = rows.withColumns({"psnr": decibels(F.col("mse")), "psnr_d": decibels(F.col("mse_d")), "zone_ssim": F.when(F.col("boxed"), F.coalesce("zone", "zone_rmse"))})
     rows = rows.withColumns({"gain_psnr": F.col("psnr") - F.col("psnr_d"), "gain_ssim": F.col("ssim") - F.col("ssim_d")})
     weight = F.greatest(F.lit(0.3), F.lit(0.8) - F.col("coverage") * 2)
     structure = F.when(F.col("zone_ssim").isNull(), F.col("ssim")).otherwise((1 - weight) * F.col("ssim") + weight * F.col("zone_ssim"))
@@ -284,11 +301,15 @@ def legal_methods(spark, sf_dir):
     return rows.select("vec_id", "strategy", (~F.contains(name, F.lit("patchmatch")) & ~F.contains(name, F.lit("lama"))).alias("forensic_safe"), F.when(F.contains(name, F.lit("lama")), "generative").otherwise("forensic_safe").alias("mode"))
 
 
-CANDIDATES = on_spark(f"WITH {K} SELECT vec_id, seq, strategy, family, y, x, o, d, w, hit FROM cand")
+#: Pictures are dealt out whole, before they are pixels.
+FILLS = on_spark(f"WITH {K} SELECT vec_id, y, x, o, v AS d, hit, row_mean, global_mean, box_mean FROM fill", lambda spark, sf_dir, name: grid.dealt(table(spark, sf_dir, name), ["vec_id"], grid.PART // 64))
 
 
 def scored(spark, sf_dir):
-    return supervised(CANDIDATES(spark, sf_dir), ["vec_id", "strategy"])
+    """The scores of four repairs of each vector's picture, side by side in its pixels' rows: nothing, and three means."""
+    mended = lambda *means: F.when(F.col("hit"), F.coalesce(*means, F.lit(0))).otherwise(F.col("d"))
+    means = {"row_mean": mended("row_mean", "global_mean"), "global_mean": mended("global_mean"), "box_mean": mended("box_mean", "global_mean")}
+    return supervised(FILLS(spark, sf_dir).withColumns(means), ["vec_id"], conservative="d", **{n: n for n in means})
 
 
 def supervised_score(spark, sf_dir):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import kernels, regional
-from evidentia.operators import repair
+from evidentia.operators import grid, repair
 from evidentia.plans import forensics
 
 SF = "/root/testdata/sf0.001"
@@ -140,3 +140,41 @@ def test_header_verdicts(spark):
 def test_pieces_are_cut_once_and_not_once_an_order(spark):
     plan = forensics.fragment_permutations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("substring(") == 4 and "lambda" not in plan and "sha2" not in plan
+
+
+def test_scored_pictures_are_moved_whole_and_once(spark):
+    """What a task sorts is bounded by the pictures dealt to it; pixels were shuffled and joined before, in as many parts at any size."""
+    df = forensics.supervised_score(spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning(vec_id") == plan.count("Exchange ") == 1 and "Join" not in plan
+    assert plan.index("Generate posexplode") < plan.index("Exchange hashpartitioning(vec_id")
+
+
+def test_parts_follow_the_rows(spark):
+    few, many = (grid.dealt(spark.range(n), ["id"], 100) for n in (5, 2_000))
+    assert few.rdd.getNumPartitions() == 8 and many.rdd.getNumPartitions() == 20 and many.distinct().count() == 2_000
+
+
+def test_repairs_side_by_side_equal_the_kernel_one_by_one(spark):
+    """Pictures whose zone is smaller than they are, without a mask, and too small for a window."""
+    rng, rows, want = np.random.default_rng(5), [], {}
+    for k, (h, w, box) in enumerate([(40, 36, (20, 24, 15, 17)), (30, 30, (0, 3, 28, 30)), (12, 9, None), (5, 9, (1, 2, 3, 4)), (7, 30, (2, 3, 0, 1))]):
+        o = rng.integers(0, 256, (h, w))
+        mask = np.zeros((h, w), bool)
+        if box:
+            mask[box[0] : box[1], box[2] : box[3]] = True
+        d = np.where(mask, 0, o)
+        tried = {"nothing": d, "guess": np.where(mask, np.clip(o + rng.integers(-40, 41, o.shape), 0, 255), o)}
+        rows += [(k, y, x, int(o[y, x]), int(d[y, x]), bool(mask[y, x]), *[int(a[y, x]) for a in tried.values()]) for y in range(h) for x in range(w)]
+        if min(h, w) >= 7:
+            want |= {(k, n): repair.supervised_score(*[i.astype(np.uint8) for i in (o, d, a)], mask) for n, a in tried.items()}
+    pixels = spark.createDataFrame(rows, "id long, y long, x long, o long, d long, hit boolean, nothing long, guess long")
+    got = {(r["id"], r["strategy"]): r for r in forensics.supervised(pixels, ["id"], nothing="nothing", guess="guess").collect()}
+    assert len(got) == 10
+    for key, (score, psnr, ssim) in want.items():
+        assert (got[key]["score"], got[key]["psnr"], got[key]["ssim"]) == pytest.approx((score, psnr, ssim), abs=1e-7)
+    assert got[2, "guess"]["zone_ssim"] is None and got[3, "guess"]["ssim"] is None and 0 < got[3, "guess"]["zone_ssim"] < 1
+    alone = {r["id"]: r for r in forensics.supervised(pixels.withColumn("w", F.col("guess")), ["id"]).collect()}
+    for k in range(5):
+        same = got[k, "guess"].asDict()
+        assert same.pop("strategy") == "guess" and alone[k].asDict() == pytest.approx(same, nan_ok=True)

@@ -1,5 +1,7 @@
 """Rules and scores of picture evidence against checks written apart, hand-made cases and known invariants."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import kernels, regional
 from evidentia.operators import grid, repair
-from evidentia.plans import forensics
+from evidentia.plans import evidence, forensics
 
 SF = "/root/testdata/sf0.001"
 
@@ -150,6 +152,14 @@ def test_scored_pictures_are_moved_whole_and_once(spark):
     assert plan.index("Generate posexplode") < plan.index("Exchange hashpartitioning(vec_id")
 
 
+@pytest.mark.parametrize("name", ["benchmark_modes", "report_json", "legal_json"])
+def test_what_is_made_of_scores_moves_no_pixel(spark, monkeypatch, name):
+    """With nothing settled between, no step down to the table is dealt by a picture's row, column or strategy."""
+    monkeypatch.setattr(grid, "settled", lambda df: df)
+    plan = evidence.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "posexplode" in plan and not re.search(r"Exchange hashpartitioning\(vec_id#\d+L?, [a-z]", plan)
+
+
 def test_parts_follow_the_rows(spark):
     few, many = (grid.dealt(spark.range(n), ["id"], 100) for n in (5, 2_000))
     assert few.rdd.getNumPartitions() == 8 and many.rdd.getNumPartitions() == 20 and many.distinct().count() == 2_000

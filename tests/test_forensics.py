@@ -160,6 +160,17 @@ def test_what_is_made_of_scores_moves_no_pixel(spark, monkeypatch, name):
     assert "posexplode" in plan and not re.search(r"Exchange hashpartitioning\(vec_id#\d+L?, [a-z]", plan)
 
 
+@pytest.mark.parametrize("name", ["report_json", "legal_json"])
+def test_scores_are_dealt_to_reports_by_their_number(spark, monkeypatch, name):
+    """Behind the scores a task's rows are bounded, too: what is dealt out once serves every window, group and join of the report."""
+    monkeypatch.setattr(forensics, "scored", lambda *a: spark.sql("SELECT id AS vec_id, 'a' AS strategy, 1D AS score, 2D AS psnr, 3D AS ssim, 4D AS gain_psnr, 5D AS gain_ssim FROM range(100)"))
+    monkeypatch.setattr(grid, "PART", 4)
+    df = evidence.QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert re.search(r"hashpartitioning\(run_key#\d+, 25\), REPARTITION_BY_NUM", plan) and "ENSURE_REQUIREMENTS" not in plan
+    assert df.rdd.getNumPartitions() == 25 and df.count() == df.select("run_key").distinct().count() == 100
+
+
 def test_parts_follow_the_rows(spark):
     few, many = (grid.dealt(spark.range(n), ["id"], 100) for n in (5, 2_000))
     assert few.rdd.getNumPartitions() == 8 and many.rdd.getNumPartitions() == 20 and many.distinct().count() == 2_000

@@ -90,6 +90,30 @@ def test_leaders_equal_the_greedy_walk(spark, size):
     assert got == {(k, j): i for k, p in pictures.items() for j, i in greedy(p).items()}
 
 
+def test_all_matches_of_a_picture_are_grouped(spark):
+    """Far more than fifty matches, many at one spot, in some rows' order only: boxes around the leaders of the greedy walk."""
+    rng = random.Random(4)
+    pictures = {1: [(rng.randrange(160), rng.randrange(240)) for _ in range(700)], 2: [(5, 5)] * 300 + [(90, 90 + i) for i in range(60)], 3: [(0, 0), (1, 1)], 4: [(-200 + 30 * i, 3) for i in range(61)]}
+    rows = [(k, 7 * i + 3, y, x) for k, p in pictures.items() for i, (y, x) in enumerate(p)]
+    rng.shuffle(rows)
+    got = [tuple(r) for r in matching.groups(spark.createDataFrame(rows, "image_id long, point_id long, y long, x long").repartition(5)).select("image_id", "leader", "x", "y", "w", "h", "n_matches").collect()]
+    want = []
+    for k, p in pictures.items():
+        of = {}
+        for j, i in greedy(p).items():
+            of.setdefault(i, []).append(p[j])
+        for i, g in of.items():
+            (y0, x0), (y1, x1) = (tuple(f(c) for c in zip(*g, strict=True)) for f in (min, max))
+            want += [(k, i + 1, x0, y0, x1 - x0 + 20, y1 - y0 + 20, len(g))] if len(g) >= 3 else []
+    assert sorted(got) == sorted(want) and sum(r[-1] for r in want if r[0] == 1) > 600
+
+
+def test_places_without_a_spot_lead_themselves(spark):
+    rows = [(1, 1, 5, 5), (1, 2, None, 5), (1, 3, 5, None), (1, 4, 6, 6), (2, 1, None, None)]
+    got = {(r["image_id"], r["place"]): r["leader"] for r in matching.leaders(spark.createDataFrame(rows, "image_id long, place long, y long, x long")).collect()}
+    assert got == {(1, 1): 1, (1, 2): 2, (1, 3): 3, (1, 4): 1, (2, 1): 1}
+
+
 def test_strong_matches_and_verdicts(spark):
     pts = [(1, i, [i // 2 * 0x0F0F0F0F], 0, 100 * (i % 2) + i) for i in range(30)] + [(2, 1, [1], 0, 0), (2, 2, [1], 3, 4)]
     df = spark.createDataFrame(pts, DDL)
